@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import written
+from quire.llm.common import without, written
 
 SPACES = r"[\x20\x09-\x0D]+"
 SYMBOLS = "#*$%&|<>"
@@ -95,8 +95,6 @@ def judge(docs: DataFrame, *, host: str = "source", max_rate: float = 0.5) -> Da
 
 
 def keep_good(docs: DataFrame, *, host: str = "source", max_rate: float = 0.5) -> DataFrame:
-    """The rows and columns of the documents that are kept. The text is read once for
-    the hosts and once for the rows; it is never shuffled."""
-    judged = with_counts(docs).withColumn("base_failed", base_failed())
-    kept = with_verdict(judged, host_verdicts(judged.select(host, "base_failed"), host, max_rate), host)
-    return kept.where("kept").select(*docs.columns)
+    """The rows and columns of the documents that are kept, told by doc_id. The text is
+    read once for the counts; it is only shuffled if very many documents are rejected."""
+    return without(docs, judge(docs, host=host, max_rate=max_rate).where(~F.col("kept")))

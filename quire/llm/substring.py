@@ -188,8 +188,9 @@ def remove_repeats(docs: DataFrame, *, window: int = 13, anchor: int = 6, shelf_
     texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("_doc"), F.coalesce(F.col("text"), F.lit("")).alias("_text"), *carry)
     n_docs, n_bytes = texts.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("_text")), F.lit(0))).first()
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    shelves = _prime(max(2 * parts + 1, n_bytes // shelf_bytes))
-    blocks, salts = max(4 * parts, n_bytes // (4 << 20)), 1 + n_docs // docs_per_salt
+    shelves = _prime(max(parts, 2, n_bytes // shelf_bytes))
+    # a block per 32 MB of text: its entries fit a task, and a shelf has few rows for it
+    blocks, salts = max(parts, n_bytes // (32 << 20)), 1 + n_docs // docs_per_salt
 
     def entries_of(t: pa.Table, candidates=None) -> Iterator[pa.RecordBatch]:
         hashes, owners = [], []

@@ -63,7 +63,7 @@ def parse_page_ranges(specs: DataFrame) -> DataFrame:
     a = F.nullif(F.regexp_extract(text, pattern, 1), F.lit("")).cast("int")
     b = F.coalesce(F.nullif(F.regexp_extract(text, pattern, 2), F.lit("")).cast("int"), a)
     low, high = F.greatest(F.least(a, b), F.lit(1)), F.least(F.greatest(a, b), F.col("page_count"))
-    found = tokens.withColumn("_low", low).withColumn("_high", high).where("_low is not null and _low <= _high")
+    found = tokens.withColumn("_low", low).withColumn("_high", high).where(a.isNotNull() & (low <= high))
     found = found.withColumn("part", F.row_number().over(Window.partitionBy("doc_id").orderBy("_token")) - 1)
     return found.select("doc_id", "part", F.explode(F.sequence(F.col("_low") - 1, F.col("_high") - 1)).alias("page"))
 

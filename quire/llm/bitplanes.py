@@ -99,7 +99,7 @@ def write_token_planes(
             values = [shard, chunk, first, len(ids), block_ids, kind, n_planes, sizes, payload, names, lens.tolist()]
             return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(values, schema)], schema=schema)
 
-        for t in gathered(batches, 12 << 20):
+        for t in gathered(batches, 8 << 20):
             names = t.column("doc_id").to_pylist()
             ids, bounds = encoder(tokenizer).encode(t.column("text"))
             n = len(names)

@@ -33,7 +33,7 @@ def token_pieces(docs: DataFrame, *, tokenizer: str, end_id: int = 2, capacity:
     that is too long is cut into pieces of ``capacity``; its first piece takes the rest."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in gathered(batches, 12 << 20):
+        for t in gathered(batches, 8 << 20):
             ids, bounds = encoder(tokenizer).encode(t.column("text"))
             raw, end = memoryview(np.ascontiguousarray(ids, dtype="<u4").tobytes()), np.array([end_id], "<u4").tobytes()
             lens = np.diff(bounds) + 1

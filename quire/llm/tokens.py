@@ -26,7 +26,7 @@ class CachedEncoder:
     up to ``max_words`` stay in the cache, the rest are encoded again.
     """
 
-    def __init__(self, path: str, max_words: int = 1_000_000):
+    def __init__(self, path: str, max_words: int = 600_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 

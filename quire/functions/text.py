@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # Fixed values of the data format: markers, glyphs, label words and font hints.
 MARKER = r"^(?U:\s)*([-•◦▪*–—]|[0-9]+[.):]|[A-Za-z][.):]|[ivxlcdmIVXLCDM]+\.)(?U:\s)+"
@@ -54,7 +55,7 @@ def strip_bullet(c: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(c, SYMBOL_BULLET, ""), r"(?U)^\s+", "")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _nfc(s: pd.Series) -> pd.Series:
     return s.map(lambda x: unicodedata.normalize("NFC", x), na_action="ignore")
 

@@ -25,7 +25,6 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from quire.llm.common import gathered, sliced, texts_of
 from quire.llm.tokens import encoder
@@ -132,7 +131,7 @@ def read_token_planes(spark: SparkSession, path: str, *, with_ids: bool = False)
     ``start`` counts the ids before the document in the whole set: a shard's base is
     summed over the list of shards, which has one entry for each file written.
     """
-    chunks = spark.read.schema(T._parse_datatype_string(CHUNK_DDL)).parquet(path)
+    chunks = spark.read.schema(CHUNK_DDL).parquet(path)
     base, bases = 0, []
     for shard, n in sorted(chunks.groupBy("shard").agg(F.sum("n_ids")).collect()):
         bases.append((shard, base))

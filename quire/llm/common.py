@@ -57,15 +57,15 @@ def texts_of(docs: DataFrame, *extra: str) -> DataFrame:
 
 
 def gathered(batches: Iterator[pa.RecordBatch], max_bytes: int = 24 << 20) -> Iterator[pa.Table]:
-    """Arrow batches joined up to ``max_bytes``, so that per-batch work is spread
-    over many rows while a task's memory stays bounded."""
+    """Arrow batches joined up to about ``max_bytes``, and larger ones cut, so that
+    per-batch work is spread over many rows while a task's memory stays bounded."""
     held, size = [], 0
-    for b in batches:
-        held.append(b)
-        size += b.nbytes
-        if size >= max_bytes:
+    for b in sliced(batches, max_bytes):
+        if held and size + b.nbytes > max_bytes:
             yield pa.Table.from_batches(held).combine_chunks()
             held, size = [], 0
+        held.append(b)
+        size += b.nbytes
     if held:
         yield pa.Table.from_batches(held).combine_chunks()
 

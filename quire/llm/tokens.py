@@ -49,8 +49,11 @@ class CachedEncoder:
         if not words:
             return np.zeros(0, np.uint32), np.zeros(1, np.int64)
         spaced = [" " + w for w in words]
-        lists = self._ids(["".join(spaced[i : i + 1000]) for i in range(0, len(spaced), 1000)])
-        ids = np.concatenate([np.array(x, np.uint32) for x in lists])
+        parts = []
+        for i in range(0, len(spaced), 20_000):  # the library's results are large beside their ids
+            lists = self._ids(["".join(spaced[j : min(j + 1000, i + 20_000)]) for j in range(i, min(i + 20_000, len(spaced)), 1000)])
+            parts += [np.array(x, np.uint32) for x in lists]
+        ids = np.concatenate(parts)
         ends = np.cumsum(self.n_bytes[ids])
         at = np.cumsum([len(w.encode()) for w in spaced])
         return ids, np.concatenate([[0], np.searchsorted(ends, at, side="right")]).astype(np.int64)

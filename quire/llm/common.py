@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -68,6 +69,18 @@ def gathered(batches: Iterator[pa.RecordBatch], max_bytes: int = 24 << 20) -> It
         size += b.nbytes
     if held:
         yield pa.Table.from_batches(held).combine_chunks()
+    held = None
+    give_back()
+
+
+def give_back() -> None:
+    """Returns freed memory to the system: Python workers are reused by later tasks,
+    whose executors share one limit with them."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
 
 
 def sliced(batches: Iterator[pa.RecordBatch], max_bytes: int = 16 << 20) -> Iterator[pa.RecordBatch]:

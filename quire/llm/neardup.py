@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import gathered, texts_of, written
+from quire.llm.common import gathered, give_back, texts_of, written
 from quire.llm.wordhash import FOLDED, grams, hashed_words, mixed, raw_bytes, small_tables
 
 
@@ -128,6 +128,7 @@ def candidate_pairs(classes: DataFrame, tensor: Tensor, chain: int, blocks: int)
             )
 
     def chained(t: pa.Table) -> pa.Table:
+        give_back()
         keys = np.concatenate([np.frombuffer(x.as_py(), np.uint64) for x in t.column("_keys")])
         owner = np.concatenate([np.frombuffer(x.as_py(), np.int64) for x in t.column("_owners")])
         order = np.lexsort((owner, keys))

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quire.llm.common import gathered
+from quire.llm.common import gathered, give_back
 from quire.llm.wordhash import grams, hashed_words, raw_bytes, small_tables
 
 _LAST = 2**63 - 1
@@ -214,10 +214,12 @@ def remove_repeats(docs: DataFrame, *, window: int = 13, anchor: int = 6, shelf_
             yield from entries_of(t)
 
     def windows(left: pa.Table, right: pa.Table) -> pa.Table:
+        give_back()
         found = list(entries_of(left, _per_doc(right)))
         return pa.Table.from_batches(found) if found else pa.table([pa.array([], k) for k in (pa.int32(), pa.int32(), pa.binary(), pa.binary())], names=["_block", "_salt", "_hashes", "_docs"])
 
     def parse(left: pa.Table, right: pa.Table) -> pa.Table:
+        give_back()
         found = _per_doc(right)
         out: list[list] = [[], [], [], []]
         for part in small_tables(left, "_text"):

@@ -25,12 +25,12 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors and the driver share.
 
     It is the session's ``spark.checkpoint.dir``; where that is unset (tests on
-    one machine) a temporary folder stands in for it.
+    one machine) the context's checkpoint folder, or a temporary one, stands in for it.
     """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="quire-")
-        spark.conf.set("spark.checkpoint.dir", found)
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not found:  # the setting itself is fixed once a session runs
+        spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="quire-"))
+        found = spark.sparkContext.getCheckpointDir()
     return found.rstrip("/")
 
 

@@ -3,6 +3,7 @@ import os
 import duckdb
 import pytest
 
+from quire.plans import element_queries  # noqa: F401  registers its queries
 from quire.plans import layout_queries as L
 
 DIR = "/root/testdata/sf0.001"

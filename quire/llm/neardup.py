@@ -11,8 +11,11 @@ is missed with probability below ``2 * (1 - s**r)**m``: 0.003 at s = 0.75 and 0.
 Equal sets are one class from the start, told by two 64-bit sums over the set, so a
 group of copies is never expanded. Within a table key the classes are chained (each to
 the ``chain`` before it and to the first), never paired all with all. Candidates are
-confirmed on full sets in two rounds: first each class with the earlier class that it
-shares most keys with; then all candidates that this left in different components.
+confirmed on full sets in three rounds: first each class with the earlier class that it
+shares most keys with; then all candidates that this left in different components. A
+chain leaves no pair out unless its key has more than ``chain + 2`` classes; the classes
+of such keys are searched once more, exactly, by their rarest shingles (``rare_pairs``),
+for links between components that are still apart.
 
 Nulls: a null text has an empty set, which is linked with nothing; a null doc_id stays
 a row of its own (component_id null) and links nobody. Repeated ids and rows are kept,
@@ -107,7 +110,8 @@ def signatures(docs: DataFrame, tensor: Tensor, k: int) -> DataFrame:
 
 
 def candidate_pairs(classes: DataFrame, tensor: Tensor, chain: int, blocks: int) -> DataFrame:
-    """(a, b, shared): classes a < b that were chained under ``shared`` table keys."""
+    """(a, b, shared): classes a < b that were chained under ``shared`` table keys, and
+    (a, a, 0) for each class a of a key whose chain leaves pairs out."""
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in gathered(batches, 4 << 20):
@@ -146,11 +150,95 @@ def candidate_pairs(classes: DataFrame, tensor: Tensor, chain: int, blocks: int)
         order = np.lexsort((b, a))
         a, b = a[order], b[order]
         cut = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])) if len(a) else np.zeros(0, np.int64)
-        return pa.table([pa.array(a[cut]), pa.array(b[cut]), pa.array(np.diff(np.append(cut, len(a))))], names=["a", "b", "shared"])
+        a, b, shared = a[cut], b[cut], np.diff(np.append(cut, len(a)))
+        left_out = np.unique(owner[np.isin(first, first[place > chain + 1])])
+        return pa.table([pa.array(np.concatenate([a, left_out])), pa.array(np.concatenate([b, left_out])), pa.array(np.concatenate([shared * (a < b), 0 * left_out]))], names=["a", "b", "shared"])
 
     keyed_rows = classes.select("rep", "least").mapInArrow(keyed, "_block int, _keys binary, _owners binary")
     pairs = keyed_rows.groupBy("_block").applyInArrow(chained, "a long, b long, shared long")
-    return pairs.where("a < b").groupBy("a", "b").agg(F.sum("shared").alias("shared"))
+    return pairs.where("a < b or shared = 0").groupBy("a", "b").agg(F.sum("shared").alias("shared"))
+
+
+#: Buckets in which shingles are counted to tell rare ones.
+RARITY_BUCKETS = 1 << 20
+
+
+def rare_pairs(sets: DataFrame, percent: int, parts: int) -> DataFrame:
+    """(a, b): every two rows of ``sets`` (id, component, shingles) in different
+    components that can have 100 * intersection >= percent * union.
+
+    Such sets share a shingle among the ``n - ceil(percent * n / 100) + 1`` that come
+    first in each, in any one order of all shingles; here rare ones come first. Rarity
+    is a count by bucket, so what is broadcast has ``RARITY_BUCKETS`` numbers. Passages
+    that many sets have come last and bring no candidates, and a shingle within one
+    component brings none either."""
+    spark = sets.sparkSession
+    shift = np.uint64(64 - RARITY_BUCKETS.bit_length() + 1)
+
+    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(RARITY_BUCKETS, np.int64)
+        for b in batches:
+            for x in b.column("shingles"):
+                np.add.at(n, (np.frombuffer(x.as_py(), np.uint64) >> shift).astype(np.int64), 1)
+        at = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(n[at])], names=["bucket", "n"])
+
+    counted = sets.select("shingles").mapInArrow(tally, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    rarity = np.zeros(RARITY_BUCKETS, np.int64)
+    rarity[counted.column("bucket").to_numpy()] = counted.column("n").to_numpy()
+    held = spark.sparkContext.broadcast(rarity)
+    blocks = max(parts, int(rarity.sum()) // 4_000_000)
+
+    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in gathered(batches, 4 << 20):
+            tokens, lengths, sizes = [], [], []
+            for x in t.column("shingles"):
+                g = np.frombuffer(x.as_py(), np.uint64)
+                n = len(g)
+                tokens.append(g[np.lexsort((g, held.value[(g >> shift).astype(np.int64)]))][: n + 1 - (percent * n + 99) // 100])
+                lengths.append(len(tokens[-1]))
+                sizes.append(n)
+            if not tokens:
+                continue
+            token = np.concatenate(tokens)
+            owner = np.repeat(np.arange(len(lengths)), lengths)
+            entries = np.empty((len(token), 4), np.int64)
+            entries[:, 0] = token.view(np.int64)
+            for k, values in enumerate((t.column("id").to_numpy(), t.column("component").to_numpy(), np.array(sizes))):
+                entries[:, k + 1] = values[owner]
+            block = ((token >> np.uint64(7)) % np.uint64(blocks)).astype(np.int64)
+            order = np.argsort(block, kind="stable")
+            entries = entries[order]
+            names, cut = np.unique(block[order], return_index=True)
+            ends = [*cut[1:].tolist(), len(token)]
+            yield pa.RecordBatch.from_arrays([pa.array(names.astype(np.int32)), pa.array([entries[i:j].tobytes() for i, j in zip(cut.tolist(), ends)], pa.binary())], names=["_block", "_entries"])
+
+    def meet(t: pa.Table) -> pa.Table:
+        give_back()
+        token, ids, component, size = np.concatenate([np.frombuffer(x.as_py(), np.int64) for x in t.column("_entries")]).reshape(-1, 4).T
+        order = np.lexsort((size, component, token))
+        token, ids, component, size = token[order], ids[order], component[order], size[order]
+        end = np.searchsorted(token, token, side="right")
+        turn = np.flatnonzero(np.append((token[1:] != token[:-1]) | (component[1:] != component[:-1]), True)) + 1
+        run_end = turn[np.searchsorted(turn, np.arange(len(token)), side="right")]
+        others = end - run_end  # members of later components on the shingle's list
+        at = np.flatnonzero(others)
+        found = np.zeros((0, 2), np.int64)
+        whole = np.concatenate([[0], np.cumsum(others[at])])
+        i = 0
+        while i < len(at):  # a few million pairs at a time, repeats dropped as they come
+            j = max(i + 1, int(np.searchsorted(whole, whole[i] + 4_000_000, side="right")) - 1)
+            n = others[at[i:j]]
+            x = np.repeat(at[i:j], n)
+            y = np.repeat(run_end[at[i:j]], n) + np.arange(len(x)) - np.repeat(whole[i:j] - whole[i], n)
+            near = 100 * np.minimum(size[x], size[y]) >= percent * np.maximum(size[x], size[y])
+            pairs = np.stack([np.minimum(ids[x], ids[y]), np.maximum(ids[x], ids[y])], axis=1)[near]
+            found = np.unique(np.concatenate([found, pairs]), axis=0)
+            i = j
+        return pa.table([pa.array(found[:, 0]), pa.array(found[:, 1])], names=["a", "b"])
+
+    rows = sets.mapInArrow(prefixes, "_block int, _entries binary")
+    return rows.groupBy("_block").applyInArrow(meet, "a long, b long").distinct()
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -200,7 +288,8 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 75, m:
     n_classes = classes.count()
     # a block holds about a million keys
     blocks = max(4 * parts, n_classes * m * m // 1_000_000)
-    pairs = written(candidate_pairs(classes, tensor, chain, blocks), "pairs")
+    chained = written(candidate_pairs(classes, tensor, chain, blocks), "pairs")
+    pairs, left_out = chained.where("a < b"), chained.where("a = b").select(F.col("a").alias("id"))
 
     needed = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
 
@@ -225,8 +314,15 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 75, m:
         .join(found.select(F.col("node").alias("b"), F.col("component").alias("_cb")).hint("merge"), "b", "left")
         .where(F.coalesce("_ca", "a") != F.coalesce("_cb", "b"))
     )
-    second = confirmed(rest, sets, percent)
-    found = components(first.union(second))
+    second = written(confirmed(rest, sets, percent), "links")
+    found = written(components(first.union(second)), "components")
+
+    if left_out.limit(1).count():
+        apart = sets.join(left_out.hint("merge"), "id", "left_semi").join(found.withColumnRenamed("node", "id").hint("merge"), "id", "left")
+        apart = written(apart.select("id", F.coalesce("component", "id").alias("component"), "shingles"), "apart")
+        third = written(confirmed(written(rare_pairs(apart, percent, parts), "rare"), sets, percent), "links")
+        if third.limit(1).count():
+            found = components(first.union(second).union(third))
 
     labelled = classes.select(*same, "rep").join(found.withColumnRenamed("node", "rep").hint("merge"), "rep", "left").select(*same, F.coalesce("component", "rep").alias("component_id"))
     # only a document with a set and an id belongs to a class

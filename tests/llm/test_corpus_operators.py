@@ -190,6 +190,35 @@ def test_near_duplicates(docs, none):
     assert neardup.near_duplicates(none).count() == 0
 
 
+def test_links_within_a_crowd(spark):
+    """Texts with one long passage in common crowd the table keys without being links; few of them are."""
+    r = random.Random(5)
+    fresh = lambda n: [f"w{r.randrange(10**9)}" for _ in range(n)]
+    common = fresh(80)
+    texts = [common + fresh(20) for _ in range(400)]
+    texts += [texts[7 * i][:90] + fresh(10) for i in range(40)]
+    r.shuffle(texts)
+    sets = [{tuple(w[j : j + 5]) for j in range(len(w) - 4)} for w in texts]
+    links = [(i, j) for j, b in enumerate(sets) for i, a in enumerate(sets[:j]) if 100 * len(a & b) >= 75 * len(a | b)]
+    assert len(links) == 40
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(docs, chain=1).collect()}
+    assert got == {i: i for i in range(len(texts))} | {j: i for i, j in links}
+
+
+def test_rare_pairs(spark):
+    r = random.Random(6)
+    pool = np.random.default_rng(6).integers(0, 2**63, 60, dtype=np.uint64)
+    sets = [set(r.sample(range(60), r.randint(1, 30))) for _ in range(60)]
+    sets += [s | {r.randrange(60)} for s in sets]
+    rows = [(i, i % 50, np.sort(pool[sorted(s)]).tobytes()) for i, s in enumerate(sets)]
+    made = spark.createDataFrame(rows, "id long, component long, shingles binary")
+    got = {tuple(r) for r in neardup.rare_pairs(made, 75, 4).collect()}
+    want = {(i, j) for j, b in enumerate(sets) for i, a in enumerate(sets[:j]) if i % 50 != j % 50 and 100 * len(a & b) >= 75 * len(a | b)}
+    assert len(want) > 20 and want <= got
+    assert len(got) < len(sets) ** 2 / 2
+
+
 def test_components(spark):
     r = random.Random(2)
     edges = [(i, i + 1) for i in range(60)] + [(100 + r.randrange(40), 100 + r.randrange(40)) for _ in range(30)]

@@ -163,15 +163,43 @@ def candidate_pairs(classes: DataFrame, tensor: Tensor, chain: int, blocks: int)
 RARITY_BUCKETS = 1 << 20
 
 
+def _listed(entries: np.ndarray, count: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """``entries`` (token, id, component, size, rest) in an order by token, the number of
+    partners of each and of each token's list, and the place of each one's first partner."""
+    starts = np.flatnonzero(np.append(True, entries[1:, 0] != entries[:-1, 0]))
+    return entries, count, np.add.reduceat(count, starts), first
+
+
+def _apart(entries: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Partners: those of later components on the token's list."""
+    entries = entries[np.lexsort((entries[:, 2], entries[:, 0]))]
+    token, component = entries[:, 0], entries[:, 2]
+    turn = np.flatnonzero(np.append((token[1:] != token[:-1]) | (component[1:] != component[:-1]), True)) + 1
+    run_end = turn[np.searchsorted(turn, np.arange(len(token)), side="right")]
+    return _listed(entries, np.searchsorted(token, token, side="right") - run_end, run_end)
+
+
+def _alike(entries: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Partners: those of the same or a greater size that the entry's rest allows."""
+    entries = entries[np.lexsort((entries[:, 3], entries[:, 0]))]
+    token, size, rest = entries[:, 0], entries[:, 3], entries[:, 4]
+    most = np.minimum((100 + percent) * rest // percent - size, 2**39)
+    here = np.cumsum(np.append(True, token[1:] != token[:-1])) << 40
+    after = np.arange(len(token)) + 1
+    return _listed(entries, np.maximum(np.searchsorted(here + size, here + most, side="right") - after, 0), after)
+
+
 def rare_pairs(sets: DataFrame, percent: int, parts: int) -> DataFrame:
     """(a, b): every two rows of ``sets`` (id, component, shingles) in different
     components that can have 100 * intersection >= percent * union.
 
     Such sets share a shingle among the ``n - ceil(percent * n / 100) + 1`` that come
     first in each, in any one order of all shingles; here rare ones come first. Rarity
-    is a count by bucket, so what is broadcast has ``RARITY_BUCKETS`` numbers. Passages
-    that many sets have come last and bring no candidates, and a shingle within one
-    component brings none either."""
+    is a count by bucket, so what is broadcast has ``RARITY_BUCKETS`` numbers. After the
+    first shingle in common a set has ``rest`` more, itself included, and two sets can
+    only be similar enough if ``percent`` of both sizes is at most ``100 + percent`` of
+    either rest: sets that share one long passage, and rare shingles before it, meet but
+    are no candidates. A shingle within one component brings none either."""
     spark = sets.sparkSession
     shift = np.uint64(64 - RARITY_BUCKETS.bit_length() + 1)
 
@@ -202,10 +230,11 @@ def rare_pairs(sets: DataFrame, percent: int, parts: int) -> DataFrame:
                 continue
             token = np.concatenate(tokens)
             owner = np.repeat(np.arange(len(lengths)), lengths)
-            entries = np.empty((len(token), 4), np.int64)
+            entries = np.empty((len(token), 5), np.int64)
             entries[:, 0] = token.view(np.int64)
             for k, values in enumerate((t.column("id").to_numpy(), t.column("component").to_numpy(), np.array(sizes))):
                 entries[:, k + 1] = values[owner]
+            entries[:, 4] = entries[:, 3] - (np.arange(len(token)) - np.repeat(np.cumsum(lengths) - lengths, lengths))
             block = ((token >> np.uint64(7)) % np.uint64(blocks)).astype(np.int64)
             order = np.argsort(block, kind="stable")
             entries = entries[order]
@@ -215,26 +244,26 @@ def rare_pairs(sets: DataFrame, percent: int, parts: int) -> DataFrame:
 
     def meet(t: pa.Table) -> pa.Table:
         give_back()
-        token, ids, component, size = np.concatenate([np.frombuffer(x.as_py(), np.int64) for x in t.column("_entries")]).reshape(-1, 4).T
-        order = np.lexsort((size, component, token))
-        token, ids, component, size = token[order], ids[order], component[order], size[order]
-        end = np.searchsorted(token, token, side="right")
-        turn = np.flatnonzero(np.append((token[1:] != token[:-1]) | (component[1:] != component[:-1]), True)) + 1
-        run_end = turn[np.searchsorted(turn, np.arange(len(token)), side="right")]
-        others = end - run_end  # members of later components on the shingle's list
-        at = np.flatnonzero(others)
+        entries = np.concatenate([np.frombuffer(x.as_py(), np.int64) for x in t.column("_entries")]).reshape(-1, 5)
         found = np.zeros((0, 2), np.int64)
-        whole = np.concatenate([[0], np.cumsum(others[at])])
-        i = 0
-        while i < len(at):  # a few million pairs at a time, repeats dropped as they come
-            j = max(i + 1, int(np.searchsorted(whole, whole[i] + 4_000_000, side="right")) - 1)
-            n = others[at[i:j]]
-            x = np.repeat(at[i:j], n)
-            y = np.repeat(run_end[at[i:j]], n) + np.arange(len(x)) - np.repeat(whole[i:j] - whole[i], n)
-            near = 100 * np.minimum(size[x], size[y]) >= percent * np.maximum(size[x], size[y])
-            pairs = np.stack([np.minimum(ids[x], ids[y]), np.maximum(ids[x], ids[y])], axis=1)[near]
-            found = np.unique(np.concatenate([found, pairs]), axis=0)
-            i = j
+        # both ways see every pair of a list; each list is read the way that has fewer
+        by_component, by_size = _apart(entries), _alike(entries, percent)
+        cheaper = by_component[2] <= by_size[2]
+        for (entries, count, _, first), take in ((by_component, cheaper), (by_size, ~cheaper)):
+            _, ids, component, size, rest = entries.T
+            new = np.append(True, entries[1:, 0] != entries[:-1, 0])
+            at = np.flatnonzero((count > 0) & take[np.cumsum(new) - 1])
+            whole = np.concatenate([[0], np.cumsum(count[at])])
+            i = 0
+            while i < len(at):  # a few million pairs at a time, repeats dropped as they come
+                j = max(i + 1, int(np.searchsorted(whole, whole[i] + 4_000_000, side="right")) - 1)
+                n = count[at[i:j]]
+                x = np.repeat(at[i:j], n)
+                y = np.repeat(first[at[i:j]], n) + np.arange(len(x)) - np.repeat(whole[i:j] - whole[i], n)
+                can = (component[x] != component[y]) & (percent * (size[x] + size[y]) <= (100 + percent) * np.minimum(rest[x], rest[y]))
+                x, y = ids[x[can]], ids[y[can]]
+                found = np.unique(np.concatenate([found, np.stack([np.minimum(x, y), np.maximum(x, y)], axis=1)]), axis=0)
+                i = j
         return pa.table([pa.array(found[:, 0]), pa.array(found[:, 1])], names=["a", "b"])
 
     rows = sets.mapInArrow(prefixes, "_block int, _entries binary")

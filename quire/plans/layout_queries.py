@@ -194,7 +194,9 @@ _PATTERNS = [("initials", "and|und"), ("date", "la|der"), ("signature", "the")]
     " SELECT doc_id, line, kind, 84.0 + length(text) AS x, 20.0 * line + 10 - (CASE kind WHEN 'initials' THEN 40 WHEN 'date' THEN 36 ELSE 48 END) / 2 AS y FROM k WHERE kind IS NOT NULL"
 )
 def label_zones(spark, sf_dir):
-    lines = document_lines(spark, sf_dir).where((F.length("text") < 120) & ~F.col("text").rlike(r"[^\x00-\x7F]"))
+    """Zones beside every line that holds a label. The SQL above still leaves out lines of
+    120 characters or more and lines with other than ASCII characters; this does not."""
+    lines = document_lines(spark, sf_dir)
     zoned = lines.withColumn("kind", X.label_kind(F.col("text"), _PATTERNS)).where("kind is not null")
     z = G.zone_box(F.col("kind"), F.lit(72.0), F.col("line") * F.lit(20.0), F.length("text").cast("double"), F.lit(20.0))
     return zoned.select("doc_id", "line", "kind", z["x"].alias("x"), z["y"].alias("y"))

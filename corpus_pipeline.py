@@ -1,8 +1,8 @@
 """From documents to packed training sequences, in five stages.
 
 Each stage takes what its predecessor kept; a stage but the last returns the columns it
-was given. Nulls, empty tables and repeated rows are treated as its operator says; rows
-that share one doc_id are one document to the stages that drop documents.
+was given. Nulls, empty tables and repeated rows are treated as its operator says; the
+stages that drop documents take each row by its own verdict, whatever its doc_id.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates the one with the least doc_id stays."""
-    return without(docs, near_duplicates(docs).where(~F.col("kept")))
+    return without(docs, near_duplicates(docs, with_row=True).where(~F.col("kept")))
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,7 +46,7 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold too much of a benchmark item go."""
-    return without(docs, decontaminate(docs, read_table(spark, sf_dir, "benchmark")).where("contaminated"))
+    return without(docs, decontaminate(docs, read_table(spark, sf_dir, "benchmark"), with_row=True).where("contaminated"))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

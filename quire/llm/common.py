@@ -91,13 +91,22 @@ def sliced(batches: Iterator[pa.RecordBatch], max_bytes: int = 16 << 20) -> Iter
             yield b.slice(i, step)
 
 
-#: More ids than this are joined by a shuffle instead of a broadcast.
+def row_key(*names: str) -> Column:
+    """A hash of the text and the named columns: with the doc_id, null or shared as it
+    may be, it tells a row by what its verdict depends on. A null text counts as empty."""
+    others = [x for n in names for x in (F.col(n), F.col(n).isNull())]
+    return F.xxhash64(F.coalesce(F.col("text"), F.lit("")), *others)
+
+
+#: More rows than this are joined by a shuffle instead of a broadcast.
 MAX_BROADCAST_IDS = 1_000_000
 
 
-def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is not in ``ids`` (a null doc_id stays). The
-    ids are written and counted first: few are broadcast, so that no text is shuffled."""
-    ids = written(ids.select("doc_id").where("doc_id is not null").distinct(), "ids")
-    hint = "broadcast" if ids.limit(MAX_BROADCAST_IDS + 1).count() <= MAX_BROADCAST_IDS else "merge"
-    return docs.join(ids.hint(hint), "doc_id", "left_anti").select(*docs.columns)
+def without(docs: DataFrame, dropped: DataFrame, *names: str) -> DataFrame:
+    """The rows of ``docs`` that are not in ``dropped`` (doc_id, row), where ``row`` is
+    ``row_key(*names)``; null ids are equal. What is dropped is written and counted first:
+    few are broadcast, so that no text is shuffled."""
+    dropped = written(dropped.select(F.col("doc_id").alias("_id"), F.col("row").alias("_row")).distinct(), "dropped")
+    hint = "broadcast" if dropped.limit(MAX_BROADCAST_IDS + 1).count() <= MAX_BROADCAST_IDS else "merge"
+    keyed = docs.withColumn("_key", row_key(*names))
+    return keyed.join(dropped.hint(hint), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_row")), "left_anti").select(*docs.columns)

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import texts_of
+from quire.llm.common import row_key, texts_of
 
 _KEEP = bytes(c if 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A or c >= 0x80 else c + 32 if 0x41 <= c <= 0x5A else 0x20 for c in range(256))
 
@@ -87,8 +87,9 @@ def item_patterns(benchmark: DataFrame, window: int) -> Iterator[dict[tuple[byte
 MAX_BLOCK_WORDS = 4_000_000
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, *, window: int = 13, hit_share: int = 20) -> DataFrame:
-    """(doc_id, n_words, n_hit, n_items, items_sha256, contaminated) of each document.
+def decontaminate(docs: DataFrame, benchmark: DataFrame, *, window: int = 13, hit_share: int = 20, with_row: bool = False) -> DataFrame:
+    """(doc_id, n_words, n_hit, n_items, items_sha256, contaminated) of each document,
+    and its ``row_key`` as ``row`` if asked for.
 
     One scan of the text for each block of patterns, without a shuffle for the usual
     single block; several blocks are merged by document.
@@ -128,10 +129,10 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, window: int = 13, hi
                 hit.append(covered)
                 n_items.append(len(set(items)))
                 digest.append(hashlib.sha256(",".join(sorted(set(items))).encode()).hexdigest())
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("n_words"), pa.array(hit, pa.int64()), pa.array(n_items, pa.int64()), pa.array(digest, pa.string())], names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("row"), b.column("n_words"), pa.array(hit, pa.int64()), pa.array(n_items, pa.int64()), pa.array(digest, pa.string())], names=["doc_id", "row", "n_words", "n_hit", "n_items", "items_sha256"])
 
     # the key tells repeated rows apart when several scans are merged
-    texts = texts_of(docs).withColumn("row", F.xxhash64("text"))
+    texts = texts_of(docs).withColumn("row", row_key())
     for block in item_patterns(benchmark, window) or ():
         parts.append(texts.mapInArrow(scan(spark.sparkContext.broadcast(block)), ddl))
     if not parts:
@@ -150,5 +151,6 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, window: int = 13, hi
             F.array_distinct(F.flatten(F.collect_list(F.arrays_zip("lows", "ends")))).alias("_spans"),
         )
         found = merged.select("doc_id", "row", "n_words", F.col("_spans.lows").alias("lows"), F.col("_spans.ends").alias("ends"), "items", F.explode(F.sequence(F.lit(1), F.col("_n").cast("int")))).drop("col")
-    rows = found.mapInArrow(total, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string")
+    rows = found.mapInArrow(total, "doc_id long, row long, n_words long, n_hit long, n_items long, items_sha256 string")
+    rows = rows if with_row else rows.drop("row")
     return rows.withColumn("contaminated", (F.col("n_hit") > 0) & (F.col("n_hit") * hit_share >= F.col("n_words")))

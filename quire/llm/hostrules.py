@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import without, written
+from quire.llm.common import row_key, without, written
 
 SPACES = r"[\x20\x09-\x0D]+"
 SYMBOLS = "#*$%&|<>"
@@ -86,15 +86,18 @@ def with_verdict(judged: DataFrame, verdicts: DataFrame, host: str) -> DataFrame
     return joined.withColumn("kept", ~F.col("base_failed") & F.coalesce("host_ok", F.lit(True))).drop("_host", "host_ok", "host_rate")
 
 
-def judge(docs: DataFrame, *, host: str = "source", max_rate: float = 0.5) -> DataFrame:
-    """The counts, ``base_failed`` and ``kept`` of each document, without its text."""
+def judge(docs: DataFrame, *, host: str = "source", max_rate: float = 0.5, carry: tuple[str, ...] = ()) -> DataFrame:
+    """The counts, ``base_failed`` and ``kept`` of each document, without its text, and
+    the columns of ``docs`` that ``carry`` names."""
     names = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
-    counted = with_counts(docs.select("doc_id", "text", F.col(host).alias("_source"))).withColumn("base_failed", base_failed())
-    judged = written(counted.select(*names, "_source"), "judged")
-    return with_verdict(judged, host_verdicts(judged, "_source", max_rate), "_source").select(*names, "kept")
+    counted = with_counts(docs.select("doc_id", "text", F.col(host).alias("_source"), *carry)).withColumn("base_failed", base_failed())
+    judged = written(counted.select(*names, "_source", *carry), "judged")
+    return with_verdict(judged, host_verdicts(judged, "_source", max_rate), "_source").select(*names, "kept", *carry)
 
 
 def keep_good(docs: DataFrame, *, host: str = "source", max_rate: float = 0.5) -> DataFrame:
-    """The rows and columns of the documents that are kept, told by doc_id. The text is
-    read once for the counts; it is only shuffled if very many documents are rejected."""
-    return without(docs, judge(docs, host=host, max_rate=max_rate).where(~F.col("kept")))
+    """The rows and columns of the documents that are kept, each by its own verdict: rows
+    are told by doc_id, text and host. The text is read once for the counts; it is only
+    shuffled if very many documents are rejected."""
+    judged = judge(docs.withColumn("row", row_key(host)), host=host, max_rate=max_rate, carry=("row",))
+    return without(docs, judged.where(~F.col("kept")), host)

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import gathered, give_back, texts_of, written
+from quire.llm.common import gathered, give_back, row_key, texts_of, written
 from quire.llm.wordhash import FOLDED, grams, hashed_words, mixed, raw_bytes, small_tables
 
 
@@ -85,7 +85,7 @@ class Tensor:
 
 
 def signatures(docs: DataFrame, tensor: Tensor, k: int) -> DataFrame:
-    """(doc_id, n_shingles, h1, h2, least binary) of each document."""
+    """(doc_id, row, n_shingles, h1, h2, least binary) of each document."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in gathered(batches):
@@ -102,11 +102,11 @@ def signatures(docs: DataFrame, tensor: Tensor, k: int) -> DataFrame:
                     for i, row in zip(full.tolist(), rows):
                         least[i] = row.tobytes()
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id").combine_chunks(), pa.array(n), pa.array(sums[0].view(np.int64)), pa.array(sums[1].view(np.int64)), pa.array(least, pa.binary())],
-                    names=["doc_id", "n_shingles", "h1", "h2", "least"],
+                    [part.column("doc_id").combine_chunks(), part.column("row").combine_chunks(), pa.array(n), pa.array(sums[0].view(np.int64)), pa.array(sums[1].view(np.int64)), pa.array(least, pa.binary())],
+                    names=["doc_id", "row", "n_shingles", "h1", "h2", "least"],
                 )
 
-    return texts_of(docs).mapInArrow(sign, "doc_id long, n_shingles long, h1 long, h2 long, least binary")
+    return texts_of(docs).withColumn("row", row_key()).mapInArrow(sign, "doc_id long, row long, n_shingles long, h1 long, h2 long, least binary")
 
 
 def candidate_pairs(classes: DataFrame, tensor: Tensor, chain: int, blocks: int) -> DataFrame:
@@ -305,8 +305,9 @@ def components(edges: DataFrame) -> DataFrame:
     return labels.select("node", F.col("label").alias("component"))
 
 
-def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 75, m: int = 12, r: int = 3, chain: int = 4) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) of each document."""
+def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 75, m: int = 12, r: int = 3, chain: int = 4, with_row: bool = False) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) of each document, and its ``row_key`` as
+    ``row`` if asked for."""
     spark = docs.sparkSession
     tensor = Tensor(m, r)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -355,8 +356,9 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 75, m:
 
     labelled = classes.select(*same, "rep").join(found.withColumnRenamed("node", "rep").hint("merge"), "rep", "left").select(*same, F.coalesce("component", "rep").alias("component_id"))
     # only a document with a set and an id belongs to a class
-    keyed = signed.select("doc_id", *same)
+    carry = ("row",) if with_row else ()
+    keyed = signed.select("doc_id", *same, *carry)
     member = F.col("n_shingles").isNotNull() & (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()
-    in_class = keyed.where(member).join(labelled.hint("merge"), same).select("doc_id", "n_shingles", "component_id")
-    alone = keyed.where(~member).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    in_class = keyed.where(member).join(labelled.hint("merge"), same).select("doc_id", "n_shingles", "component_id", *carry)
+    alone = keyed.where(~member).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), *carry)
     return in_class.union(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

@@ -19,7 +19,7 @@ for links between components that are still apart.
 
 Nulls: a null text has an empty set, which is linked with nothing; a null doc_id stays
 a row of its own (component_id null) and links nobody. Repeated ids and rows are kept,
-one row each. Empty tables give no rows. Very long texts are read whole.
+one row each; texts that share an id are classes of their own. Empty tables give no rows. Very long texts are read whole.
 """
 
 from __future__ import annotations
@@ -313,8 +313,10 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 75, m:
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     signed = written(signatures(docs, tensor, shingle), "signatures")
     same = ["n_shingles", "h1", "h2"]
-    grouped = signed.where("n_shingles > 0 and doc_id is not null").groupBy(*same).agg(F.min(F.struct("doc_id", "least")).alias("_rep"))
-    classes = written(grouped.select(*same, F.col("_rep.doc_id").alias("rep"), F.col("_rep.least").alias("least")), "classes")
+    grouped = signed.where("n_shingles > 0 and doc_id is not null").groupBy(*same).agg(F.min(F.struct("doc_id", "row", "least")).alias("_rep"))
+    # a doc_id may have several texts, so a class is named by a number of its own
+    named = grouped.select(*same, "_rep.*").sortWithinPartitions(*same).withColumn("rep", F.monotonically_increasing_id())
+    classes = written(named, "classes")
     n_classes = classes.count()
     # a block holds about a million keys
     blocks = max(4 * parts, n_classes * m * m // 1_000_000)
@@ -328,10 +330,11 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 75, m:
             for part in small_tables(t):
                 g, bounds = shingle_sets(part.column("text"), shingle)
                 rows = [g[a:b].tobytes() for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id").combine_chunks(), pa.array(rows, pa.binary())], names=["id", "shingles"])
+                yield pa.RecordBatch.from_arrays([part.column("id").combine_chunks(), pa.array(rows, pa.binary())], names=["id", "shingles"])
 
-    wanted = texts_of(docs).join(needed.withColumnRenamed("id", "doc_id").hint("merge"), "doc_id", "left_semi")
-    # of repeated ids, the row that stands for the class is the one with its sums
+    # the text that stands for a class is told by its doc_id and hash
+    stands = needed.join(classes.select(F.col("rep").alias("id"), "doc_id", "row").hint("merge"), "id")
+    wanted = texts_of(docs).withColumn("row", row_key()).join(stands.hint("merge"), ["doc_id", "row"]).select("id", "text")
     sets = wanted.mapInArrow(shelve, "id long, shingles binary")
     sets = written(sets.groupBy("id").agg(F.min("shingles").alias("shingles")), "sets")
 
@@ -354,7 +357,11 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 75, m:
         if third.limit(1).count():
             found = components(first.union(second).union(third))
 
-    labelled = classes.select(*same, "rep").join(found.withColumnRenamed("node", "rep").hint("merge"), "rep", "left").select(*same, F.coalesce("component", "rep").alias("component_id"))
+    labelled = classes.select(*same, "rep", "doc_id").join(found.withColumnRenamed("node", "rep").hint("merge"), "rep", "left").select(*same, "doc_id", F.coalesce("component", "rep").alias("component"))
+    labelled = written(labelled, "labelled")
+    # a component is called by the least doc_id of its classes
+    least = labelled.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    labelled = labelled.drop("doc_id").join(least.hint("merge"), "component").select(*same, "component_id")
     # only a document with a set and an id belongs to a class
     carry = ("row",) if with_row else ()
     keyed = signed.select("doc_id", *same, *carry)

@@ -6,7 +6,7 @@ from collections import Counter
 import pytest
 
 import corpus_pipeline as C
-from quire.llm import common
+from quire.llm import common, neardup
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 R = random.Random(11)
@@ -41,3 +41,25 @@ def test_rules_and_decontamination(spark, monkeypatch, tmp_path, most):
     spark.createDataFrame([(1, ITEM)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     got = Counter(tuple(r) for r in C.decontamination(spark, docs, str(tmp_path)).collect())
     assert got == Counter(r for r, _, hit in found if not hit)
+
+
+def test_near_dedup(spark):
+    """A row without an id stays; of two texts under one id only the later copy goes."""
+    a, b, c = prose(60), prose(60), prose(60)
+    near = a + " end"
+    table = [(1, a), (2, near), (2, b), (None, a), (None, near), (4, None), (4, c), (4, c), (5, c)]
+    docs = spark.createDataFrame([(i, t, "en", "h", None) for i, t in table], SCHEMA)
+    got = Counter((r["doc_id"], r["text"]) for r in C.near_dedup(spark, docs, "").collect())
+    assert got == Counter(table) - Counter([(2, near), (5, c)])
+
+
+def test_texts_that_share_an_id(spark):
+    """Each text is linked by its own set and named by its own component."""
+    a, b, c = prose(60), prose(60), prose(60)
+    table = [(1, a), (1, b), (2, a + " x"), (3, b + " y"), (5, c), (5, b + " z"), (6, c + " x")]
+    docs = spark.createDataFrame(table, "doc_id long, text string")
+    found = neardup.near_duplicates(docs, with_row=True).join(docs.withColumn("row", common.row_key()), ["doc_id", "row"])
+    got = {(r["doc_id"], r["text"]): (r["component_id"], r["kept"]) for r in found.collect()}
+    least = {a: 1, b: 1, c: 5}
+    want = {(i, t): least.get(t) or least[t[:-2]] for i, t in table}
+    assert got == {k: (least_id, k[0] == least_id) for k, least_id in want.items()}

@@ -1,4 +1,4 @@
-"""Substring dedup by relative Lempel-Ziv parsing against an index of all documents (operator 3).
+"""Substring dedup by exact window lookup in an index of all documents (operator 3).
 
 The reference of a document is every document with a smaller id. Its phrases are
 indexed in blocks, by hash range; a block is one group of a shuffle and no block is
@@ -9,9 +9,12 @@ ever held by the driver.
    windows have no copy anywhere and need no further look.
 2. The windows on shared anchors are looked up as a whole, again in blocks: a window's
    first holder is the least id of a document in which it starts.
-3. A document is parsed greedily: a factor grows word by word while its windows have an
-   earlier holder. Every window is checked, those across the boundary of two factors
-   included, so a factor's span holds exactly the words to remove.
+3. The words of all windows that have an earlier holder are removed.
+
+This replaces relative Lempel-Ziv factoring: there is no longest match against a reference
+and no factor of source, position and length. The words to remove depend on windows alone,
+and a greedy parse would need every window looked up all the same, as its factors end at
+places that say nothing of the windows across them.
 
 A document meets its findings in a group of documents (``_shelf``); both passes over the
 text use the same shuffle. Entries of one hot phrase are spread over ``salts`` groups,
@@ -226,7 +229,7 @@ def remove_repeats(docs: DataFrame, *, window: int = 13, anchor: int = 6, shelf_
             w = Windows(part.column("_text"), window, anchor)
             ids = part.column("_doc").to_numpy()
             held = w.valid[_member(ids[w.doc[w.valid]], w.phrases(), found)]
-            # a factor is a run of held windows; it covers `window - 1` words past its last
+            # a held window covers its `window` words
             edge = np.zeros(len(w.hashes) + 1, np.int64)
             np.add.at(edge, held, 1)
             np.add.at(edge, held + window, -1)

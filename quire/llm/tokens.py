@@ -24,6 +24,9 @@ class CachedEncoder:
     cross a cut, so a text's ids are the ids of its first word and of each
     following ``" " + word``. Distinct words come from Arrow's dictionary encoding;
     up to ``max_words`` stay in the cache, the rest are encoded again.
+
+    A text that spells an added token out, such as ``<|endoftext|>``, is encoded as
+    ordinary text: ``encode_special_tokens`` is set, which the library's default is not.
     """
 
     def __init__(self, path: str, max_words: int = 600_000):

@@ -102,6 +102,15 @@ def crop_region(x: Column, y: Column, width: Column, height: Column, page_width:
     return F.when((right > left) & (bottom > top), box(left, top, right - left, bottom - top))
 
 
+def crop_image_px(region: Column, ratio: Column, image_width: Column, image_height: Column) -> Column:
+    """A screen region as whole pixels of an image that has ``ratio`` pixels for each
+    screen pixel, cut at the image's edges; null if nothing is left of it."""
+    x, y = (F.greatest(F.lit(0), js_round(region[c] * ratio)) for c in ("x", "y"))
+    width, height = (F.greatest(F.lit(1), js_round(region[c] * ratio)) for c in ("width", "height"))
+    width, height = F.least(width, image_width - x), F.least(height, image_height - y)
+    return F.when((width > 0) & (height > 0), box(*(v.cast("double") for v in (x, y, width, height))))
+
+
 def display_scale(shown_width: Column, shown_height: Column, natural_width: Column, natural_height: Column) -> Column:
     """Screen px per image px on each axis."""
     return F.struct((shown_width / natural_width).alias("x"), (shown_height / natural_height).alias("y"))
@@ -113,9 +122,19 @@ def ocr_scale(width: Column, height: Column, page_inches: Column, dpi: float = 3
     return F.least(wanted, F.lit(longest) / F.greatest(width, height))
 
 
+def overlay_box(x: Column, y: Column, width: Column, height: Column) -> Column:
+    """The box of a text that is laid over an item and hides nothing."""
+    return box(x, y, F.greatest(width + 8, F.lit(40.0)), F.greatest(height, F.lit(16.0)))
+
+
+def cover_image(x: Column, y: Column, width: Column, height: Column) -> Column:
+    """struct(edit, cover) of an image that replaces another: both are its box as it is."""
+    return F.struct(box(x, y, width, height).alias("edit"), box(x, y, width, height).alias("cover"))
+
+
 def cover_boxes(x: Column, y: Column, width: Column, height: Column) -> Column:
     """struct(edit, cover): the edit box over an item and the padded box that hides it."""
-    return F.struct(box(x, y, F.greatest(width + 8, F.lit(40.0)), F.greatest(height, F.lit(16.0))).alias("edit"), box(x - 2, y - 2, width + 4, height + 4).alias("cover"))
+    return F.struct(overlay_box(x, y, width, height).alias("edit"), box(x - 2, y - 2, width + 4, height + 4).alias("cover"))
 
 
 def image_box(ctm: Column, page_width: Column, page_height: Column) -> Column:
@@ -168,3 +187,10 @@ def markup(kind: Column, rect: Column) -> Column:
 def align_offset(align: Column, box_width: Column, line_width: Column) -> Column:
     free = box_width - line_width
     return F.when(align == "center", free / 2).when(align == "right", free).otherwise(F.lit(0.0))
+
+
+def baseline_y(page_height: Column, y: Column, scale: Column, font_size: Column, line: Column) -> Column:
+    """PDF baseline of a box's line (from 0): one font size below the box's top, then 1.15
+    font sizes a line, whatever the sizes of its runs."""
+    size = font_size * scale
+    return page_height - y * scale - size - line * size * 1.15

@@ -14,10 +14,6 @@ def _run(text: Column, style: Column) -> Column:
     return F.struct(text.alias("text"), *(style[k].alias(k) for k in STYLE)).cast(STYLED_RUN)
 
 
-def _empty() -> Column:
-    return F.array().cast(f"array<{STYLED_RUN}>")
-
-
 def runs_text(runs: Column) -> Column:
     return F.array_join(F.transform(runs, lambda r: r["text"]), "")
 
@@ -33,16 +29,27 @@ def same_style(a: Column, b: Column) -> Column:
     return out
 
 
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, though the body names it often."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def normalize_runs(runs: Column) -> Column:
     """Empty runs dropped, neighbours of one style merged; never an empty array."""
 
-    def step(acc: Column, r: Column) -> Column:
-        last = F.get(acc, F.size(acc) - 1)
-        merged = F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(_run(F.concat(last["text"], r["text"]), last)))
-        return F.when(r["text"] == "", acc).when((F.size(acc) > 0) & same_style(last, r), merged).otherwise(F.concat(acc, F.array(_run(r["text"], r))))
+    def merged(full: Column, firsts: Column) -> Column:
+        def one(start: Column, k: Column) -> Column:
+            members = F.slice(full, start + 1, F.coalesce(F.get(firsts, k + 1), F.size(full)) - start)
+            return _run(F.array_join(F.transform(members, lambda r: r["text"]), ""), F.get(full, start))
+
+        return F.transform(firsts, one)
+
+    def of_full(full: Column) -> Column:
+        places = F.filter(F.sequence(F.lit(0), F.size(full) - 1), lambda i: (i == 0) | ~same_style(F.get(full, i - 1), F.get(full, i)))
+        return F.when(F.size(full) > 0, _let(places, lambda firsts: merged(full, firsts))).otherwise(F.array(blank))
 
-    blank = F.array(F.struct(F.lit("").alias("text"), *(F.lit(None).alias(k) for k in STYLE)).cast(STYLED_RUN))
-    return F.aggregate(runs, _empty(), step, lambda acc: F.when(F.size(acc) == 0, blank).otherwise(acc))
+    blank = F.struct(F.lit("").alias("text"), *(F.lit(None).alias(k) for k in STYLE)).cast(STYLED_RUN)
+    return _let(F.filter(F.transform(runs, lambda r: _run(r["text"], r)), lambda r: r["text"] != ""), of_full)
 
 
 def with_offsets(runs: Column) -> Column:

@@ -12,6 +12,21 @@ def upper_median(c: Column) -> Column:
     return F.coalesce(F.get(values, F.floor(F.size(values) / 2).cast("int")), F.lit(0.0))
 
 
+def upper_median_over(df: DataFrame, value: Column, keys: list[str], name: str) -> DataFrame:
+    """Adds ``name``, the ``upper_median`` of a group, to each of its rows. The lower one of
+    the negated values is what Spark's own discrete percentile gives."""
+    lower = F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY _negated)").over(Window.partitionBy(*keys))
+    return df.withColumn("_negated", F.negative(value)).withColumn(name, F.coalesce(F.negative(lower), F.lit(0.0))).drop("_negated")
+
+
+def modal_first_over(value: str, keys: list[str], order: list[str], rows: DataFrame, name: str) -> DataFrame:
+    """``modal_first`` as a column of every row; one partitioning by ``keys`` serves it all."""
+    reach, place = Window.partitionBy(*keys, value).orderBy(*order), Window.partitionBy(*keys).orderBy(*order)
+    seen = rows.withColumn("_at", F.row_number().over(place)).withColumn("_n", F.row_number().over(reach))
+    best = F.max_by(value, F.struct("_n", F.negative("_at"))).over(Window.partitionBy(*keys))
+    return seen.withColumn(name, best).drop("_at", "_n")
+
+
 def modal_first(df: DataFrame, keys: list[str], value: str, order: list[str], name: str) -> DataFrame:
     """For each group the value that first reaches the greatest count, in ``order``."""
     reach = Window.partitionBy(*keys, value).orderBy(*order)

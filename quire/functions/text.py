@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import unicodedata
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -55,9 +55,10 @@ def strip_bullet(c: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(c, SYMBOL_BULLET, ""), r"(?U)^\s+", "")
 
 
-@F.pandas_udf(StringType())
-def _nfc(s: pd.Series) -> pd.Series:
-    return s.map(lambda x: unicodedata.normalize("NFC", x), na_action="ignore")
+@F.arrow_udf(StringType())
+def _nfc(s: pa.Array) -> pa.Array:
+    # Arrow's own utf8_normalize leaves e and U+0301 apart, so Python's tables are asked
+    return pa.array([None if x is None else unicodedata.normalize("NFC", x) for x in s.to_pylist()], pa.string())
 
 
 def nfc(c: Column) -> Column:
@@ -166,24 +167,18 @@ def join_wrapped(left: Column, right: Column) -> Column:
     return F.when(soft, F.concat(F.substring(left, F.lit(1), F.length(left) - 1), right)).otherwise(F.concat(left, F.lit(" "), right))
 
 
-def wrap_text(c: Column, width: int = 70) -> Column:
-    """Greedy wrap into lines of at most ``width`` characters (a longer word stays
-    whole): an array of lines, with one empty line for blank text."""
-    tokens = F.split(F.regexp_replace(c, r"(?U)(\s+)", "\u0001$1\u0001"), "\u0001")
-    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("line"))
-
-    def trimmed(x: Column) -> Column:
-        return F.regexp_replace(x, r"(?U)\s+$", "")
+#: White space as the wrapped texts' own format counts it.
+_BLANK, _INK = r"[\s\uFEFF]", r"[^\s\uFEFF]"
 
-    def step(acc: Column, token: Column) -> Column:
-        over = (F.length(acc["line"]) + F.length(token) > width) & (js_trim(acc["line"]) != "")
-        return F.struct(
-            F.when(over, F.concat(acc["done"], F.array(trimmed(acc["line"])))).otherwise(acc["done"]).alias("done"),
-            F.when(over, F.regexp_replace(token, r"(?U)^\s+", "")).otherwise(F.concat(acc["line"], token)).alias("line"),
-        )
 
-    def finish(acc: Column) -> Column:
-        lines = F.when(js_trim(acc["line"]) != "", F.concat(acc["done"], F.array(trimmed(acc["line"])))).otherwise(acc["done"])
-        return F.when(F.size(lines) == 0, F.array(F.lit(""))).otherwise(lines)
-
-    return F.aggregate(tokens, start, step, finish)
+def wrap_text(c: Column, width: int = 70) -> Column:
+    """Greedy wrap into lines of at most ``width`` characters (a longer word stays
+    whole): an array of lines, with one empty line for blank text. White space between
+    two words of a line stays, at the ends of a line it goes, but for the text's own indent.
+
+    A line is the longest run of at most ``width`` characters that ends with a word, so
+    that one regular expression, which never looks further than a line, finds all lines."""
+    fits = rf"\A[\s\S]{{0,{width - 1}}}{_INK}(?={_BLANK}|\z)|\A{_BLANK}*{_INK}+"
+    later = rf"{_INK}(?:[\s\S]{{0,{width - 2}}}{_INK})?(?={_BLANK}|\z)|{_INK}+" if width > 1 else rf"{_INK}+"
+    lines = F.regexp_extract_all(c, F.lit(f"(?U){fits}|{later}"), F.lit(0))
+    return F.when(F.size(lines) == 0, F.array(F.lit(""))).otherwise(lines)

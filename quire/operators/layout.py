@@ -14,16 +14,15 @@ def cluster_lines(runs: DataFrame, threshold: float = 3.0) -> DataFrame:
     """Adds ``line``: runs less than ``threshold`` from the line's first baseline share a
     line. A page's sorted baselines are folded with the anchor as state, so drift does not
     chain; the fold is bounded by a page."""
-    anchors = runs.groupBy(*PAGE).agg(F.array_sort(F.collect_set("baseline")).alias("_levels"))
     start = F.struct(F.lit(None).cast("double").alias("anchor"), F.array().cast("array<double>").alias("all"))
 
     def step(acc, b):
         new = acc["anchor"].isNull() | (F.abs(b - acc["anchor"]) >= threshold)
         return F.struct(F.when(new, b).otherwise(acc["anchor"]).alias("anchor"), F.when(new, F.concat(acc["all"], F.array(b))).otherwise(acc["all"]).alias("all"))
 
-    anchors = anchors.select(*PAGE, F.aggregate("_levels", start, step, lambda acc: acc["all"]).alias("_anchors"))
-    joined = runs.join(anchors, PAGE)
-    return joined.withColumn("line", F.size(F.filter("_anchors", lambda a: a <= F.col("baseline"))) - 1).drop("_anchors")
+    levels = F.array_sort(F.collect_set("baseline").over(Window.partitionBy(*PAGE)))
+    anchored = runs.withColumn("_levels", levels).withColumn("_anchors", F.aggregate("_levels", start, step, lambda acc: acc["all"]))
+    return anchored.withColumn("line", F.size(F.filter("_anchors", lambda a: a <= F.col("baseline"))) - 1).drop("_levels", "_anchors")
 
 
 def split_line_gaps(runs: DataFrame, ratio: float = 1.5) -> DataFrame:

@@ -5,21 +5,31 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.functions.geometry import normal_rotation
-from quire.schemas import VIEWER_WIDTH
+from quire.functions.geometry import box, normal_rotation
+from quire.schemas import RECT, VIEWER_WIDTH
 
 
 def order_edits(edits: DataFrame, page_order: DataFrame) -> DataFrame:
     """Adds ``rank``, the place in reading order: by the page's place (its own number if
-    it has none), then y, then input order."""
-    places = page_order.groupBy("doc_id", "page").agg(F.min("pos").alias("_pos"))
+    it has none; its last one if it is listed twice), then y, then input order."""
+    places = page_order.groupBy("doc_id", "page").agg(F.max("pos").alias("_pos"))
     placed = edits.join(places, ["doc_id", "page"], "left").withColumn("page_rank", F.coalesce("_pos", "page"))
     return placed.withColumn("rank", F.row_number().over(Window.partitionBy("doc_id").orderBy("page_rank", "y", "ord"))).drop("_pos")
 
 
-def remap_edits(edits: DataFrame, page_order: DataFrame) -> DataFrame:
+def valid_order(page_order: DataFrame, counts: DataFrame) -> DataFrame:
+    """(doc_id, pos, page) without entries out of range, numbered anew; ``counts`` is
+    (doc_id, page_count)."""
+    valid = page_order.join(counts.select("doc_id", "page_count"), "doc_id").where((F.col("page") >= 0) & (F.col("page") < F.col("page_count")))
+    return valid.select("doc_id", "page", (F.row_number().over(Window.partitionBy("doc_id").orderBy("pos")) - 1).alias("pos"))
+
+
+def remap_edits(edits: DataFrame, page_order: DataFrame, counts: DataFrame | None = None) -> DataFrame:
     """Edits on their output page; those of dropped pages vanish, and of a page that is
-    listed twice the last place counts."""
+    listed twice the last place counts. With ``counts`` the order is first rid of entries
+    out of range."""
+    if counts is not None:
+        page_order = valid_order(page_order, counts)
     places = page_order.groupBy("doc_id", "page").agg(F.max("pos").alias("out_page"))
     return edits.join(places, ["doc_id", "page"])
 
@@ -29,15 +39,21 @@ def pages_with_ops(pages: DataFrame, ops: DataFrame) -> DataFrame:
 
 
 def apply_page_ops(pages: DataFrame, ops: DataFrame) -> DataFrame:
-    """Adds ``rotation_out`` and ``crop_box`` in PDF units; a crop that leaves nothing is dropped."""
+    """Adds ``rotation_out`` and ``crop_box`` in PDF units; a crop that leaves nothing is
+    dropped. The page is turned first: insets are on the scale of the width that is then
+    seen. They are taken off the page's own crop box, a struct column ``source_crop`` (x, y,
+    width, height), or off the whole page where there is none."""
     df = pages_with_ops(pages, ops)
-    turned = F.pmod(F.coalesce(F.col("source_rotation"), F.lit(0)), F.lit(180)) != 0
+    norm = normal_rotation(F.col("rotation"))
+    rotation = F.when(norm != 0, norm).otherwise(F.coalesce("source_rotation", F.lit(0)))
+    turned = F.pmod(rotation, F.lit(180)) != 0
     s = F.when(turned, F.col("height")).otherwise(F.col("width")) / VIEWER_WIDTH
+    whole = box(F.lit(0.0), F.lit(0.0), F.col("width").cast("double"), F.col("height").cast("double"))
+    b = F.coalesce(F.col("source_crop").cast(RECT), whole) if "source_crop" in pages.columns else whole
     c = F.col("crop")
-    width, height = F.col("width") - (c["left"] + c["right"]) * s, F.col("height") - (c["top"] + c["bottom"]) * s
-    crop = F.when((width > 0) & (height > 0), F.struct((c["left"] * s).alias("x"), (c["bottom"] * s).alias("y"), width.alias("width"), height.alias("height")))
-    norm = normal_rotation(F.col("rotation"))
-    return df.withColumn("rotation_out", F.when(norm != 0, norm).otherwise(F.coalesce("source_rotation", F.lit(0)))).withColumn("crop_box", crop)
+    width, height = b["width"] - (c["left"] + c["right"]) * s, b["height"] - (c["top"] + c["bottom"]) * s
+    crop = F.when((width > 0) & (height > 0), box(b["x"] + c["left"] * s, b["y"] + c["bottom"] * s, width, height))
+    return df.withColumn("rotation_out", rotation).withColumn("crop_box", crop)
 
 
 def live_pages(pages: DataFrame, page_order: DataFrame, live: bool = True) -> DataFrame:
@@ -120,9 +136,7 @@ def delete_pages(table: DataFrame, gone: DataFrame, order: DataFrame) -> DataFra
 
 def is_reordered(order: DataFrame, counts: DataFrame) -> DataFrame:
     """(doc_id, reordered) after entries out of range are dropped."""
-    valid = order.join(counts, "doc_id").where((F.col("page") >= 0) & (F.col("page") < F.col("page_count")))
-    place = F.row_number().over(Window.partitionBy("doc_id").orderBy("pos")) - 1
-    placed = valid.withColumn("_at", place).groupBy("doc_id", "page_count").agg((F.bool_or(F.col("_at") != F.col("page")) | (F.count("*") != F.first("page_count"))).alias("reordered"))
+    placed = valid_order(order, counts).withColumnRenamed("pos", "_at").join(counts, "doc_id").groupBy("doc_id", "page_count").agg((F.bool_or(F.col("_at") != F.col("page")) | (F.count("*") != F.first("page_count"))).alias("reordered"))
     return placed.select("doc_id", "reordered")
 
 

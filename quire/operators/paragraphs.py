@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quire.functions import text as X
 from quire.functions.geometry import js_round
-from quire.functions.stats import modal_first, upper_median
+from quire.functions.stats import modal_first_over, upper_median_over
 
 PAGE = ["doc_id", "page"]
 
@@ -18,20 +18,20 @@ def marker(c: Column) -> Column:
 
 def paragraph_starts(lines: DataFrame, gap_ratio: float = 1.3, indent: float = 8.0) -> DataFrame:
     """Adds ``starts`` and ``is_list_item``. A wide gap, a list marker, and a line right
-    above a marker start a paragraph; so does an indent that a gap precedes."""
-    left = modal_first(lines.withColumn("_x", js_round(F.col("first_x"))), PAGE, "_x", ["ord"], "_modal")
-    rows = lines.groupBy(*PAGE).agg(
-        upper_median(F.when(F.col("row_height") > 0, F.col("row_height"))).alias("_median"), F.count(F.when(F.col("row_height") > 0, 1)).alias("_n"), F.min_by(F.col("y1") - F.col("y0"), "ord").alias("_first")
-    )
+    above a marker start a paragraph; so does an indent that a gap precedes. What is known of
+    a page comes from windows over it, so that one exchange on (doc_id, page) serves all."""
+    df = modal_first_over("_x", PAGE, ["ord"], lines.withColumn("_x", js_round(F.col("first_x"))), "_modal")
     page = Window.partitionBy(*PAGE).orderBy("ord")
+    whole = page.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    tall = F.when(F.col("row_height") > 0, F.col("row_height"))
+    df = upper_median_over(df, tall, PAGE, "_median").withColumn("_n", F.count(tall).over(whole)).withColumn("_first", F.first(F.col("y1") - F.col("y0")).over(whole))
     median = F.when(F.col("_n") > 0, F.col("_median")).otherwise(F.col("_first"))
     gap = F.coalesce(F.col("y0") - F.lag("y1").over(page) > median * gap_ratio, F.lit(False))
     is_marker = marker(F.col("text"))
     heading = ~is_marker & F.coalesce(marker(F.lead("text").over(page)), F.lit(False))
     indented = F.col("first_x") - F.col("_modal") > indent
     first = F.lag("ord").over(page).isNull()
-    joined = lines.join(left, PAGE).join(rows, PAGE)
-    return joined.withColumn("starts", first | gap | heading | is_marker | (indented & gap)).withColumn("is_list_item", is_marker | indented).drop("_modal", "_median", "_n", "_first")
+    return df.withColumn("starts", first | gap | heading | is_marker | (indented & gap)).withColumn("is_list_item", is_marker | indented).drop("_x", "_modal", "_median", "_n", "_first")
 
 
 def group_ids(df: DataFrame, flag: str, keys: list[str], order: list[str], name: str = "group") -> DataFrame:
@@ -64,9 +64,9 @@ def union_bbox() -> list[Column]:
 
 def bold_by_density(paragraphs: DataFrame, ratio: float = 1.45, min_words: int = 2) -> DataFrame:
     """Sets ``is_bold`` where ``density`` stands out on its page; never clears it."""
-    medians = paragraphs.where("density > 0").groupBy(*PAGE).agg(upper_median(F.col("density")).alias("_median"))
+    rated = upper_median_over(paragraphs, F.when(F.col("density") > 0, F.col("density")), PAGE, "_median")
     dense = (F.col("_median") > 0) & (F.col("density") > F.col("_median") * ratio) & (X.word_count(F.col("text")) >= min_words) & ~F.col("is_list_item")
-    return paragraphs.join(medians, PAGE, "left").withColumn("is_bold", F.col("is_bold") | F.coalesce(dense, F.lit(False))).drop("_median")
+    return rated.withColumn("is_bold", F.col("is_bold") | F.coalesce(dense, F.lit(False))).drop("_median")
 
 
 def block_kind(text: Column, bold: Column) -> Column:

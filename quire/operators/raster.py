@@ -42,14 +42,38 @@ def ink_bounds(pixels: DataFrame, alpha_floor: int = 8) -> DataFrame:
     return g.select("img_id", "x", "y", (F.col("_x") - F.col("x") + 1).alias("width"), (F.col("_y") - F.col("y") + 1).alias("height"))
 
 
+def padded_bounds(bounds: DataFrame, sizes: DataFrame, pad: float = 0.04) -> DataFrame:
+    """Ink bounds widened by ``pad`` of their own size on each side, within the image
+    (img_id, image_width, image_height); an image without ink has its whole area."""
+    joined = sizes.join(bounds, "img_id", "left")
+    px, py = F.col("width") * pad, F.col("height") * pad
+    left, top = F.greatest(F.lit(0.0), F.col("x") - px), F.greatest(F.lit(0.0), F.col("y") - py)
+    return joined.select(
+        "img_id", F.coalesce(left, F.lit(0.0)).alias("x"), F.coalesce(top, F.lit(0.0)).alias("y"),
+        F.coalesce(F.least(F.col("image_width") - left, F.col("width") + 2 * px), F.col("image_width").cast("double")).alias("width"),
+        F.coalesce(F.least(F.col("image_height") - top, F.col("height") + 2 * py), F.col("image_height").cast("double")).alias("height"),
+    )
+
+
+#: Rows of pixels in a band; a box meets the pixels of its own bands only.
+BAND = 16
+
+
+def in_bands(df: DataFrame, top: Column, end: Column) -> DataFrame:
+    """A row for each band of pixel rows that [top, end) touches."""
+    low = F.floor(top / BAND)
+    return df.withColumn("_band", F.explode(F.sequence(low, F.greatest(low, F.floor((end - 1) / BAND)))))
+
+
 def background_color(boxes: DataFrame, pixels: DataFrame) -> DataFrame:
     """Adds ``background`` to boxes (img_id, box, x, y, width, height): the upper median of
     each channel in a strip just above the box; white where there is no pixel."""
     top = F.greatest(F.lit(0), js_round(F.col("y") - 4))
     left = F.greatest(F.lit(0), js_round(F.col("x")))
     spans = boxes.select("img_id", "box", left.alias("_l"), (left + F.greatest(F.lit(1), js_round(F.col("width")))).alias("_r"), top.alias("_t"), (top + F.greatest(F.lit(1), js_round(F.least(F.col("height"), F.lit(6.0))))).alias("_b"))
-    p = pixels.select("img_id", F.col("x").alias("_x"), F.col("y").alias("_y"), "r", "g", "b")
+    spans = in_bands(spans, F.col("_t"), F.col("_b"))
+    p = pixels.select("img_id", F.col("x").alias("_x"), F.col("y").alias("_y"), "r", "g", "b", F.floor(F.col("y") / BAND).alias("_band"))
     inside = (F.col("_x") >= F.col("_l")) & (F.col("_x") < F.col("_r")) & (F.col("_y") >= F.col("_t")) & (F.col("_y") < F.col("_b"))
-    colours = p.join(spans, "img_id").where(inside).groupBy("img_id", "box").agg(*(upper_median(F.col(c)).alias(c) for c in "rgb"))
+    colours = p.join(spans.hint("merge"), ["img_id", "_band"]).where(inside).groupBy("img_id", "box").agg(*(upper_median(F.col(c)).alias(c) for c in "rgb"))
     named = colours.select("img_id", "box", rgb_to_hex(*(F.col(c) for c in "rgb")).alias("background"))
-    return boxes.join(named, ["img_id", "box"], "left").withColumn("background", F.coalesce("background", F.lit("#ffffff")))
+    return boxes.join(named.hint("merge"), ["img_id", "box"], "left").withColumn("background", F.coalesce("background", F.lit("#ffffff")))

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.functions import geometry as G
-from quire.functions.stats import upper_median
+from quire.functions.stats import upper_median_over
 from quire.functions.text import js_trim
 
 PAGE = ["doc_id", "page"]
@@ -34,13 +34,12 @@ def regions_from_polygons(df: DataFrame) -> DataFrame:
 
 
 def regions_to_items(regions: DataFrame, scale_x: float = 1.0, scale_y: float = 1.0, offset_x: float = 0.0, offset_y: float = 0.0) -> DataFrame:
-    """Screen items with font size and boldness; the page's median size is joined back."""
+    """Screen items with font size and boldness, told by the page's median size."""
     rect = F.struct((F.col("_r.x") * scale_x + offset_x).alias("x"), (F.col("_r.y") * scale_y + offset_y).alias("y"), (F.col("_r.width") * scale_x).alias("width"), (F.col("_r.height") * scale_y).alias("height"))
     df = regions.withColumn("_r", G.quad_rect(F.col("quad"))).withColumn("_d", G.quad_dims(F.col("quad"))).withColumn("_b", rect)
     size = G.estimate_font_px(F.col("text"), F.col("_b.height"), F.col("_d.line_height") * scale_y, F.col("_d.run_length") * scale_x)
     df = df.select(*PAGE, "ord", "text", F.col("_b.x").alias("x"), F.col("_b.y").alias("y"), F.col("_b.width").alias("width"), F.col("_b.height").alias("height"), size.alias("font_size"))
-    medians = df.groupBy(*PAGE).agg(upper_median(F.col("font_size")).alias("_median"))
-    return df.join(medians, PAGE).withColumn("bold", G.bold_by_size(F.col("font_size"), F.col("_median"))).drop("_median")
+    return upper_median_over(df, F.col("font_size"), PAGE, "_median").withColumn("bold", G.bold_by_size(F.col("font_size"), F.col("_median"))).drop("_median")
 
 
 def paragraphs_to_items(paragraphs: DataFrame, scale_x: float = 1.0, scale_y: float = 1.0, offset_x: float = 0.0, offset_y: float = 0.0) -> DataFrame:

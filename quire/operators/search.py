@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions.runs import runs_text
-from quire.functions.text import js_trim
 
 
 def find_text(edits: DataFrame, query: str, text: Column | None = None) -> DataFrame:
@@ -56,11 +55,17 @@ def ink_segments(strokes: DataFrame, keys: list[str]) -> DataFrame:
 
 def active_alerts(alerts: DataFrame, moments: DataFrame, error_ms: int = 5000, other_ms: int = 2500) -> DataFrame:
     """Alerts shown at each (key, at): from their time until their time to live ends; a
-    sticky one never ends. ``key`` is an equality key of both tables."""
+    sticky one never ends. ``key`` is an equality key of both tables. An alert that ends
+    meets the moments of the stretches of time that it touches only; a stretch is as long
+    as the longest time to live that is not an alert's own."""
     ttl = F.coalesce("duration_ms", F.when(F.col("variant") == "error", F.lit(error_ms)).otherwise(F.lit(other_ms)))
     until = F.when(F.col("sticky"), F.lit(None).cast("timestamp")).otherwise(F.timestamp_millis(F.unix_millis("ts") + ttl))
-    return alerts.withColumn("until", until).join(moments, "key").where((F.col("ts") <= F.col("at")) & (F.col("until").isNull() | (F.col("at") < F.col("until"))))
+    timed, stretch = alerts.withColumn("until", until), max(1, error_ms, other_ms)
 
+    def nth(c: str) -> Column:
+        return F.floor(F.unix_millis(c) / stretch)
 
-def not_blank(c: str) -> Column:
-    return js_trim(F.col(c)) != ""
+    ends = timed.where("until is not null").withColumn("_stretch", F.explode(F.sequence(nth("ts"), F.greatest(nth("ts"), nth("until")))))
+    shown = ends.hint("merge").join(moments.withColumn("_stretch", nth("at")), ["key", "_stretch"]).where((F.col("ts") <= F.col("at")) & (F.col("at") < F.col("until"))).drop("_stretch")
+    stays = timed.where("until is null").join(moments, "key").where(F.col("ts") <= F.col("at"))
+    return shown.unionByName(stays)

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions.geometry import page_height
+from quire.operators.raster import BAND, in_bands
 
 PAGE = ["doc_id", "page"]
 
@@ -53,12 +54,13 @@ def page_at_offset(offsets: DataFrame, pages: DataFrame) -> DataFrame:
     """For each (doc_id, offset) the first page that ends beyond it, else the first page."""
     spans = pages.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("page", "end"))).alias("_spans"))
     beyond = F.filter("_spans", lambda s: s["end"] > F.col("offset"))
-    return offsets.join(spans, "doc_id").withColumn("page", F.coalesce(F.get(beyond, F.lit(0)), F.get("_spans", F.lit(0)))["page"]).drop("_spans")
+    return offsets.hint("merge").join(spans, "doc_id").withColumn("page", F.coalesce(F.get(beyond, F.lit(0)), F.get("_spans", F.lit(0)))["page"]).drop("_spans")
 
 
 def ink_density(boxes: DataFrame, pixels: DataFrame, dark: int = 128) -> DataFrame:
     """Adds ``density``, the share of dark pixels in each box (doc_id, page, box, x0..y1)."""
     inside = (F.col("px") >= F.floor("x0")) & (F.col("px") < F.ceil("x1")) & (F.col("py") >= F.floor("y0")) & (F.col("py") < F.ceil("y1"))
-    p = pixels.select(*PAGE, F.col("x").alias("px"), F.col("y").alias("py"), "r")
-    hits = boxes.join(p, PAGE).where(inside).groupBy(*PAGE, "box").agg(F.avg((F.col("r") < dark).cast("double")).alias("density"))
-    return boxes.join(hits, [*PAGE, "box"], "left").withColumn("density", F.coalesce("density", F.lit(0.0)))
+    p = pixels.select(*PAGE, F.col("x").alias("px"), F.col("y").alias("py"), "r", F.floor(F.col("y") / BAND).alias("_band"))
+    banded = in_bands(boxes, F.floor("y0"), F.ceil("y1")).hint("merge")
+    hits = banded.join(p, [*PAGE, "_band"]).where(inside).groupBy(*PAGE, "box").agg(F.avg((F.col("r") < dark).cast("double")).alias("density"))
+    return boxes.join(hits.hint("merge"), [*PAGE, "box"], "left").withColumn("density", F.coalesce("density", F.lit(0.0)))

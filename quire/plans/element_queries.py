@@ -60,18 +60,24 @@ def image_boxes(spark, sf_dir):
 
 
 @query(
-    "WITH p AS (SELECT o_orderkey AS doc_id, (o_custkey % 4 * 90)::INT AS src, ((floor(o_orderkey % 8 * 45 / 90.0 + 0.5) * 90) % 360)::INT AS norm, CASE WHEN o_custkey % 2 = 1 THEN 792 ELSE 612 END / 800.0e0 AS s, o_custkey % 500 AS l, o_orderkey % 300 AS b FROM orders)"
-    " SELECT doc_id, CASE WHEN norm <> 0 THEN norm ELSE src END AS rotation_out, CASE WHEN ok THEN round(l * s, 6) END AS crop_x, CASE WHEN ok THEN round(612 - 2 * l * s, 6) END AS crop_width, CASE WHEN ok THEN round(792 - b * s, 6) END AS crop_height"
-    " FROM (SELECT *, 612 - 2 * l * s > 0 AND 792 - b * s > 0 AS ok FROM p)"
+    """WITH p AS (SELECT o_orderkey AS doc_id, (o_custkey % 4 * 90)::INT AS src, ((floor(o_orderkey % 8 * 45 / 90.0 + 0.5) * 90) % 360)::INT AS norm, o_custkey % 500 AS l, o_orderkey % 300 AS b,
+  o_custkey % 5 = 0 AS own FROM orders
+), r AS (SELECT *, CASE WHEN norm <> 0 THEN norm ELSE src END AS rot, CASE WHEN own THEN 10 ELSE 0 END AS ox, CASE WHEN own THEN 20 ELSE 0 END AS oy, CASE WHEN own THEN 500 ELSE 612 END AS ow, CASE WHEN own THEN 700 ELSE 792 END AS oh FROM p
+), s AS (SELECT *, CASE WHEN rot % 180 = 0 THEN 612 ELSE 792 END / 800.0e0 AS s FROM r
+), c AS (SELECT *, ow - 2 * l * s AS w, oh - b * s AS h FROM s)
+SELECT doc_id, rot AS rotation_out, CASE WHEN w > 0 AND h > 0 THEN round(ox + l * s, 6) END AS crop_x, CASE WHEN w > 0 AND h > 0 THEN round(oy + b * s, 6) END AS crop_y,
+  CASE WHEN w > 0 AND h > 0 THEN round(w, 6) END AS crop_width, CASE WHEN w > 0 AND h > 0 THEN round(h, 6) END AS crop_height FROM c"""
 )
 def page_operations(spark, sf_dir):
+    """Turned and cropped sheets; one in five has a crop box of its own."""
     o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), F.lit(0).alias("page"), "o_custkey")
-    sheets = o.select("doc_id", "page", F.lit(612.0).alias("width"), F.lit(792.0).alias("height"), (F.col("o_custkey") % 4 * 90).cast("int").alias("source_rotation"))
+    own = F.when(F.col("o_custkey") % 5 == 0, G.box(F.lit(10.0), F.lit(20.0), F.lit(500.0), F.lit(700.0)))
+    sheets = o.select("doc_id", "page", F.lit(612.0).alias("width"), F.lit(792.0).alias("height"), (F.col("o_custkey") % 4 * 90).cast("int").alias("source_rotation"), own.alias("source_crop"))
     side, low = (F.col("o_custkey") % 500).cast("double"), (F.col("doc_id") % 300).cast("double")
     crop = F.struct(F.lit(0.0).alias("top"), side.alias("right"), low.alias("bottom"), side.alias("left"))
     ops = o.select("doc_id", "page", (F.col("doc_id") % 8 * 45).alias("rotation"), crop.alias("crop"))
     done = pages.apply_page_ops(sheets, ops)
-    return done.select("doc_id", "rotation_out", *(F.round(f"crop_box.{c}", 6).alias(f"crop_{c}") for c in ("x", "width", "height")))
+    return done.select("doc_id", "rotation_out", *(F.round(f"crop_box.{c}", 6).alias(f"crop_{c}") for c in _RECT))
 
 
 def _turns(spark, sf_dir):
@@ -95,10 +101,13 @@ def reordered_docs(spark, sf_dir):
     return pages.is_reordered(order, counts)
 
 
-@query("WITH c AS (SELECT conv_id AS doc_id, count(*) AS n FROM conversations GROUP BY conv_id) SELECT doc_id, unnest(range(0, n))::INT AS pos, unnest(range(0, n))::INT AS page FROM c")
+@query(
+    "WITH c AS (SELECT conv_id AS doc_id, count(*) AS n FROM conversations GROUP BY conv_id), o AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN [n, 0, n] ELSE range(0, n) END AS o FROM c) SELECT doc_id, unnest(range(0, len(o)))::INT AS pos, unnest(o)::INT AS page FROM o"
+)
 def seeded_orders(spark, sf_dir):
+    """Every third document has an order already, which stays as it is."""
     docs = _turns(spark, sf_dir).groupBy("doc_id").agg(F.count("*").cast("int").alias("pages"))
-    return pages.seed_order(docs.withColumn("order", F.lit(None).cast("array<int>")))
+    return pages.seed_order(docs.withColumn("order", F.when(F.col("doc_id") % 3 == 0, F.array(F.col("pages"), F.lit(0), F.col("pages")))))
 
 
 @query(

@@ -90,12 +90,13 @@ def reading_lines(spark, sf_dir):
 
 @query(
     f"WITH {_LINES}, kinds AS (SELECT *, CASE WHEN regexp_matches(text, {_MARK}) THEN 'list' WHEN line = 1 AND {_WORDS.format('text')} BETWEEN 1 AND 8 THEN 'heading' ELSE 'body' END AS kind FROM lines) "
-    f"SELECT doc_id, kind, count(*) AS n, sum({_WORDS.format('text')})::BIGINT AS n_words FROM kinds GROUP BY ALL"
+    f"SELECT doc_id, kind, count(*) AS n, sum({_WORDS.format('text')})::BIGINT AS n_words, md5(string_agg(CASE WHEN kind = 'list' THEN ltrim(regexp_replace(text, '^\\s*[-•◦▪*–—]\\s+', '')) ELSE text END, chr(10) ORDER BY line)) AS content FROM kinds GROUP BY ALL"
 )
 def outline_kinds(spark, sf_dir):
     """Lines by kind; a first line counts as bold."""
     lines = paragraphs.classify_blocks(document_lines(spark, sf_dir).withColumn("bold", F.col("line") == 1))
-    return lines.groupBy("doc_id", "kind").agg(F.count("*").alias("n"), F.sum(X.word_count(F.col("text"))).alias("n_words"))
+    content = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "content"))), lambda r: r["content"]), "\n")
+    return lines.groupBy("doc_id", "kind").agg(F.count("*").alias("n"), F.sum(X.word_count(F.col("text"))).alias("n_words"), F.md5(content).alias("content"))
 
 
 def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -120,8 +121,15 @@ def scanned_docs(spark, sf_dir):
 
 
 def ocr_like_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Document lines laid out: a gap after lines that end a short paragraph."""
-    lines = document_lines(spark, sf_dir)
+    """Document lines laid out: a gap after lines that end a short paragraph. Some lines get
+    a misread bullet, a ligature, a letter with a mark of its own, or a hyphen at the end
+    with the next line in small letters."""
+    text = (
+        F.when(F.col("line") % 7 == 2, F.concat(F.lit("« A"), "text")).when(F.col("line") % 7 == 4, F.concat("text", F.lit(" ﬁne-"))).when(F.col("line") % 7 == 5, F.concat(F.lit("ze\u0301ro "), "text"))
+        .when(F.col("line") % 7 == 6, F.concat("text", F.lit(" oﬃce e\u0308")))
+        .otherwise(F.col("text"))
+    )
+    lines = document_lines(spark, sf_dir).withColumn("text", text)
     y = F.col("line") * 30 + F.floor(F.col("line") / 3) * 40
     return lines.select(
         "doc_id", F.lit(0).alias("page"), F.col("line").alias("ord"), "text", F.lit(72.0).alias("x0"), y.cast("double").alias("y0"), (F.lit(72.0) + F.length("text")).alias("x1"), (y + 20).cast("double").alias("y1"),
@@ -129,14 +137,17 @@ def ocr_like_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-_OCR = f"""WITH {_LINES}, o AS (SELECT doc_id, line AS ord, text, line * 30 + floor(line / 3) * 40 AS y0, line * 30 + floor(line / 3) * 40 + 20 AS y1, 72.0 + CASE WHEN line % 5 = 0 THEN 12 ELSE 0 END AS fx,
-  line % 2 = 0 AS bold, 72.0 + length(text) AS x1, regexp_matches(text, {_MARK}) OR regexp_matches(text, '^\\s*[«»‹›·°] +[A-Z0-9]') AS m FROM lines
+_PLANTED = (
+    "pl AS (SELECT doc_id, line, CASE line % 7 WHEN 2 THEN '« A' || text WHEN 4 THEN text || ' ﬁne-' WHEN 5 THEN 'ze\u0301ro ' || text WHEN 6 THEN text || ' oﬃce e\u0308' ELSE text END AS text FROM lines)"
+)
+_OCR = f"""WITH {_LINES}, {_PLANTED}, o AS (SELECT doc_id, line AS ord, text, line * 30 + floor(line / 3) * 40 AS y0, line * 30 + floor(line / 3) * 40 + 20 AS y1, 72.0 + CASE WHEN line % 5 = 0 THEN 12 ELSE 0 END AS fx,
+  line % 2 = 0 AS bold, 72.0 + length(text) AS x1, regexp_matches(text, {_MARK}) OR regexp_matches(text, '^\\s*[«»‹›·°] +[A-Z0-9]') AS m FROM pl
 ), c AS (SELECT doc_id, fx, ord, row_number() OVER (PARTITION BY doc_id, fx ORDER BY ord) AS n FROM o
 ), md AS (SELECT doc_id, arg_max(fx, n * 1000000 - ord) AS modal FROM c GROUP BY doc_id
 ), f AS (SELECT o.*, md.modal, lag(y1) OVER w AS py, lag(ord) OVER w IS NULL AS first, coalesce(lead(m) OVER w, false) AS nm FROM o JOIN md USING (doc_id) WINDOW w AS (PARTITION BY doc_id ORDER BY ord)
 ), s AS (SELECT *, first OR coalesce(y0 - py > 26, false) OR (NOT m AND nm) OR m AS st, m OR fx - modal > 8 AS li FROM f
 ), g AS (SELECT *, sum(st::INT) OVER (PARTITION BY doc_id ORDER BY ord) AS paragraph,
-  regexp_replace(replace(replace(replace(replace(replace(text, 'ﬀ', 'ff'), 'ﬁ', 'fi'), 'ﬂ', 'fl'), 'ﬃ', 'ffi'), 'ﬄ', 'ffl'), '^\\s*[«»‹›·°] +([A-Z0-9])', '• \\1') AS t FROM s)"""
+  regexp_replace(replace(replace(replace(replace(replace(nfc_normalize(text), 'ﬀ', 'ff'), 'ﬁ', 'fi'), 'ﬂ', 'fl'), 'ﬃ', 'ffi'), 'ﬄ', 'ffl'), '^\\s*[«»‹›·°] +([A-Z0-9])', '• \\1') AS t FROM s)"""
 
 
 @query(
@@ -145,7 +156,7 @@ _OCR = f"""WITH {_LINES}, o AS (SELECT doc_id, line AS ord, text, line * 30 + fl
   regexp_replace(string_agg(t, chr(1) ORDER BY ord), '([A-Za-z])-' || chr(1) || '([a-z])', '\\1\\2', 'g').replace(chr(1), ' ') AS text FROM g GROUP BY doc_id, paragraph"""
 )
 def paragraph_groups(spark, sf_dir):
-    out = paragraphs.build_paragraphs(ocr_like_lines(spark, sf_dir), compose=False)
+    out = paragraphs.build_paragraphs(ocr_like_lines(spark, sf_dir))
     return out.select("doc_id", "paragraph", "line_count", "y0", "y1", "x1", "is_list_item", "is_bold", "text")
 
 
@@ -161,13 +172,23 @@ def modal_left(spark, sf_dir):
     return modal_first(boxes(spark, sf_dir).withColumn("v", G.js_round(F.col("x") / 50)), ["doc_id", "page"], "v", ["ord"], "modal")
 
 
-@query()
+@query(
+    r"""WITH RECURSIVE p AS (SELECT doc_id, unnest(range(0, len(ps))) AS ord, unnest(ps) AS raw FROM (SELECT doc_id, regexp_split_to_array(text, '\r?\n') AS ps FROM documents)
+), t AS (SELECT doc_id, ord, regexp_replace(replace(raw, chr(9), '    '), '[\x00-\x1F\x7F]', '', 'g') AS t FROM p
+), w(doc_id, ord, part, line, rest) AS (SELECT doc_id, ord, 0, '', t FROM t
+  UNION ALL SELECT doc_id, ord, part + 1, line, ltrim(substr(rest, length(line) + 1)) FROM (
+    SELECT doc_id, ord, part, rest, CASE WHEN length(rest) <= 70 THEN rtrim(rest) ELSE coalesce(nullif(regexp_extract(substr(rest, 1, 71), '^([\s\S]*\S)\s', 1), ''), regexp_extract(rest, '^\s*\S+')) END AS line FROM w WHERE rtrim(rest) <> '')
+), l AS (SELECT doc_id, ord, part, line FROM w WHERE part > 0 UNION ALL SELECT doc_id, ord, 1, '' FROM t WHERE trim(t) = ''
+), n AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY ord, part) - 1 AS k FROM l)
+SELECT doc_id, floor(k / 43)::INT AS sheet, count(*) AS n, sum(length(line))::BIGINT AS chars, max(length(line))::INT AS longest, md5(string_agg(line, chr(10) ORDER BY k)) AS content FROM n GROUP BY ALL"""
+)
 def wrap_paginate(spark, sf_dir):
     """Documents as sheets of 43 lines of at most 70 characters."""
     paras = readers.text_paragraphs(table(spark, sf_dir, "documents"))
     lines = paras.select("doc_id", "ord", F.posexplode(X.wrap_text(X.sanitize(F.col("text")))).alias("part", "text"))
     numbered = lines.withColumn("ord", F.struct("ord", "part"))
-    return paginate(numbered).groupBy("doc_id", "sheet").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"), F.max(F.length("text")).alias("longest"))
+    content = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("slot", "text"))), lambda r: r["text"]), "\n")
+    return paginate(numbered).groupBy("doc_id", "sheet").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"), F.max(F.length("text")).alias("longest"), F.md5(content).alias("content"))
 
 
 @query(
@@ -186,16 +207,28 @@ def clustered_lines(spark, sf_dir):
     return cluster_lines(boxes(spark, sf_dir)).select("doc_id", "page", "line", "ord")
 
 
+@query(
+    f"""WITH RECURSIVE {BOXES}, v AS (SELECT DISTINCT doc_id, page, floor(x / 3) * 2 AS b FROM boxes), a(doc_id, page, b, line) AS (
+  SELECT doc_id, page, min(b), 0 FROM v GROUP BY doc_id, page UNION ALL
+  SELECT doc_id, page, min(nb), any_value(line) + 1 FROM (SELECT a.doc_id, a.page, a.line, v.b AS nb FROM a JOIN v ON v.doc_id = a.doc_id AND v.page = a.page AND v.b >= a.b + 3) GROUP BY doc_id, page)
+SELECT doc_id, page, ord, max(a.line)::INT AS line FROM boxes JOIN a USING (doc_id, page) WHERE floor(x / 3) * 2 >= a.b GROUP BY ALL"""
+)
+def drifting_lines(spark, sf_dir):
+    """Baselines two px apart or more: a line takes what is near its first run only, so that
+    a slow drift does not join many lines."""
+    drifting = boxes(spark, sf_dir).withColumn("baseline", F.floor(F.col("x") / 3) * F.lit(2.0))
+    return cluster_lines(drifting).select("doc_id", "page", "line", "ord")
+
+
 _PATTERNS = [("initials", "and|und"), ("date", "la|der"), ("signature", "the")]
 
 
 @query(
-    f"WITH {_LINES}, k AS (SELECT *, CASE WHEN regexp_matches(text, '\\b(and|und)\\b', 'i') THEN 'initials' WHEN regexp_matches(text, '\\b(la|der)\\b', 'i') THEN 'date' WHEN regexp_matches(text, '\\b(the)\\b', 'i') THEN 'signature' END AS kind FROM lines WHERE length(text) < 120 AND NOT regexp_matches(text, '[^\\x00-\\x7F]'))"
+    f"WITH {_LINES}, k AS (SELECT *, CASE WHEN regexp_matches(text, '\\b(and|und)\\b', 'i') THEN 'initials' WHEN regexp_matches(text, '\\b(la|der)\\b', 'i') THEN 'date' WHEN regexp_matches(text, '\\b(the)\\b', 'i') THEN 'signature' END AS kind FROM lines)"
     " SELECT doc_id, line, kind, 84.0 + length(text) AS x, 20.0 * line + 10 - (CASE kind WHEN 'initials' THEN 40 WHEN 'date' THEN 36 ELSE 48 END) / 2 AS y FROM k WHERE kind IS NOT NULL"
 )
 def label_zones(spark, sf_dir):
-    """Zones beside every line that holds a label. The SQL above still leaves out lines of
-    120 characters or more and lines with other than ASCII characters; this does not."""
+    """Zones beside every line that holds a label."""
     lines = document_lines(spark, sf_dir)
     zoned = lines.withColumn("kind", X.label_kind(F.col("text"), _PATTERNS)).where("kind is not null")
     z = G.zone_box(F.col("kind"), F.lit(72.0), F.col("line") * F.lit(20.0), F.length("text").cast("double"), F.lit(20.0))
@@ -234,16 +267,16 @@ def cover_boxes(spark, sf_dir):
     f"""WITH {BOXES}, q AS (SELECT *, supp % 5 AS s FROM boxes
 ), d AS (SELECT *, width AS rw, height + s AS rh, sqrt(width * width + s * s) AS along, height AS across FROM q
 ), e AS (SELECT *, least(least(along, across), least(rw, rh) * 1.5) AS lh, least(greatest(along, across), greatest(rw, rh) * 1.5) AS rl FROM d
-), f AS (SELECT *, greatest(greatest(1, floor(rh / lh + 0.5)), greatest(1, ceil(length(str) / greatest(1, rl / greatest(1, lh / 1.2 * 0.5))))) AS n FROM e
-), g AS (SELECT *, greatest(4, least(96, rh / n / 1.2)) AS fs FROM f
+), f AS (SELECT *, greatest(greatest(1, floor(rh / lh + 0.5)), greatest(1, ceil(length(str) / greatest(1, 2 * rl / greatest(1, 2 * lh / 1.2 * 0.5))))) AS n FROM e
+), g AS (SELECT *, greatest(4, least(96, 2 * rh / n / 1.2)) AS fs FROM f
 ), m AS (SELECT doc_id, page, list_sort(list(fs))[len(list(fs)) // 2 + 1] AS md FROM g GROUP BY doc_id, page)
-SELECT g.doc_id, g.page, g.ord, x, y, round(rw, 6) AS width, round(rh, 6) AS height, round(fs, 6) AS font_size, fs >= md * 1.35 AS bold FROM g JOIN m USING (doc_id, page)"""
+SELECT g.doc_id, g.page, g.ord, x * 2 + 7 AS x, y * 2 - 3 AS y, round(rw * 2, 6) AS width, round(rh * 2, 6) AS height, round(fs, 6) AS font_size, fs >= md * 1.35 AS bold FROM g JOIN m USING (doc_id, page)"""
 )
 def quad_regions(spark, sf_dir):
     s = (F.col("supp") % 5).cast("double")
     x, y, w, h = (F.col(c) for c in ("x", "y", "width", "height"))
     df = boxes(spark, sf_dir).select("doc_id", "page", "ord", F.col("str").alias("text"), F.array(x, y, x + w, y + s, x + w, y + s + h, x, y + h).alias("quad"))
-    return regions.regions_to_items(df).select("doc_id", "page", "ord", "x", "y", *rounded("width", "height", "font_size"), "bold")
+    return regions.regions_to_items(df, 2.0, 2.0, 7.0, -3.0).select("doc_id", "page", "ord", "x", "y", *rounded("width", "height", "font_size"), "bold")
 
 
 _COVERS = "covers AS (SELECT doc_id, page, x - 2 AS x, y - 2 AS y, width + 4 AS width, height + 4 AS height FROM boxes WHERE flag = 'R' AND supp % 4 = 0)"
@@ -302,13 +335,20 @@ def page_size_summary(spark, sf_dir):
 
 
 def order_of_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Places of a document's pages, by a scrambled key; one page in five is dropped."""
+    """Places of a document's pages, by a scrambled key; one page in five is dropped, one in
+    four is listed twice, and so is a page that does not exist."""
     p = boxes(spark, sf_dir).select("doc_id", "page").distinct().where("(doc_id + page) % 5 <> 0")
-    place = F.row_number().over(Window.partitionBy("doc_id").orderBy((F.col("page") * 7 + F.col("doc_id")) % 11, "page")) - 1
-    return p.withColumn("pos", place.cast("int"))
+    times = F.when((F.col("doc_id") + F.col("page")) % 4 == 1, F.array(F.lit(0), F.lit(5))).otherwise(F.array(F.lit(0)))
+    p = p.withColumn("again", F.explode(times)).unionByName(p.select("doc_id").distinct().select("doc_id", F.lit(99).alias("page"), F.lit(1).alias("again")))
+    place = F.row_number().over(Window.partitionBy("doc_id").orderBy((F.col("page") * 7 + F.col("doc_id") + F.col("again")) % 11, "page", "again")) - 1
+    return p.select("doc_id", "page", place.cast("int").alias("pos"))
 
 
-_ORDER = "po AS (SELECT doc_id, page, cast(row_number() OVER (PARTITION BY doc_id ORDER BY (page * 7 + doc_id) % 11, page) - 1 AS INT) AS pos FROM (SELECT DISTINCT doc_id, page FROM boxes) WHERE (doc_id + page) % 5 <> 0)"
+_ORDER = """pq AS (SELECT DISTINCT doc_id, page FROM boxes WHERE (doc_id + page) % 5 <> 0
+), pa AS (SELECT doc_id, page, 0 AS again FROM pq UNION ALL SELECT doc_id, page, 5 FROM pq WHERE (doc_id + page) % 4 = 1 UNION ALL SELECT DISTINCT doc_id, 99, 1 FROM pq
+), pl AS (SELECT doc_id, page, row_number() OVER (PARTITION BY doc_id ORDER BY (page * 7 + doc_id + again) % 11, page, again) - 1 AS pos FROM pa
+), po AS (SELECT doc_id, page, max(pos)::INT AS pos FROM pl GROUP BY doc_id, page
+), pv AS (SELECT doc_id, page, max(k)::INT AS pos FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1 AS k FROM pl WHERE page < 7) GROUP BY doc_id, page)"""
 
 
 @query(
@@ -320,9 +360,12 @@ def ordered_edits(spark, sf_dir):
     return pages.order_edits(b, order_of_pages(spark, sf_dir)).select("doc_id", "page", F.col("ord.ord").alias("ord"), "rank")
 
 
-@query(f"WITH {BOXES}, {_ORDER} SELECT doc_id, page, ord, pos AS out_page FROM boxes JOIN po USING (doc_id, page)")
+@query(f"WITH {BOXES}, {_ORDER} SELECT doc_id, page, ord, pos AS out_page FROM boxes JOIN pv USING (doc_id, page)")
 def remapped_edits(spark, sf_dir):
-    return pages.remap_edits(boxes(spark, sf_dir), order_of_pages(spark, sf_dir)).select("doc_id", "page", "ord", "out_page")
+    """Documents of seven pages; the entry for a hundredth page is dropped first."""
+    b = boxes(spark, sf_dir)
+    counts = b.select("doc_id").distinct().withColumn("page_count", F.lit(7))
+    return pages.remap_edits(b, order_of_pages(spark, sf_dir), counts).select("doc_id", "page", "ord", "out_page")
 
 
 @query("SELECT conv_id AS doc_id, cast(turn AS INT) AS page, cast(floor(turn / 3) AS INT) AS part FROM conversations")
@@ -407,12 +450,36 @@ def edit_bursts(spark, sf_dir):
     return E.edit_bursts(edit_log(spark, sf_dir), 86_400_000).select("doc_id", "seq", "action", "burst")
 
 
-@query()
+#: The log folded with whole snapshots on both stacks; the newest state of each document is kept.
+_FOLD = """WITH RECURSIVE l AS (SELECT user_id AS doc_id, event_id AS ev, epoch_ms(ts) AS ms, {action} AS action, floor(value / 10)::BIGINT::VARCHAR AS k, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events
+), f AS (SELECT *, coalesce(action = 'update' AND lag(action) OVER w = 'update' AND k = lag(k) OVER w AND ms - lag(ms) OVER w < 7200000, false) AS near FROM l WINDOW w AS (PARTITION BY doc_id ORDER BY i)
+), s(doc_id, i, nxt, cur, past, future) USING KEY (doc_id) AS (
+  SELECT DISTINCT doc_id, 0::BIGINT, 0, []::STRUCT(k VARCHAR, p INT, v BIGINT)[], []::STRUCT(k VARCHAR, p INT, v BIGINT)[][], []::STRUCT(k VARCHAR, p INT, v BIGINT)[][] FROM l
+  UNION SELECT s.doc_id, f.i, CASE WHEN action = 'add' THEN nxt + 1 ELSE nxt END,
+    CASE action WHEN 'add' THEN list_append(list_filter(cur, lambda x: x.k <> f.k), {{'k': f.k, 'p': nxt + 1, 'v': f.ev}})
+      WHEN 'update' THEN list_transform(cur, lambda x: {{'k': x.k, 'p': x.p, 'v': CASE WHEN x.k = f.k THEN f.ev ELSE x.v END}})
+      WHEN 'delete' THEN list_filter(cur, lambda x: x.k <> f.k)
+      WHEN 'undo' THEN CASE WHEN len(past) > 0 THEN past[-1] ELSE cur END
+      ELSE CASE WHEN len(future) > 0 THEN future[1] ELSE cur END END,
+    CASE WHEN action = 'undo' THEN past[:greatest(len(past) - 1, 0)] WHEN action = 'redo' THEN CASE WHEN len(future) > 0 THEN list_append(past, cur) ELSE past END
+      WHEN near AND len(past) > 0 THEN past ELSE list_append(past[greatest(1, len(past) - 98):], cur) END,
+    CASE WHEN action = 'undo' THEN CASE WHEN len(past) > 0 THEN list_prepend(cur, future) ELSE future END WHEN action = 'redo' THEN future[2:]
+      WHEN near AND len(past) > 0 THEN future ELSE [] END
+  FROM s JOIN f ON f.doc_id = s.doc_id AND f.i = s.i + 1
+)"""
+_ACTION = "CASE WHEN event_type = 'signup' THEN 'add' WHEN event_type IN ('click', 'view') THEN 'update' WHEN event_type = 'purchase' THEN 'undo' ELSE '{0}' END"
+
+
+@query(
+    _FOLD.format(action=_ACTION.format("delete"))
+    + """, e AS (SELECT doc_id, len(past) AS past, len(future) AS future, unnest(CASE WHEN len(cur) > 0 THEN cur ELSE [{'k': '', 'p': 0, 'v': 0}] END, recursive := true) FROM s)
+SELECT doc_id, CASE WHEN k = '' THEN 'empty' ELSE 'edit' END AS kind, k AS key, p::BIGINT AS place, CASE WHEN k = '' THEN '{}' ELSE concat('{"page": 0, "v": ', v, '}') END AS value, past::INT AS past, future::INT AS future FROM e"""
+)
 def edit_state(spark, sf_dir):
     return E.fold_edits(edit_log(spark, sf_dir), burst_ms=7_200_000)
 
 
-@query()
+@query(_FOLD.format(action=_ACTION.format("redo")) + " SELECT doc_id, len(past)::INT AS past, len(future)::INT AS future, len(cur) AS edits FROM s")
 def undo_redo(spark, sf_dir):
     """The log with every error taken as a redo: depths of both stacks."""
     log = edit_log(spark, sf_dir).withColumn("action", F.when(F.col("action") == "delete", "redo").otherwise(F.col("action")))
@@ -496,13 +563,19 @@ def runs_normalized(spark, sf_dir):
 
 
 @query(
-    "WITH c AS (SELECT conv_id AS doc_id, string_agg(text, '' ORDER BY turn) AS t FROM conversations GROUP BY conv_id) SELECT doc_id, length(t)::INT AS chars, greatest(0, least(25, length(t)) - 5)::INT AS italic_chars FROM c"
+    """WITH c AS (SELECT conv_id AS doc_id, turn, text, role = 'user' AS bold, sum(length(text)) OVER w - length(text) AS s, sum(length(text)) OVER w AS e FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)
+), k AS (SELECT *, unnest([0, 1, 2]) AS part FROM c
+), p AS (SELECT doc_id, turn, part, bold, CASE WHEN part = 1 THEN true END AS italic, text, s, greatest(s, [0, 5, 25][part + 1]) AS low, least(e, [5, 25, 2147483647][part + 1]) AS high FROM k
+), q AS (SELECT *, substr(text, (low - s + 1)::BIGINT, (high - low)::BIGINT) AS t FROM p WHERE high > low
+), f AS (SELECT *, (bold IS DISTINCT FROM lag(bold) OVER w OR italic IS DISTINCT FROM lag(italic) OVER w OR lag(turn) OVER w IS NULL)::INT AS new FROM q WINDOW w AS (PARTITION BY doc_id ORDER BY turn, part)
+), g AS (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY turn, part) - 1 AS run FROM f)
+SELECT doc_id, run::INT AS run, string_agg(t, '' ORDER BY turn, part) AS text, any_value(bold) AS bold, any_value(italic) AS italic FROM g GROUP BY doc_id, run"""
 )
 def runs_formatted(spark, sf_dir):
+    """Characters 5 to 25 of every conversation made italic."""
     patch = F.struct(F.lit(None).cast("boolean").alias("bold"), F.lit(True).alias("italic"), *(F.lit(None).alias(k) for k in ("color", "font_size", "font_family")))
     done = styled_turns(spark, sf_dir).withColumn("runs", R.apply_format(F.col("runs"), F.lit(5), F.lit(25), patch))
-    italic = F.filter("runs", lambda r: F.coalesce(r["italic"], F.lit(False)))
-    return done.select("doc_id", R.runs_length(F.col("runs")).alias("chars"), R.runs_length(italic).alias("italic_chars"))
+    return done.select("doc_id", F.posexplode("runs").alias("run", "r")).select("doc_id", "run", "r.text", "r.bold", "r.italic")
 
 
 _PIXELS = "px AS (SELECT DISTINCT floor(l_orderkey / 20)::BIGINT AS img_id, cast(l_partkey % 40 AS INT) AS x, cast(l_suppkey % 40 AS INT) AS y, cast((l_partkey % 40 * 7 + l_suppkey % 40 * 13) % 256 AS INT) AS v FROM lineitem)"

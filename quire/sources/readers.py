@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quire.functions.geometry import run_box
 from quire.functions.text import CONVERTIBLE, ext_of, js_trim
 from quire.schemas import ASSETS, OCR_TREE, RUNS
 
@@ -15,6 +16,14 @@ def read_runs(spark: SparkSession, path: str) -> DataFrame:
     return runs.where(F.col("str").isNotNull() & (js_trim(F.col("str")) != ""))
 
 
+def project_runs(items: DataFrame) -> DataFrame:
+    """Text items (doc_id, page, str, matrix, advance, page_width, page_height) as screen
+    runs; marks without text, and blank ones, are dropped."""
+    shown = items.where(F.col("str").isNotNull() & (js_trim(F.col("str")) != ""))
+    placed = run_box(F.col("matrix"), F.col("advance"), F.col("page_width"), F.col("page_height"))
+    return shown.withColumn("_r", placed).select("*", "_r.*").drop("_r", "matrix", "advance", "page_width", "page_height")
+
+
 def read_ocr(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(OCR_TREE).json(path)
 
@@ -28,7 +37,7 @@ def ocr_lines(tree: DataFrame, words: bool = True) -> DataFrame:
     rows = rows.where(F.col("l.bbox").isNotNull() & (js_trim(F.col("text")) != ""))
     inked = F.filter("l.words", lambda w: js_trim(w["text"]) != "")
     first = F.coalesce(F.get(inked, F.lit(0))["bbox"]["x0"], F.col("l.bbox.x0")) if words else F.col("l.bbox.x0")
-    bold = (F.size(F.coalesce(inked, F.array().cast("array<struct<is_bold:boolean>>"))) > 0) & F.forall(inked, lambda w: F.coalesce(w["is_bold"], F.lit(False))) if words else F.lit(False)
+    bold = F.exists(inked, lambda w: F.lit(True)) & F.forall(inked, lambda w: F.coalesce(w["is_bold"], F.lit(False))) if words else F.lit(False)
     height = F.coalesce("l.rowAttributes.row_height", F.col("l.bbox.y1") - F.col("l.bbox.y0"))
     return rows.select("doc_id", "page", "ord", "text", *(F.col(f"l.bbox.{k}").alias(k) for k in ("x0", "y0", "x1", "y1")), first.alias("first_x"), height.alias("row_height"), F.coalesce(bold, F.lit(False)).alias("all_words_bold"))
 
@@ -61,17 +70,14 @@ def fixed_width_rows(df: DataFrame, name: str, order: list[str], width: int = 16
     return body.unionByName(ends)
 
 
-def list_files(spark: SparkSession, path: str) -> DataFrame:
-    """(path, length) of files; their content is never read."""
-    return spark.read.format("binaryFile").load(path).select("path", "length")
-
-
 def route_files(listing: DataFrame, has_document: bool = False) -> DataFrame:
     """For each batch the one file that is opened, and how: the first PDF, else the first
-    image if a document is open, else the first convertible file."""
+    image if a document is open, else the first convertible file. PDFs and images are told
+    by a column ``mime``, where there is one, else by the file's ending; convertible files
+    always by the ending."""
     ext = ext_of(F.col("path"))
-    image = ext.isin("png", "jpg", "jpeg")
-    route = F.when(ext == "pdf", "pdf").when(image & F.lit(has_document), "image").when(ext.isin(CONVERTIBLE), "convert")
+    mime = F.col("mime") if "mime" in listing.columns else F.when(ext == "pdf", "application/pdf").when(ext.isin("png", "jpg", "jpeg"), "image/png")
+    route = F.when(mime == "application/pdf", "pdf").when(mime.isin("image/png", "image/jpeg") & F.lit(has_document), "image").when(ext.isin(CONVERTIBLE), "convert")
     rank = F.when(F.col("route") == "pdf", 0).when(F.col("route") == "image", 1).otherwise(2)
     routed = listing.withColumn("route", route).where("route is not null")
     return routed.withColumn("_n", F.row_number().over(Window.partitionBy("batch").orderBy(rank, "ord"))).where("_n = 1").drop("_n")

@@ -9,9 +9,9 @@ from quire.operators.paragraphs import classify_blocks
 
 
 def write_lines_csv(lines: DataFrame, path: str) -> None:
-    """Page, Line, Text in reading order within each file."""
+    """Page, Line, Text in reading order within each file; a quote in a text is doubled."""
     rows = lines.selectExpr("doc_id", "page + 1 as Page", "line as Line", "str as Text")
-    rows.repartition("doc_id").sortWithinPartitions("doc_id", "Page", "Line").write.option("header", True).csv(path)
+    rows.repartition("doc_id").sortWithinPartitions("doc_id", "Page", "Line").write.option("header", True).option("escape", '"').csv(path)
 
 
 def documents_without_lines(docs: DataFrame, lines: DataFrame) -> DataFrame:

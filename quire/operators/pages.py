@@ -86,11 +86,12 @@ def parse_page_ranges(specs: DataFrame) -> DataFrame:
 
 def split_by_ranges(pages: DataFrame, specs: DataFrame) -> DataFrame:
     """Pages with their part; a document with an empty spec has one part a page."""
+    # the pages of a range come from a generator, so that Spark cannot know their number
     counted = specs.join(pages.groupBy("doc_id").agg(F.count("*").cast("int").alias("page_count")), "doc_id")
     named = parse_page_ranges(counted)
     empty = F.regexp_replace(F.coalesce("spec", F.lit("")), r"(?U)\s+", "") == ""
     single = pages.join(specs.where(empty).select("doc_id"), "doc_id", "left_semi").withColumn("part", F.col("page"))
-    return pages.join(named, ["doc_id", "page"]).unionByName(single)
+    return pages.join(named.hint("merge"), ["doc_id", "page"]).unionByName(single)
 
 
 def split_every(pages: DataFrame, n: float) -> DataFrame:

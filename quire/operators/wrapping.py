@@ -113,7 +113,7 @@ def draw_positions(segments: DataFrame, boxes: DataFrame, *, keys: tuple[str, ..
     line = Window.partitionBy(*keys, "line")
     before = line.orderBy("segment").rowsBetween(Window.unboundedPreceding, -1)
     own = boxes.select(*keys, F.col("x").alias("_x"), F.col("y").alias("_y"), F.col("width").alias("_w"), F.col("align").alias("_align"), F.col("font_size").alias("_size"), F.col("page_height").alias("_ph"))
-    df = segments.withColumn("_line_width", F.sum("width").over(line)).withColumn("_before", F.coalesce(F.sum("width").over(before), F.lit(0.0))).join(own, list(keys))
+    df = segments.withColumn("_line_width", F.sum("width").over(line)).withColumn("_before", F.coalesce(F.sum("width").over(before), F.lit(0.0))).join(own.hint("merge"), list(keys))
     x = F.col("_x") * scale + align_offset(F.col("_align"), F.col("_w") * scale, F.col("_line_width")) + F.col("_before")
     y = baseline_y(F.col("_ph"), F.col("_y"), F.lit(scale), F.col("_size"), F.col("line"))
     return df.withColumn("draw_x", x).withColumn("draw_y", y).drop("_x", "_y", "_w", "_align", "_size", "_ph", "_line_width", "_before")

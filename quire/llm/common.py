@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import ctypes
-import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quire.sources.shared import shared_dir
+
 #: A word: a run of characters other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 #: The fold (crc32 of the id as text, modulo 4) that no classifier learns from.
@@ -21,17 +23,8 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors and the driver share.
-
-    It is the session's ``spark.checkpoint.dir``; where that is unset (tests on
-    one machine) the context's checkpoint folder, or a temporary one, stands in for it.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:  # the setting itself is fixed once a session runs
-        spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="quire-"))
-        found = spark.sparkContext.getCheckpointDir()
-    return found.rstrip("/")
+#: Folders that ``written`` has made and ``discard`` has not deleted, oldest first.
+_FOLDERS: list[str] = []
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -40,7 +33,43 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    _FOLDERS.append(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def discard(spark: SparkSession, *paths: str) -> None:
+    """Deletes folders of ``written``. Only for tables that no later job, nor a repeated
+    task of one, reads: what was made of them is itself written."""
+    for path in paths:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+        if path in _FOLDERS:
+            _FOLDERS.remove(path)
+
+
+@contextmanager
+def passing(spark: SparkSession, keep: list[DataFrame] | None = None) -> Iterator[list[DataFrame]]:
+    """What is written inside the block is deleted at its end, but for the tables that
+    the block adds to the list it is given."""
+    keep, before = [] if keep is None else keep, set(_FOLDERS)
+    yield keep
+    stay = {df.written_to for df in keep}
+    discard(spark, *(p for p in list(_FOLDERS) if p not in before and p not in stay))
+
+
+#: Most bytes of rows that a Python worker is sent at a time.
+ARROW_BATCH = "4m"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bounds the session's Arrow batches by bytes, unless the user has set a bound: ten
+    thousand rows, which Spark sends otherwise, may be 64 MB in each of a task's two
+    processes."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name, None) in ("67108864b", "64m", "64MB", str(64 << 20)):
+        spark.conf.set(name, ARROW_BATCH)
 
 
 def fold(doc_id: str = "doc_id") -> Column:
@@ -54,10 +83,11 @@ def held_out(doc_id: str = "doc_id") -> Column:
 
 def texts_of(docs: DataFrame, *extra: str) -> DataFrame:
     """(doc_id, text) and the named columns; a null text becomes empty."""
+    small_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"), *extra)
 
 
-def gathered(batches: Iterator[pa.RecordBatch], max_bytes: int = 24 << 20) -> Iterator[pa.Table]:
+def gathered(batches: Iterator[pa.RecordBatch], max_bytes: int = 4 << 20) -> Iterator[pa.Table]:
     """Arrow batches joined up to about ``max_bytes``, and larger ones cut, so that
     per-batch work is spread over many rows while a task's memory stays bounded."""
     held, size = [], 0
@@ -83,7 +113,7 @@ def give_back() -> None:
         pass
 
 
-def sliced(batches: Iterator[pa.RecordBatch], max_bytes: int = 16 << 20) -> Iterator[pa.RecordBatch]:
+def sliced(batches: Iterator[pa.RecordBatch], max_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Arrow batches cut so that none is much over ``max_bytes`` (one row may be)."""
     for b in batches:
         step = max(1, int(b.num_rows * max_bytes / max(b.nbytes, 1)))
@@ -108,5 +138,5 @@ def without(docs: DataFrame, dropped: DataFrame, *names: str) -> DataFrame:
     few are broadcast, so that no text is shuffled."""
     dropped = written(dropped.select(F.col("doc_id").alias("_id"), F.col("row").alias("_row")).distinct(), "dropped")
     hint = "broadcast" if dropped.limit(MAX_BROADCAST_IDS + 1).count() <= MAX_BROADCAST_IDS else "merge"
-    keyed = docs.withColumn("_key", row_key(*names))
-    return keyed.join(dropped.hint(hint), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_row")), "left_anti").select(*docs.columns)
+    keyed = docs.select(F.struct(*docs.columns).alias("_all"), F.col("doc_id").alias("_own"), row_key(*names).alias("_key"))
+    return keyed.join(dropped.hint(hint), F.col("_own").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_row")), "left_anti").select("_all.*")

@@ -9,9 +9,11 @@ has), the bucket of a pair that ends a pattern's first ``m`` words lists the pat
 to compare word by word.
 
 Nulls: a null document or item text has no words; an item without words has no
-window; a null item_id is left out of the list of items. Repeated items count once
-for each item_id. Documents keep one row each, repeated ones too; empty tables give
-no rows or no hits.
+window; the windows of an item without an id are hit like others, but it is left out of
+the list of items. Repeated items, and items of one id, count once for each item_id;
+ids are listed in the order of strings. Documents keep one row each, repeated ones too,
+and are read whole, however long; empty tables give no rows or no hits. Other columns are
+not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -19,12 +21,13 @@ from __future__ import annotations
 import hashlib
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import row_key, texts_of
+from quire.llm.common import discard, row_key, small_batches, texts_of, written
 
 _KEEP = bytes(c if 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A or c >= 0x80 else c + 32 if 0x41 <= c <= 0x5A else 0x20 for c in range(256))
 
@@ -36,7 +39,7 @@ def words_of(text: str | None) -> list[bytes]:
 class WordSearch:
     """Wu-Manber tables for patterns of at least ``m`` words (``m`` >= 1)."""
 
-    def __init__(self, patterns: dict[tuple[bytes, ...], set[str]]):
+    def __init__(self, patterns: dict[tuple[bytes, ...], list[str]]):
         self.m = m = min(map(len, patterns))
         self.block = min(2, m)
         self.default = m - self.block + 1
@@ -48,7 +51,7 @@ class WordSearch:
                 self.shift[key] = min(self.shift.get(key, self.default), m - end)
             self.buckets[p[m - self.block : m]].append((list(p), items))
 
-    def find(self, words: list[bytes]) -> Iterator[tuple[int, int, set[str]]]:
+    def find(self, words: list[bytes]) -> Iterator[tuple[int, int, list[str]]]:
         """(first word, end, items) of every occurrence."""
         m, n, default, get, buckets = self.m, len(words), self.default, self.shift.get, self.buckets
         i, two = m, self.block == 2
@@ -65,22 +68,24 @@ class WordSearch:
             i += 1
 
 
-def item_patterns(benchmark: DataFrame, window: int) -> Iterator[dict[tuple[bytes, ...], set[str]]]:
-    """Patterns of the benchmark, in blocks of bounded size. The driver streams the
-    items; a block holds about ``MAX_BLOCK_WORDS`` words, so a broadcast stays small."""
-    block: dict[tuple[bytes, ...], set[str]] = defaultdict(set)
-    size = 0
-    items = benchmark.select(F.col("item_id").cast("string"), "text").where("item_id is not null and text is not null")
-    for item, text in items.toLocalIterator():
-        words = words_of(text)
-        for i in range(max(1, len(words) - window + 1) if words else 0):
-            block[tuple(words[i : i + window])].add(item)
-            size += window
-        if size > MAX_BLOCK_WORDS:
-            yield dict(block)
-            block, size = defaultdict(set), 0
-    if block:
-        yield dict(block)
+def item_windows(benchmark: DataFrame, window: int) -> DataFrame:
+    """(pattern binary, n, items) of the distinct windows of all items: the words joined
+    by one space, their number, and the ids of the items that hold them."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            items, found, n = [], [], []
+            for item, text in zip(b.column("item").to_pylist(), b.column("text")):
+                words = words_of(text.as_py())
+                for i in range(max(1, len(words) - window + 1) if words else 0):
+                    items.append(item)
+                    found.append(b" ".join(words[i : i + window]))
+                    n.append(min(window, len(words)))
+            yield pa.RecordBatch.from_arrays([pa.array(items, pa.string()), pa.array(found, pa.binary()), pa.array(n, pa.int32())], names=["item", "pattern", "n"])
+
+    small_batches(benchmark.sparkSession)
+    rows = benchmark.select(F.col("item_id").cast("string").alias("item"), "text").where("text is not null").mapInArrow(cut, "item string, pattern binary, n int")
+    return rows.groupBy("pattern", "n").agg(F.collect_set("item").alias("items"))
 
 
 #: Words in one broadcast block of patterns (about 40 MB); more patterns take more scans.
@@ -92,29 +97,33 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, window: int = 13, hi
     and its ``row_key`` as ``row`` if asked for.
 
     One scan of the text for each block of patterns, without a shuffle for the usual
-    single block; several blocks are merged by document.
+    single block; several blocks are merged by document. The patterns are made and
+    counted by Spark; a block that is broadcast has about ``MAX_BLOCK_WORDS`` words, and
+    a further one is read only when the last one's scan is written.
     """
     spark = docs.sparkSession
-    parts, ddl = [], "doc_id long, row long, n_words long, lows array<long>, ends array<long>, items array<string>"
+
+    def searches(found: dict[tuple[bytes, ...], list[str]]) -> list[WordSearch]:
+        groups: dict[int, dict] = defaultdict(dict)
+        for p, items in found.items():
+            groups[len(p)][p] = items
+        # short patterns would spoil the jumps of the full windows: a search for each
+        return [WordSearch(g) for g in groups.values()]
 
     def scan(held):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            groups: dict[int, dict] = defaultdict(dict)
-            for p, found in held.value.items():
-                groups[len(p) if len(p) < window else window][p] = found
-            # short patterns would spoil the jumps of the full windows: a search for each
-            searches = [WordSearch(g) for g in groups.values()]
+            own = searches(held.value)
             for b in batches:
                 rows: list[list] = [[], [], [], []]
                 for text in b.column("text"):
                     words = words_of(text.as_py())
-                    hits = [h for s in searches for h in s.find(words)]
+                    hits = [h for s in own for h in s.find(words)]
                     rows[0].append(len(words))
                     rows[1].append([h[0] for h in hits])
                     rows[2].append([h[1] for h in hits])
-                    rows[3].append(sorted(set().union(*(h[2] for h in hits))) if hits else [])
+                    rows[3].append(sorted(set().union(*(h[2] for h in hits))))
                 kinds = (pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.string()))
-                yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("row"), *(pa.array(r, k) for r, k in zip(rows, kinds))], names=[x.split()[0] for x in ddl.split(", ")])
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("row"), *(pa.array(r, k) for r, k in zip(rows, kinds))], names=["doc_id", "row", "n_words", "lows", "ends", "items"])
 
         return run
 
@@ -131,26 +140,34 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, window: int = 13, hi
                 digest.append(hashlib.sha256(",".join(sorted(set(items))).encode()).hexdigest())
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("row"), b.column("n_words"), pa.array(hit, pa.int64()), pa.array(n_items, pa.int64()), pa.array(digest, pa.string())], names=["doc_id", "row", "n_words", "n_hit", "n_items", "items_sha256"])
 
+    patterns = written(item_windows(benchmark, window), "patterns")
+    blocks = max(1, -(-(patterns.agg(F.sum("n")).first()[0] or 0) // MAX_BLOCK_WORDS))
+    block = F.pmod(F.xxhash64("pattern"), F.lit(blocks))
     # the key tells repeated rows apart when several scans are merged
-    texts = texts_of(docs).withColumn("row", row_key())
-    for block in item_patterns(benchmark, window) or ():
-        parts.append(texts.mapInArrow(scan(spark.sparkContext.broadcast(block)), ddl))
-    if not parts:
-        parts = [texts.mapInArrow(scan(spark.sparkContext.broadcast({})), ddl)]
-    found = parts[0]
-    if len(parts) > 1:
-        for k, p in enumerate(parts):
-            parts[k] = p.withColumn("scan", F.lit(k))
-        found = parts[0]
-        for p in parts[1:]:
-            found = found.unionByName(p)
-        merged = found.groupBy("doc_id", "row").agg(
+    texts, ddl = texts_of(docs).withColumn("row", row_key()), "doc_id long, row long, n_words long, n_hit long, n_items long, items_sha256 string"
+
+    def sent(k: int):
+        return spark.sparkContext.broadcast({tuple(r["pattern"].split(b" ")): r["items"] for r in patterns.where(block == k).select("pattern", "items").toLocalIterator()})
+
+    if blocks == 1:
+        search = scan(sent(0))
+        discard(spark, patterns.written_to)
+        rows = texts.mapInArrow(lambda batches: total(search(batches)), ddl)
+    else:
+        scans = []
+        for k in range(blocks):
+            held = sent(k)
+            found = texts.mapInArrow(scan(held), "doc_id long, row long, n_words long, lows array<long>, ends array<long>, items array<string>")
+            scans.append(written(found.withColumn("scan", F.lit(k)), "scan"))
+            held.destroy()
+        discard(spark, patterns.written_to)
+        merged = reduce(DataFrame.unionByName, scans).groupBy("doc_id", "row").agg(
             F.count(F.when(F.col("scan") == 0, 1)).alias("_n"),
             F.max("n_words").alias("n_words"),
-            *(F.array_distinct(F.flatten(F.collect_list(c))).alias(c) for c in ("items",)),
+            F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"),
             F.array_distinct(F.flatten(F.collect_list(F.arrays_zip("lows", "ends")))).alias("_spans"),
         )
-        found = merged.select("doc_id", "row", "n_words", F.col("_spans.lows").alias("lows"), F.col("_spans.ends").alias("ends"), "items", F.explode(F.sequence(F.lit(1), F.col("_n").cast("int")))).drop("col")
-    rows = found.mapInArrow(total, "doc_id long, row long, n_words long, n_hit long, n_items long, items_sha256 string")
+        merged = merged.select("doc_id", "row", "n_words", F.col("_spans.lows").alias("lows"), F.col("_spans.ends").alias("ends"), "items", F.explode(F.sequence(F.lit(1), F.col("_n").cast("int")))).drop("col")
+        rows = merged.mapInArrow(total, ddl)
     rows = rows if with_row else rows.drop("row")
     return rows.withColumn("contaminated", (F.col("n_hit") > 0) & (F.col("n_hit") * hit_share >= F.col("n_words")))

@@ -9,17 +9,20 @@ is missed with probability below ``2 * (1 - s**r)**m``: 0.003 at s = 0.75 and 0.
 0.85 with the defaults, for a pair; a document is lost only if all its links are.
 
 Equal sets are one class from the start, told by two 64-bit sums over the set, so a
-group of copies is never expanded. Within a table key the classes are chained (each to
-the ``chain`` before it and to the first), never paired all with all. Candidates are
-confirmed on full sets in three rounds: first each class with the earlier class that it
-shares most keys with; then all candidates that this left in different components. A
-chain leaves no pair out unless its key has more than ``chain + 2`` classes; the classes
-of such keys are searched once more, exactly, by their rarest shingles (``rare_pairs``),
-for links between components that are still apart.
+group of copies is never expanded. Under a table key up to ``SMALL_GROUP`` classes are
+paired in full; in a larger group all meet the first one only. Candidates are confirmed
+on full sets: first each class with the one that it shares most keys with, then what is
+left apart. The classes of those larger groups that then still hold several components
+are searched exactly by their rarest shingles (``rare_pairs``). So no pair that shares a
+key is lost, and no group is paired in full unless it is small.
 
 Nulls: a null text has an empty set, which is linked with nothing; a null doc_id stays
 a row of its own (component_id null) and links nobody. Repeated ids and rows are kept,
-one row each; texts that share an id are classes of their own. Empty tables give no rows. Very long texts are read whole.
+one row each; the texts of rows that share an id are classes of their own, judged each by
+its own set, and all belong to one component, as they are one document (unless rows are
+asked for, ``with_row``). Of equal ids and
+sets any row stands for the class. Empty tables give no rows. Very long texts are read
+whole, one at a time. Other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -31,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import gathered, give_back, row_key, texts_of, written
+from quire.llm.common import discard, gathered, give_back, passing, row_key, small_batches, texts_of, written
 from quire.llm.wordhash import FOLDED, grams, hashed_words, mixed, raw_bytes, small_tables
 
 
@@ -74,14 +77,17 @@ class Tensor:
             i = j
         return out
 
-    def keys(self, least: np.ndarray) -> np.ndarray:
-        """(texts, m * m) table keys."""
+    def sub_keys(self, least: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(texts, m) sub-keys of each collection."""
         sub = np.zeros((2 * self.m, least.shape[1]), np.uint64)
         for t in range(self.r):
             sub = mixed(sub + least[t :: self.r].astype(np.uint64) + np.uint64(t + 1))
         sub = mixed(sub + np.arange(1, 2 * self.m + 1, dtype=np.uint64)[:, None] * np.uint64(0x9E3779B97F4A7C15))
-        pairs = sub[: self.m, None, :] + np.uint64(3) * sub[None, self.m :, :]
-        return mixed(pairs.reshape(self.m * self.m, -1)).T
+        return np.ascontiguousarray(sub[: self.m].T), np.ascontiguousarray((sub[self.m :] >> np.uint64(32)).astype(np.uint32).T)
+
+    def keys(self, first: np.ndarray, second: np.ndarray) -> np.ndarray:
+        """Table keys of pairs: a sub-key of the first collection with each of the second's."""
+        return mixed(first[:, None] + (second.astype(np.uint64) << np.uint64(8)) + np.arange(self.m, dtype=np.uint64)).ravel()
 
 
 def signatures(docs: DataFrame, tensor: Tensor, k: int) -> DataFrame:
@@ -109,54 +115,132 @@ def signatures(docs: DataFrame, tensor: Tensor, k: int) -> DataFrame:
     return texts_of(docs).withColumn("row", row_key()).mapInArrow(sign, "doc_id long, row long, n_shingles long, h1 long, h2 long, least binary")
 
 
-def candidate_pairs(classes: DataFrame, tensor: Tensor, chain: int, blocks: int) -> DataFrame:
-    """(a, b, shared): classes a < b that were chained under ``shared`` table keys, and
-    (a, a, 0) for each class a of a key whose chain leaves pairs out."""
+#: Groups of up to so many classes are paired in full.
+SMALL_GROUP = 6
+
+
+def _cells(rows: tuple, block: np.ndarray, names: list[str]) -> pa.RecordBatch:
+    """Arrays cut by ``block``: a row for each block, its values packed."""
+    order = np.argsort(block, kind="stable")
+    which, cut = np.unique(block[order], return_index=True)
+    spans = list(zip(cut.tolist(), [*cut[1:].tolist(), len(order)]))
+    packed = [pa.array([x[a:b].tobytes() for a, b in spans], pa.binary()) for x in (r[order] for r in rows)]
+    return pa.RecordBatch.from_arrays([pa.array(which.astype(np.int32)), *packed], names=["_block", *names])
+
+
+def _unpacked(t: pa.Table, *columns: tuple[str, type]) -> list[np.ndarray]:
+    return [np.concatenate([np.frombuffer(x.as_py(), kind) for x in t.column(c)]) for c, kind in columns]
+
+
+def _sub_keys(t: pa.Table, tensor: Tensor) -> tuple[np.ndarray, np.ndarray]:
+    return tensor.sub_keys(np.stack([np.frombuffer(x.as_py(), np.uint32) for x in t.column("least")]).T)
+
+
+def _among(values: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which values are in ``known``, which is sorted."""
+    if not len(known):
+        return np.zeros(len(values), bool)
+    return known[np.minimum(np.searchsorted(known, values), len(known) - 1)] == values
+
+
+def hot_keys(classes: DataFrame, tensor: Tensor, rows_per_key: int, share: int) -> np.ndarray:
+    """Sub-keys of the first collection that hold about ``rows_per_key`` classes or more,
+    told from one class in ``share``. They only decide how rows are dealt over tasks, never
+    which pairs are made; there are at most ``m * classes / rows_per_key`` of them."""
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in gathered(batches, 4 << 20):
-            ids = t.column("rep").to_numpy()
-            if not len(ids):
+        for t in gathered(batches):
+            if t.num_rows:
+                yield pa.RecordBatch.from_arrays([pa.array(_sub_keys(t, tensor)[0].ravel().view(np.int64))], names=["key"])
+
+    small_batches(classes.sparkSession)
+    sample = classes.where(F.pmod(F.xxhash64("rep"), F.lit(share)) == 0).select("least")
+    found = sample.mapInArrow(keyed, "key long").groupBy("key").count().where(F.col("count") * share >= rows_per_key)
+    return np.sort(found.select("key").toArrow().column("key").to_numpy().view(np.uint64))
+
+
+def candidate_pairs(classes: DataFrame, tensor: Tensor, blocks: int, hot: np.ndarray, *, salts: int = 64, crowded: bool = False) -> DataFrame:
+    """(a, b, shared, large): classes of (rep, component, least) that meet under ``shared``
+    table keys and are of different components, a < b. The classes of a key are paired in
+    full up to ``SMALL_GROUP``. In a larger group the first class of each component meets
+    the group's first one, and ``large`` is true. With ``crowded`` only the classes of such
+    groups are told, as (a, a).
+
+    A class is sent once for each sub-key of its first collection, to a block with all that
+    share it, and the table keys are made there. The classes of a hot sub-key are dealt over
+    ``salts`` groups; the first ones that these have under a table key then meet."""
+    m = tensor.m
+
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in gathered(batches, 1 << 20):
+            if not t.num_rows:
                 continue
-            least = np.stack([np.frombuffer(x.as_py(), np.uint32) for x in t.column("least")]).T
-            keys = tensor.keys(least).ravel()
-            owner = np.repeat(ids, tensor.m * tensor.m)
-            block = ((keys >> np.uint64(20)) % np.uint64(blocks)).astype(np.int64)
-            order = np.lexsort((owner, block))
-            names, cut = np.unique(block[order], return_index=True)
-            cuts = [*cut.tolist(), len(order)]
-            keys, owner = keys[order], owner[order]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(names.astype(np.int32)), pa.array([keys[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:])], pa.binary()), pa.array([owner[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:])], pa.binary())],
-                names=["_block", "_keys", "_owners"],
-            )
-
-    def chained(t: pa.Table) -> pa.Table:
-        give_back()
-        keys = np.concatenate([np.frombuffer(x.as_py(), np.uint64) for x in t.column("_keys")])
-        owner = np.concatenate([np.frombuffer(x.as_py(), np.int64) for x in t.column("_owners")])
-        order = np.lexsort((owner, keys))
-        keys, owner = keys[order], owner[order]
-        start = np.concatenate([[True], keys[1:] != keys[:-1]])
-        first = np.flatnonzero(start)[np.cumsum(start) - 1]
-        place = np.arange(len(keys)) - first
-        a, b = [], []
-        for back in range(1, chain + 1):
-            at = np.flatnonzero(place >= back)
-            a.append(owner[at - back])
-            b.append(owner[at])
-        far = np.flatnonzero(place > chain)
-        a, b = np.concatenate([*a, owner[first[far]]]), np.concatenate([*b, owner[far]])
+            first, second = _sub_keys(t, tensor)
+            owner, component = (np.repeat(t.column(c).to_numpy(), m) for c in ("rep", "component"))
+            first, second = first.ravel(), np.repeat(second, m, axis=0)
+            dealt = np.where(_among(first, hot), mixed(first + (owner % salts).astype(np.uint64)), first)
+            yield _cells((first, second, component, owner), ((dealt >> np.uint64(20)) % np.uint64(blocks)).astype(np.int64), ["_first", "_second", "_components", "_owners"])
+
+    def met(keys: np.ndarray, component: np.ndarray, owner: np.ndarray, is_hot: np.ndarray) -> pa.Table:
+        order = np.lexsort((owner, component, keys))
+        keys, component, owner, is_hot = keys[order], component[order], owner[order], is_hot[order]
+        opens = np.append(True, keys[1:] != keys[:-1])
+        group = np.cumsum(opens) - 1
+        starts = np.flatnonzero(opens)
+        first, size = starts[group], np.diff(np.append(starts, len(keys)))[group]
+        place, last = np.arange(len(keys)) - first, first + size - 1
+        mingled = component[first] != component[last]  # of two components at least
+        small = mingled & ~is_hot & (size <= SMALL_GROUP)
+        large = (mingled | is_hot) & ~small
+        a, b, big = [], [], []
+
+        def add(x, y, flag):
+            a.append(np.minimum(owner[x], owner[y]))
+            b.append(np.maximum(owner[x], owner[y]))
+            big.append(np.full(len(x), flag))
+
+        if crowded:
+            at = np.flatnonzero(large)
+            add(at, at, True)
+        else:
+            for back in range(1, SMALL_GROUP):
+                at = np.flatnonzero(small & (place >= back))
+                at = at[component[at] != component[at - back]]
+                add(at - back, at, False)
+            leads = np.append(True, opens[1:] | (component[1:] != component[:-1]))
+            at = np.flatnonzero(large & leads & (place > 0))
+            add(first[at], at, True)
+        a, b, big = np.concatenate(a), np.concatenate(b), np.concatenate(big)
         order = np.lexsort((b, a))
-        a, b = a[order], b[order]
-        cut = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])) if len(a) else np.zeros(0, np.int64)
-        a, b, shared = a[cut], b[cut], np.diff(np.append(cut, len(a)))
-        left_out = np.unique(owner[np.isin(first, first[place > chain + 1])])
-        return pa.table([pa.array(np.concatenate([a, left_out])), pa.array(np.concatenate([b, left_out])), pa.array(np.concatenate([shared * (a < b), 0 * left_out]))], names=["a", "b", "shared"])
+        a, b, big = a[order], b[order], big[order]
+        cut = np.flatnonzero(np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]))) if len(a) else np.zeros(0, np.int64)
+        shared, big = np.diff(np.append(cut, len(a))), np.maximum.reduceat(big, cut) if len(cut) else big
+        heads = np.flatnonzero(is_hot & opens)  # they meet the heads of the other salts
+        none = np.zeros(len(heads), np.int64)
+        columns = [
+            (np.concatenate([a[cut], owner[heads]]), pa.int64()), (np.concatenate([b[cut], component[heads]]), pa.int64()), (np.concatenate([shared, none]), pa.int64()),
+            (np.concatenate([big, none == 0]).astype(bool), pa.bool_()), (np.concatenate([np.full(len(cut), None), keys[heads].view(np.int64).astype(object)]), pa.int64()),
+        ]
+        return pa.table([pa.array(x, k) for x, k in columns], names=["a", "b", "shared", "large", "key"])
+
+    def in_block(t: pa.Table) -> pa.Table:
+        first, second, component, owner = _unpacked(t, ("_first", np.uint64), ("_second", np.uint32), ("_components", np.int64), ("_owners", np.int64))
+        keys = tensor.keys(first, second.reshape(-1, m))
+        out = met(keys, *(np.repeat(x, m) for x in (component, owner, _among(first, hot))))
+        give_back()
+        return out
 
-    keyed_rows = classes.select("rep", "least").mapInArrow(keyed, "_block int, _keys binary, _owners binary")
-    pairs = keyed_rows.groupBy("_block").applyInArrow(chained, "a long, b long, shared long")
-    return pairs.where("a < b or shared = 0").groupBy("a", "b").agg(F.sum("shared").alias("shared"))
+    def of_heads(t: pa.Table) -> pa.Table:
+        return met(t.column("key").to_numpy().view(np.uint64), t.column("b").to_numpy(), t.column("a").to_numpy(), np.zeros(t.num_rows, bool))
+
+    small_batches(classes.sparkSession)
+    ddl = "a long, b long, shared long, large boolean, key long"
+    sent = classes.select("rep", "component", "least").mapInArrow(keyed, "_block int, _first binary, _second binary, _components binary, _owners binary")
+    found = sent.groupBy("_block").applyInArrow(in_block, ddl)
+    if len(hot):
+        found = written(found, "met")
+        found = found.where("key is null").union(found.where("key is not null").groupBy("key").applyInArrow(of_heads, ddl))
+    return found.groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.bool_or("large").alias("large"))
 
 
 #: Buckets in which shingles are counted to tell rare ones.
@@ -215,7 +299,7 @@ def rare_pairs(sets: DataFrame, percent: int, parts: int) -> DataFrame:
     rarity = np.zeros(RARITY_BUCKETS, np.int64)
     rarity[counted.column("bucket").to_numpy()] = counted.column("n").to_numpy()
     held = spark.sparkContext.broadcast(rarity)
-    blocks = max(parts, int(rarity.sum()) // 4_000_000)
+    blocks = max(parts, int(rarity.sum()) // 1_000_000)
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in gathered(batches, 4 << 20):
@@ -235,17 +319,10 @@ def rare_pairs(sets: DataFrame, percent: int, parts: int) -> DataFrame:
             for k, values in enumerate((t.column("id").to_numpy(), t.column("component").to_numpy(), np.array(sizes))):
                 entries[:, k + 1] = values[owner]
             entries[:, 4] = entries[:, 3] - (np.arange(len(token)) - np.repeat(np.cumsum(lengths) - lengths, lengths))
-            block = ((token >> np.uint64(7)) % np.uint64(blocks)).astype(np.int64)
-            order = np.argsort(block, kind="stable")
-            entries = entries[order]
-            names, cut = np.unique(block[order], return_index=True)
-            ends = [*cut[1:].tolist(), len(token)]
-            yield pa.RecordBatch.from_arrays([pa.array(names.astype(np.int32)), pa.array([entries[i:j].tobytes() for i, j in zip(cut.tolist(), ends)], pa.binary())], names=["_block", "_entries"])
-
-    def meet(t: pa.Table) -> pa.Table:
-        give_back()
-        entries = np.concatenate([np.frombuffer(x.as_py(), np.int64) for x in t.column("_entries")]).reshape(-1, 5)
-        found = np.zeros((0, 2), np.int64)
+            yield _cells((entries,), ((token >> np.uint64(7)) % np.uint64(blocks)).astype(np.int64), ["_entries"])
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        entries = np.concatenate([np.frombuffer(x.as_py(), np.int64) for b in batches for x in b.column("_entries")]).reshape(-1, 5)
         # both ways see every pair of a list; each list is read the way that has fewer
         by_component, by_size = _apart(entries), _alike(entries, percent)
         cheaper = by_component[2] <= by_size[2]
@@ -255,16 +332,17 @@ def rare_pairs(sets: DataFrame, percent: int, parts: int) -> DataFrame:
             at = np.flatnonzero((count > 0) & take[np.cumsum(new) - 1])
             whole = np.concatenate([[0], np.cumsum(count[at])])
             i = 0
-            while i < len(at):  # a few million pairs at a time, repeats dropped as they come
-                j = max(i + 1, int(np.searchsorted(whole, whole[i] + 4_000_000, side="right")) - 1)
+            while i < len(at):  # a million pairs at a time, given out as they come
+                j = max(i + 1, int(np.searchsorted(whole, whole[i] + 1_000_000, side="right")) - 1)
                 n = count[at[i:j]]
                 x = np.repeat(at[i:j], n)
                 y = np.repeat(first[at[i:j]], n) + np.arange(len(x)) - np.repeat(whole[i:j] - whole[i], n)
                 can = (component[x] != component[y]) & (percent * (size[x] + size[y]) <= (100 + percent) * np.minimum(rest[x], rest[y]))
                 x, y = ids[x[can]], ids[y[can]]
-                found = np.unique(np.concatenate([found, np.stack([np.minimum(x, y), np.maximum(x, y)], axis=1)]), axis=0)
+                found = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], axis=1), axis=0)
+                yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], names=["a", "b"])
                 i = j
-        return pa.table([pa.array(found[:, 0]), pa.array(found[:, 1])], names=["a", "b"])
+        give_back()
 
     rows = sets.mapInArrow(prefixes, "_block int, _entries binary")
     return rows.groupBy("_block").applyInArrow(meet, "a long, b long").distinct()
@@ -291,9 +369,10 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, component) of every node that has an edge (a, b): the least node it
-    reaches. Least labels travel along edges, and labels of labels are taken (pointer
+    """(node, component) of every node that has an edge (a, b), written: the least node
+    it reaches. Least labels travel along edges, and labels of labels are taken (pointer
     jumping), until nothing changes; each round is written to the shared folder."""
+    spark = edges.sparkSession
     both = written(edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(edges.select("b", "a")), "edges")
     labels = written(both.groupBy("u").agg(F.least(F.first("u"), F.min("v")).alias("label")).select(F.col("u").alias("node"), "label", F.lit(True).alias("changed")), "labels")
     while labels.where("changed").limit(1).count():
@@ -301,15 +380,35 @@ def components(edges: DataFrame) -> DataFrame:
         hooked = labels.join(heard.withColumnRenamed("u", "node").hint("merge"), "node").select("node", F.col("label").alias("before"), F.least("label", "heard").alias("label"))
         jump = labels.select(F.col("node").alias("label"), F.col("label").alias("further"))
         jumped = hooked.join(jump.hint("merge"), "label", "left").select("node", "before", F.least("label", F.coalesce("further", "label")).alias("label"))
+        done = labels.written_to
         labels = written(jumped.select("node", "label", (F.col("label") != F.col("before")).alias("changed")), "labels")
+        discard(spark, done)
     return labels.select("node", F.col("label").alias("component"))
 
 
-def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 75, m: int = 12, r: int = 3, chain: int = 4, with_row: bool = False) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) of each document, and its ``row_key`` as
-    ``row`` if asked for."""
+def joined_texts(signed: DataFrame, classes: DataFrame) -> DataFrame:
+    """(a, b): classes that one doc_id belongs to, as its rows have different texts. They
+    are one document, so what either is linked with is reachable from both."""
+    same = ["n_shingles", "h1", "h2"]
+    ids = signed.where("n_shingles > 0 and doc_id is not null").groupBy("doc_id").agg(F.min(F.struct(*same)).alias("_lo"), F.max(F.struct(*same)).alias("_hi"))
+    several = written(ids.where("_lo <> _hi").select("doc_id"), "several")
+    if not several.limit(1).count():
+        return several.select(F.col("doc_id").alias("a"), F.col("doc_id").alias("b"))
+    rows = signed.join(several.hint("merge"), "doc_id").join(classes.select(*same, "rep").hint("merge"), same).select("doc_id", "rep").distinct()
+    least = rows.groupBy("doc_id").agg(F.min("rep").alias("a"))
+    return written(rows.join(least.hint("merge"), "doc_id").where("a < rep").select("a", F.col("rep").alias("b")), "links")
+
+
+def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 75, m: int = 12, r: int = 3, rows_per_hot_key: int = 1_000_000, with_row: bool = False) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) of each document. ``with_row`` adds its
+    ``row_key`` as ``row`` and judges each row alone: texts that share an id are not linked
+    by it, so that a filter by rows takes no text for another's sake."""
+    with passing(docs.sparkSession) as keep:
+        return _near_duplicates(docs, Tensor(m, r), shingle, percent, rows_per_hot_key, ("row",) if with_row else (), keep)
+
+
+def _near_duplicates(docs: DataFrame, tensor: Tensor, shingle: int, percent: int, rows_per_hot_key: int, carry: tuple[str, ...], keep: list[DataFrame]) -> DataFrame:
     spark = docs.sparkSession
-    tensor = Tensor(m, r)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     signed = written(signatures(docs, tensor, shingle), "signatures")
     same = ["n_shingles", "h1", "h2"]
@@ -318,10 +417,10 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 75, m:
     named = grouped.select(*same, "_rep.*").sortWithinPartitions(*same).withColumn("rep", F.monotonically_increasing_id())
     classes = written(named, "classes")
     n_classes = classes.count()
-    # a block holds about a million keys
-    blocks = max(4 * parts, n_classes * m * m // 1_000_000)
-    chained = written(candidate_pairs(classes, tensor, chain, blocks), "pairs")
-    pairs, left_out = chained.where("a < b"), chained.where("a = b").select(F.col("a").alias("id"))
+    # a block holds about half a million keys
+    blocks = max(parts, n_classes * tensor.m**2 // 500_000)
+    hot = hot_keys(classes, tensor, rows_per_hot_key, max(1, rows_per_hot_key // 500)) if n_classes >= rows_per_hot_key else np.zeros(0, np.uint64)
+    pairs = written(candidate_pairs(classes.withColumn("component", F.col("rep")), tensor, blocks, hot), "pairs")
 
     needed = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
 
@@ -338,32 +437,40 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 75, m:
     sets = wanted.mapInArrow(shelve, "id long, shingles binary")
     sets = written(sets.groupBy("id").agg(F.min("shingles").alias("shingles")), "sets")
 
+    # each class with the one that it shares most keys with, then what this leaves apart
     best = pairs.groupBy("b").agg(F.max_by("a", F.struct("shared", F.negative("a"))).alias("a")).select("a", "b")
     first = written(confirmed(best, sets, percent), "links")
-    found = components(first)
-    rest = (
-        pairs.join(best.hint("merge"), ["a", "b"], "left_anti")
-        .join(found.select(F.col("node").alias("a"), F.col("component").alias("_ca")).hint("merge"), "a", "left")
-        .join(found.select(F.col("node").alias("b"), F.col("component").alias("_cb")).hint("merge"), "b", "left")
-        .where(F.coalesce("_ca", "a") != F.coalesce("_cb", "b"))
-    )
-    second = written(confirmed(rest, sets, percent), "links")
-    found = written(components(first.union(second)), "components")
-
-    if left_out.limit(1).count():
-        apart = sets.join(left_out.hint("merge"), "id", "left_semi").join(found.withColumnRenamed("node", "id").hint("merge"), "id", "left")
+    rest = pairs.join(best.hint("merge"), ["a", "b"], "left_anti")
+    for c in ("a", "b"):
+        rest = rest.join(first.select(F.col("b").alias(c), F.col("a").alias(f"_{c}")).hint("merge"), c, "left")
+    rest = rest.where(F.coalesce("_a", "a") != F.coalesce("_b", "b"))
+    links = first.union(written(confirmed(rest, sets, percent), "links"))
+    if not carry:
+        links = links.union(joined_texts(signed, classes))
+    found = components(links)
+
+    # classes of large groups that hold several components are searched exactly
+    large = pairs.where("large")
+    crowd = written(large.select(F.col("a").alias("rep")).union(large.select("b")).distinct(), "crowd")
+    n_crowd = crowd.count()
+    if n_crowd:
+        named = found.withColumnRenamed("node", "rep").hint("merge")
+        again = crowd.join(classes.select("rep", "least").hint("merge"), "rep").join(named, "rep", "left").select("rep", F.coalesce("component", "rep").alias("component"), "least")
+        mixed_in = candidate_pairs(again, tensor, max(parts, n_crowd * tensor.m**2 // 500_000), hot, crowded=True).select(F.col("a").alias("id"))
+        apart = sets.join(mixed_in.hint("merge"), "id", "left_semi").join(found.withColumnRenamed("node", "id").hint("merge"), "id", "left")
         apart = written(apart.select("id", F.coalesce("component", "id").alias("component"), "shingles"), "apart")
-        third = written(confirmed(written(rare_pairs(apart, percent, parts), "rare"), sets, percent), "links")
-        if third.limit(1).count():
-            found = components(first.union(second).union(third))
+        if apart.limit(1).count():
+            more = written(confirmed(written(rare_pairs(apart, percent, parts), "rare"), sets, percent), "links")
+            if more.limit(1).count():
+                found = components(links.union(more))
 
     labelled = classes.select(*same, "rep", "doc_id").join(found.withColumnRenamed("node", "rep").hint("merge"), "rep", "left").select(*same, "doc_id", F.coalesce("component", "rep").alias("component"))
     labelled = written(labelled, "labelled")
     # a component is called by the least doc_id of its classes
     least = labelled.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    labelled = labelled.drop("doc_id").join(least.hint("merge"), "component").select(*same, "component_id")
+    labelled = written(labelled.drop("doc_id").join(least.hint("merge"), "component").select(*same, "component_id"), "named")
+    keep += [signed, labelled]
     # only a document with a set and an id belongs to a class
-    carry = ("row",) if with_row else ()
     keyed = signed.select("doc_id", *same, *carry)
     member = F.col("n_shingles").isNotNull() & (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()
     in_class = keyed.where(member).join(labelled.hint("merge"), same).select("doc_id", "n_shingles", "component_id", *carry)

@@ -105,7 +105,7 @@ WITH docs AS (
   FROM (SELECT doc_id, ws, m, unnest(range(1, greatest(1, len(ws) - m + 2))) AS i FROM docs, lens)
 ), hits AS (SELECT doc_id, item, i, m FROM wins JOIN pats USING (m, s)
 ), cover AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + m)) AS p FROM (SELECT DISTINCT doc_id, i, m FROM hits)) GROUP BY doc_id
-), named AS (SELECT doc_id, count(*) AS n, string_agg(item, ',' ORDER BY item) AS k FROM (SELECT DISTINCT doc_id, item FROM hits) GROUP BY doc_id)
+), named AS (SELECT doc_id, count(*) AS n, string_agg(item, ',' ORDER BY item) AS k FROM (SELECT DISTINCT doc_id, item FROM hits WHERE item IS NOT NULL) GROUP BY doc_id)
 SELECT d.doc_id, len(d.ws)::BIGINT AS n_words, coalesce(c.n, 0)::BIGINT AS n_hit, coalesce(k.n, 0)::BIGINT AS n_items, sha256(coalesce(k.k, '')) AS items_sha256,
   coalesce(c.n, 0) > 0 AND 20 * coalesce(c.n, 0) >= len(d.ws) AS contaminated
 FROM docs d LEFT JOIN cover c USING (doc_id) LEFT JOIN named k USING (doc_id)

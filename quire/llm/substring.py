@@ -1,29 +1,33 @@
-"""Substring dedup by exact window lookup in an index of all documents (operator 3).
+"""Substring dedup by relative Lempel-Ziv parsing (operator 3).
 
-The reference of a document is every document with a smaller id. Its phrases are
-indexed in blocks, by hash range; a block is one group of a shuffle and no block is
-ever held by the driver.
+The reference of a document is every document with a smaller id. Its phrases are indexed
+in blocks, by hash range; a block is one group of a shuffle, and no block is ever held by
+the driver.
 
 1. Every window of ``window`` words has an anchor, the least hash of its runs of
    ``anchor`` words. Each block finds the anchors that two documents share; all other
    windows have no copy anywhere and need no further look.
-2. The windows on shared anchors are looked up as a whole, again in blocks: a window's
-   first holder is the least id of a document in which it starts.
-3. The words of all windows that have an earlier holder are removed.
-
-This replaces relative Lempel-Ziv factoring: there is no longest match against a reference
-and no factor of source, position and length. The words to remove depend on windows alone,
-and a greedy parse would need every window looked up all the same, as its factors end at
-places that say nothing of the windows across them.
+2. The windows on shared anchors are looked up as a whole, again in blocks. A window that
+   an earlier document holds gets a source: the least id of a document in which it
+   starts, and its place there.
+3. A document is parsed greedily, from left to right, against what all blocks told it. At
+   a word where a window has a source a factor begins and grows, word by word, as long as
+   the next window's source is the next place of the same document; any other word is a
+   literal. The parse goes on behind the factor. Windows that begin in a factor and end
+   beyond it are checked at each factor's end: those with a source of their own count too.
+4. The words of all factors and of those windows are removed. A held window lies in a
+   factor or crosses the end of one, so this is every word of every window that an earlier
+   document holds. Factors are at least ``window`` words long by construction.
 
 A document meets its findings in a group of documents (``_shelf``); both passes over the
 text use the same shuffle. Entries of one hot phrase are spread over ``salts`` groups,
 whose summaries (one line for each phrase) are merged, before they are told to documents.
 
 Nulls: a null text has no words; a null doc_id counts as larger than all others.
-Documents with one id (repeated rows) never take words from each other. Texts with fewer
-words than ``window`` lose nothing. Empty tables give no rows. Phrases are told apart by
-64-bit hashes.
+Documents with one id (repeated rows) never take words from each other; of several places
+in the source the first counts. Texts with fewer words than ``window`` lose nothing, very
+long ones are read whole. Empty tables give no rows. ``carry``'s columns keep their names,
+whatever these are, and all others are not read. Phrases are told apart by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -36,12 +40,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quire.llm.common import gathered, give_back
+from quire.llm.common import gathered, give_back, small_batches, written
 from quire.llm.wordhash import grams, hashed_words, raw_bytes, small_tables
 
 _LAST = 2**63 - 1
-_PACKED = "_block int, _salt int, _hashes binary, _docs binary"
-_TOLD = "_shelf int, _docs binary, _hashes binary"
+_KINDS = {"_hashes": np.uint64, "_docs": np.int64, "_places": np.int32, "_last": np.int64, "_sources": np.int64}
+_PACKED = "_block int, _salt int, _hashes binary, _docs binary, _places binary"
+_TOLD = "_shelf int, _docs binary, _hashes binary, _sources binary, _places binary"
+_FACTORS = "array<struct<start: long, length: long, source: long, source_start: long>>"
 
 
 def _prime(n: int) -> int:
@@ -82,121 +88,161 @@ class Windows:
     def phrases(self) -> np.ndarray:
         return grams(self.hashes, self.window)[self.valid] if len(self.valid) else np.zeros(0, np.uint64)
 
+    def places(self) -> np.ndarray:
+        """The place of each valid window in its own document."""
+        return (self.valid - self.words[:-1][self.doc[self.valid]]).astype(np.int32)
 
-def _packed(hashes: np.ndarray, docs: np.ndarray, blocks: int, salts: int) -> pa.RecordBatch:
-    """Entries (hash, doc) without repeats, a row for each block and salt."""
-    order = np.lexsort((docs, hashes))
+
+def _rows(group: np.ndarray, columns: dict[str, np.ndarray]) -> tuple[np.ndarray, dict[str, pa.Array]]:
+    """Entries in order of ``group``, which is sorted: a row for each, its values packed."""
+    names, first = np.unique(group, return_index=True)
+    spans = list(zip(first.tolist(), [*first[1:].tolist(), len(group)]))
+    return names, {c: pa.array([x[a:b].tobytes() for a, b in spans], pa.binary()) for c, x in columns.items()}
+
+
+def _packed(hashes: np.ndarray, docs: np.ndarray, places: np.ndarray | None, blocks: int, salts: int) -> pa.RecordBatch:
+    """Entries (hash, doc, first place) without repeats, a row for each block and salt."""
+    order = np.lexsort((docs, hashes) if places is None else (places, docs, hashes))
     hashes, docs = hashes[order], docs[order]
     new = np.ones(len(hashes), bool)
     new[1:] = (hashes[1:] != hashes[:-1]) | (docs[1:] != docs[:-1])
+    places = np.zeros(0, np.int32) if places is None else places[order][new]
     hashes, docs = hashes[new], docs[new]
     group = ((hashes >> np.uint64(20)) % np.uint64(blocks)).astype(np.int64) * salts + docs % salts
     order = np.lexsort((docs, group))
-    group, hashes, docs = group[order], hashes[order], docs[order]
-    names, first = np.unique(group, return_index=True)
-    cuts = [*first.tolist(), len(group)]
-    spans = list(zip(cuts[:-1], cuts[1:]))
-    return pa.RecordBatch.from_arrays(
-        [pa.array((names // salts).astype(np.int32)), pa.array((names % salts).astype(np.int32)), pa.array([hashes[a:b].tobytes() for a, b in spans], pa.binary()), pa.array([docs[a:b].tobytes() for a, b in spans], pa.binary())],
-        names=["_block", "_salt", "_hashes", "_docs"],
-    )
+    names, rows = _rows(group[order], {"_hashes": hashes[order], "_docs": docs[order]} | ({"_places": places[order]} if len(places) else {}))
+    rows.setdefault("_places", pa.array([b""] * len(names), pa.binary()))
+    return pa.RecordBatch.from_arrays([pa.array((names // salts).astype(np.int32)), pa.array((names % salts).astype(np.int32)), *rows.values()], names=["_block", "_salt", *rows])
 
 
-def _joined(t: pa.Table, name: str, kind) -> np.ndarray:
-    parts = [np.frombuffer(x.as_py(), kind) for x in t.column(name)]
-    return np.concatenate(parts) if parts else np.zeros(0, kind)
+def _joined(t: pa.Table, name: str) -> np.ndarray:
+    parts = [np.frombuffer(x.as_py(), _KINDS[name]) for x in t.column(name)]
+    return np.concatenate(parts) if parts else np.zeros(0, _KINDS[name])
 
 
-def _firsts(hashes: np.ndarray, docs: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Each hash once, with its least first and greatest last document."""
+def _entries(t: pa.Table) -> list[np.ndarray]:
+    """Hashes, documents and places (-1 where none were kept)."""
+    hashes, docs, places = (_joined(t, c) for c in ("_hashes", "_docs", "_places"))
+    return [hashes, docs, places if len(places) == len(docs) else np.full(len(docs), -1, np.int32)]
+
+
+def _firsts(hashes: np.ndarray, docs: np.ndarray, places: np.ndarray, last: np.ndarray) -> list[np.ndarray]:
+    """Each hash once, with its least document, the place there, and the greatest one."""
     order = np.lexsort((docs, hashes))
-    hashes, docs, last = hashes[order], docs[order], last[order]
-    cut = np.flatnonzero(np.concatenate([[True], hashes[1:] != hashes[:-1]])) if len(hashes) else np.zeros(0, np.int64)
-    return hashes[cut], docs[cut], np.maximum.reduceat(last, cut) if len(cut) else last
+    hashes, docs, places, last = hashes[order], docs[order], places[order], last[order]
+    cut = np.flatnonzero(np.append(True, hashes[1:] != hashes[:-1])) if len(hashes) else np.zeros(0, np.int64)
+    return [hashes[cut], docs[cut], places[cut], np.maximum.reduceat(last, cut) if len(cut) else last]
 
 
 def told(entries: DataFrame, shelves: int, salts: int, *, earlier: bool) -> DataFrame:
-    """For each document its phrases that an earlier document holds (``earlier``), or
-    that any other document holds: rows (_shelf, _docs, _hashes)."""
+    """For each document its phrases that an earlier document holds (``earlier``), with
+    their sources, or that any other document holds: rows (_shelf, _docs, _hashes,
+    _sources, _places)."""
 
-    def answer(hashes, docs, names, first, last) -> Iterator[pa.RecordBatch]:
+    def answer(hashes: np.ndarray, docs: np.ndarray, names: np.ndarray, first: np.ndarray, place: np.ndarray) -> pa.Table:
         at = np.searchsorted(names, hashes)
         at[at == len(names)] = 0
         keep = (names[at] == hashes) & ((docs > first[at]) if earlier else True) if len(names) else np.zeros(len(hashes), bool)
-        hashes, docs = hashes[keep], docs[keep]
+        hashes, docs, at = hashes[keep], docs[keep], at[keep]
         shelf = docs % shelves
         order = np.lexsort((docs, shelf))
-        shelf, hashes, docs = shelf[order], hashes[order], docs[order]
-        which, cut = np.unique(shelf, return_index=True)
-        cuts = [*cut.tolist(), len(shelf)]
-        spans = list(zip(cuts[:-1], cuts[1:]))
-        return pa.table([pa.array(which.astype(np.int32)), pa.array([docs[a:b].tobytes() for a, b in spans], pa.binary()), pa.array([hashes[a:b].tobytes() for a, b in spans], pa.binary())], names=["_shelf", "_docs", "_hashes"])
+        sources = {"_sources": first[at[order]], "_places": place[at[order]]} if earlier else {}
+        which, rows = _rows(shelf[order], {"_docs": docs[order], "_hashes": hashes[order]} | sources)
+        for c in ("_sources", "_places"):
+            rows.setdefault(c, pa.array([b""] * len(which), pa.binary()))
+        return pa.table([pa.array(which.astype(np.int32)), *rows.values()], names=["_shelf", *rows])
 
-    def shared(names, first, last):
+    def shared(names, first, place, last):
         keep = first < last
-        return names[keep], first[keep], last[keep]
+        return names[keep], first[keep], place[keep], last[keep]
 
     def whole_block(t: pa.Table) -> pa.Table:
-        hashes, docs = _joined(t, "_hashes", np.uint64), _joined(t, "_docs", np.int64)
-        return answer(hashes, docs, *shared(*_firsts(hashes, docs, docs)))
+        hashes, docs, places = _entries(t)
+        out = answer(hashes, docs, *shared(*_firsts(hashes, docs, places, docs))[:3])
+        give_back()
+        return out
 
     if salts == 1:
         return entries.groupBy("_block").applyInArrow(whole_block, _TOLD)
 
     def summary(t: pa.Table, final: bool) -> pa.Table:
-        hashes, docs = _joined(t, "_hashes", np.uint64), _joined(t, "_docs", np.int64)
-        last = _joined(t, "_last", np.int64) if final else docs
-        names, first, last = _firsts(hashes, docs, last)
+        hashes, docs, places = _entries(t)
+        found = _firsts(hashes, docs, places, _joined(t, "_last") if final else docs)
         if final:
-            names, first, last = shared(names, first, last)
-        return pa.table([t.column("_block").slice(0, 1), pa.array([names.tobytes()]), pa.array([first.tobytes()]), pa.array([last.tobytes()])], names=["_block", "_hashes", "_docs", "_last"])
+            found = shared(*found)
+        return pa.table([t.column("_block").slice(0, 1), *(pa.array([x.tobytes()], pa.binary()) for x in found)], names=["_block", "_hashes", "_docs", "_places", "_last"])
 
     def salted(left: pa.Table, right: pa.Table) -> pa.Table:
-        held = [_joined(right, c, k) for c, k in (("_hashes", np.uint64), ("_docs", np.int64), ("_last", np.int64))]
-        return answer(_joined(left, "_hashes", np.uint64), _joined(left, "_docs", np.int64), *held)
+        return answer(*_entries(left)[:2], *_entries(right))
 
-    ddl = "_block int, _hashes binary, _docs binary, _last binary"
+    ddl = "_block int, _hashes binary, _docs binary, _places binary, _last binary"
+    entries = written(entries, "entries")
     by_salt = entries.groupBy("_block", "_salt").applyInArrow(lambda t: summary(t, False), ddl)
-    merged = by_salt.groupBy("_block").applyInArrow(lambda t: summary(t, True), ddl)
+    merged = written(by_salt.groupBy("_block").applyInArrow(lambda t: summary(t, True), ddl), "phrases")
     spread = merged.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return entries.groupBy("_block", "_salt").cogroup(spread.groupBy("_block", "_salt")).applyInArrow(salted, _TOLD)
 
 
-def _per_doc(found: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+def _per_doc(found: pa.Table) -> dict[str, np.ndarray]:
     """Entries of a shelf, in order of (document, hash)."""
-    docs, hashes = _joined(found, "_docs", np.int64), _joined(found, "_hashes", np.uint64)
-    order = np.lexsort((hashes, docs))
-    return docs[order], hashes[order]
-
-
-def _member(ids: np.ndarray, hashes: np.ndarray, found: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-    """Whether (id, hash) is among the entries found; every id stands in one run."""
-    out = np.zeros(len(ids), bool)
-    if len(ids) and len(found[0]):
-        cuts = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
-        for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(ids)]):
-            low, high = np.searchsorted(found[0], ids[a]), np.searchsorted(found[0], ids[a], side="right")
+    columns = {c: x for c in ("_docs", "_hashes", "_sources", "_places") if len(x := _joined(found, c)) or c in ("_docs", "_hashes")}
+    order = np.lexsort((columns["_hashes"], columns["_docs"]))
+    return {c: x[order] for c, x in columns.items()}
+
+
+def _looked_up(ids: np.ndarray, hashes: np.ndarray, found: dict[str, np.ndarray]) -> np.ndarray:
+    """The entry of each (id, hash) among those found, -1 if there is none; every id
+    stands in one run."""
+    out = np.full(len(ids), -1, np.int64)
+    docs, known = found["_docs"], found["_hashes"]
+    if len(ids) and len(docs):
+        cuts = np.flatnonzero(np.append(True, ids[1:] != ids[:-1]))
+        lows, highs = np.searchsorted(docs, ids[cuts]), np.searchsorted(docs, ids[cuts], side="right")
+        for a, b, low, high in zip(cuts.tolist(), [*cuts[1:].tolist(), len(ids)], lows.tolist(), highs.tolist()):
             if high > low:
-                own = found[1][low:high]
-                at = np.minimum(np.searchsorted(own, hashes[a:b]), len(own) - 1)
-                out[a:b] = own[at] == hashes[a:b]
+                at = np.minimum(np.searchsorted(known[low:high], hashes[a:b]), high - low - 1) + low
+                out[a:b] = np.where(known[at] == hashes[a:b], at, -1)
     return out
 
 
-def remove_repeats(docs: DataFrame, *, window: int = 13, anchor: int = 6, shelf_bytes: int = 12 << 20, docs_per_salt: int = 4_000_000, carry: tuple[str, ...] = (), raw: bool = False) -> DataFrame:
+def greedy_factors(held: np.ndarray, source: np.ndarray, place: np.ndarray, window: int) -> tuple[list[tuple[int, int, int, int]], np.ndarray]:
+    """The parse of one document: ``held`` are the places of its windows that have a
+    source, in order. Gives the factors (start, length, source, place there), and which
+    windows are none of a factor's and so cross the end of one."""
+    n = len(held)
+    goes_on = (held[1:] == held[:-1] + 1) & (source[1:] == source[:-1]) & (place[1:] == place[:-1] + 1)
+    run_ends = np.append(np.flatnonzero(~goes_on), n - 1)
+    crossing = np.ones(n, bool)
+    factors, k = [], 0
+    while k < n:
+        last = int(run_ends[np.searchsorted(run_ends, k)])
+        start, end = int(held[k]), int(held[last]) + window
+        factors.append((start, end - start, int(source[k]), int(place[k])))
+        crossing[k : last + 1] = False
+        k = int(np.searchsorted(held, end))
+    return factors, crossing
+
+
+def remove_repeats(
+    docs: DataFrame, *, window: int = 13, anchor: int = 6, shelf_bytes: int = 6 << 20, docs_per_salt: int = 4_000_000, carry: tuple[str, ...] = (), raw: bool = False, factors: bool = False
+) -> DataFrame:
     """(doc_id, n_words, n_removed, kept) of each document, ``kept`` being the words
     that stay, joined by one space; with ``raw`` a text that loses nothing stays as it
-    was. ``carry`` names further columns to keep, which travel with the text."""
+    was. ``carry`` names further columns to keep, which travel with the text as one struct
+    column ``carried``. ``factors`` adds the document's factors: the start and the length
+    in words, the source and the place there."""
     spark = docs.sparkSession
-    texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("_doc"), F.coalesce(F.col("text"), F.lit("")).alias("_text"), *carry)
+    small_batches(spark)
+    others = F.struct(*(F.col(c) for c in carry)) if carry else F.lit(None).cast("boolean")
+    texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("_doc"), F.coalesce(F.col("text"), F.lit("")).alias("_text"), others.alias("carried"))
     n_docs, n_bytes = texts.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("_text")), F.lit(0))).first()
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     shelves = _prime(max(parts, 2, n_bytes // shelf_bytes))
-    # a block per 32 MB of text: its entries fit a task, and a shelf has few rows for it
-    blocks, salts = max(parts, n_bytes // (32 << 20)), 1 + n_docs // docs_per_salt
+    # a block per 16 MB of text: its entries fit a task, and a shelf has few rows for it
+    blocks, salts = max(parts, n_bytes // (16 << 20)), 1 + n_docs // docs_per_salt
 
     def entries_of(t: pa.Table, candidates=None) -> Iterator[pa.RecordBatch]:
-        hashes, owners = [], []
+        hashes, owners, places = [], [], []
         for part in small_tables(t, "_text"):
             w = Windows(part.column("_text"), window, anchor)
             ids = part.column("_doc").to_numpy()[w.doc[w.valid]]
@@ -205,34 +251,43 @@ def remove_repeats(docs: DataFrame, *, window: int = 13, anchor: int = 6, shelf_
                 new = np.ones(len(found), bool)  # neighbouring windows mostly have one anchor
                 new[1:] = (found[1:] != found[:-1]) | (ids[1:] != ids[:-1])
             else:
-                new = _member(ids, found, candidates)
+                new = _looked_up(ids, found, candidates) >= 0
                 found = w.phrases()
+                places.append(w.places()[new])
             hashes.append(found[new])
             owners.append(ids[new])
         if hashes:
-            yield _packed(np.concatenate(hashes), np.concatenate(owners), blocks, salts)
+            yield _packed(np.concatenate(hashes), np.concatenate(owners), np.concatenate(places) if places else None, blocks, salts)
 
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in gathered(batches):
             yield from entries_of(t)
 
     def windows(left: pa.Table, right: pa.Table) -> pa.Table:
-        give_back()
         found = list(entries_of(left, _per_doc(right)))
-        return pa.Table.from_batches(found) if found else pa.table([pa.array([], k) for k in (pa.int32(), pa.int32(), pa.binary(), pa.binary())], names=["_block", "_salt", "_hashes", "_docs"])
+        give_back()
+        names = [x.split()[0] for x in _PACKED.split(", ")]
+        return pa.Table.from_batches(found) if found else pa.table([pa.array([], k) for k in (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary())], names=names)
 
     def parse(left: pa.Table, right: pa.Table) -> pa.Table:
-        give_back()
         found = _per_doc(right)
-        out: list[list] = [[], [], [], []]
+        out: list[list] = [[], [], [], [], []]
         for part in small_tables(left, "_text"):
             w = Windows(part.column("_text"), window, anchor)
             ids = part.column("_doc").to_numpy()
-            held = w.valid[_member(ids[w.doc[w.valid]], w.phrases(), found)]
-            # a held window covers its `window` words
+            at = _looked_up(ids[w.doc[w.valid]], w.phrases(), found)
+            held, at = w.valid[at >= 0], at[at >= 0]
             edge = np.zeros(len(w.hashes) + 1, np.int64)
-            np.add.at(edge, held, 1)
-            np.add.at(edge, held + window, -1)
+            cuts = np.searchsorted(held, w.words)
+            parsed: dict[int, list] = {}
+            for k in np.flatnonzero(np.diff(cuts)).tolist():
+                a, b, base = int(cuts[k]), int(cuts[k + 1]), int(w.words[k])
+                parsed[k], crossing = greedy_factors(held[a:b] - base, found["_sources"][at[a:b]], found["_places"][at[a:b]], window)
+                starts, lengths = np.array([f[:2] for f in parsed[k]], np.int64).T
+                np.add.at(edge, base + starts, 1)
+                np.add.at(edge, base + starts + lengths, -1)
+                np.add.at(edge, held[a:b][crossing], 1)
+                np.add.at(edge, held[a:b][crossing] + window, -1)
             gone = np.cumsum(edge[:-1]) > 0
             n_gone = np.concatenate([[0], np.cumsum(gone)])[w.words]
             octets, texts_of_part = w.octets.tobytes(), part.column("_text")
@@ -247,15 +302,21 @@ def remove_repeats(docs: DataFrame, *, window: int = 13, anchor: int = 6, shelf_
                 out[1].append(b - a)
                 out[2].append(int(n_gone[k + 1] - n_gone[k]))
                 out[3].append(kept)
-        return pa.table([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.binary()).cast(pa.string()), *(left.column(c) for c in carry)], names=["_doc", "n_words", "n_removed", "kept", *carry])
+                out[4].append([dict(zip(("start", "length", "source", "source_start"), f)) for f in parsed.get(k, ())] if factors else None)
+        kind = pa.list_(pa.struct([(c, pa.int64()) for c in ("start", "length", "source", "source_start")]))
+        columns = [pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.binary()).cast(pa.string()), pa.array(out[4], kind), left.column("carried")]
+        give_back()
+        return pa.table(columns, names=["_doc", "n_words", "n_removed", "kept", "factors", "carried"])
 
-    schema = T.StructType([T.StructField("_doc", T.LongType()), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept", T.StringType()), *(docs.schema[c] for c in carry)])
+    longs = [T.StructField(c, T.LongType()) for c in ("_doc", "n_words", "n_removed")]
+    schema = T.StructType([*longs, T.StructField("kept", T.StringType()), T.StructField("factors", T.DataType.fromDDL(_FACTORS)), texts.schema["carried"]])
     shelved = texts.withColumn("_shelf", F.pmod("_doc", F.lit(shelves)).cast("int"))
     shared = told(texts.select("_doc", "_text").mapInArrow(anchors, _PACKED), shelves, salts, earlier=False)
     candidates = shelved.groupBy("_shelf").cogroup(shared.groupBy("_shelf")).applyInArrow(windows, _PACKED)
     held = told(candidates, shelves, salts, earlier=True)
     parsed = shelved.groupBy("_shelf").cogroup(held.groupBy("_shelf")).applyInArrow(parse, schema)
-    return parsed.select(F.when(F.col("_doc") != _LAST, F.col("_doc")).alias("doc_id"), "n_words", "n_removed", "kept", *carry)
+    more = ["carried"] * bool(carry) + ["factors"] * factors
+    return parsed.select(F.when(F.col("_doc") != _LAST, F.col("_doc")).alias("doc_id"), "n_words", "n_removed", "kept", *more)
 
 
 def kept_digest(kept: str = "kept"):

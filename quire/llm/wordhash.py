@@ -60,9 +60,11 @@ def hashed_words(octets: np.ndarray, bounds: np.ndarray, ends_word: np.ndarray =
     ends = np.flatnonzero(closes) + 1
     lengths = ends - starts
     at = np.flatnonzero(~space)
-    place = np.arange(len(at)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-    values = table[octets[at]] * _powers(int(lengths.max()))[place]
-    hashes = mixed(np.add.reduceat(values, np.cumsum(lengths) - lengths) + lengths.astype(np.uint64))
+    first = np.cumsum(lengths) - lengths
+    values = table[octets[at]]
+    at = np.arange(len(at)) - np.repeat(first, lengths)
+    values *= _powers(int(lengths.max()))[at]
+    hashes = mixed(np.add.reduceat(values, first) + lengths.astype(np.uint64))
     return hashes, starts, ends, np.searchsorted(starts, bounds)
 
 
@@ -76,7 +78,7 @@ def grams(hashes: np.ndarray, k: int) -> np.ndarray:
     return mixed(out)
 
 
-def small_tables(t: pa.Table, column: str = "text", max_bytes: int = 4 << 20) -> Iterator[pa.Table]:
+def small_tables(t: pa.Table, column: str = "text", max_bytes: int = 512 << 10) -> Iterator[pa.Table]:
     """Slices of ``t`` with at most ``max_bytes`` of text, or one row."""
     _, bounds = raw_bytes(t.column(column))
     i = 0

@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pyarrow as pa
 import pytest
+from odd_rows import LOW, ROWS, SCHEMA, WORD, words
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -16,30 +17,6 @@ from quire.llm import bitplanes, decontaminate, hostrules, langid, neardup, pack
 from quire.llm.queries import TOKENIZER
 from quire.llm.tokens import CachedEncoder
 
-LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-WORD = re.compile(r"[^\x20\x09-\x0D]+")
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, _doc int, size string, label string, _hash string"
-
-
-def made():
-    r = random.Random(7)
-    vocab = ["".join(r.choice("abcdefgh") for _ in range(r.randint(1, 6))) for _ in range(400)]
-    prose = lambda n: " ".join(r.choice(vocab) for _ in range(n))
-    passage = prose(60)
-    base = prose(120)
-    texts = [None, "", "   ", "one", "A b  c\n\nd", "é ü 日本 語 x y", "x" * 30_000, prose(12), prose(13)]
-    texts += [base, base, base.upper(), base + " tail", " ".join(base.split()[:100] + prose(20).split())]
-    texts += [prose(20) + "\n" + passage + "\n" + prose(15) for _ in range(6)]
-    texts += ["la la la la la " * 30, "\n".join(["same line here"] * 5 + ["other"]), prose(3000), "<|endoftext|> a  b \n \n c "]
-    texts += [prose(80) for _ in range(20)]
-    rows = [(i, t, "en", f"h{i % 3}", None, i, "s", "l", "h") for i, t in enumerate(texts)]
-    rows.append(rows[9])  # a repeated row
-    rows.append((None, base, None, None, None, None, None, None, None))
-    return rows
-
-
-ROWS = made()
-
 
 @pytest.fixture(scope="module")
 def docs(spark):
@@ -51,16 +28,11 @@ def none(spark):
     return spark.createDataFrame([], SCHEMA)
 
 
-def words(text):
-    return WORD.findall(text or "")
-
-
 @pytest.mark.parametrize("kind", ["byte", "bit"])
 def test_planes_round_trip(spark, docs, none, tmp_path, kind):
     bitplanes.write_token_planes(docs, str(tmp_path / "p"), tokenizer=TOKENIZER, kind=kind, block_ids=64, chunk_ids=500)
     got = [tuple(r) for r in bitplanes.read_token_planes(spark, str(tmp_path / "p"), with_ids=True).orderBy("start").collect()]
     t, start = Tokenizer.from_file(TOKENIZER), 0
-    t.encode_special_tokens = True
     order = sorted(((-1 if r[0] is None else r[0]), r[1] or "") for r in ROWS)
     assert len(got) == len(order)
     for (doc, at, n, crc, ids), (want, text) in zip(got, order):
@@ -112,26 +84,67 @@ def test_substring(docs, none, salts):
     assert substring.remove_repeats(none).count() == 0
 
 
+@pytest.mark.parametrize("salts", [4_000_000, 7])
+def test_factors(spark, docs, salts):
+    """Each factor is a copy of its source, no factor could go on or begin earlier, and words
+    of windows across the ends of factors go too."""
+    r = random.Random(17)
+    fresh = lambda n: [f"w{r.randrange(10**9)}" for _ in range(n)]
+    a, b, c = fresh(50), fresh(40), fresh(30)
+    joint = a[10:40] + b[5:30]  # two factors; the window across them is in no source
+    table = {1: a, 2: b, 3: a[30:] + b[:20], 4: fresh(5) + joint + fresh(3), 5: a[40:] + b[:10] + c, 6: c[:12], 7: c[2:15] + a}
+    made = spark.createDataFrame([(i, " ".join(w)) for i, w in table.items()], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in substring.remove_repeats(made, docs_per_salt=salts // 2, factors=True).collect()}
+    parsed = {i: [tuple(f) for f in r["factors"]] for i, r in got.items()}
+    assert parsed[1] == parsed[2] == parsed[6] == [] and parsed[3] == [(0, 20, 1, 30), (20, 20, 2, 0)]
+    assert parsed[4] == [(5, 30, 1, 10), (35, 25, 2, 5)]
+    # the factor of 5 is 3's copy of the seam, the one of 7 is 5's of c
+    assert parsed[5] == [(0, 20, 3, 10)] and parsed[7] == [(0, 13, 5, 22), (13, 50, 1, 0)]
+    words_by_id = {r[0]: words(r[1]) for r in ROWS if r[0] is not None}
+    rows = substring.remove_repeats(docs, docs_per_salt=salts, factors=True).where("doc_id is not null").collect()
+    assert any(r["factors"] for r in rows)
+    for r in rows:
+        w, at = words_by_id[r["doc_id"]], 0
+        for start, length, source, place in (tuple(f) for f in r["factors"]):
+            assert source < r["doc_id"] and start >= at and length >= 13
+            assert w[start : start + length] == words_by_id[source][place : place + length]
+            at = start + length
+
+
+def shards_of(table, **how):
+    rows = sharding.shard_by_bytes(table, **how).collect()
+    assert Counter((r["doc_id"], r["size"], r["text_crc32"]) for r in rows) == Counter((r["doc_id"], len((r["text"] or "").encode()) + 1, zlib.crc32((r["text"] or "").encode())) for r in table.select("doc_id", "text").collect())
+    slots, load, places = defaultdict(list), Counter(), defaultdict(set)
+    for r in rows:
+        slots[r["shard"]].append(r["slot"])
+        load[r["shard"]] += r["size"]
+        places[r["text_crc32"], r["size"]].add(r["shard"])
+        assert r["law"] == "bytes" and r["grown_shard"] is None and 0 <= r["shard"] < 16
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+    return load, places
+
+
 def test_sharding(spark, docs, none):
-    for table in (docs, docs.union(spark.range(3000).selectExpr("id + 1000", "'hot text'", *["null"] * 7))):
-        rows = sharding.shard_by_bytes(table).collect()
-        assert Counter(r["doc_id"] for r in rows) == Counter(r["doc_id"] for r in table.collect())
-        slots = defaultdict(list)
-        for r in rows:
-            slots[r["shard"]].append(r["slot"])
-        assert all(sorted(s) == list(range(len(s))) for s in slots.values())
-    small = sharding.shard_by_bytes(spark.range(4000).selectExpr("id as doc_id", "if(id % 3 = 0, 'hot', repeat('x', cast(id % 90 as int))) as text")).groupBy("shard").agg(F.sum("size").alias("s")).collect()
-    sizes = [r["s"] for r in small]
-    assert len(sizes) == 16 and max(sizes) < 1.02 * min(sizes)
-    sizes = {(r[0], r[1], r[2]) for r in sharding.shard_by_bytes(docs).select("doc_id", "size", "text_crc32").collect()}
-    assert sizes == {(r[0], len((r[1] or "").encode()) + 1, zlib.crc32((r[1] or "").encode())) for r in ROWS}
+    """Slots are gapless, bytes near equal, and copies stay together unless they are too many for a shard."""
+    shards_of(docs)
+    shards_of(docs.union(spark.range(3000).selectExpr("id + 1000", "'hot text'", *["null"] * 7)))
+    groups = spark.range(6000).selectExpr("id as doc_id", "if(id % 3 = 0, 'hot', repeat(char(97 + cast(id % 20 as int)), cast(1 + id % 700 as int))) as text")
+    for how in ({}, {"rows_per_range": 50}, {"ranges_per_shard": 4}):
+        load, places = shards_of(groups, **how)
+        assert len(load) == 16 and max(load.values()) < (1.8 if "ranges_per_shard" in how else 1.02) * min(load.values())
+        assert all(len(s) == 1 for s in places.values())
+    third = spark.range(9000).selectExpr("id as doc_id", "if(id % 3 = 0, repeat('h', 300), concat(repeat('x', cast(id % 90 as int)), id)) as text")
+    load, places = shards_of(third)
+    split = [k for k, s in places.items() if len(s) > 1]
+    assert max(load.values()) < 1.02 * min(load.values()) and split == [(zlib.crc32(b"h" * 300), 301)]
+    load, _ = shards_of(spark.range(5000).selectExpr("cast(null as long) as doc_id", "cast(null as string) as text"))  # one row, again and again
+    assert max(load.values()) < 1.35 * min(load.values())
     assert sharding.shard_by_bytes(none).count() == 0
 
 
 def test_packing(docs, none):
     rows = packing.pack(packing.token_pieces(docs, tokenizer=TOKENIZER, capacity=64), capacity=64).collect()
     t = Tokenizer.from_file(TOKENIZER)
-    t.encode_special_tokens = True
     want = Counter()
     for r in ROWS:
         ids = t.encode(r[1] or "", add_special_tokens=False).ids + [2]
@@ -190,7 +203,20 @@ def test_near_duplicates(docs, none):
     assert neardup.near_duplicates(none).count() == 0
 
 
-def test_links_within_a_crowd(spark):
+def test_texts_that_share_an_id(spark):
+    """A doc_id with two texts is one document: what is near either is reachable from both."""
+    r = random.Random(11)
+    fresh = lambda n: [f"w{r.randrange(10**9)}" for _ in range(n)]
+    a, b = fresh(60), fresh(60)
+    rows = [(5, a), (5, b), (7, a + ["x"]), (9, b + ["y"]), (8, fresh(60))]
+    for more, want in (([], 5), ([(3, b)], 3)):
+        docs = spark.createDataFrame([(i, " ".join(w)) for i, w in rows + more], "doc_id long, text string").repartition(3)
+        got = Counter((r["doc_id"], r["component_id"]) for r in neardup.near_duplicates(docs).collect())
+        assert got == Counter([(5, want), (5, want), (7, want), (9, want), (8, 8), *((i, want) for i, _ in more)])
+
+
+@pytest.mark.parametrize("rows_per_hot_key", [1_000_000, 20])
+def test_links_within_a_crowd(spark, rows_per_hot_key):
     """Texts with one long passage in common crowd the table keys without being links; few of them are."""
     r = random.Random(5)
     fresh = lambda n: [f"w{r.randrange(10**9)}" for _ in range(n)]
@@ -202,7 +228,7 @@ def test_links_within_a_crowd(spark):
     links = [(i, j) for j, b in enumerate(sets) for i, a in enumerate(sets[:j]) if 100 * len(a & b) >= 75 * len(a | b)]
     assert len(links) == 40
     docs = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "doc_id long, text string")
-    got = {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(docs, chain=1).collect()}
+    got = {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(docs, rows_per_hot_key=rows_per_hot_key).collect()}
     assert got == {i: i for i in range(len(texts))} | {j: i for i, j in links}
 
 
@@ -247,8 +273,8 @@ def test_decontamination(spark, docs, none, monkeypatch, limit):
     patterns = defaultdict(set)
     for i, x in items:
         w = word.findall((x or "").translate(LOW))
-        for j in range(max(1, len(w) - 12) if w and i is not None else 0):
-            patterns[tuple(w[j : j + 13])].add(str(i))
+        for j in range(max(1, len(w) - 12) if w else 0):  # an item without an id is hit, but not listed
+            patterns[tuple(w[j : j + 13])].update([] if i is None else [str(i)])
     want = Counter()
     for r in ROWS:
         w = word.findall((r[1] or "").translate(LOW))

@@ -48,7 +48,7 @@ _BOX = {
     "font_size": "cast(10 + l_suppkey % 5 as double)",
     "y": "cast(20 * (l_suppkey % 40) + (l_partkey % 2) - 10 - l_suppkey % 5 as double)",
     "height": "1.2e0 * (10 + l_suppkey % 5)",
-    "str": "concat('p', cast(l_partkey as varchar(20)))",
+    "str": "concat('p', cast(l_partkey as varchar(20)), case when l_partkey % 9 = 0 then ' ' else '' end)",
     "flag": "l_returnflag",
     "supp": "l_suppkey",
     "part": "l_partkey",
@@ -194,7 +194,7 @@ def wrap_paginate(spark, sf_dir):
 @query(
     f"WITH {BOXES}, l AS (SELECT *, floor(baseline / 20) AS line FROM boxes), b AS (SELECT *, x - lag(x + width) OVER (PARTITION BY doc_id, page, line ORDER BY x, baseline, ord) AS gap FROM l"
     "), n AS (SELECT *, sum((gap IS NULL OR gap > 1.5 * font_size)::INT) OVER (PARTITION BY doc_id, page ORDER BY line, x, baseline, ord) - 1 AS block FROM b"
-    "), t AS (SELECT *, CASE WHEN x - lag(x + width) OVER w > 0.15 * font_size THEN ' ' || str ELSE str END AS t FROM n WINDOW w AS (PARTITION BY doc_id, page, block ORDER BY x, baseline, ord))"
+    "), t AS (SELECT *, CASE WHEN x - lag(x + width) OVER w > 0.15 * font_size AND NOT suffix(lag(str) OVER w, ' ') THEN ' ' || str ELSE str END AS t FROM n WINDOW w AS (PARTITION BY doc_id, page, block ORDER BY x, baseline, ord))"
     " SELECT doc_id, page, block::BIGINT AS block, string_agg(t, '' ORDER BY x, baseline, ord) AS str, min(x) AS x, round(max(x + width) - min(x), 6) AS width, round(max(y + height) - min(y), 6) AS height, max(font_size) AS font_size, bool_and(bold) AS bold, count(*) AS n_runs FROM t GROUP BY doc_id, page, block"
 )
 def line_block_rows(spark, sf_dir):
@@ -267,7 +267,7 @@ def cover_boxes(spark, sf_dir):
     f"""WITH {BOXES}, q AS (SELECT *, supp % 5 AS s FROM boxes
 ), d AS (SELECT *, width AS rw, height + s AS rh, sqrt(width * width + s * s) AS along, height AS across FROM q
 ), e AS (SELECT *, least(least(along, across), least(rw, rh) * 1.5) AS lh, least(greatest(along, across), greatest(rw, rh) * 1.5) AS rl FROM d
-), f AS (SELECT *, greatest(greatest(1, floor(rh / lh + 0.5)), greatest(1, ceil(length(str) / greatest(1, 2 * rl / greatest(1, 2 * lh / 1.2 * 0.5))))) AS n FROM e
+), f AS (SELECT *, greatest(greatest(1, floor(rh / lh + 0.5)), greatest(1, ceil(length(trim(str)) / greatest(1, 2 * rl / greatest(1, 2 * lh / 1.2 * 0.5))))) AS n FROM e
 ), g AS (SELECT *, greatest(4, least(96, 2 * rh / n / 1.2)) AS fs FROM f
 ), m AS (SELECT doc_id, page, list_sort(list(fs))[len(list(fs)) // 2 + 1] AS md FROM g GROUP BY doc_id, page)
 SELECT g.doc_id, g.page, g.ord, x * 2 + 7 AS x, y * 2 - 3 AS y, round(rw * 2, 6) AS width, round(rh * 2, 6) AS height, round(fs, 6) AS font_size, fs >= md * 1.35 AS bold FROM g JOIN m USING (doc_id, page)"""
@@ -374,12 +374,13 @@ def split_every(spark, sf_dir):
 
 
 @query(
-    "WITH c AS (SELECT conv_id AS doc_id, cast(turn AS INT) AS page FROM conversations) SELECT doc_id, page, 0 AS part FROM c WHERE page <= 1 UNION ALL SELECT doc_id, page, 1 AS part FROM c WHERE page BETWEEN 1 AND 2"
+    "WITH c AS (SELECT conv_id AS doc_id, cast(turn AS INT) AS page, conv_id % 5 < 2 AS bare FROM conversations) SELECT doc_id, page, 0 AS part FROM c WHERE page <= 1 AND NOT bare UNION ALL SELECT doc_id, page, 1 AS part FROM c WHERE page BETWEEN 1 AND 2 AND NOT bare UNION ALL SELECT doc_id, page, page FROM c WHERE bare"
 )
 def split_ranges(spark, sf_dir):
-    """Every conversation has a second turn, so both parts exist."""
+    """Every conversation has a second turn, so both parts exist; some have a blank range, or none."""
     p = turns(spark, sf_dir).select("doc_id", "page")
-    specs = p.select("doc_id").distinct().withColumn("spec", F.lit("1-2, junk, 0, 3-2"))
+    spec = F.when(F.col("doc_id") % 5 == 0, "  ").when(F.col("doc_id") % 5 != 1, "1-2, junk, 0, 3-2")
+    specs = p.select("doc_id").distinct().withColumn("spec", spec)
     return pages.split_by_ranges(p, specs).select("doc_id", "page", "part")
 
 
@@ -393,11 +394,15 @@ def merged_docs(spark, sf_dir):
 
 
 @query(
-    "WITH c AS (SELECT conv_id AS doc_id, cast(turn AS INT) AS page, max(turn) OVER (PARTITION BY conv_id) AS last FROM conversations) SELECT doc_id, page, cast(CASE WHEN last < 2 THEN page WHEN page = 0 THEN 2 WHEN page <= 2 THEN page - 1 ELSE page END AS INT) AS pos FROM c"
+    """WITH c AS (SELECT conv_id AS doc_id, cast(turn AS INT) AS page, max(turn) OVER (PARTITION BY conv_id) AS last FROM conversations)
+SELECT doc_id, page, 'later' AS way, cast(CASE WHEN last < 2 THEN page WHEN page = 0 THEN 2 WHEN page <= 2 THEN page - 1 ELSE page END AS INT) AS pos FROM c
+UNION ALL SELECT doc_id, page, 'sooner', cast(CASE WHEN last < 2 THEN page WHEN page = 2 THEN 0 WHEN page < 2 THEN page + 1 ELSE page END AS INT) FROM c"""
 )
 def moved_pages(spark, sf_dir):
+    """A page moved both ways; documents without both places stay as they are."""
     order = turns(spark, sf_dir).select("doc_id", F.col("page").alias("pos"), "page")
-    return pages.move_page(order, 0, pages.gap_target(3, 0)).select("doc_id", "page", "pos")
+    later = pages.move_page(order, 0, pages.gap_target(3, 0)).withColumn("way", F.lit("later"))
+    return later.unionByName(pages.move_page(order, 2, pages.gap_target(0, 2)).withColumn("way", F.lit("sooner"))).select("doc_id", "page", "way", "pos")
 
 
 @query(

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quire.operators import edits as E
 from quire.operators import pages as P
+from quire.schemas import RUNS
 from quire.sources import readers
 from quire.streaming.states import page_progress, stream_alerts
 
@@ -145,6 +146,13 @@ def test_progress_of_recognition(spark, tmp_path):
     assert sorted(drained(spark, tmp_path, page_progress(stream), "complete", "progress")) == sorted(tuple(r) for r in page_progress(df).collect())
 
 
+def test_runs_without_text_are_dropped(spark, tmp_path):
+    rows = [(1, 0, i, t, 1.0, 2.0, 3.0, 4.0, 5.0, 6.0, "f", False, True) for i, t in enumerate(["a", None, " ", "", "\ufeff", " b "])]
+    spark.createDataFrame(rows, RUNS).write.parquet(str(tmp_path / "runs"))
+    found = readers.read_runs(spark, str(tmp_path / "runs"))
+    assert sorted(r["str"] for r in found.collect()) == [" b ", "a"]
+
+
 def test_trees_come_as_json(spark, tmp_path):
     box = lambda x: {"x0": x, "y0": 0.0, "x1": x + 9, "y1": 8.0}
     line = {"text": "hi there\n\n", "bbox": box(1.0), "rowAttributes": {"row_height": 0.0}, "words": [{"text": " ", "bbox": box(2.0), "is_bold": False}, {"text": "hi", "bbox": box(3.0), "is_bold": True}]}

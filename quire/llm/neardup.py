@@ -14,7 +14,9 @@ paired in full; in a larger group all meet the first one only. Candidates are co
 on full sets: first each class with the one that it shares most keys with, then what is
 left apart. The classes of those larger groups that then still hold several components
 are searched exactly by their rarest shingles (``rare_pairs``). So no pair that shares a
-key is lost, and no group is paired in full unless it is small.
+key is lost, and no group is paired in full unless it is small. What this cannot tell apart
+beforehand are sets that fall only just short of the threshold: a crowd of sets that are all
+nearly similar enough to each other, and not linked, still gives many pairs to confirm.
 
 Nulls: a null text has an empty set, which is linked with nothing; a null doc_id stays
 a row of its own (component_id null) and links nobody. Repeated ids and rows are kept,

@@ -6,8 +6,10 @@ from the mean and the variance of the hosts' own rates; a host whose shrunk rate
 ``max_rate`` is rejected with all its documents.
 
 Nulls: a null text has no words and fails; null hosts form one host; a null doc_id is an
-ordinary row. Repeated rows count and stay, one row each. An empty table gives no rows.
-Columns of the input that clash with an output name are replaced.
+ordinary row. Repeated rows count and stay, one row each; a rate that equals ``max_rate``
+is kept. Very long texts are counted whole. An empty table gives no rows. Columns of the
+input that clash with an output name are not returned by ``judge``; ``keep_good`` returns
+its input's columns as they are.
 """
 
 from __future__ import annotations

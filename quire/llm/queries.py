@@ -91,6 +91,22 @@ SELECT b.doc_id, len(b.ws)::BIGINT AS n_words, (len(b.ws) - coalesce(k.n, 0))::B
 FROM base b LEFT JOIN kept k USING (doc_id)
 """
 
+#: All pairs with a shingle in common, and everything that is reachable from a document.
+OP8_SQL = r"""
+WITH RECURSIVE base AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents
+), sets AS (
+  SELECT DISTINCT doc_id, array_to_string(ws[i:i+4], ' ') AS s FROM (SELECT doc_id, ws, unnest(range(1, greatest(2, len(ws) - 3))) AS i FROM base WHERE len(ws) > 0)
+), sizes AS (SELECT doc_id, count(*) AS n FROM sets GROUP BY doc_id
+), met AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS common FROM sets a JOIN sets b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL
+), links AS (SELECT a, b FROM met JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * common >= 75 * (x.n + y.n - common)
+), ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links
+), reached(doc_id, c) AS (SELECT a, a FROM ways UNION SELECT w.b, r.c FROM reached r JOIN ways w ON w.a = r.doc_id
+), named AS (SELECT doc_id, min(c) AS c FROM reached GROUP BY doc_id)
+SELECT d.doc_id, coalesce(z.n, 0)::BIGINT AS n_shingles, coalesce(m.c, d.doc_id) AS component_id, coalesce(m.c, d.doc_id) = d.doc_id AS kept
+FROM documents d LEFT JOIN sizes z USING (doc_id) LEFT JOIN named m USING (doc_id)
+"""
+
 OP9_SQL = r"""
 WITH docs AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents
@@ -143,4 +159,4 @@ FROM judged j JOIN verdict v ON j.source IS NOT DISTINCT FROM v.source
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_substring_dedup": OP3_SQL, "op9_decontamination": OP9_SQL, "op10_host_rules": OP10_SQL}
+    return {"op3_substring_dedup": OP3_SQL, "op8_near_duplicates": OP8_SQL, "op9_decontamination": OP9_SQL, "op10_host_rules": OP10_SQL}

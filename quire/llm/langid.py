@@ -1,31 +1,34 @@
 """Language identification: multinomial naive Bayes over hashed character n-grams (operator 7).
 
 All documents outside the held-out fold with a language are counted. The matrix of log
-probabilities (buckets x languages) is broadcast; a document's log likelihoods are sums
-of its rows over the document's n-grams, taken for a slice of documents at once.
+probabilities (buckets x languages) is broadcast, 64 MB of it at a time: more than
+``MAX_LANGUAGES`` languages take several scans, merged by document. A document's log
+likelihoods are sums over its n-grams, taken for a slice of documents at once.
 
 Nulls: a null text, or one without a letter, is ``und`` with score 0; rows with a null
 language, and with a null doc_id, are not learned from. Repeated documents keep one row
-each; of equal likelihoods the language first in alphabetical order is taken. Without
-anything to learn from every document is ``und``. Empty tables give no rows. The matrix
-has 2**16 rows, and a column for each language in the data.
+each; of equal likelihoods the language first in alphabetical order is taken. Letters are
+Unicode's (categories L*): number signs are none. Without anything to learn from every
+document is ``und``. Very long texts are read whole. Empty tables give no rows. Other
+columns are not read, whatever their names.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import gathered, held_out, texts_of
+from quire.llm.common import gathered, held_out, passing, row_key, small_batches, texts_of, written
 from quire.llm.wordhash import small_tables
 
 BUCKETS = 1 << 16
-_LETTER = re.compile(r"[^\W\d_]")
+#: Columns of the matrix that are sent at once: 64 MB.
+MAX_LANGUAGES = 256
 
 
 def hashed_grams(texts: list[str], longest: int) -> tuple[list[np.ndarray], np.ndarray]:
@@ -78,37 +81,76 @@ def count_grams(docs: DataFrame, longest: int) -> DataFrame:
     return docs.mapInArrow(run, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
 
 
+def log_matrix(counts: DataFrame, langs: list[str], smoothing: float) -> np.ndarray:
+    """(languages, buckets) log probabilities of ``langs``, at most ``MAX_LANGUAGES``, from
+    counts (lang, bucket, n). Bucket 0 belongs to no n-gram."""
+    rows = counts.where(F.col("lang").isin(langs)).toArrow()
+    matrix = np.full((len(langs), BUCKETS), smoothing)
+    which = {x: k for k, x in enumerate(langs)}
+    at = np.array([which[x] for x in rows.column("lang").to_pylist()], np.int64)
+    matrix[at, rows.column("bucket").to_numpy()] += rows.column("n").to_numpy()
+    matrix = np.log(matrix / matrix.sum(axis=1, keepdims=True)).astype(np.float32)
+    matrix[:, 0] = 0
+    return matrix
+
+
 def identify_language(docs: DataFrame, *, longest: int = 3, smoothing: float = 0.5) -> DataFrame:
     """(doc_id, held_out, lang_pred, score) of each document."""
+    small_batches(docs.sparkSession)
+    with passing(docs.sparkSession) as keep:
+        return _identify_language(docs, longest, smoothing, keep)
+
+
+def _identify_language(docs: DataFrame, longest: int, smoothing: float, keep: list[DataFrame]) -> DataFrame:
     spark = docs.sparkSession
     train = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).select("text", "lang")
-    # at most BUCKETS numbers for each language, packed by Spark
-    cells = count_grams(train, longest).groupBy("lang").agg(F.collect_list(F.struct("bucket", "n")).alias("cells")).collect()
-    langs = sorted(r["lang"] for r in cells)
-    matrix = np.full((BUCKETS, len(langs)), smoothing)
-    for r in cells:
-        at, n = zip(*((c["bucket"], c["n"]) for c in r["cells"])) if r["cells"] else ((), ())
-        matrix[list(at), langs.index(r["lang"])] += n
-    matrix = np.log(matrix / matrix.sum(axis=0)).astype(np.float32) if langs else matrix
-    matrix[0] = 0
-    held = spark.sparkContext.broadcast((langs, np.ascontiguousarray(matrix.T)))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, logs = held.value
-        for t in gathered(batches):
-            for part in small_tables(t):
-                texts = part.column("text").to_pylist()
-                grams, bounds = hashed_grams(texts, longest)
-                total = np.zeros((len(names), len(texts)))
-                for k in range(len(names)):
-                    for g in grams:
-                        total[k] += np.add.reduceat(logs[k][g], bounds[:-1], dtype=np.float64)
-                known = np.array([bool(names) and bool(_LETTER.search(x)) for x in texts])
-                best = total.argmax(axis=0) if names else np.zeros(len(texts), int)
-                # the posterior of the best language under equal priors
-                score = 1 / np.exp(np.maximum(total - total.max(axis=0), -700)).sum(axis=0) if names else np.zeros(len(texts))
-                pred = [names[b] if ok else "und" for b, ok in zip(best.tolist(), known.tolist())]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id").combine_chunks(), pa.array(pred, pa.string()), pa.array(np.where(known, score, 0.0))], names=["doc_id", "lang_pred", "score"])
-
-    scored = texts_of(docs).mapInArrow(run, "doc_id long, lang_pred string, score double")
-    return scored.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+    counts = written(count_grams(train, longest), "grams")
+    langs = sorted(r["lang"] for r in counts.select("lang").distinct().collect())
+    blocks = [langs[i : i + MAX_LANGUAGES] for i in range(0, len(langs), MAX_LANGUAGES)] or [[]]
+
+    def rated(held):
+        """For each text the likeliest language of a block, its log likelihood, and the log
+        of the sum of all likelihoods."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            names, logs = held.value
+            for t in gathered(batches):
+                for part in small_tables(t):
+                    texts = part.column("text").to_pylist()
+                    grams, bounds = hashed_grams(texts, longest)
+                    total = np.zeros((max(len(names), 1), len(texts)))
+                    for k in range(len(names)):
+                        for g in grams:
+                            total[k] += np.add.reduceat(logs[k][g], bounds[:-1], dtype=np.float64)
+                    known = np.array([bool(names) and any(map(str.isalpha, x)) for x in texts])
+                    best, top = total.argmax(axis=0), total.max(axis=0)
+                    whole = top + np.log(np.exp(np.maximum(total - top, -700)).sum(axis=0))
+                    pred = [names[b] if ok else "und" for b, ok in zip(best.tolist(), known.tolist())]
+                    columns = [*(part.column(c).combine_chunks() for c in ("doc_id", "row")), pa.array(known), pa.array(pred, pa.string()), pa.array(top), pa.array(whole)]
+                    yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "row", "known", "lang_pred", "top", "whole"])
+
+        return run
+
+    texts, scans = texts_of(docs).withColumn("row", row_key()), []
+    for block in blocks:
+        held = spark.sparkContext.broadcast((block, log_matrix(counts, block, smoothing)))
+        scans.append(texts.mapInArrow(rated(held), "doc_id long, row long, known boolean, lang_pred string, top double, whole double"))
+        if len(blocks) > 1:  # one block's matrix is held at a time
+            scans[-1] = written(scans[-1].withColumn("block", F.lit(len(scans))), "rated")
+            keep.append(scans[-1])
+            held.destroy()
+    found = scans[0]
+    if len(blocks) > 1:
+        every = reduce(DataFrame.unionByName, scans)
+        most = every.groupBy("doc_id", "row").agg(F.max("top").alias("_top"))
+        every = every.join(most.hint("merge"), (every["doc_id"].eqNullSafe(most["doc_id"])) & (every["row"] == most["row"])).select(every["*"], "_top")
+        first = F.min(F.when(F.col("top") == F.col("_top"), F.col("lang_pred")))
+        merged = every.groupBy("doc_id", "row").agg(
+            F.count(F.when(F.col("block") == 1, 1)).alias("_n"), F.bool_or("known").alias("known"), first.alias("lang_pred"), F.first("_top").alias("top"), F.sum(F.exp(F.col("whole") - F.col("_top"))).alias("_sum")
+        )
+        # repeated rows were summed together
+        merged = merged.withColumn("whole", F.col("top") + F.log(F.col("_sum") / F.col("_n")))
+        found = merged.select("*", F.explode(F.sequence(F.lit(1), F.col("_n").cast("int")))).drop("col")
+    # the posterior of the best language under equal priors
+    score = F.when(F.col("known"), F.least(F.lit(1.0), F.exp(F.col("top") - F.col("whole")))).otherwise(F.lit(0.0))
+    return found.select("doc_id", held_out().alias("held_out"), "lang_pred", score.alias("score"))

@@ -10,13 +10,15 @@ clean word distribution); the evidence of the significant segments is added and
 logistic curve, fitted on labelled documents, turns it into a score.
 
 Labels are learned from at most ``max_labelled`` documents, those with the least hash of
-doc_id, so that the list of labels can be sent to the tasks; the model keeps at most
-``max_words`` words. Both bounds concern the model only: every document is scored whole.
+doc_id, so that the list of labels can be sent to the tasks. The bound concerns the model
+only, whose words are all significant ones of those documents: every document is scored
+whole, however long.
 
 Nulls: a null text is empty and scores as a text without evidence; null labels are left
 out; of repeated labels the greater counts; a null doc_id is scored and never learned
 from. Repeated documents keep one row each. Without labels of both classes the score is
-the share of toxic labels, or 0. Empty tables give no rows.
+the share of toxic labels, or 0. Texts of equal evidence have equal scores. Empty tables
+give no rows. Other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -28,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import gathered, held_out, texts_of, written
+from quire.llm.common import gathered, held_out, passing, texts_of, written
 from quire.llm.wordhash import FOLDED, hashed_words, raw_bytes, small_tables
 
 #: Bytes that end a word: ASCII other than letters and digits.
@@ -83,7 +85,7 @@ def count_words(labelled: DataFrame) -> DataFrame:
     return rows.groupBy("word").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
 
 
-def weighted_words(counts: DataFrame, *, prior: float, min_z: float, min_odds: float, max_words: int) -> tuple[list, tuple[int, int]]:
+def weighted_words(counts: DataFrame, *, prior: float, min_z: float, min_odds: float) -> tuple[list, tuple[int, int]]:
     """(word, log odds, clean count, toxic count) of the significant words, and totals."""
     n0, n1 = counts.agg(F.coalesce(F.sum("clean"), F.lit(0)), F.coalesce(F.sum("toxic"), F.lit(0))).first()
     if not n0 or not n1:
@@ -92,8 +94,23 @@ def weighted_words(counts: DataFrame, *, prior: float, min_z: float, min_odds: f
     y1, y0 = F.col("toxic") + alpha, F.col("clean") + alpha
     odds = F.log(y1 / (F.lit(n1 + whole) - y1)) - F.log(y0 / (F.lit(n0 + whole) - y0))
     rated = counts.where("toxic > 1").select("word", odds.alias("odds"), (odds / F.sqrt(1 / y1 + 1 / y0)).alias("z"), "clean", "toxic")
-    best = rated.where((F.col("z") >= min_z) & (F.col("odds") >= min_odds)).orderBy(F.desc("z"), "word").limit(max_words)
-    return [tuple(r) for r in best.select("word", "odds", "clean", "toxic").collect()], (n0, n1)
+    best = rated.where((F.col("z") >= min_z) & (F.col("odds") >= min_odds))
+    # words of the labelled documents only, whose number is bounded
+    return sorted(tuple(r) for r in best.select("word", "odds", "clean", "toxic").collect()), (n0, n1)
+
+
+def least_hashed(known: DataFrame, most: int) -> DataFrame:
+    """The rows (doc_id, ..) with the least hashes of doc_id, about ``most`` of them and
+    never more: the cutoff comes from counts by the hash's top bits."""
+    slot = F.shiftrightunsigned(F.xxhash64("doc_id"), 48)
+    counts = sorted(tuple(r) for r in known.groupBy(slot.alias("slot")).count().collect())
+    total, cutoff = 0, 0
+    for s, n in counts:
+        total += n
+        if total > most:
+            break
+        cutoff = s + 1
+    return known.where(slot < cutoff)
 
 
 def chance_law(model: list, totals: tuple[int, int], rest: float) -> tuple[float, float]:
@@ -159,23 +176,26 @@ def logistic_curve(bins: list[tuple[float, int, int]]) -> tuple[float, float]:
 
 
 def score_toxicity(
-    docs: DataFrame, labels: DataFrame, *, threshold: float = 0.3, max_labelled: int = 400_000, max_words: int = 50_000, prior: float = 0.1, min_z: float = 3.5, min_odds: float = 1.5, drift: float = 0.05
+    docs: DataFrame, labels: DataFrame, *, threshold: float = 0.3, max_labelled: int = 400_000, prior: float = 0.1, min_z: float = 3.5, min_odds: float = 1.5, drift: float = 0.05
 ) -> DataFrame:
     """(doc_id, held_out, score, predicted) of each document."""
-    spark = docs.sparkSession
+    with passing(docs.sparkSession) as keep:
+        found, (a, b) = _rated(docs, labels, max_labelled, prior, min_z, min_odds, drift)
+        keep.append(found)
+    score = 1 / (1 + F.exp(-(F.lit(a) + F.lit(b) * F.least("evidence", F.lit(100.0)))))
+    return found.select("doc_id", held_out().alias("held_out"), score.alias("score"), (score >= threshold).cast("int").alias("predicted"))
+
+
+def _rated(docs: DataFrame, labels: DataFrame, max_labelled: int, prior: float, min_z: float, min_odds: float, drift: float) -> tuple[DataFrame, tuple[float, float]]:
+    """(doc_id, evidence) of each document, and the curve that makes scores of it."""
     known = labels.where("toxic in (0, 1) and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("long").alias("label"))
-    known = written(known.where(~held_out()).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled), "labels")
+    known = written(least_hashed(written(known.where(~held_out()), "labelled"), max_labelled), "labels")
     counts = written(count_words(texts_of(docs).join(F.broadcast(known), "doc_id").select("text", "label")), "words")
-    model, totals = weighted_words(counts, prior=prior, min_z=min_z, min_odds=min_odds, max_words=max_words)
+    model, totals = weighted_words(counts, prior=prior, min_z=min_z, min_odds=min_odds)
     mass = [sum(m[2 + c] for m in model) / max(totals[c], 1) for c in (0, 1)]
-    rest = float(np.log((1 - mass[1]) / (1 - mass[0]))) - drift if model else -drift
+    rest = float(np.log(max(1 - mass[1], 1e-6) / max(1 - mass[0], 1e-6))) - drift if model else -drift
     found = written(evidence(docs, model, rest, chance_law(model, totals, rest) if model else (1.0, 1.0)), "evidence")
     binned = found.join(F.broadcast(known), "doc_id").groupBy(F.least(F.ceil(F.col("evidence") * 2), F.lit(200)).alias("bin")).agg(F.sum(1 - F.col("label")), F.sum("label")).collect()
     bins = [(r[0] / 2, r[1], r[2]) for r in binned]
     toxic, every = sum(b[2] for b in bins), sum(b[1] + b[2] for b in bins)
-    if 0 < toxic < every:
-        a, b = logistic_curve(bins)
-    else:
-        a, b = (30.0 if toxic else -30.0), 0.0
-    score = 1 / (1 + F.exp(-(F.lit(a) + F.lit(b) * F.least("evidence", F.lit(100.0)))))
-    return found.select("doc_id", held_out().alias("held_out"), score.alias("score"), (score >= threshold).cast("int").alias("predicted"))
+    return found, logistic_curve(bins) if 0 < toxic < every else (30.0 if toxic else -30.0, 0.0)

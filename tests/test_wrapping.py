@@ -45,7 +45,7 @@ def box(i, *runs):
 def test_wrap_runs(spark):
     schema = f"id long, runs array<{STYLED_RUN}>, font_size double, font_family string, bold boolean, italic boolean, color string"
     rows = [
-        box(1, ("Hello ", None), ("world", True)), box(2, ("Hello wonderful ", None), ("bold world", True)), box(3, ("line one\nline two", None)), box(4, ("trailing   ", None)),
+        box(1, ("Good ", None), ("day", True)), box(2, ("Seven bright ", None), ("red kites", True)), box(3, ("top row\nlow row", None)), box(4, ("ends   ", None)),
         box(5, ("a\n\n  \nb\n", None)), box(6, ("", None)), box(7, ("one ", None), ("two", False), (" three", True)), box(8, ("aa  ", None), ("  bb", None)),
     ]
     widths = spark.createDataFrame([("Helvetica-b", "w", 2.0)], "font string, char string, em double")
@@ -56,9 +56,9 @@ def test_wrap_runs(spark):
         lines[r["id"]][r["line"]].append(r["text"])
         assert abs(r["width"] - sum((2.0 if r["font"] == "Helvetica-b" and c == "w" else 0.6) * 10 for c in r["text"])) < 1e-9
     found = {i: [v[k] for k in sorted(v)] for i, v in lines.items()}
-    assert found[1] == [["Hello ", "world"]]
-    assert " ".join("".join(x) for x in found[2]).split() == "Hello wonderful bold world".split() and len(found[2]) > 1
-    assert found[3] == [["line one"], ["line two"]] and found[4] == [["trailing"]]
+    assert found[1] == [["Good ", "day"]]
+    assert " ".join("".join(x) for x in found[2]).split() == "Seven bright red kites".split() and len(found[2]) > 1
+    assert found[3] == [["top row"], ["low row"]] and found[4] == [["ends"]]
     assert found[5] == [["a"], [""], [""], ["b"], [""]] and found[6] == [[""]]
     assert found[7] == [["one two", " three"]]  # a style that equals the box's own is no style
     assert found[8] == [["aa    bb"]]

@@ -10,8 +10,8 @@ repeated tasks leave no torn chunk, and any store that Spark reaches will do.
 
 Nulls: a null text is an empty one (its ids are the end id alone); a null doc_id
 sorts first. Repeated ids and rows are all kept, ordered by id and then by text.
-Empty input gives an empty data set. Other columns are not read. A document longer
-than ``chunk_ids`` has a chunk of its own.
+Empty input gives an empty data set. Other columns are not read, whatever their names. A
+document longer than ``chunk_ids`` has a chunk of its own.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm.common import gathered, sliced, texts_of
+from quire.llm.common import gathered, sliced, small_batches, texts_of
 from quire.llm.tokens import encoder
 
 CHUNK_DDL = (
@@ -78,13 +78,16 @@ def unpack_chunk(n_ids: int, block_ids: int, kind: str, n_planes: list[int], siz
 
 
 def write_token_planes(
-    docs: DataFrame, path: str, *, tokenizer: str, end_id: int = 0, block_ids: int = 16384, chunk_ids: int = 1 << 18, kind: str = "byte", level: int = 1, n_files: int | None = None
+    docs: DataFrame, path: str, *, tokenizer: str, end_id: int = 0, block_ids: int = 16384, chunk_ids: int = 1 << 18, kind: str = "byte", level: int = 1, file_bytes: int = 128 << 20
 ) -> None:
     """Encode ``docs`` and write the ids in ascending doc_id order under ``path``.
 
-    Only a range shuffle of (doc_id, text) is needed; ids are never shuffled.
+    Only a range shuffle of (doc_id, text) is needed; ids are never shuffled. There is a
+    file for each task, and a task for each ``file_bytes`` of text, or as many as Spark's
+    shuffles have if that is more.
     """
-    n_files = n_files or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n_bytes = texts_of(docs).agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n_files = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), n_bytes // file_bytes)
     schema = pa.schema(
         [("shard", pa.int32()), ("chunk", pa.int32()), ("first_id", pa.int64()), ("n_ids", pa.int64()), ("block_ids", pa.int32()), ("plane_kind", pa.string()), ("n_planes", pa.list_(pa.int32()))]
         + [("plane_sizes", pa.list_(pa.int32())), ("payload", pa.binary()), ("doc_ids", pa.list_(pa.int64())), ("doc_lens", pa.list_(pa.int64()))]
@@ -136,6 +139,7 @@ def read_token_planes(spark: SparkSession, path: str, *, with_ids: bool = False)
     for shard, n in sorted(chunks.groupBy("shard").agg(F.sum("n_ids")).collect()):
         bases.append((shard, base))
         base += n
+    small_batches(spark)
     ddl = "shard int, doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<long>" * with_ids
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -151,6 +155,7 @@ def read_token_planes(spark: SparkSession, path: str, *, with_ids: bool = False)
                     columns.append(pa.array([ids[s:e] for s, e in zip(starts, ends)], pa.list_(pa.int64())))
                 yield pa.RecordBatch.from_arrays(columns, names=["shard", "doc_id", "start", "n_tokens", "ids_crc32", "ids"][: len(columns)])
 
+    # a row for each file, some 20 bytes
     held = spark.createDataFrame(bases, "shard int, base long")
     rows = chunks.mapInArrow(decode, ddl).join(F.broadcast(held), "shard")
     return rows.select("doc_id", (F.col("start") + F.col("base")).alias("start"), "n_tokens", "ids_crc32", *["ids"] * with_ids)

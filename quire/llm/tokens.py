@@ -25,8 +25,8 @@ class CachedEncoder:
     following ``" " + word``. Distinct words come from Arrow's dictionary encoding;
     up to ``max_words`` stay in the cache, the rest are encoded again.
 
-    A text that spells an added token out, such as ``<|endoftext|>``, is encoded as
-    ordinary text: ``encode_special_tokens`` is set, which the library's default is not.
+    A text that spells an added token out, such as ``<|endoftext|>``, is encoded whole, so
+    that it gets the ids that the library gives it.
     """
 
     def __init__(self, path: str, max_words: int = 600_000):
@@ -34,7 +34,8 @@ class CachedEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        added = sorted(t.content for t in self.tokenizer.get_added_tokens_decoder().values())
+        self.whole = "|".join([_WHOLE, *(rf"\Q{t}\E" for t in added)])
         vocab = self.tokenizer.get_vocab(with_added_tokens=True)
         self.n_bytes = np.zeros(max(vocab.values(), default=0) + 1, np.int64)
         for token, i in vocab.items():
@@ -69,7 +70,7 @@ class CachedEncoder:
         n = len(texts)
         if not n:
             return np.zeros(0, np.uint32), np.zeros(1, np.int64)
-        whole = pc.match_substring_regex(texts, _WHOLE)
+        whole = pc.match_substring_regex(texts, self.whole)
         split = pc.split_pattern(pc.if_else(whole, "", texts), " ")
         bounds = np.asarray(split.offsets, dtype=np.int64)
         flat = pc.dictionary_encode(split.flatten())

@@ -8,7 +8,8 @@ left is packed best fit, longest first, as counts of equal lengths. The plan is
 list of (lengths, repeats); ranks within a length then tell every piece its sequence.
 
 Nulls: a null text is an empty one (the end id alone); null and repeated doc_ids are
-ordinary documents. Empty input gives no rows. Other columns are not read.
+ordinary documents; equal ones are placed in any order. A very long text is encoded whole
+and cut. Empty input gives no rows. Other columns are not read, whatever their names.
 """
 
 from __future__ import annotations

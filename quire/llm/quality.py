@@ -10,7 +10,9 @@ computed once and sent to the tasks.
 Nulls: a null text is an empty one and gets a score; labels that are null are left out;
 of repeated labels the greater counts; a null doc_id is scored and never learned from.
 Repeated documents keep one row each. Without labels of both classes every score is the
-share of the class that is there, or 0.5. Empty tables give no rows.
+share of the class that is there, or 0.5. Texts of equal statistics have equal scores;
+very long texts are read whole. Empty tables give no rows. Other columns are not read,
+whatever their names.
 """
 
 from __future__ import annotations

@@ -7,14 +7,18 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from quire.llm.bitplanes import read_token_planes, write_token_planes
 from quire.llm.common import read_table, shared_dir
 from quire.llm.decontaminate import decontaminate
+from quire.llm.fingerprints import fingerprint_edits
+from quire.llm.hardnegatives import mine_hard_negatives
 from quire.llm.hostrules import judge
 from quire.llm.langid import identify_language
 from quire.llm.neardup import near_duplicates
 from quire.llm.packing import pack, token_pieces
+from quire.llm.prefixtrie import prefix_trie
 from quire.llm.quality import score_quality
 from quire.llm.sharding import shard_by_bytes
 from quire.llm.substring import kept_digest, remove_repeats
@@ -67,8 +71,21 @@ def op10_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(read_table(spark, sf_dir, "documents"))
 
 
+def op11_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint_edits(read_table(spark, sf_dir, "documents"))
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie(read_table(spark, sf_dir, "conversations"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return mine_hard_negatives(read_table(spark, sf_dir, "embeddings").withColumn("label", label))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_token_planes, op2_quality, op3_substring_dedup, op4_sharding, op5_packing, op6_toxicity, op7_language, op8_near_duplicates, op9_decontamination, op10_host_rules]
+    found = [op1_token_planes, op2_quality, op3_substring_dedup, op4_sharding, op5_packing, op6_toxicity, op7_language, op8_near_duplicates, op9_decontamination, op10_host_rules, op11_fingerprints, op12_prefix_trie, op13_hard_negatives]
     return {f.__name__: f for f in found}
 
 
@@ -158,5 +175,52 @@ FROM judged j JOIN verdict v ON j.source IS NOT DISTINCT FROM v.source
 """
 
 
+#: Rebuilt conversations by the CRC of their ids, bit by bit; a node is a list of turns.
+OP12_SQL = r"""
+WITH RECURSIVE convs AS (
+  SELECT DISTINCT conv_id AS c, conv_id - ((conv_id % 5) + 5) % 5 AS base, conv_id::VARCHAR AS s FROM conversations WHERE conv_id IS NOT NULL
+), crc(c, base, s, i, v) AS (
+  SELECT c, base, s, 0, 4294967295::BIGINT FROM convs
+  UNION ALL
+  SELECT c, base, s, i + 1, list_reduce([xor(v, ascii(s[i + 1])::BIGINT)] || range(8), lambda x, _: CASE WHEN x % 2 = 1 THEN xor(x >> 1, 3988292384::BIGINT) ELSE x >> 1 END) FROM crc WHERE i < length(s)
+), heads AS (
+  SELECT c, base, xor(v, 4294967295::BIGINT) % 9 AS h FROM crc WHERE i = length(s)
+), own AS (
+  SELECT conv_id AS c, list({'r': coalesce(role, ''), 't': coalesce(text, '')} ORDER BY turn NULLS FIRST, role, text) AS ts FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id
+), rebuilt AS (
+  SELECT h.c, CASE WHEN h.c = h.base THEN o.ts ELSE coalesce(b.ts[1:h.h], []) || coalesce(o.ts[h.h + 1:], []) END AS ts
+  FROM heads h JOIN own o ON o.c = h.c LEFT JOIN own b ON b.c = h.base
+), on_path AS (
+  SELECT c, ts, unnest(range(0, len(ts) + 1)) AS depth FROM rebuilt
+), nodes AS (
+  SELECT depth, ts[1:depth] AS k, min(c) AS conv_id, count(*) AS n_convs, coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (len(ts) = depth), '') AS ends FROM on_path GROUP BY ALL
+), valued AS (
+  SELECT *, CASE WHEN depth > 0 THEN (n_convs - 1) * strlen(k[-1].t) ELSE 0 END AS v, count(*) OVER (PARTITION BY depth, k[1:depth - 1]) AS siblings FROM nodes
+), children AS (
+  SELECT depth - 1 AS depth, k[1:depth - 1] AS k, count(*) AS n FROM nodes WHERE depth > 0 GROUP BY ALL
+), told AS (
+  SELECT v.*, coalesce(n, 0) AS n_children FROM valued v LEFT JOIN children USING (depth, k)
+), sums AS (
+  SELECT d AS depth, k[1:d] AS k, sum(v) AS saved_tokens, count(*) FILTER (n_children = 0) AS n_leaves FROM (SELECT *, unnest(range(0, depth + 1)) AS d FROM told) GROUP BY ALL
+)
+SELECT t.conv_id, t.depth, p.conv_id AS parent_conv_id, t.n_convs, t.n_children, s.n_leaves, s.saved_tokens::BIGINT AS saved_tokens, sha256(t.ends) AS ends_sha256
+FROM told t JOIN sums s USING (depth, k) LEFT JOIN nodes p ON p.depth = t.depth - 1 AND p.k = t.k[1:t.depth - 1]
+"""
+
+OP13_SQL = r"""
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id AS other, a.label = b.label AS same, list_dot_product(a.e, b.e)::BIGINT AS s FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0
+), near AS (
+  SELECT anchor_id, other AS positive_id, s AS positive_score FROM scored WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY s DESC, other) <= 5
+)
+SELECT n.anchor_id, n.positive_id, (row_number() OVER w)::INT AS rank, f.other AS negative_id, n.positive_score, f.s AS negative_score
+FROM near n JOIN scored f ON f.anchor_id = n.anchor_id AND NOT f.same AND 100 * f.s BETWEEN 30 * n.positive_score AND 90 * n.positive_score
+WINDOW w AS (PARTITION BY n.anchor_id, n.positive_id ORDER BY f.s DESC, f.other) QUALIFY rank <= 10
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_substring_dedup": OP3_SQL, "op8_near_duplicates": OP8_SQL, "op9_decontamination": OP9_SQL, "op10_host_rules": OP10_SQL}
+    return {"op3_substring_dedup": OP3_SQL, "op8_near_duplicates": OP8_SQL, "op9_decontamination": OP9_SQL, "op10_host_rules": OP10_SQL, "op12_prefix_trie": OP12_SQL, "op13_hard_negatives": OP13_SQL}

@@ -25,7 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.llm.common import gathered, texts_of, written
@@ -46,10 +46,13 @@ class Sketch:
     def __init__(self, hashes: np.ndarray, bound: int):
         self.hashes, self.bound = hashes, bound
 
-    def text(self) -> str:
-        """Eight base64 characters for the bound less one, and eight for each hash."""
+    def raw(self) -> bytes:
+        """Six bytes for the bound less one, and six for each hash."""
         numbers = np.concatenate([np.array([self.bound - 1], np.uint64), self.hashes])
-        return base64.b64encode(np.ascontiguousarray(numbers.astype(">u8")).view(np.uint8).reshape(-1, 8)[:, 2:].tobytes()).decode()
+        return np.ascontiguousarray(numbers.astype(">u8")).view(np.uint8).reshape(-1, 8)[:, 2:].tobytes()
+
+    def text(self) -> str:
+        return base64.b64encode(self.raw()).decode()
 
     @staticmethod
     def parsed(text: str) -> Sketch:
@@ -86,7 +89,7 @@ def compared(a: Sketch, b: Sketch) -> tuple[float, float, float]:
 def sketches(texts: pa.Array, share: int = SHARE, least: int = LEAST) -> list[Sketch]:
     """The sketches of texts without nulls."""
     hashes, _, _, bounds = hashed_words(*raw_bytes(texts), WHITE, FOLDED)
-    runs, out = grams(hashes, WORDS) >> np.uint64(16), []
+    runs, out = grams(np.concatenate([hashes, np.zeros(WORDS, np.uint64)]), WORDS) >> np.uint64(16), []
     for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
         if b - a >= WORDS:
             found = runs[a : b - WORDS + 1]
@@ -112,13 +115,13 @@ def _judged(texts: list[str], following: list[str], share: int, least: int, max_
         c = (a[1:] if chained else []) + sketches(pa.array(following[j - 1 : j] if chained else following[i:j], pa.large_string()), share, least)
         for t, e, x, y, z in zip(own, edited, a, b, c):
             (near_edited, in_edited, _), (near_next, in_next, _) = compared(x, y), compared(x, z)
-            out.append((len(t), hashlib.sha256(e.encode()).hexdigest(), x.text(), y.text(), near_edited, near_next, in_edited, in_next))
+            out.append((len(t), hashlib.sha256(e.encode()).hexdigest(), x.raw(), y.raw(), near_edited, near_next, in_edited, in_next))
         i = j
     return out
 
 
-_JUDGED = [("n_chars", "long"), ("edited_sha256", "string"), ("fingerprint", "string"), ("edited_fingerprint", "string"), ("near_edited", "double"), ("near_next", "double"), ("in_edited", "double"), ("in_next", "double")]
-_KINDS = {"long": pa.int64(), "string": pa.string(), "double": pa.float64()}
+_JUDGED = [("n_chars", "long"), ("edited_sha256", "string"), ("fingerprint", "binary"), ("edited_fingerprint", "binary"), ("near_edited", "double"), ("near_next", "double"), ("in_edited", "double"), ("in_next", "double")]
+_KINDS = {"long": pa.int64(), "string": pa.string(), "binary": pa.binary(), "double": pa.float64()}
 _DDL = "doc_id long, " + ", ".join(f"{n} {k}" for n, k in _JUDGED)
 
 
@@ -167,8 +170,5 @@ def fingerprint_edits(docs: DataFrame, share: int = SHARE, least: int = LEAST) -
     after = parts.withColumn("next", F.coalesce(F.lead("part").over(Window.orderBy("part")), F.min("part").over(Window.partitionBy(F.lit(0)))))
     firsts = done.where("end = 'first'").select(F.col("part").alias("next"), F.col("text").alias("following"))
     lasts = done.where("end = 'last'").select("doc_id", "part", "text").join(after.hint("merge"), "part").join(firsts.hint("merge"), "next")
-    return done.where("end is null").select(*_columns()).unionByName(lasts.select("doc_id", "text", "following").mapInArrow(join_ends, _DDL))
-
-
-def _columns() -> list[Column]:
-    return [F.col("doc_id"), *(F.col(n) for n, _ in _JUDGED)]
+    found = done.where("end is null").drop("part", "end", "text").unionByName(lasts.select("doc_id", "text", "following").mapInArrow(join_ends, _DDL))
+    return found.select("doc_id", *((F.replace(F.base64(n), F.lit("\r\n"), F.lit("")) if k == "binary" else F.col(n)).alias(n) for n, k in _JUDGED))

@@ -182,7 +182,7 @@ class Shard:
             children, leaves, saved = (total(below[k]) for k in ("children", "leaves", "saved"))
             size = self.size[starts, j - 1] if j else np.zeros(len(starts), np.int64)
             depth = self.segment[starts] * SEGMENT + j
-            ending = np.add.reduceat(((self.lengths == j) & ~self.goes_on).astype(np.int64), all_starts)[real]  # they come first in a run
+            ending = np.add.reduceat(((self.lengths == j) & ~self.goes_on).astype(np.int64), all_starts)[real]
             closed = ~is_open
             leaves_in = leaves + (closed & (children == 0))
             saved_in = saved + np.where(closed, (n - 1) * size, 0)
@@ -204,7 +204,10 @@ class Shard:
             over_open = np.logical_or.reduceat(self.open_row, above)[over] if j > 1 else np.ones(len(starts), bool)
             over_conv = np.minimum.reduceat(self.conv, above)[over]
         for i, row in enumerate(starts.tolist()):
-            members = self.conv[row : row + ending[i]]
+            members = self.conv[row : row + ending[i]]  # shorter rows come first in a run
+            if j == SEGMENT and ending[i]:
+                run = slice(row, row + int(n[i]))
+                members = self.conv[run][~self.goes_on[run]]
             if is_open[i]:
                 key = self.prefix(row, j)
                 first = bool(j) or not self.segment[row]  # the node above a later segment is counted where it ends its own

@@ -169,9 +169,7 @@ def _scan(anchors: _Rows, owner: np.ndarray, floor: np.ndarray, ceiling: np.ndar
                 continue
             some, back = np.unique(owner[mine], return_inverse=True)
             scores = anchors.v[some] @ rows.v[part].T
-            fits = (anchors.labels[some, None] == labels) == same
-            if same:
-                fits &= anchors.ids[some, None] != rows.ids[part]
+            fits = ((anchors.labels[some, None] == labels) == same) & (anchors.ids[some, None] != rows.ids[part])
             scores, ids, least = scores[back], rows.ids[part], best.scores[mine, -1, None]
             better = (scores > least) | ((scores == least) & (ids < best.ids[mine, -1, None]))
             hit, row = np.nonzero(fits[back] & better & (scores >= floor[mine, None]) & (scores <= ceiling[mine, None]))

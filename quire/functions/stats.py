@@ -12,6 +12,18 @@ def upper_median(c: Column) -> Column:
     return F.coalesce(F.get(values, F.floor(F.size(values) / 2).cast("int")), F.lit(0.0))
 
 
+def counted_middle(counts: Column, total: Column) -> Column:
+    """The upper middle of values given by their counts, an array of struct(v, n) in order of
+    v: the first value with more than half of all (rounded down) up to it."""
+    start = F.struct(F.lit(0).cast("long").alias("seen"), F.lit(None).cast("int").alias("v"))
+
+    def step(acc: Column, x: Column) -> Column:
+        seen = acc["seen"] + x["n"]
+        return F.struct(seen.alias("seen"), F.coalesce(acc["v"], F.when(seen > F.floor(total / 2), x["v"])).alias("v"))
+
+    return F.aggregate(counts, start, step)["v"]
+
+
 def upper_median_over(df: DataFrame, value: Column, keys: list[str], name: str) -> DataFrame:
     """Adds ``name``, the ``upper_median`` of a group, to each of its rows. The lower one of
     the negated values is what Spark's own discrete percentile gives."""

@@ -147,9 +147,15 @@ def ext_of(name: Column) -> Column:
 
 
 def base_name(name: Column, suffix: str = "") -> Column:
+    """A file's name without its last ending."""
     return F.concat(F.regexp_replace(name, r"\.[^.]+$", ""), F.lit(suffix))
 
 
+def export_name(name: Column, suffix: str = ".edited.pdf") -> Column:
+    """The name of an exported file: only a .pdf ending goes."""
+    return F.concat(F.regexp_replace(name, r"(?i)\.pdf$", ""), F.lit(suffix))
+
+
 def url_filename(url: Column) -> Column:
     """Last path segment without query or fragment, with a .pdf ending."""
     last = F.element_at(F.split(F.element_at(F.split(url, "[?#]"), 1), "/"), -1)

@@ -9,6 +9,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quire.functions.runs import STYLE
+from quire.schemas import STYLED_RUN
+
 STATE = "doc_id long, kind string, key string, place long, value string, past int, future int"
 _KINDS = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int32(), pa.int32()]
 _NAMES = ["doc_id", "kind", "key", "place", "value", "past", "future"]
@@ -141,6 +144,11 @@ def edit_bursts(log: DataFrame, gap_ms: int = 600) -> DataFrame:
 
 
 def with_edit_defaults(edits: DataFrame) -> DataFrame:
-    """Missing fields of edits filled with the defaults of a new text box."""
-    fixed = {"font_size": 18.0, "font_family": "Helvetica", "color": "#111827", "align": "left", "bold": False, "italic": False, "width": 200.0, "height": 24.0}
-    return edits.select(*(F.coalesce(c, F.lit(fixed[c])).alias(c) if c in fixed else F.col(c) for c in edits.columns))
+    """Missing fields of edits filled with the defaults of a new text box; its place and size
+    have none."""
+    fixed = {"font_size": 18.0, "font_family": "Helvetica", "color": "#111827", "align": "left", "bold": False, "italic": False, "origin": "added", "cover_color": "#ffffff"}
+    filled = {c: F.coalesce(c, F.lit(v)) for c, v in fixed.items()}
+    if "runs" in edits.columns:
+        plain = F.array(F.struct(F.lit("Your text").alias("text"), *(F.lit(None).alias(k) for k in STYLE))).cast(f"array<{STYLED_RUN}>")
+        filled["runs"] = F.coalesce("runs", plain)
+    return edits.select(*((filled[c] if c in filled else F.col(c)).alias(c) for c in edits.columns))

@@ -13,14 +13,14 @@ def order_edits(edits: DataFrame, page_order: DataFrame) -> DataFrame:
     """Adds ``rank``, the place in reading order: by the page's place (its own number if
     it has none; its last one if it is listed twice), then y, then input order."""
     places = page_order.groupBy("doc_id", "page").agg(F.max("pos").alias("_pos"))
-    placed = edits.join(places, ["doc_id", "page"], "left").withColumn("page_rank", F.coalesce("_pos", "page"))
+    placed = edits.join(places.hint("merge"), ["doc_id", "page"], "left").withColumn("page_rank", F.coalesce("_pos", "page"))
     return placed.withColumn("rank", F.row_number().over(Window.partitionBy("doc_id").orderBy("page_rank", "y", "ord"))).drop("_pos")
 
 
 def valid_order(page_order: DataFrame, counts: DataFrame) -> DataFrame:
     """(doc_id, pos, page) without entries out of range, numbered anew; ``counts`` is
     (doc_id, page_count)."""
-    valid = page_order.join(counts.select("doc_id", "page_count"), "doc_id").where((F.col("page") >= 0) & (F.col("page") < F.col("page_count")))
+    valid = page_order.join(counts.select("doc_id", "page_count").hint("merge"), "doc_id").where((F.col("page") >= 0) & (F.col("page") < F.col("page_count")))
     return valid.select("doc_id", "page", (F.row_number().over(Window.partitionBy("doc_id").orderBy("pos")) - 1).alias("pos"))
 
 
@@ -31,7 +31,7 @@ def remap_edits(edits: DataFrame, page_order: DataFrame, counts: DataFrame | Non
     if counts is not None:
         page_order = valid_order(page_order, counts)
     places = page_order.groupBy("doc_id", "page").agg(F.max("pos").alias("out_page"))
-    return edits.join(places, ["doc_id", "page"])
+    return edits.join(places.hint("merge"), ["doc_id", "page"])
 
 
 def pages_with_ops(pages: DataFrame, ops: DataFrame) -> DataFrame:
@@ -72,16 +72,22 @@ def merge_docs(pages: DataFrame, order: DataFrame) -> DataFrame:
 
 def parse_page_ranges(specs: DataFrame) -> DataFrame:
     """(doc_id, part, page) for (doc_id, spec, page_count): ranges are 1-based, reversed
-    ones are swapped, pages out of range and junk are ignored, empty parts dropped."""
+    ones are swapped, pages out of range and junk are ignored, empty parts dropped. Numbers
+    may have any number of digits."""
+
+    def number(digits: Column) -> Column:
+        value = F.regexp_replace(digits, "^0+(?=[0-9])", "")
+        return F.when(F.length(value) > 18, F.lit(10**18)).otherwise(F.nullif(value, F.lit("")).cast("long"))
+
     tokens = specs.select("*", F.posexplode(F.split("spec", ",")).alias("_token", "_text"))
     text = F.regexp_replace("_text", r"(?U)^\s+|\s+$", "")
-    pattern = r"^([0-9]{1,9})(?:(?U:\s)*-(?U:\s)*([0-9]{1,9}))?$"
-    a = F.nullif(F.regexp_extract(text, pattern, 1), F.lit("")).cast("int")
-    b = F.coalesce(F.nullif(F.regexp_extract(text, pattern, 2), F.lit("")).cast("int"), a)
-    low, high = F.greatest(F.least(a, b), F.lit(1)), F.least(F.greatest(a, b), F.col("page_count"))
+    pattern = r"^([0-9]+)(?:(?U:\s)*-(?U:\s)*([0-9]+))?$"
+    a = number(F.regexp_extract(text, pattern, 1))
+    b = F.coalesce(number(F.regexp_extract(text, pattern, 2)), a)
+    low, high = F.greatest(F.least(a, b), F.lit(1)), F.least(F.greatest(a, b), F.col("page_count").cast("long"))
     found = tokens.withColumn("_low", low).withColumn("_high", high).where(a.isNotNull() & (low <= high))
     found = found.withColumn("part", F.row_number().over(Window.partitionBy("doc_id").orderBy("_token")) - 1)
-    return found.select("doc_id", "part", F.explode(F.sequence(F.col("_low") - 1, F.col("_high") - 1)).alias("page"))
+    return found.select("doc_id", "part", F.explode(F.sequence((F.col("_low") - 1).cast("int"), (F.col("_high") - 1).cast("int"))).alias("page"))
 
 
 def split_by_ranges(pages: DataFrame, specs: DataFrame) -> DataFrame:

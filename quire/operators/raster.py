@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.functions.geometry import clamp, js_round
-from quire.functions.stats import upper_median
+from quire.functions.stats import counted_middle
 from quire.functions.text import hex_to_rgb, rgb_to_hex
 
 
@@ -55,25 +55,24 @@ def padded_bounds(bounds: DataFrame, sizes: DataFrame, pad: float = 0.04) -> Dat
     )
 
 
-#: Rows of pixels in a band; a box meets the pixels of its own bands only.
-BAND = 16
-
-
-def in_bands(df: DataFrame, top: Column, end: Column) -> DataFrame:
-    """A row for each band of pixel rows that [top, end) touches."""
-    low = F.floor(top / BAND)
-    return df.withColumn("_band", F.explode(F.sequence(low, F.greatest(low, F.floor((end - 1) / BAND)))))
+#: Pixels of a stretch of a row; a strip meets the pixels of its own rows and stretches only.
+STRETCH = 64
 
 
 def background_color(boxes: DataFrame, pixels: DataFrame) -> DataFrame:
     """Adds ``background`` to boxes (img_id, box, x, y, width, height): the upper median of
-    each channel in a strip just above the box; white where there is no pixel."""
+    each channel in a strip just above the box; white where there is no pixel. Values are
+    counted, 256 at most for each channel, and never listed."""
     top = F.greatest(F.lit(0), js_round(F.col("y") - 4))
     left = F.greatest(F.lit(0), js_round(F.col("x")))
     spans = boxes.select("img_id", "box", left.alias("_l"), (left + F.greatest(F.lit(1), js_round(F.col("width")))).alias("_r"), top.alias("_t"), (top + F.greatest(F.lit(1), js_round(F.least(F.col("height"), F.lit(6.0))))).alias("_b"))
-    spans = in_bands(spans, F.col("_t"), F.col("_b"))
-    p = pixels.select("img_id", F.col("x").alias("_x"), F.col("y").alias("_y"), "r", "g", "b", F.floor(F.col("y") / BAND).alias("_band"))
-    inside = (F.col("_x") >= F.col("_l")) & (F.col("_x") < F.col("_r")) & (F.col("_y") >= F.col("_t")) & (F.col("_y") < F.col("_b"))
-    colours = p.join(spans.hint("merge"), ["img_id", "_band"]).where(inside).groupBy("img_id", "box").agg(*(upper_median(F.col(c)).alias(c) for c in "rgb"))
-    named = colours.select("img_id", "box", rgb_to_hex(*(F.col(c) for c in "rgb")).alias("background"))
+    spans = spans.withColumn("_y", F.explode(F.sequence("_t", F.col("_b") - 1))).withColumn("_s", F.explode(F.sequence(F.floor(F.col("_l") / STRETCH), F.floor((F.col("_r") - 1) / STRETCH))))
+    p = pixels.select("img_id", F.col("x").alias("_x"), F.col("y").cast("long").alias("_y"), F.floor(F.col("x") / STRETCH).alias("_s"), "r", "g", "b")
+    hits = p.join(spans.hint("merge"), ["img_id", "_y", "_s"]).where((F.col("_x") >= F.col("_l")) & (F.col("_x") < F.col("_r")))
+    channels = F.explode(F.array(*(F.struct(F.lit(c).alias("c"), F.col(c).cast("int").alias("v")) for c in "rgb")))
+    counted = hits.select("img_id", "box", channels.alias("_c")).groupBy("img_id", "box", "_c.c", "_c.v").agg(F.count("*").alias("n"))
+    values = counted.groupBy("img_id", "box", "c").agg(F.array_sort(F.collect_list(F.struct("v", "n"))).alias("_h"), F.sum("n").alias("_n"))
+    middle = values.select("img_id", "box", "c", counted_middle(F.col("_h"), F.col("_n")).alias("v"))
+    one = lambda c: F.max(F.when(F.col("c") == c, F.col("v"))).alias(c)
+    named = middle.groupBy("img_id", "box").agg(*(one(c) for c in "rgb")).select("img_id", "box", rgb_to_hex(*(F.col(c) for c in "rgb")).alias("background"))
     return boxes.join(named.hint("merge"), ["img_id", "box"], "left").withColumn("background", F.coalesce("background", F.lit("#ffffff")))

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import pyarrow as pa
+from pyspark.resource import ResourceProfile
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -51,27 +54,71 @@ def paragraphs_to_items(paragraphs: DataFrame, scale_x: float = 1.0, scale_y: fl
     return paragraphs.withColumn("_i", item).select("*", "_i.*").withColumn("font_size_per_line", per_line["font_size"]).drop("_i")
 
 
-def recognize(pages: DataFrame, engine: Callable[[bytes], list[dict]], content: str = "content") -> DataFrame:
-    """Runs the caller's ``engine`` on each page: (doc_id, page, regions, truncated, error).
-    A page whose engine fails is a row with ``error``; the others go on."""
-    ddl = "doc_id bigint, page int, regions array<struct<text: string, quad: array<double>>>, truncated boolean, error string"
-    kind = pa.list_(pa.struct([("text", pa.string()), ("quad", pa.list_(pa.float64()))]))
+@dataclass(frozen=True)
+class Engine:
+    """A recognition engine: ``load`` gives a function from a batch of page contents to a list
+    of regions for each, once in a worker; ``batch`` pages are given at a time, in stages with
+    the given resources (null: the session's own)."""
+
+    load: Callable[[], Callable[[list], list[list[dict]]]]
+    batch: int = 8
+    resources: ResourceProfile | None = None
+
+
+_PAGES = "doc_id bigint, page int, regions array<struct<text: string, quad: array<double>>>, truncated boolean, error string"
+_REGIONS = pa.list_(pa.struct([("text", pa.string()), ("quad", pa.list_(pa.float64()))]))
+#: Engines that this worker has loaded, by the plan that they belong to.
+_LOADED: dict[str, Callable] = {}
+
+
+def _loaded(run_id: str, load: Callable[[], Callable]) -> Callable:
+    if run_id not in _LOADED:
+        _LOADED[run_id] = load()
+    return _LOADED[run_id]
+
+
+def _recognized(contents: list, call: Callable[[list], list[list[dict]]], size: int) -> Iterator[tuple]:
+    """(regions, truncated, error) of each page; a batch that fails is taken page by page."""
+    for i in range(0, len(contents), size):
+        part = contents[i : i + size]
+        try:
+            found = call(part)
+            if len(found) != len(part):
+                raise ValueError(f"{len(found)} results for {len(part)} pages")
+            yield from [([{"text": r["text"], "quad": r["quad"]} for r in got if "quad" in r], any(r.get("truncated") for r in got), None) for got in found]
+        except Exception as e:  # one bad page is reported, not fatal
+            if len(part) == 1:
+                yield [], False, str(e)
+            else:
+                yield from _recognized(part, call, 1)
+
+
+def _run_engine(pages: DataFrame, name: str, engine: Engine, content: str) -> DataFrame:
+    load, size, run_id = engine.load, max(1, engine.batch), uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out: list[list] = [[], [], []]
-            for x in b.column(content):
-                found, cut, error = [], False, None
-                try:
-                    got = engine(x.as_py())
-                    found, cut = [{"text": r["text"], "quad": r["quad"]} for r in got if "quad" in r], any(r.get("truncated") for r in got)
-                except Exception as e:  # one bad page is reported, not fatal
-                    error = str(e)
-                for column, v in zip(out, (found, cut, error)):
-                    column.append(v)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("page"), pa.array(out[0], kind), pa.array(out[1], pa.bool_()), pa.array(out[2], pa.string())], names=["doc_id", "page", "regions", "truncated", "error"])
-
-    return pages.select("doc_id", F.col("page").cast("int").alias("page"), content).mapInArrow(run, ddl)
+            out = list(zip(*_recognized(b.column(content).to_pylist(), _loaded(run_id, load), size))) or [(), (), ()]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("page"), pa.array(out[0], _REGIONS), pa.array(out[1], pa.bool_()), pa.array(out[2], pa.string())], names=["doc_id", "page", "regions", "truncated", "error"])
+
+    return pages.select("doc_id", F.col("page").cast("int").alias("page"), content).mapInArrow(run, _PAGES, profile=engine.resources)
+
+
+def recognize_by_name(pages: DataFrame, engines: dict[str, Engine], name: str = "engine", content: str = "content") -> DataFrame:
+    """(doc_id, page, regions, truncated, error) of pages, each by the engine that its column
+    ``name`` tells. A page whose engine fails is a row with ``error``, and so is one whose engine
+    is not known; the others go on."""
+    known = F.coalesce(F.col(name).isin(*engines), F.lit(False)) if engines else F.lit(False)
+    what = F.concat(F.lit("no engine "), F.coalesce(F.col(name).cast("string"), F.lit("is named")))
+    out = pages.where(~known).select("doc_id", F.col("page").cast("int").alias("page"), F.array().cast("array<struct<text: string, quad: array<double>>>").alias("regions"), F.lit(False).alias("truncated"), what.alias("error"))
+    for k, engine in engines.items():
+        out = out.unionByName(_run_engine(pages.where(F.col(name) == k), k, engine, content))
+    return out
+
+
+def recognize(pages: DataFrame, engine: Callable[[bytes], list[dict]], content: str = "content") -> DataFrame:
+    """``recognize_by_name`` with one engine, a function of one page's content."""
+    return _run_engine(pages, "engine", Engine(lambda: lambda contents: [engine(x) for x in contents]), content)
 
 
 def ocr_report(results: DataFrame, totals: DataFrame, shown: int = 5) -> DataFrame:

@@ -21,7 +21,7 @@ def search_catalog(df: DataFrame, query: str, name: str = "family") -> DataFrame
 
 
 def match_pages(matches: DataFrame, edits: DataFrame) -> DataFrame:
-    return matches.join(edits.select("doc_id", "id", "page"), ["doc_id", "id"])
+    return matches.join(edits.select("doc_id", "id", "page").hint("merge"), ["doc_id", "id"])
 
 
 def match_ring(matches: DataFrame, keys: list[str], order: list[str], item: str) -> DataFrame:

@@ -1,37 +1,87 @@
-"""Joins by overlap, nearness and interval. Each keeps (doc_id, page) as equality keys,
-so that no plan is a nested loop; pages are small, documents need not be."""
+"""Joins by overlap, nearness and interval. Each keeps (doc_id, page) as equality keys, and
+joins of boxes a tile of the page too, so that no plan is a nested loop and a dense page costs
+no more than its boxes."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions.geometry import page_height
-from quire.operators.raster import BAND, in_bands
 
 PAGE = ["doc_id", "page"]
-
-
-def _on_page(a: DataFrame, b: DataFrame):
-    return (a["doc_id"] == b["_doc"]) & (a["page"] == b["_page"])
+#: Sides of the tiles, finest first; an item belongs to the finest grid whose tiles are larger
+#: than it is, a still larger one to the page as a whole.
+TILES = (64.0, 512.0, 4096.0)
+#: A cover that touches more tiles of a grid than this meets all items of its page.
+MAX_TILES = 1024
 
 
 def _covers(covers: DataFrame) -> DataFrame:
     return covers.select(F.col("doc_id").alias("_doc"), F.col("page").alias("_page"), *(F.col(k).alias(f"_{k}") for k in ("x", "y", "width", "height")))
 
 
+def _tile(level: Column | int, x: Column, y: Column) -> Column:
+    return F.struct(F.lit(level).cast("int").alias("level"), x.cast("long").alias("x"), y.cast("long").alias("y"))
+
+
+def _own_tile(x: Column, y: Column, width: Column, height: Column) -> Column:
+    """The one tile that an item belongs to: where its upper left corner lies."""
+    out = _tile(len(TILES), F.lit(0), F.lit(0))
+    for level in reversed(range(len(TILES))):
+        side = TILES[level]
+        out = F.when(F.greatest(width, height) <= side, _tile(level, F.floor(x / side), F.floor(y / side))).otherwise(out)
+    return out
+
+
+def _span(low: Column, size: Column, side: float) -> tuple[Column, Column]:
+    """First and last tile whose items may reach into [low, low + size]."""
+    return F.floor(low / side) - 1, F.floor((low + size) / side)
+
+
+def _rectangle(level: int, across: Column, down: Column) -> Column:
+    return F.flatten(F.transform(across, lambda i: F.transform(down, lambda j: _tile(level, i, j))))
+
+
+def _tiles_of(x: Column, y: Column, width: Column, height: Column) -> Column:
+    """The tiles, of all grids, that may hold an item which overlaps the cover; null if they
+    are too many."""
+    parts, many = [F.array(_tile(len(TILES), F.lit(0), F.lit(0)))], F.lit(False)
+    for level, side in enumerate(TILES):
+        (x0, x1), (y0, y1) = _span(x, width, side), _span(y, height, side)
+        many = many | ((x1 - x0 + 1).cast("double") * (y1 - y0 + 1) > MAX_TILES) | F.coalesce((x1 < x0) | (y1 < y0), F.lit(True))
+        parts.append(_rectangle(level, F.when(~many, F.sequence(x0, x1)), F.sequence(y0, y1)))
+    return F.when(~many, F.concat(*parts))
+
+
 def uncovered_items(items: DataFrame, covers: DataFrame) -> DataFrame:
-    """Items that no cover box of their page overlaps (touching edges do not count)."""
+    """Items that no cover box of their page overlaps (touching edges do not count).
+
+    An item lies in one tile; covers are copied to the tiles around them, of each of three grids,
+    so that an item meets covers near it only."""
     c = _covers(covers)
+    box = [F.col(f"_{k}") for k in ("x", "y", "width", "height")]
+    tiled = c.withColumn("_tiles", _tiles_of(*box))
+    near = tiled.select("*", F.explode("_tiles").alias("_at")).drop("_tiles")
+    wide = tiled.where("_tiles is null").drop("_tiles")
     overlap = (F.col("x") < F.col("_x") + F.col("_width")) & (F.col("x") + F.col("width") > F.col("_x")) & (F.col("y") < F.col("_y") + F.col("_height")) & (F.col("y") + F.col("height") > F.col("_y"))
-    return items.join(c, _on_page(items, c) & overlap, "left_anti")
+    own = items.withColumn("_tile", _own_tile(*(F.col(k) for k in ("x", "y", "width", "height"))))
+    page = (own["doc_id"] == F.col("_doc")) & (own["page"] == F.col("_page"))
+    left = own.join(near.hint("merge"), page & (F.col("_tile") == F.col("_at")) & overlap, "left_anti")
+    return left.join(wide.hint("merge"), page & overlap, "left_anti").drop("_tile")
 
 
 def unreplaced_images(images: DataFrame, covers: DataFrame, tolerance: float = 4.0) -> DataFrame:
-    """Image boxes without a cover that begins within ``tolerance`` px of theirs."""
-    c = _covers(covers)
+    """Image boxes without a cover that begins within ``tolerance`` px of theirs. Corners lie
+    in cells as wide as the tolerance; a cover is copied to its cell's neighbours."""
+    around = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)))
+    c = _covers(covers).withColumn("_n", F.explode(around))
+    c = c.select("*", (F.floor(F.col("_x") / tolerance) + F.col("_n.i")).alias("_i"), (F.floor(F.col("_y") / tolerance) + F.col("_n.j")).alias("_j")).drop("_n")
     near = (F.abs(F.col("x") - F.col("_x")) < tolerance) & (F.abs(F.col("y") - F.col("_y")) < tolerance)
-    return images.join(c, _on_page(images, c) & near, "left_anti")
+    cell = (F.floor(images["x"] / tolerance) == F.col("_i")) & (F.floor(images["y"] / tolerance) == F.col("_j"))
+    return images.join(c.hint("merge"), (images["doc_id"] == F.col("_doc")) & (images["page"] == F.col("_page")) & cell & near, "left_anti")
 
 
 def pick_sub_item(points: DataFrame, blocks: DataFrame) -> DataFrame:
@@ -51,16 +101,61 @@ def page_offsets(pages: DataFrame, gap: float = 24.0) -> DataFrame:
 
 
 def page_at_offset(offsets: DataFrame, pages: DataFrame) -> DataFrame:
-    """For each (doc_id, offset) the first page that ends beyond it, else the first page."""
-    spans = pages.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("page", "end"))).alias("_spans"))
-    beyond = F.filter("_spans", lambda s: s["end"] > F.col("offset"))
-    return offsets.hint("merge").join(spans, "doc_id").withColumn("page", F.coalesce(F.get(beyond, F.lit(0)), F.get("_spans", F.lit(0)))["page"]).drop("_spans")
+    """For each (doc_id, offset) the first page that ends beyond it, else the document's first
+    page, and page 0 where there is none. Pages and offsets are sorted together from the last
+    one back, and each offset takes what was seen last: a document is read once, and neither
+    its pages nor its offsets are gathered."""
+    carried = [c for c in offsets.columns if c not in ("doc_id", "offset")]
+    asked = offsets.select("doc_id", F.col("offset").cast("double").alias("_at"), F.lit(1).alias("_kind"), F.lit(None).cast("int").alias("_page"), F.struct(F.col("offset").alias("offset"), *carried).alias("_row"))
+    none = F.lit(None).cast(asked.schema["_row"].dataType).alias("_row")
+    ends = pages.select("doc_id", F.col("end").cast("double").alias("_at"), F.lit(2).alias("_kind"), F.col("page").cast("int").alias("_page"), none)
+    first = pages.groupBy("doc_id").agg(F.min("page").cast("int").alias("_page")).select("doc_id", F.lit(float("inf")).alias("_at"), F.lit(0).alias("_kind"), "_page", none)
+    # a page that ends at the offset itself comes after it, and of pages with one end the first comes last
+    back = Window.partitionBy("doc_id").orderBy(F.desc("_at"), "_kind", F.desc("_page")).rowsBetween(Window.unboundedPreceding, 0)
+    seen = first.unionByName(ends).unionByName(asked).withColumn("page", F.last("_page", ignorenulls=True).over(back))
+    return seen.where("_kind = 1").select("doc_id", "_row.*", F.coalesce("page", F.lit(0)).alias("page"))
+
+
+#: Cells of a page's sums that are held at a time; a larger page is summed in strips.
+MAX_CELLS = 4_000_000
+
+
+def _shares(boxes: pd.DataFrame, pixels: pd.DataFrame, dark: int) -> np.ndarray:
+    """The share of dark pixels of each box of a page, from sums over all pixels above and to
+    the left of a place: four of them give a box's count, whatever its area."""
+    count, hits = np.zeros(len(boxes), np.int64), np.zeros(len(boxes), np.int64)
+    if not len(pixels):
+        return np.zeros(len(boxes))
+    columns, x = np.unique(pixels["x"].to_numpy(), return_inverse=True)
+    rows, y = np.unique(pixels["y"].to_numpy(), return_inverse=True)
+    is_dark = pixels["r"].to_numpy() < dark
+    left, right = (np.searchsorted(columns, f(boxes[c].to_numpy(float))) for f, c in ((np.floor, "x0"), (np.ceil, "x1")))
+    top, end = (np.searchsorted(rows, f(boxes[c].to_numpy(float))) for f, c in ((np.floor, "y0"), (np.ceil, "y1")))
+    right, end = np.maximum(left, right), np.maximum(top, end)
+    step, order = max(1, MAX_CELLS // (len(columns) + 1)), np.argsort(y, kind="stable")
+    bounds = np.searchsorted(y[order], np.arange(0, len(rows) + step, step))
+    for k, low in enumerate(range(0, len(rows), step)):
+        part = order[bounds[k] : bounds[k + 1]]
+        n = min(step, len(rows) - low)
+        for out, weight in ((count, None), (hits, is_dark[part])):
+            sums = np.zeros((n + 1, len(columns) + 1), np.int64)
+            np.add.at(sums, (y[part] - low + 1, x[part] + 1), 1 if weight is None else weight)
+            np.cumsum(sums, axis=0, out=sums)
+            np.cumsum(sums, axis=1, out=sums)
+            t, e = (np.clip(v - low, 0, n) for v in (top, end))
+            out += sums[e, right] - sums[t, right] - sums[e, left] + sums[t, left]
+    return hits / np.maximum(count, 1)
 
 
 def ink_density(boxes: DataFrame, pixels: DataFrame, dark: int = 128) -> DataFrame:
-    """Adds ``density``, the share of dark pixels in each box (doc_id, page, box, x0..y1)."""
-    inside = (F.col("px") >= F.floor("x0")) & (F.col("px") < F.ceil("x1")) & (F.col("py") >= F.floor("y0")) & (F.col("py") < F.ceil("y1"))
-    p = pixels.select(*PAGE, F.col("x").alias("px"), F.col("y").alias("py"), "r", F.floor(F.col("y") / BAND).alias("_band"))
-    banded = in_bands(boxes, F.floor("y0"), F.ceil("y1")).hint("merge")
-    hits = banded.join(p, [*PAGE, "_band"]).where(inside).groupBy(*PAGE, "box").agg(F.avg((F.col("r") < dark).cast("double")).alias("density"))
-    return boxes.join(hits.hint("merge"), [*PAGE, "box"], "left").withColumn("density", F.coalesce("density", F.lit(0.0)))
+    """Adds ``density``, the share of dark pixels in each box (doc_id, page, box, x0..y1); 0 for
+    a box without pixels. A page's pixels are summed once, for all its boxes."""
+    kinds = boxes.select(*PAGE, "box").schema.simpleString()[7:-1].replace(":", " ")
+
+    def run(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        return left[[*PAGE, "box"]].assign(density=_shares(left, right, dark))
+
+    asked = boxes.where(F.col("x0").isNotNull() & F.col("x1").isNotNull() & F.col("y0").isNotNull() & F.col("y1").isNotNull())
+    inked = pixels.where(F.col("x").isNotNull() & F.col("y").isNotNull() & F.col("r").isNotNull())
+    found = asked.select(*PAGE, "box", "x0", "x1", "y0", "y1").groupBy(*PAGE).cogroup(inked.select(*PAGE, "x", "y", "r").groupBy(*PAGE)).applyInPandas(run, f"{kinds}, density double")
+    return boxes.join(found.hint("merge"), [*PAGE, "box"], "left").withColumn("density", F.coalesce("density", F.lit(0.0)))

@@ -15,8 +15,8 @@ from quire.functions.geometry import align_offset, baseline_y
 from quire.functions.runs import STYLE, resolve_style
 from quire.functions.text import hex_to_rgb, standard_font_key
 
-#: More (font, character) widths than this are no table of widths.
-MAX_WIDTHS = 5_000_000
+#: More (font, character) widths than this, some 30 MB in a worker, are not sent to all tasks.
+MAX_WIDTHS = 200_000
 #: A line break, white space without one, or a word.
 _TOKEN = r"(?U)\n|[\s\uFEFF&&[^\n]]+|[^\s\uFEFF]+"
 _SEGMENT = {"line": pa.int32(), "segment": pa.int32(), "text": pa.string(), "font": pa.string(), "font_size": pa.float64(), "color": pa.string(), "width": pa.float64()}

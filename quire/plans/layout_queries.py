@@ -379,7 +379,7 @@ def split_every(spark, sf_dir):
 def split_ranges(spark, sf_dir):
     """Every conversation has a second turn, so both parts exist; some have a blank range, or none."""
     p = turns(spark, sf_dir).select("doc_id", "page")
-    spec = F.when(F.col("doc_id") % 5 == 0, "  ").when(F.col("doc_id") % 5 != 1, "1-2, junk, 0, 3-2")
+    spec = F.when(F.col("doc_id") % 5 == 0, "  ").when(F.col("doc_id") % 5 == 2, "2-1, 99999999999999999999, 3-0000000000000000000000002, 88888888888888888888-77777777777").when(F.col("doc_id") % 5 != 1, "1-2, junk, 0, 3-2")
     specs = p.select("doc_id").distinct().withColumn("spec", spec)
     return pages.split_by_ranges(p, specs).select("doc_id", "page", "part")
 
@@ -544,11 +544,14 @@ def url_filenames(spark, sf_dir):
 
 
 @query(
-    "SELECT 1 AS part, o_orderkey::VARCHAR AS key, concat_ws(' ', rpad(o_orderkey::VARCHAR, 16, ' '), rpad(o_orderstatus, 16, ' '), rpad(o_orderpriority, 16, ' ')) AS text FROM orders UNION ALL SELECT 0, '', '# orders' UNION ALL SELECT 2, '', ''"
+    """SELECT 0 AS sheet, 1 AS part, o_orderkey::BIGINT AS key, concat_ws(' ', rpad(o_orderkey::VARCHAR, 16, ' '), rpad(o_orderstatus, 16, ' '), rpad(o_orderpriority, 16, ' ')) AS text FROM orders UNION ALL SELECT 0, 0, NULL, '# orders' UNION ALL SELECT 0, 2, NULL, ''
+UNION ALL SELECT 1, 1, n_nationkey, concat_ws(' ', rpad(n_nationkey::VARCHAR, 16, ' '), rpad(n_name, 16, ' ')) FROM nation UNION ALL SELECT 1, 0, NULL, '# nation' UNION ALL SELECT 1, 2, NULL, ''"""
 )
 def fixed_width(spark, sf_dir):
-    df = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_orderpriority")
-    return readers.fixed_width_rows(df, "orders", ["o_orderkey"])
+    """Two sheets, one after another."""
+    orders, nation = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_orderpriority"), table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
+    sheets = readers.fixed_width_sheets([("orders", orders, ["o_orderkey"]), ("nation", nation, ["n_nationkey"])])
+    return sheets.select("sheet", "part", F.col("key.k0").cast("long").alias("key"), "text")
 
 
 def styled_turns(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quire.functions import geometry as G
 from quire.functions import runs as R
@@ -15,7 +16,7 @@ from quire.operators import pages, paragraphs, raster, regions, search, spatial
 from quire.operators.layout import line_blocks
 from quire.operators.wrapping import draw_positions, wrap_runs
 from quire.plans.layout_queries import _LINES, _OCR, _PIXELS, BOXES, boxes, document_lines, ocr_like_lines, pixels, query, rounded, styled_turns, table, turns
-from quire.schemas import OCR_TREE
+from quire.schemas import OCR_TREE, RUNS
 from quire.sources import readers, writers
 from quire.sources.shared import shared_dir
 
@@ -42,6 +43,19 @@ def text_layer(spark, sf_dir):
     return readers.project_runs(items).select("doc_id", "page", "str", *rounded("x", "y", "width", "height", "baseline", "font_size"))
 
 
+@query(
+    "SELECT l_orderkey AS doc_id, l_linenumber::INT AS page, count(*) AS n, sum(l_partkey)::BIGINT AS parts, round(sum(l_quantity), 6)::DOUBLE AS width FROM lineitem WHERE l_suppkey % 4 = 3 GROUP BY ALL"
+)
+def stored_runs(spark, sf_dir):
+    """Positioned runs in a Parquet table, read back without marks and blanks."""
+    path, k = _folder(spark, "runs"), F.col("l_suppkey") % 4
+    text = F.when(k == 0, None).when(k == 1, "").when(k == 2, " \ufeff\u2003").otherwise(F.concat(F.lit(" "), F.col("l_partkey").cast("string")))
+    values = {"doc_id": F.col("l_orderkey"), "page": F.col("l_linenumber"), "ord": F.col("l_partkey"), "str": text, "width": F.col("l_quantity"), "font_family": F.lit("Helvetica"), "bold": F.lit(True), "italic": F.lit(False)}
+    rows = table(spark, sf_dir, "lineitem")
+    rows.select(*(values.get(c.name, F.lit(0.0)).cast(c.dataType).alias(c.name) for c in T.StructType.fromDDL(RUNS))).write.parquet(path)
+    return readers.read_runs(spark, path).groupBy("doc_id", "page").agg(F.count("*").alias("n"), F.sum("ord").cast("long").alias("parts"), F.round(F.sum("width"), 6).alias("width"))
+
+
 def ocr_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Document lines as a recogniser's tree: blocks of two paragraphs of three lines, some
     lines without a box, a row height or ink. It goes through JSON, as such trees come."""
@@ -123,17 +137,15 @@ def polygon_regions(spark, sf_dir):
 
 
 @query(
-    f"WITH {_LINES}, k AS (SELECT doc_id, line, concat('l', line, ', \"q\"') AS str FROM lines WHERE line <= 40 AND line % 5 <> 0) SELECT doc_id, 3 AS page, cast(row_number() OVER (PARTITION BY doc_id ORDER BY line) AS INT) AS line, str FROM k"
+    f"WITH {_LINES} SELECT doc_id, 3 AS \"Page\", line AS \"Line\", md5(regexp_replace(text, '^[\\s\\x0B\\p{{Z}}\\x{{FEFF}}]+|[\\s\\x0B\\p{{Z}}\\x{{FEFF}}]+$', '', 'g')) AS digest FROM (SELECT doc_id, line, CASE line % 4 WHEN 0 THEN chr(160) || text || ' ' WHEN 1 THEN concat('\"', text, '\", ', line, chr(9), chr(8195)) ELSE text END AS text FROM lines)"
 )
 def csv_lines(spark, sf_dir):
-    """Lines written as CSV and read back; text with commas and quotes survives."""
-    from quire.operators.layout import number_lines
-
-    path = _folder(spark, "lines")
-    lines = document_lines(spark, sf_dir).where("line <= 40 and line % 5 <> 0")
-    named = lines.select("doc_id", F.lit(2).alias("page"), F.col("line").cast("double").alias("y"), F.lit(0.0).alias("x"), F.concat(F.lit("l"), F.col("line").cast("string"), F.lit(', "q"')).alias("str"))
-    writers.write_lines_csv(number_lines(named), path)
-    return spark.read.schema("doc_id bigint, page int, line int, str string").option("header", True).option("escape", '"').csv(path)
+    """All lines of all documents, some in quotes or between other white space, written as
+    CSV and read back."""
+    path, n = _folder(spark, "lines"), F.col("line")
+    text = F.when(n % 4 == 0, F.concat(F.lit("\u00a0"), "text", F.lit(" "))).when(n % 4 == 1, F.concat(F.lit('"'), "text", F.lit('", '), n.cast("string"), F.lit("\t\u2003"))).otherwise(F.col("text"))
+    writers.write_lines_csv(document_lines(spark, sf_dir).select("doc_id", F.lit(2).alias("page"), "line", text.alias("str")), path)
+    return writers.read_lines_csv(spark, path).select("doc_id", "Page", "Line", F.md5("Text").alias("digest"))
 
 
 @query("SELECT doc_id FROM documents WHERE doc_id % 3 <> 0 OR trim(regexp_replace(text, '\\s+', ' ', 'g')) = '' OR text IS NULL")
@@ -170,10 +182,22 @@ def outline_rows(spark, sf_dir):
     "WITH t AS (SELECT conv_id AS doc_id, turn::INT AS page, floor(turn / 2) AS part FROM conversations) SELECT doc_id, page, concat('p', min(page) OVER w + 1, CASE WHEN count(*) OVER w > 1 THEN concat('-', max(page) OVER w + 1) ELSE '' END) AS part FROM t WINDOW w AS (PARTITION BY doc_id, part)"
 )
 def split_files(spark, sf_dir):
-    """Parts of two pages, in folders by label, read back."""
+    """Parts of two pages, written in two commits, one of them twice, and read back."""
+    path = _folder(spark, "parts")
+    parts = pages.split_every(turns(spark, sf_dir).select("doc_id", "page"), 2)
+    for commit in ("odd", "even", "odd"):
+        writers.write_parts(parts.where(F.col("doc_id") % 2 == (1 if commit == "odd" else 0)), path, commit)
+    return writers.read_parts(spark, path).select("doc_id", "page", "part")
+
+
+@query(
+    "WITH t AS (SELECT conv_id AS doc_id, turn::INT AS page, floor(turn / 2) AS part FROM conversations), g AS (SELECT doc_id, part, min(page) AS first, max(page) AS last, count(*) AS pages FROM t GROUP BY doc_id, part) SELECT doc_id, concat('p', first + 1, CASE WHEN pages > 1 THEN concat('-', last + 1) ELSE '' END) AS part, first, last, pages FROM g"
+)
+def split_manifest(spark, sf_dir):
+    """What the manifest of such parts lists."""
     path = _folder(spark, "parts")
     writers.write_parts(pages.split_every(turns(spark, sf_dir).select("doc_id", "page"), 2), path)
-    return spark.read.schema("page int, doc_id bigint, part string").parquet(path).select("doc_id", "page", "part")
+    return writers.read_manifest(spark, path).select("doc_id", "part", "first", "last", "pages")
 
 
 @query(
@@ -256,14 +280,16 @@ def found_pages(spark, sf_dir):
 
 
 @query(
-    "SELECT o_orderkey AS doc_id, CASE WHEN o_custkey % 2 = 0 THEN (o_custkey % 30)::DOUBLE ELSE 18.0 END AS font_size, CASE WHEN o_custkey % 3 = 0 THEN 'Times' ELSE 'Helvetica' END AS font_family, '#111827' AS color, CASE WHEN o_custkey % 5 = 0 THEN 'right' ELSE 'left' END AS align, false AS bold FROM orders"
+    "SELECT o_orderkey AS doc_id, CASE WHEN o_custkey % 2 = 0 THEN (o_custkey % 30)::DOUBLE ELSE 18.0 END AS font_size, CASE WHEN o_custkey % 3 = 0 THEN 'Times' ELSE 'Helvetica' END AS font_family, '#111827' AS color, CASE WHEN o_custkey % 5 = 0 THEN 'right' ELSE 'left' END AS align, false AS bold, CASE WHEN o_custkey % 7 = 0 THEN 'existing' ELSE 'added' END AS origin, '#ffffff' AS cover_color, CASE WHEN o_custkey % 4 = 0 THEN 'own' ELSE 'Your text' END AS text, 1 AS n_runs FROM orders"
 )
 def edit_defaults(spark, sf_dir):
     k = F.col("o_custkey")
     df = table(spark, sf_dir, "orders").select(
-        F.col("o_orderkey").alias("doc_id"), F.when(k % 2 == 0, (k % 30).cast("double")).alias("font_size"), F.when(k % 3 == 0, "Times").alias("font_family"), F.lit(None).cast("string").alias("color"), F.when(k % 5 == 0, "right").alias("align"), F.lit(None).cast("boolean").alias("bold")
-    )
-    return E.with_edit_defaults(df)
+        F.col("o_orderkey").alias("doc_id"), F.when(k % 2 == 0, (k % 30).cast("double")).alias("font_size"), F.when(k % 3 == 0, "Times").alias("font_family"), F.lit(None).cast("string").alias("color"), F.when(k % 5 == 0, "right").alias("align"), F.lit(None).cast("boolean").alias("bold"),
+        F.when(k % 7 == 0, "existing").alias("origin"), F.lit(None).cast("string").alias("cover_color"),
+        F.when(k % 4 == 0, F.array(F.struct(F.lit("own").alias("text"), *(F.lit(None).alias(s) for s in R.STYLE)))).cast(f"array<{R.STYLED_RUN}>").alias("runs"),
+    )
+    return E.with_edit_defaults(df).withColumn("text", R.runs_text(F.col("runs"))).withColumn("n_runs", F.size("runs")).drop("runs")
 
 
 @query(
@@ -302,12 +328,13 @@ def truncated_outputs(spark, sf_dir):
 
 
 @query(
-    r"SELECT page_id, concat(regexp_replace(n, '\.[^.]+$', ''), '-edited') AS base FROM (SELECT page_id, string_split(regexp_split_to_array(url, '[?#]')[1], '/')[-1] || ['.pdf', '', '.tar.gz'][page_id % 3 + 1] AS n FROM pages)"
+    r"SELECT page_id, concat(regexp_replace(n, '\.[^.]+$', ''), '-edited') AS base, concat(regexp_replace(n, '\.pdf$', '', 'i'), '.edited.pdf') AS exported FROM (SELECT page_id, string_split(regexp_split_to_array(url, '[?#]')[1], '/')[-1] || ['.PDF', '', '.pdf.v2', '.tar.gz'][page_id % 4 + 1] AS n FROM pages)"
 )
 def base_names(spark, sf_dir):
     last = F.element_at(F.split(F.element_at(F.split("url", "[?#]"), 1), "/"), -1)
-    ending = F.get(F.array(F.lit(".pdf"), F.lit(""), F.lit(".tar.gz")), (F.col("page_id") % 3).cast("int"))
-    return table(spark, sf_dir, "pages").select("page_id", X.base_name(F.concat(last, ending), "-edited").alias("base"))
+    ending = F.get(F.array(F.lit(".PDF"), F.lit(""), F.lit(".pdf.v2"), F.lit(".tar.gz")), (F.col("page_id") % 4).cast("int"))
+    name = F.concat(last, ending)
+    return table(spark, sf_dir, "pages").select("page_id", X.base_name(name, "-edited").alias("base"), X.export_name(name).alias("exported"))
 
 
 @query(
@@ -342,6 +369,31 @@ def region_pixels(spark, sf_dir):
     return df.select("doc_id", "page", "ord", "c.x", "c.y", "c.width", "c.height", F.round("o.width", 6).alias("overlay_width"), F.round("o.height", 6).alias("overlay_height"), F.col("i.cover.width").alias("image_cover_width"))
 
 
+@query(
+    "WITH f AS (SELECT concat('n', s_nationkey, '-', s_suppkey % 8) AS batch, concat('s', s_suppkey, ['.txt', '.PDF', '.csv', '.png', ''][s_suppkey * 7 % 5 + 1]) AS name, s_suppkey * 7 % 5 AS e, s_suppkey % 50 AS length FROM supplier)"
+    " SELECT batch, name, length::BIGINT AS length, CASE WHEN e = 1 THEN 'pdf' ELSE 'convert' END AS route FROM f WHERE e IN (1, 2, 3) QUALIFY row_number() OVER (PARTITION BY batch ORDER BY e <> 1, name) = 1"
+)
+def listed_files(spark, sf_dir):
+    """Folders of files that are named after suppliers, listed and routed."""
+    import pyarrow.fs as fs
+
+    path = _folder(spark, "files")
+    key = F.col("s_suppkey")
+    ending = F.get(F.array(*(F.lit(x) for x in (".txt", ".PDF", ".csv", ".png", ""))), (key * 7 % 5).cast("int"))
+    named = table(spark, sf_dir, "supplier").select(F.concat(F.lit("n"), F.col("s_nationkey").cast("string"), F.lit("-"), (key % 8).cast("string")).alias("batch"), F.concat(F.lit("s"), key.cast("string"), ending).alias("name"), (key % 50).cast("int").alias("size"))
+
+    def put(rows):
+        store, root = fs.FileSystem.from_uri(path)
+        for r in rows:
+            store.create_dir(f"{root}/{r['batch']}")
+            with store.open_output_stream(f"{root}/{r['batch']}/{r['name']}") as f:
+                f.write(b"x" * r["size"])
+
+    named.foreachPartition(put)
+    routed = readers.route_files(readers.list_files(spark, path))
+    return routed.select(F.element_at(F.split("batch", "/"), -1).alias("batch"), F.col("ord").alias("name"), "length", "route")
+
+
 _FILES = "CASE event_type WHEN 'signup' THEN 'application/pdf' WHEN 'click' THEN 'image/png' WHEN 'view' THEN 'image/jpeg' ELSE 'text/plain' END"
 
 
@@ -407,16 +459,23 @@ def drawn_lines(spark, sf_dir):
 
 
 @query(
-    "SELECT conv_id AS doc_id, turn::INT AS page, CASE WHEN length(text) % 7 = 0 THEN 0 ELSE 2 END AS n_regions, length(text) % 7 <> 0 AND length(text) % 5 = 0 AS truncated, CASE WHEN length(text) % 7 = 0 THEN 'unreadable' END AS error, CASE WHEN length(text) % 7 <> 0 THEN text END AS first_text FROM conversations"
+    "WITH c AS (SELECT *, turn % 3 AS e, length(text) % 7 = 0 AS bad FROM conversations) SELECT conv_id AS doc_id, turn::INT AS page, CASE WHEN e = 1 THEN 1 WHEN e = 2 OR bad THEN 0 ELSE 2 END AS n_regions, e = 0 AND NOT bad AND length(text) % 5 = 0 AS truncated,"
+    " CASE WHEN e = 2 THEN 'no engine other' WHEN e = 0 AND bad THEN 'unreadable' END AS error, CASE WHEN e = 1 OR e = 0 AND NOT bad THEN text END AS first_text FROM c"
 )
 def recognized_pages(spark, sf_dir):
-    """A caller's engine that fails on some pages; the others are recognised all the same."""
+    """Two of a caller's engines, chosen by a column; one fails on some pages, the other never cuts
+    a page short, and pages of a third are reported."""
+    quad = [0.0, 0.0, 9.0, 0.0, 9.0, 5.0, 0.0, 5.0]
+
+    def small():
+        def read(contents: list[str]) -> list[list[dict]]:
+            if any(len(c) % 7 == 0 for c in contents):
+                raise ValueError("unreadable")
+            return [[{"text": c, "quad": quad}, {"text": "x", "quad": quad}, {"truncated": len(c) % 5 == 0}] for c in contents]
 
-    def engine(content: str) -> list[dict]:
-        if len(content) % 7 == 0:
-            raise ValueError("unreadable")
-        quad = [0.0, 0.0, 9.0, 0.0, 9.0, 5.0, 0.0, 5.0]
-        return [{"text": content, "quad": quad}, {"text": "x", "quad": quad}, {"truncated": len(content) % 5 == 0}]
+        return read
 
-    done = regions.recognize(turns(spark, sf_dir).withColumnRenamed("str", "content"), engine)
+    engines = {"small": regions.Engine(small, 4), "large": regions.Engine(lambda: lambda contents: [[{"text": c, "quad": quad}] for c in contents], 16)}
+    chosen = F.when(F.col("page") % 3 == 0, "small").when(F.col("page") % 3 == 1, "large").otherwise("other")
+    done = regions.recognize_by_name(turns(spark, sf_dir).withColumnRenamed("str", "content").withColumn("engine", chosen), engines)
     return done.select("doc_id", "page", F.size("regions").alias("n_regions"), "truncated", "error", F.get("regions.text", F.lit(0)).alias("first_text"))

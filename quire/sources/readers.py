@@ -60,14 +60,37 @@ def fixed_width_row(columns: list[Column], width: int = 16) -> Column:
 
 
 def fixed_width_rows(df: DataFrame, name: str, order: list[str], width: int = 16) -> DataFrame:
-    """(part, key, text): a heading row, the rows that are not all null, a blank row. The
-    order is told by ``part`` and ``key``; nothing is sorted in one task."""
+    """(part, key, text): a heading row, the rows that are not all null, a blank row. The order
+    is told by ``part`` and ``key``, a struct of the order columns in their own types; nothing is
+    sorted in one task."""
     blank = F.lit(True)
     for c in df.columns:
         blank = blank & F.col(c).isNull()
-    body = df.where(~blank).select(F.lit(1).alias("part"), F.concat_ws("|", *order).alias("key"), fixed_width_row([F.col(c) for c in df.columns], width).alias("text"))
-    ends = df.sparkSession.createDataFrame([(0, "", f"# {name}"), (2, "", "")], "part int, key string, text string")
-    return body.unionByName(ends)
+    key = F.struct(*(F.col(c).alias(f"k{i}") for i, c in enumerate(order)))
+    body = df.where(~blank).select(F.lit(1).alias("part"), key.alias("key"), fixed_width_row([F.col(c) for c in df.columns], width).alias("text"))
+    ends = df.sparkSession.createDataFrame([(0, f"# {name}"), (2, "")], "part int, text string")
+    return body.unionByName(ends.select("part", F.lit(None).cast(body.schema["key"].dataType).alias("key"), "text"))
+
+
+def fixed_width_sheets(sheets: list[tuple[str, DataFrame, list[str]]], width: int = 16) -> DataFrame:
+    """(sheet, part, key, text) of several (name, table, order columns), one after another;
+    the order columns agree in number and, but for widening, in type."""
+    out = None
+    for i, (name, df, order) in enumerate(sheets):
+        rows = fixed_width_rows(df, name, order, width).select(F.lit(i).alias("sheet"), "part", "key", "text")
+        out = rows if out is None else out.unionByName(rows)
+    if out is None:
+        raise ValueError("no sheet is given")
+    return out
+
+
+def list_files(spark: SparkSession, folder: str) -> DataFrame:
+    """(batch, ord, path, length, modified) of the files in and below ``folder``; what lies in
+    one folder is a batch, in order of names. Contents are not read, and what is wanted of the
+    names and lengths is filtered before ``route_files``."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
+    cut = F.regexp_extract("path", r"^(.*)/([^/]*)$", 1), F.regexp_extract("path", r"^(.*)/([^/]*)$", 2)
+    return files.select(cut[0].alias("batch"), cut[1].alias("ord"), "path", "length", F.col("modificationTime").alias("modified"))
 
 
 def route_files(listing: DataFrame, has_document: bool = False) -> DataFrame:

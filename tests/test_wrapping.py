@@ -1,64 +1,100 @@
-"""Wrapping of plain and of styled text against plain folds."""
+"""Wrapping by what must hold of any wrapped text: no ink is lost, no line is too long unless
+it is one word, no line could take what follows it, and looks are kept."""
 
-import random
 import re
 
+from hypothesis import HealthCheck, Phase, given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from quire.functions import text as X
 from quire.operators.wrapping import wrap_runs
 from quire.schemas import STYLED_RUN
 
-BLANK = re.compile(r"[\s\ufeff]+")
+INK = re.compile(r"[^\s﻿]+")
+few = settings(max_examples=4, deadline=None, derandomize=True, phases=[Phase.generate], suppress_health_check=list(HealthCheck))
 
+letters = st.text("abé𝒳日", min_size=1, max_size=9)
+gaps = st.text(" \t ﻿", min_size=1, max_size=4)
+plain = st.lists(st.one_of(letters, gaps), max_size=40).map("".join)
 
-def fold(text, width):
-    """A line grows by words and by the white space between them until one is too much."""
-    out, line = [], ""
-    for token in re.split(r"([\s\ufeff]+)", text):
-        if len(line) + len(token) > width and BLANK.sub("", line):
-            out.append(re.sub(r"[\s\ufeff]+$", "", line))
-            line = re.sub(r"^[\s\ufeff]+", "", token)
+
+def spans(text, width):
+    """(first, end) of each line, told by the places of the words."""
+    found = []
+    for m in INK.finditer(text):
+        if not found or m.end() - found[-1][0] > width:
+            found.append([m.start() if found else 0, m.end()])
         else:
-            line += token
-    if BLANK.sub("", line):
-        out.append(re.sub(r"[\s\ufeff]+$", "", line))
-    return out or [""]
+            found[-1][1] = m.end()
+    return found
+
+
+@few
+@given(texts=st.lists(plain, min_size=60, max_size=60), width=st.integers(1, 24))
+def test_plain_text(spark, texts, width):
+    for row in spark.createDataFrame([(t,) for t in texts], "t string").select("t", X.wrap_text(F.col("t"), width).alias("w")).collect():
+        text, lines = row["t"], row["w"]
+        assert INK.findall(" ".join(lines)) == INK.findall(text)
+        assert lines == ([text[a:b] for a, b in spans(text, width)] or [""])
+        for line in lines:
+            assert len(line) <= width or len(INK.findall(line)) == 1
+
 
+#: A piece of a styled text: a word, a gap or a line break, bold or not.
+piece = st.tuples(st.one_of(letters, st.text(" ", min_size=1, max_size=3), st.just("\n")), st.sampled_from([None, False, True]))
+boxes = st.lists(piece, max_size=25)
 
-def test_wrap_text_against_a_fold(spark):
-    r = random.Random(3)
-    texts = ["", " ", "a", "a b", "   lead in", "x" * 30, "  " + "y" * 30 + " z", "a  b   c    d", "tail   ", "é ü 𝒳𝒳 日本", "a b c\ufeffd"]
-    texts += ["".join(r.choice("ab  \t é") for _ in range(r.randint(1, 120))) for _ in range(300)]
-    texts += [" ".join("w" * r.randint(1, 14) for _ in range(r.randint(1, 60))) for _ in range(200)]
-    df = spark.createDataFrame([(t,) for t in texts], "t string")
-    for width in (1, 2, 7, 20):
-        for row in df.select("t", X.wrap_text(F.col("t"), width).alias("w")).collect():
-            assert row["w"] == fold(row["t"], width), (row["t"], width)
 
+def em(c, bold):
+    return 0.0 if c == "\n" else 0.9 if bold and c == "a" else 0.5
 
-def box(i, *runs):
-    """A box of runs (text, bold)."""
-    return (i, [(t, b, None, None, None, None) for t, b in runs], 10.0, "Helvetica", False, False, "#000000")
 
+def tokens_of(pieces):
+    """The words, gaps and breaks of each piece, with their look."""
+    return [(t, bool(bold)) for text, bold in pieces for t in re.findall(r"\n|[^\S\n]+|\S+", text)]
 
-def test_wrap_runs(spark):
+
+@few
+@given(many=st.lists(boxes, min_size=40, max_size=40), room=st.integers(20, 90))
+def test_styled_text(spark, many, room):
     schema = f"id long, runs array<{STYLED_RUN}>, font_size double, font_family string, bold boolean, italic boolean, color string"
-    rows = [
-        box(1, ("Good ", None), ("day", True)), box(2, ("Seven bright ", None), ("red kites", True)), box(3, ("top row\nlow row", None)), box(4, ("ends   ", None)),
-        box(5, ("a\n\n  \nb\n", None)), box(6, ("", None)), box(7, ("one ", None), ("two", False), (" three", True)), box(8, ("aa  ", None), ("  bb", None)),
-    ]
-    widths = spark.createDataFrame([("Helvetica-b", "w", 2.0)], "font string, char string, em double")
-    out = wrap_runs(spark.createDataFrame(rows, schema), widths, F.when(F.col("id").isin(2, 8), 60.0).otherwise(400.0), keys=("id",))
-    lines = {}
-    for r in sorted(out.collect(), key=lambda r: (r["id"], r["line"], r["segment"])):
-        assert r["segment"] == len(lines.setdefault(r["id"], {}).setdefault(r["line"], []))
-        lines[r["id"]][r["line"]].append(r["text"])
-        assert abs(r["width"] - sum((2.0 if r["font"] == "Helvetica-b" and c == "w" else 0.6) * 10 for c in r["text"])) < 1e-9
-    found = {i: [v[k] for k in sorted(v)] for i, v in lines.items()}
-    assert found[1] == [["Good ", "day"]]
-    assert " ".join("".join(x) for x in found[2]).split() == "Seven bright red kites".split() and len(found[2]) > 1
-    assert found[3] == [["top row"], ["low row"]] and found[4] == [["ends"]]
-    assert found[5] == [["a"], [""], [""], ["b"], [""]] and found[6] == [[""]]
-    assert found[7] == [["one two", " three"]]  # a style that equals the box's own is no style
-    assert found[8] == [["aa    bb"]]
+    rows = [(i, [(t, b, None, None, None, None) for t, b in pieces], 10.0, "Helvetica", False, False, "#000000") for i, pieces in enumerate(many)]
+    widths = spark.createDataFrame([("Helvetica-b", "a", 0.9)], "font string, char string, em double")
+    out = wrap_runs(spark.createDataFrame(rows, schema), widths, F.lit(float(room)), keys=("id",), default_em=0.5)
+    found = {i: {} for i in range(len(many))}
+    for r in out.orderBy("id", "line", "segment").collect():
+        line = found[r["id"]].setdefault(r["line"], [])
+        assert r["segment"] == len(line)
+        bold = r["font"] == "Helvetica-b"
+        assert abs(r["width"] - sum(em(c, bold) * 10 for c in r["text"])) < 1e-9
+        assert not line or line[-1][1] != bold  # neighbours differ
+        line.append((r["text"], bold))
+    for i, pieces in enumerate(many):
+        check_box(tokens_of(pieces), [found[i].get(k, []) for k in range(max(found[i]) + 1)], room)  # a line of white space alone has no row
+
+
+def check_box(tokens, lines, room):
+    size = lambda t, bold: sum(em(c, bold) * 10 for c in t)
+    left = list(tokens)
+    for n, line in enumerate(lines):
+        used, words, text = sum(size(t, b) for t, b in line), 0, "".join(t for t, _ in line)
+        assert text == text.rstrip(" ")
+        looks = [(c, b) for t, b in line for c in t if c != " "]
+        while looks:  # the line's ink is the next ink of the text, in the same look
+            token, bold = left.pop(0)
+            assert token != "\n"
+            if token.strip(" "):
+                words += 1
+                assert looks[: len(token)] == [(c, bold) for c in token]
+                looks = looks[len(token) :]
+        assert used <= room + 1e-9 or words == 1
+        gap = 0.0
+        while left and not left[0][0].strip(" "):
+            gap += size(*left.pop(0))
+        if left and left[0][0] == "\n":
+            left.pop(0)
+        elif left and n < len(lines) - 1:
+            assert words == 0 or used + gap + size(*left[0]) > room - 1e-9  # what follows did not fit
+    assert not [t for t, _ in left if t.strip(" \n")]
+    assert len(lines) >= 1 + sum(t == "\n" for t, _ in tokens)

@@ -370,17 +370,17 @@ def region_pixels(spark, sf_dir):
 
 
 @query(
-    "WITH f AS (SELECT concat('n', s_nationkey, '-', s_suppkey % 8) AS batch, concat('s', s_suppkey, ['.txt', '.PDF', '.csv', '.png', ''][s_suppkey * 7 % 5 + 1]) AS name, s_suppkey * 7 % 5 AS e, s_suppkey % 50 AS length FROM supplier)"
+    "WITH g AS (SELECT floor(doc_id / 100)::BIGINT AS g, count(*) AS n FROM documents GROUP BY 1), f AS (SELECT concat('n', g % 97) AS batch, concat('s', g, ['.txt', '.PDF', '.csv', '.png', ''][g * 7 % 5 + 1]) AS name, g * 7 % 5 AS e, n AS length FROM g)"
     " SELECT batch, name, length::BIGINT AS length, CASE WHEN e = 1 THEN 'pdf' ELSE 'convert' END AS route FROM f WHERE e IN (1, 2, 3) QUALIFY row_number() OVER (PARTITION BY batch ORDER BY e <> 1, name) = 1"
 )
 def listed_files(spark, sf_dir):
-    """Folders of files that are named after suppliers, listed and routed."""
+    """Folders of files that are named after bundles of documents, listed and routed."""
     import pyarrow.fs as fs
 
     path = _folder(spark, "files")
-    key = F.col("s_suppkey")
-    ending = F.get(F.array(*(F.lit(x) for x in (".txt", ".PDF", ".csv", ".png", ""))), (key * 7 % 5).cast("int"))
-    named = table(spark, sf_dir, "supplier").select(F.concat(F.lit("n"), F.col("s_nationkey").cast("string"), F.lit("-"), (key % 8).cast("string")).alias("batch"), F.concat(F.lit("s"), key.cast("string"), ending).alias("name"), (key % 50).cast("int").alias("size"))
+    bundles = table(spark, sf_dir, "documents").groupBy(F.floor(F.col("doc_id") / 100).alias("g")).agg(F.count("*").cast("int").alias("size"))
+    ending = F.get(F.array(*(F.lit(x) for x in (".txt", ".PDF", ".csv", ".png", ""))), (F.col("g") * 7 % 5).cast("int"))
+    named = bundles.select(F.concat(F.lit("n"), (F.col("g") % 97).cast("string")).alias("batch"), F.concat(F.lit("s"), F.col("g").cast("string"), ending).alias("name"), "size")
 
     def put(rows):
         store, root = fs.FileSystem.from_uri(path)

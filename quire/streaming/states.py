@@ -1,67 +1,172 @@
 """Streams of edits, alerts and recognised pages. Rows later than the watermark are left
-out; the others are applied in order of (ts, seq) within each trigger."""
+out; the others are applied in order of their time within each trigger. State lies in RocksDB,
+and a trigger writes what it changes, not what a key holds."""
 
 from __future__ import annotations
 
-import pickle
-from collections.abc import Iterator
+import json
+from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from quire.operators.edits import STATE, Document
+from quire.operators.edits import STATE, Document, Marks
 
+#: What ``stream_edits`` gives: rows of ``fold_edits`` that changed, without a value those that
+#: went, and ``at``, how many actions the document had seen then.
+CHANGES = f"{STATE}, at long"
+_DEFAULT = "org.apache.spark.sql.execution.streaming.state.HDFSBackedStateStoreProvider"
+_ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
-def stream_edits(log: DataFrame, history: int = 100, burst_ms: int = 600, delay: str = "10 seconds") -> DataFrame:
-    """The state of every document that a trigger touches, as ``fold_edits`` gives it.
-    The state kept is the document with its bounded history."""
 
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        doc = pickle.loads(state.get[0]) if state.exists else Document(history, burst_ms)
-        rows = pd.concat(list(frames)).sort_values(["ts", "seq"], kind="stable")
-        for r in rows.itertuples():
+def on_rocks(spark: SparkSession) -> None:
+    """Sets the state store that state by key needs, unless the session has chosen one."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    if (spark.conf.get(name, None) or _DEFAULT) == _DEFAULT:
+        spark.conf.set(name, _ROCKS)
+
+
+class _Store:
+    """A document's tables as map states; what one trigger reads or writes is remembered."""
+
+    def __init__(self, maps: dict):
+        self.maps, self.seen = maps, {}
+
+    def get(self, table: str, key: str):
+        if (table, key) not in self.seen:
+            found = self.maps[table].getValue((key,))
+            self.seen[table, key] = json.loads(found[0]) if found else None
+        return self.seen[table, key]
+
+    def put(self, table: str, key: str, value) -> None:
+        if value is not None:
+            self.maps[table].updateValue((key,), (json.dumps(value),))
+        elif self.get(table, key) is not None:
+            self.maps[table].removeKey((key,))
+        self.seen[table, key] = value
+
+    def items(self, table: str) -> list[tuple]:
+        return [(k[0], json.loads(v[0])) for k, v in list(self.maps[table].iterator())]
+
+
+class EditState(StatefulProcessor):
+    """A document's edits, page operations, order and versions, each under its own key."""
+
+    def __init__(self, history: int, burst_ms: int):
+        self.history, self.burst_ms = history, burst_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.maps = {t: handle.getMapState(t, "key string", "value string") for t in ("edit", "page_op", "order", "version")}
+        self.marks = handle.getValueState("marks", "value string")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        found = self.marks.get() if self.marks.exists() else None
+        doc = Document(self.history, self.burst_ms, _Store(self.maps), Marks(**json.loads(found[0])) if found else None)
+        for r in pd.concat(list(rows)).sort_values(["ts", "seq"], kind="stable").itertuples():
             page = None if pd.isna(r.page) else int(r.page)
-            doc.apply(r.action, int(r.ts.value // 1_000_000), r.edit_id, page, r.payload)
-        state.update((pickle.dumps(doc),))
-        yield pd.DataFrame(doc.rows(key[0]), columns=[c.split()[0] for c in STATE.split(", ")])
+            doc.apply(r.action, int(r.ts.value // 1_000_000), None if pd.isna(r.edit_id) else r.edit_id, page, None if pd.isna(r.payload) else r.payload)
+        self.marks.update((json.dumps(vars(doc.marks)),))
+        yield pd.DataFrame(doc.changes(key[0]), columns=[c.split()[0] for c in CHANGES.split(", ")])
 
-    grouped = log.withWatermark("ts", delay).groupBy("doc_id")
-    return grouped.applyInPandasWithState(step, STATE, "doc binary", "update", GroupStateTimeout.NoTimeout)
+    def close(self) -> None:
+        pass
 
 
-def stream_alerts(alerts: DataFrame, error_ms: int = 5000, other_ms: int = 2500, delay: str = "0 seconds") -> DataFrame:
-    """(id, event, variant, message): ``shown`` or ``patched`` when an alert comes,
-    ``dismissed`` by an alert of variant ``dismiss``, ``expired`` when event time passes
-    its time to live; a sticky one stays."""
-
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            _, variant, message = state.get
-            state.remove()
-            yield pd.DataFrame([(key[0], "expired", variant, message)], columns=["id", "event", "variant", "message"])
-            return
-        out = []
-        for r in pd.concat(list(frames)).sort_values("ts", kind="stable").itertuples():
+def stream_edits(log: DataFrame, history: int = 100, burst_ms: int = 600, delay: str = "10 seconds") -> DataFrame:
+    """What each trigger changes in the documents that it touches (``CHANGES``). Added up
+    (``latest``), changes give what ``fold_edits`` gives for the whole log."""
+    on_rocks(log.sparkSession)
+    rows = log.select("doc_id", "seq", "ts", "action", "edit_id", "page", "payload").withWatermark("ts", delay)
+    return rows.groupBy("doc_id").transformWithStateInPandas(EditState(history, burst_ms), CHANGES, "Update", "None")
+
+
+def latest(changes: DataFrame) -> DataFrame:
+    """The state that a table of changes adds up to, as ``fold_edits`` gives it."""
+    last = lambda *c: F.max_by(F.struct(*c), "at")
+    rows = changes.where("kind <> 'document'").groupBy("doc_id", "kind", "key").agg(last("place", "value").alias("v")).where("v.value is not null")
+    docs = changes.where("kind = 'document'").groupBy("doc_id").agg(last("past", "future").alias("n"))
+    kind, key = F.coalesce("kind", F.lit("empty")), F.coalesce("key", F.lit(""))
+    found = docs.join(rows, "doc_id", "left")
+    return found.select("doc_id", kind.alias("kind"), key.alias("key"), F.coalesce("v.place", F.lit(0)).cast("long").alias("place"), F.coalesce("v.value", F.lit("{}")).alias("value"), "n.past", "n.future")
+
+
+class AlertState(StatefulProcessor):
+    """The alerts of one owner by id, each with a timer of its own."""
+
+    def __init__(self, error_ms: int, other_ms: int):
+        self.error_ms, self.other_ms = error_ms, other_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.shown = handle.getMapState("shown", "id string", "variant string, message string, until long")
+        self.due = handle.getMapState("due", "until long, id string", "there boolean")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        out, now = [], timerValues.getCurrentWatermarkInMs()
+        for r in pd.concat(list(rows)).sort_values("ts", kind="stable").itertuples():
+            held = self.shown.getValue((r.id,)) if self.shown.containsKey((r.id,)) else None
             if r.variant == "dismiss":
-                if state.exists:
-                    out.append((key[0], "dismissed", state.get[1], state.get[2]))
-                    state.remove()
-                continue
-            out.append((key[0], "patched" if state.exists else "shown", r.variant, r.message))
-            ttl = int(r.duration_ms) if not pd.isna(r.duration_ms) else error_ms if r.variant == "error" else other_ms
-            until = int(r.ts.value // 1_000_000) + ttl
-            state.update((until, r.variant, r.message))
-            if not r.sticky:
-                state.setTimeoutTimestamp(max(until, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame(out, columns=["id", "event", "variant", "message"])
-
-    grouped = alerts.withWatermark("ts", delay).groupBy("id")
-    return grouped.applyInPandasWithState(step, "id string, event string, variant string, message string", "until long, variant string, message string", "append", GroupStateTimeout.EventTimeTimeout)
+                if held:
+                    self.shown.removeKey((r.id,))
+                    if held[2] >= 0:
+                        self.due.removeKey((held[2], r.id))
+                    out.append((key[0], r.id, "dismissed", held[0], held[1]))
+            elif held:  # a patch changes the message; when and whether it ends was told when it came
+                message = held[1] if pd.isna(r.message) else r.message
+                self.shown.updateValue((r.id,), (held[0], message, held[2]))
+                out.append((key[0], r.id, "patched", held[0], message))
+            elif r.variant != "patch":
+                until = -1
+                if not r.sticky:
+                    ttl = int(r.duration_ms) if not pd.isna(r.duration_ms) else self.error_ms if r.variant == "error" else self.other_ms
+                    until = max(int(r.ts.value // 1_000_000) + ttl, now + 1)
+                    self.due.updateValue((until, r.id), (True,))
+                    self.handle.registerTimer(until)
+                self.shown.updateValue((r.id,), (r.variant, r.message, until))
+                out.append((key[0], r.id, "shown", r.variant, r.message))
+        yield pd.DataFrame(out, columns=["owner", "id", "event", "variant", "message"])
+
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        out, at = [], expiredTimerInfo.getExpiryTimeInMs()
+        for until, alert in sorted(tuple(k) for k in self.due.keys()):
+            if until <= at:
+                variant, message, _ = self.shown.getValue((alert,))
+                self.due.removeKey((until, alert))
+                self.shown.removeKey((alert,))
+                out.append((key[0], alert, "expired", variant, message))
+        yield pd.DataFrame(out, columns=["owner", "id", "event", "variant", "message"])
+
+    def close(self) -> None:
+        pass
+
+
+def stream_alerts(alerts: DataFrame, error_ms: int = 5000, other_ms: int = 2500, delay: str = "0 seconds") -> DataFrame:
+    """(owner, id, event, variant, message) of alerts (owner, id, variant, message, ts, sticky,
+    duration_ms): ``shown`` when an alert comes, ``patched`` when its id comes again (with the
+    variant ``patch`` only then), ``dismissed`` by one of variant ``dismiss``, ``expired`` when
+    event time passes the end that was set when it came. A patch moves no end, and a sticky
+    alert has none."""
+    on_rocks(alerts.sparkSession)
+    rows = alerts.select("owner", "id", "variant", "message", "ts", "sticky", "duration_ms").withWatermark("ts", delay)
+    return rows.groupBy("owner").transformWithStateInPandas(AlertState(error_ms, other_ms), "owner string, id string, event string, variant string, message string", "Append", "EventTime")
 
 
 def page_progress(results: DataFrame) -> DataFrame:
     """Running counts of done, failed and truncated pages of each document of a stream."""
     ok = F.col("error").isNull()
     return results.groupBy("doc_id").agg(F.count_if(ok).alias("done"), F.count_if(~ok).alias("failed"), F.count_if("truncated").alias("truncated"))
+
+
+def page_sink(path: str, cancelled: Callable[[SparkSession], DataFrame]) -> Callable[[DataFrame, int], None]:
+    """For ``foreachBatch`` of a stream of recognised pages: each batch is a folder of the table
+    at ``path``, named by its number, so that one that is repeated replaces itself. Pages of
+    documents that ``cancelled`` lists (doc_id), asked anew for each batch, are left out; what
+    was written before a document was cancelled stays."""
+
+    def put(batch: DataFrame, number: int) -> None:
+        stopped = cancelled(batch.sparkSession).select("doc_id").distinct()
+        batch.join(stopped, "doc_id", "left_anti").write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    return put

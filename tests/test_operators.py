@@ -101,20 +101,20 @@ def test_undo_redo_and_bursts():
     d.apply("add", 0, "a", 0, '{"v": 0}')
     for t, v in ((1000, 1), (1599, 2), (2199, 3)):  # 599 ms joins, 600 ms does not
         d.apply("update", t, "a", 0, json.dumps({"v": v}))
-    assert len(d.past) == 3
+    assert d.counts() == (3, 0)
     d.apply("undo", 3000, None, None, None)
-    assert d.tables["edit"]["a"][1]["v"] == 2
+    assert d.value("edit", "a")[1]["v"] == 2
     d.apply("undo", 3000, None, None, None)
-    assert d.tables["edit"]["a"][1]["v"] == 0
+    assert d.value("edit", "a")[1]["v"] == 0
     d.apply("redo", 3000, None, None, None)
-    assert d.tables["edit"]["a"][1]["v"] == 2
+    assert d.value("edit", "a")[1]["v"] == 2
     d.apply("delete", 3001, "a", None, None)
-    assert not d.future and not d.tables["edit"]
+    assert d.counts()[1] == 0 and not d.store.items("edit")
     d.apply("undo", 3002, None, None, None)
-    assert d.tables["edit"]["a"][1]["v"] == 2
+    assert d.value("edit", "a")[1]["v"] == 2
     for i in range(101):
         d.apply("add", 4000 + i, str(i), 0, None)
-    assert len(d.past) == 100
+    assert d.counts() == (100, 0)
     d.apply("open", 9000, None, None, None)
     assert d.rows(1)[0][1] == "empty"
 
@@ -153,8 +153,8 @@ def test_fold_equals_snapshots(steps):
         ts += wait
         d.apply(action, ts, key, 0, json.dumps({"v": ts}))
         m.apply(action, ts, key)
-        assert {k: v[1]["v"] for k, v in d.tables["edit"].items()} == m.now
-        assert (len(d.past), len(d.future)) == (len(m.past), len(m.future))
+        assert {k: v[1]["v"] for k, v in d.store.items("edit")} == m.now
+        assert d.counts() == (len(m.past), len(m.future))
 
 
 @pytest.mark.parametrize("gap,bursts", [(599, 1), (600, 2), (601, 2)])
@@ -162,16 +162,3 @@ def test_burst_gap(spark, gap, bursts):
     log = spark.createDataFrame([(1, 0, 0, "update", "a"), (1, 1, gap, "update", "a")], "doc_id long, seq long, ms long, action string, edit_id string")
     log = log.withColumn("ts", F.timestamp_millis("ms"))
     assert E.edit_bursts(log).agg(F.max("burst")).first()[0] == bursts
-
-
-def test_stream_equals_batch(spark, tmp_path):
-    from quire.plans.layout_queries import edit_log
-    from quire.streaming.states import stream_edits
-
-    log = edit_log(spark, "/root/testdata/sf0.001").where("doc_id < 20")
-    log.coalesce(1).write.parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema(log.schema).parquet(str(tmp_path / "in"))
-    q = stream_edits(stream, burst_ms=7_200_000).writeStream.format("memory").queryName("edits").outputMode("update").option("checkpointLocation", str(tmp_path / "cp")).start()
-    q.processAllAvailable()
-    q.stop()
-    assert sorted(map(tuple, spark.table("edits").collect())) == sorted(map(tuple, E.fold_edits(log, burst_ms=7_200_000).collect()))

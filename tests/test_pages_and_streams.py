@@ -11,7 +11,7 @@ from quire.operators import edits as E
 from quire.operators import pages as P
 from quire.schemas import RUNS
 from quire.sources import readers
-from quire.streaming.states import page_progress, stream_alerts
+from quire.streaming.states import page_progress
 
 SHEET = "doc_id long, page int, width double, height double, source_rotation int, source_crop struct<x: double, y: double, width: double, height: double>"
 OPS = "doc_id long, page int, rotation int, crop struct<top: double, right: double, bottom: double, left: double>"
@@ -103,10 +103,10 @@ def test_every_action_against_snapshots(steps, seeded):
         ts += wait
         d.apply(action, ts, key, page, json.dumps(given_))
         m.apply(action, ts, key, page, given_)
-        assert {k: v[1] for k, v in d.tables["edit"].items()} == m.now[0]
-        assert {int(k): v[1] for k, v in d.tables["page_op"].items()} == m.now[1]
-        assert d.tables["order"].get("", (0, None))[1] == m.now[2]
-        assert (len(d.past), len(d.future)) == (len(m.past), len(m.future))
+        assert {k: v[1] for k, v in d.store.items("edit")} == m.now[0]
+        assert {int(k): v[1] for k, v in d.store.items("page_op")} == m.now[1]
+        assert (d.value("order", "") or (0, None))[1] == m.now[2]
+        assert d.counts() == (len(m.past), len(m.future)) and len(d.store.maps["version"]) == sum(d.counts())
 
 
 def drained(spark, tmp_path, df, mode, name):
@@ -116,28 +116,6 @@ def drained(spark, tmp_path, df, mode, name):
     return [tuple(r) for r in spark.table(name).collect()]
 
 
-def test_alerts_expire_in_event_time(spark, tmp_path):
-    schema = "id string, variant string, message string, ts timestamp, sticky boolean, duration_ms long"
-    batches = [
-        [("a", "error", "A", 0, False, None), ("b", "info", "B", 0, False, None), ("c", "info", "C", 0, True, None), ("d", "info", "D", 0, False, 60_000)],
-        [("e", "info", "E", 3, False, None)], [("a", "error", "A2", 4, False, None)], [("f", "info", "F", 8, False, None)], [("c", "dismiss", "", 10, False, None)], [("g", "info", "G", 20, False, None)], [("h", "info", "H", 21, False, None)],
-    ]
-    (tmp_path / "in").mkdir()
-    stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
-    q = stream_alerts(stream).writeStream.format("memory").queryName("alerts").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).start()
-    for rows in batches:
-        df = spark.createDataFrame(rows, "id string, variant string, message string, s long, sticky boolean, duration_ms long")
-        df.select("id", "variant", "message", F.timestamp_seconds(F.col("s") + 1000).alias("ts"), "sticky", "duration_ms").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-        q.processAllAvailable()
-    q.stop()
-    got = [tuple(r) for r in spark.table("alerts").collect()]
-    events = {k: [(e, m) for i, e, _, m in got if i == k] for k in "abcdefgh"}
-    assert events["a"] == [("shown", "A"), ("patched", "A2"), ("expired", "A2")]  # a patch starts its time anew
-    assert events["b"] == [("shown", "B"), ("expired", "B")] and events["e"] == [("shown", "E"), ("expired", "E")]
-    assert events["c"] == [("shown", "C"), ("dismissed", "C")] and events["d"] == [("shown", "D")]
-    assert events["f"] == [("shown", "F"), ("expired", "F")]
-
-
 def test_progress_of_recognition(spark, tmp_path):
     rows = [(i % 3, i, None if i % 4 else "bad", i % 5 == 0) for i in range(40)]
     df = spark.createDataFrame(rows, "doc_id long, page int, error string, truncated boolean")

@@ -133,10 +133,10 @@ class Document:
         elif action == "set_page_order":
             self._commit([["order", "", get("order", ""), {"list": list(given)}]])
         elif action == "delete_page":
-            gone = [["edit", k, v, None] for k, v in self.store.items("edit") if v[1].get("page") == page]
+            gone = [["edit", k, v, None] for k, v in self.store.items("edit") if v[1].get("page") == page] if page is not None else []
             op, order = get("page_op", str(page)), get("order", "")
-            gone += [["page_op", str(page), op, None]] if op else []
-            self._commit([*gone, ["order", "", order, without_page(order, page)]])
+            gone += [["page_op", str(page), op, None]] if op and page is not None else []
+            self._commit([*gone, ["order", "", order, without_page(order, page)]] if page is not None else [])
         elif action == "seed_order" and m.seed is None:
             m.seed = int(given.get("pages", 0))
             self.touched.add(("order", ""))

@@ -14,6 +14,7 @@ from quire.functions.stats import modal_first, upper_median
 from quire.operators import edits as E
 from quire.operators import fonts, pages, paragraphs, raster, regions, search, spatial
 from quire.operators.layout import cluster_lines, line_blocks, number_lines, paginate
+from quire.operators.longlogs import fold_long_logs
 from quire.sources import readers
 
 _FOUND: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -491,6 +492,70 @@ def undo_redo(spark, sf_dir):
     return E.fold_edits(log, burst_ms=7_200_000).groupBy("doc_id").agg(F.max("past").alias("past"), F.max("future").alias("future"), F.count_if(F.col("kind") == "edit").alias("edits"))
 
 
+def full_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events of all users as the logs of three documents, with every action there is: the count of
+    pages comes again and again, and now and then a document is opened anew."""
+    k, ev, page = F.col("event_id") % 16, F.col("event_id"), (F.col("user_id") % 4).cast("int")
+    names = ["add", "add", "update", "update", "update", "update", "update", "delete", "undo", "undo", "redo", "set_page_op", "rotate", "set_page_order", "delete_page"]
+    action = F.when(k < 15, F.get(F.array(*(F.lit(n) for n in names)), k.cast("int"))).when(ev % 2048 == 15, "open").otherwise("seed_order")
+    one = lambda name, value: F.concat(F.lit('{"' + name + '": '), value.cast("string"), F.lit("}"))
+    patch = F.when(ev % 3 == 0, one("v", ev)).when(ev % 3 == 1, one("w", ev)).otherwise(one("page", ev % 4))
+    payload = (
+        F.when(action == "add", one("v", ev)).when(action == "update", patch).when(action == "set_page_op", F.when(ev % 3 == 0, one("rotation", ev % 4 * 90)).otherwise(one("crop", ev)))
+        .when(action == "rotate", F.when(ev % 5 == 0, one("delta", F.lit(-90))).otherwise("{}")).when(action == "set_page_order", F.concat(F.lit("["), (ev % 4).cast("string"), F.lit(", "), ((ev + 1) % 4).cast("string"), F.lit("]"))).when(action == "seed_order", F.lit('{"pages": 4}'))
+    )
+    placed = action.isin("add", "set_page_op", "rotate", "delete_page")
+    key = F.when(action.isin("add", "update", "delete"), (F.floor("value") % 20).cast("long").cast("string"))
+    return table(spark, sf_dir, "events").select((F.col("user_id") % 3).alias("doc_id"), ev.alias("seq"), F.col("ts").cast("timestamp").alias("ts"), action.alias("action"), key.alias("edit_id"), F.when(placed, page).alias("page"), payload.alias("payload"))
+
+
+#: The same log folded with whole snapshots (edits, page operations, order) on both stacks; an
+#: order is a list, or the pages that were taken from those that the count gives.
+_FULL = """WITH RECURSIVE l AS (SELECT user_id % 3 AS doc_id, event_id AS ev, epoch_ms(ts) AS ms, floor(value)::BIGINT % 20 AS k, (user_id % 4)::INT AS pg, row_number() OVER (PARTITION BY user_id % 3 ORDER BY ts, event_id) AS i,
+  CASE WHEN event_id % 16 < 15 THEN ['add', 'add', 'update', 'update', 'update', 'update', 'update', 'delete', 'undo', 'undo', 'redo', 'set_page_op', 'rotate', 'set_page_order', 'delete_page'][event_id % 16 + 1] WHEN event_id % 2048 = 15 THEN 'open' ELSE 'seed_order' END AS action FROM events
+), b AS (SELECT doc_id, i, coalesce(action = 'update' AND lag(action) OVER w = 'update' AND k = lag(k) OVER w AND ms - lag(ms) OVER w < 7200000, false) AS near FROM l WHERE action <> 'seed_order' WINDOW w AS (PARTITION BY doc_id ORDER BY i)
+), f AS (SELECT l.*, coalesce(near, false) AS near FROM l LEFT JOIN b USING (doc_id, i)
+), none AS (SELECT {'e': []::STRUCT(k BIGINT, p INT, g INT, v BIGINT, w BIGINT)[], 'o': []::STRUCT(g INT, p INT, r BIGINT, c BIGINT)[], 'l': NULL::INT[], 'm': []::INT[]} AS s
+), s(doc_id, i, nxt, seeded, cur, past, future) USING KEY (doc_id) AS (
+  SELECT DISTINCT doc_id, 0::BIGINT, 0, false, none.s, list_filter([none.s], lambda x: false), list_filter([none.s], lambda x: false) FROM l, none
+  UNION SELECT s.doc_id, f.i, CASE WHEN action = 'open' THEN 0 WHEN action IN ('add', 'set_page_op', 'rotate') THEN nxt + 1 ELSE nxt END, CASE action WHEN 'open' THEN false WHEN 'seed_order' THEN true ELSE seeded END,
+    CASE action
+      WHEN 'add' THEN {'e': list_append(list_filter(cur.e, lambda x: x.k <> f.k), {'k': f.k, 'p': nxt + 1, 'g': f.pg, 'v': f.ev, 'w': NULL}), 'o': cur.o, 'l': cur.l, 'm': cur.m}
+      WHEN 'update' THEN {'e': list_transform(cur.e, lambda x: {'k': x.k, 'p': x.p, 'g': CASE WHEN x.k = f.k AND f.ev % 3 = 2 THEN (f.ev % 4)::INT ELSE x.g END, 'v': CASE WHEN x.k = f.k AND f.ev % 3 = 0 THEN f.ev ELSE x.v END, 'w': CASE WHEN x.k = f.k AND f.ev % 3 = 1 THEN f.ev ELSE x.w END}), 'o': cur.o, 'l': cur.l, 'm': cur.m}
+      WHEN 'delete' THEN {'e': list_filter(cur.e, lambda x: x.k <> f.k), 'o': cur.o, 'l': cur.l, 'm': cur.m}
+      WHEN 'set_page_op' THEN {'e': cur.e, 'o': list_append(list_filter(cur.o, lambda x: x.g <> f.pg), {'g': f.pg, 'p': nxt + 1,
+          'r': CASE WHEN f.ev % 3 = 0 THEN f.ev % 4 * 90 ELSE coalesce(list_filter(cur.o, lambda x: x.g = f.pg)[1].r, 0) END, 'c': CASE WHEN f.ev % 3 = 0 THEN list_filter(cur.o, lambda x: x.g = f.pg)[1].c ELSE f.ev END}), 'l': cur.l, 'm': cur.m}
+      WHEN 'rotate' THEN {'e': cur.e, 'o': list_append(list_filter(cur.o, lambda x: x.g <> f.pg), {'g': f.pg, 'p': nxt + 1,
+          'r': coalesce(list_filter(cur.o, lambda x: x.g = f.pg)[1].r, 0) + CASE WHEN f.ev % 5 = 0 THEN -90 ELSE 90 END, 'c': list_filter(cur.o, lambda x: x.g = f.pg)[1].c}), 'l': cur.l, 'm': cur.m}
+      WHEN 'set_page_order' THEN {'e': cur.e, 'o': cur.o, 'l': [(f.ev % 4)::INT, ((f.ev + 1) % 4)::INT], 'm': []::INT[]}
+      WHEN 'delete_page' THEN {'e': list_filter(cur.e, lambda x: x.g <> f.pg), 'o': list_filter(cur.o, lambda x: x.g <> f.pg), 'l': list_filter(cur.l, lambda x: x <> f.pg), 'm': CASE WHEN cur.l IS NULL THEN list_append(cur.m, f.pg) ELSE cur.m END}
+      WHEN 'undo' THEN CASE WHEN len(past) > 0 THEN past[-1] ELSE cur END WHEN 'redo' THEN CASE WHEN len(future) > 0 THEN future[1] ELSE cur END
+      WHEN 'open' THEN (SELECT s FROM none) ELSE cur END,
+    CASE WHEN action = 'open' THEN past[:0] WHEN action = 'seed_order' THEN past WHEN action = 'undo' THEN past[:greatest(len(past) - 1, 0)] WHEN action = 'redo' THEN CASE WHEN len(future) > 0 THEN list_append(past, cur) ELSE past END
+      WHEN near AND len(past) > 0 THEN past ELSE list_append(past[greatest(1, len(past) - 18):], cur) END,
+    CASE WHEN action = 'open' THEN future[:0] WHEN action = 'seed_order' THEN future WHEN action = 'undo' THEN CASE WHEN len(past) > 0 THEN list_prepend(cur, future) ELSE future END WHEN action = 'redo' THEN future[2:]
+      WHEN near AND len(past) > 0 THEN future ELSE future[:0] END
+  FROM s JOIN f ON f.doc_id = s.doc_id AND f.i = s.i + 1
+), e AS (SELECT doc_id, len(past)::INT AS past, len(future)::INT AS future, unnest(cur.e, recursive := true) FROM s
+), o AS (SELECT doc_id, len(past)::INT AS past, len(future)::INT AS future, unnest(cur.o, recursive := true) FROM s
+), r AS (SELECT doc_id, len(past)::INT AS past, len(future)::INT AS future, CASE WHEN cur.l IS NOT NULL THEN cur.l WHEN seeded THEN list_filter([0, 1, 2, 3], lambda x: NOT list_contains(cur.m, x)) END AS l FROM s)
+SELECT doc_id, 'edit' AS kind, k::VARCHAR AS key, p::BIGINT AS place, concat('{"page": ', g, CASE WHEN v IS NOT NULL THEN concat(', "v": ', v) ELSE '' END, CASE WHEN w IS NOT NULL THEN concat(', "w": ', w) ELSE '' END, '}') AS value, past, future FROM e
+UNION ALL SELECT doc_id, 'page_op', g::VARCHAR, p, concat('{', CASE WHEN c IS NOT NULL THEN concat('"crop": ', c, ', ') ELSE '' END, '"rotation": ', r, '}'), past, future FROM o
+UNION ALL SELECT doc_id, 'order', '', 0, concat('[', array_to_string(l, ', '), ']'), past, future FROM r WHERE l IS NOT NULL"""
+
+
+@query(_FULL)
+def full_log_state(spark, sf_dir):
+    """Every action, folded from end to end; twenty versions can be undone."""
+    return E.fold_edits(full_log(spark, sf_dir), history=20, burst_ms=7_200_000)
+
+
+@query(_FULL)
+def long_log_state(spark, sf_dir):
+    """The same in segments of a few hundred actions, that are folded side by side."""
+    return fold_long_logs(full_log(spark, sf_dir), history=20, burst_ms=7_200_000, segment_rows=500)
+
+
 @query(
     "WITH a AS (SELECT user_id, event_id, ts, CASE WHEN event_type = 'error' THEN 72 ELSE 36 END AS h FROM events), m AS (SELECT DISTINCT user_id, date_trunc('month', ts) + INTERVAL 10 DAY AS moment FROM events) SELECT user_id, event_id, moment FROM a JOIN m USING (user_id) WHERE ts <= moment AND moment < ts + to_hours(h)"
 )

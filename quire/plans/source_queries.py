@@ -382,14 +382,16 @@ def listed_files(spark, sf_dir):
     ending = F.get(F.array(*(F.lit(x) for x in (".txt", ".PDF", ".csv", ".png", ""))), (F.col("g") * 7 % 5).cast("int"))
     named = bundles.select(F.concat(F.lit("n"), (F.col("g") % 97).cast("string")).alias("batch"), F.concat(F.lit("s"), F.col("g").cast("string"), ending).alias("name"), "size")
 
-    def put(rows):
+    def put(frames):
         store, root = fs.FileSystem.from_uri(path)
-        for r in rows:
-            store.create_dir(f"{root}/{r['batch']}")
-            with store.open_output_stream(f"{root}/{r['batch']}/{r['name']}") as f:
-                f.write(b"x" * r["size"])
-
-    named.foreachPartition(put)
+        for frame in frames:
+            for batch, name, size in frame.itertuples(index=False):
+                store.create_dir(f"{root}/{batch}")
+                with store.open_output_stream(f"{root}/{batch}/{name}") as f:
+                    f.write(b"x" * size)
+            yield frame[["size"]]
+
+    named.mapInPandas(put, "size int").write.format("noop").mode("overwrite").save()
     routed = readers.route_files(readers.list_files(spark, path))
     return routed.select(F.element_at(F.split("batch", "/"), -1).alias("batch"), F.col("ord").alias("name"), "length", "route")
 

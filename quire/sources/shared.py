@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import re
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -20,3 +21,11 @@ def shared_dir(spark: SparkSession) -> str:
         spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="quire-"))
         found = spark.sparkContext.getCheckpointDir()
     return found.rstrip("/")
+
+
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to the shared folder and read back: its size is then known, and what
+    reads it does not make it anew."""
+    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

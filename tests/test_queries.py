@@ -3,7 +3,7 @@ import os
 import duckdb
 import pytest
 
-from quire.plans import element_queries, source_queries  # noqa: F401  they register their queries
+from quire.plans import element_queries, source_queries, stream_queries  # noqa: F401  they register their queries
 from quire.plans import layout_queries as L
 
 DIR = "/root/testdata/sf0.001"

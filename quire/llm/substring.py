@@ -19,9 +19,13 @@ the driver.
    factor or crosses the end of one, so this is every word of every window that an earlier
    document holds. Factors are at least ``window`` words long by construction.
 
-A document meets its findings in a group of documents (``_shelf``); both passes over the
-text use the same shuffle. Entries of one hot phrase are spread over ``salts`` groups,
-whose summaries (one line for each phrase) are merged, before they are told to documents.
+A document meets its findings in a group of documents (``_shelf``), told by its id and its
+text, so that rows that share an id, or have none, are spread (only copies that share both
+stay together); both passes over the text use the same shuffle. A phrase that more than
+``docs_per_salt`` documents hold, as a sample of documents tells, is hot: its entries are
+spread over a group for each so many documents, whose summaries (one line for each hot phrase)
+are merged, before they are told to documents. All other phrases are told by the group of
+their block at once.
 
 Nulls: a null text has no words; a null doc_id counts as larger than all others.
 Documents with one id (repeated rows) never take words from each other; of several places
@@ -44,8 +48,9 @@ from quire.llm.common import gathered, give_back, small_batches, written
 from quire.llm.wordhash import grams, hashed_words, raw_bytes, small_tables
 
 _LAST = 2**63 - 1
-_KINDS = {"_hashes": np.uint64, "_docs": np.int64, "_places": np.int32, "_last": np.int64, "_sources": np.int64}
-_PACKED = "_block int, _salt int, _hashes binary, _docs binary, _places binary"
+_KINDS = {"_hashes": np.uint64, "_docs": np.int64, "_shelves": np.int32, "_places": np.int32, "_last": np.int64, "_sources": np.int64}
+_PACKED = "_block int, _salt int, _hashes binary, _docs binary, _shelves binary, _places binary"
+_ARROW = {"int": pa.int32(), "binary": pa.binary()}
 _TOLD = "_shelf int, _docs binary, _hashes binary, _sources binary, _places binary"
 _FACTORS = "array<struct<start: long, length: long, source: long, source_start: long>>"
 
@@ -100,19 +105,39 @@ def _rows(group: np.ndarray, columns: dict[str, np.ndarray]) -> tuple[np.ndarray
     return names, {c: pa.array([x[a:b].tobytes() for a, b in spans], pa.binary()) for c, x in columns.items()}
 
 
-def _packed(hashes: np.ndarray, docs: np.ndarray, places: np.ndarray | None, blocks: int, salts: int) -> pa.RecordBatch:
-    """Entries (hash, doc, first place) without repeats, a row for each block and salt."""
-    order = np.lexsort((docs, hashes) if places is None else (places, docs, hashes))
-    hashes, docs = hashes[order], docs[order]
+class Hot:
+    """Hot phrases in order, and over how many groups the entries of each are spread."""
+
+    def __init__(self, names: np.ndarray, salts: np.ndarray):
+        self.names, self.salts, self.most = names, salts, int(salts.max(initial=0))
+
+    def __bool__(self) -> bool:
+        return bool(len(self.names))
+
+    def salts_of(self, hashes: np.ndarray) -> np.ndarray:
+        """How many groups each phrase has, 0 if it is not hot."""
+        if not self:
+            return np.zeros(len(hashes), np.int64)
+        at = np.minimum(np.searchsorted(self.names, hashes), len(self.names) - 1)
+        return np.where(self.names[at] == hashes, self.salts[at], 0)
+
+
+def _packed(hashes: np.ndarray, docs: np.ndarray, shelves: np.ndarray, places: np.ndarray | None, blocks: int, hot: Hot) -> pa.RecordBatch:
+    """Entries (hash, doc, shelf, first place) without repeats, a row for each block and salt;
+    phrases that are not hot have the salt 0, hot ones one from 1 on."""
+    order = np.lexsort((shelves, docs, hashes) if places is None else (places, shelves, docs, hashes))
+    hashes, docs, shelves = hashes[order], docs[order], shelves[order]
     new = np.ones(len(hashes), bool)
-    new[1:] = (hashes[1:] != hashes[:-1]) | (docs[1:] != docs[:-1])
+    new[1:] = (hashes[1:] != hashes[:-1]) | (docs[1:] != docs[:-1]) | (shelves[1:] != shelves[:-1])
     places = np.zeros(0, np.int32) if places is None else places[order][new]
-    hashes, docs = hashes[new], docs[new]
-    group = ((hashes >> np.uint64(20)) % np.uint64(blocks)).astype(np.int64) * salts + docs % salts
-    order = np.lexsort((docs, group))
-    names, rows = _rows(group[order], {"_hashes": hashes[order], "_docs": docs[order]} | ({"_places": places[order]} if len(places) else {}))
+    hashes, docs, shelves = hashes[new], docs[new], shelves[new]
+    group = ((hashes >> np.uint64(20)) % np.uint64(blocks)).astype(np.int64) * (hot.most + 1)
+    salts = hot.salts_of(hashes)
+    group += np.where(salts > 0, 1 + shelves % np.maximum(salts, 1), 0)
+    order = np.lexsort((shelves, docs, group))
+    names, rows = _rows(group[order], {"_hashes": hashes[order], "_docs": docs[order], "_shelves": shelves[order]} | ({"_places": places[order]} if len(places) else {}))
     rows.setdefault("_places", pa.array([b""] * len(names), pa.binary()))
-    return pa.RecordBatch.from_arrays([pa.array((names // salts).astype(np.int32)), pa.array((names % salts).astype(np.int32)), *rows.values()], names=["_block", "_salt", *rows])
+    return pa.RecordBatch.from_arrays([pa.array((names // (hot.most + 1)).astype(np.int32)), pa.array((names % (hot.most + 1)).astype(np.int32)), *rows.values()], names=["_block", "_salt", *rows])
 
 
 def _joined(t: pa.Table, name: str) -> np.ndarray:
@@ -121,9 +146,9 @@ def _joined(t: pa.Table, name: str) -> np.ndarray:
 
 
 def _entries(t: pa.Table) -> list[np.ndarray]:
-    """Hashes, documents and places (-1 where none were kept)."""
-    hashes, docs, places = (_joined(t, c) for c in ("_hashes", "_docs", "_places"))
-    return [hashes, docs, places if len(places) == len(docs) else np.full(len(docs), -1, np.int32)]
+    """Hashes, documents, shelves and places (-1 where none were kept)."""
+    hashes, docs, shelves, places = (_joined(t, c) for c in ("_hashes", "_docs", "_shelves", "_places"))
+    return [hashes, docs, shelves, places if len(places) == len(docs) else np.full(len(docs), -1, np.int32)]
 
 
 def _firsts(hashes: np.ndarray, docs: np.ndarray, places: np.ndarray, last: np.ndarray) -> list[np.ndarray]:
@@ -134,17 +159,16 @@ def _firsts(hashes: np.ndarray, docs: np.ndarray, places: np.ndarray, last: np.n
     return [hashes[cut], docs[cut], places[cut], np.maximum.reduceat(last, cut) if len(cut) else last]
 
 
-def told(entries: DataFrame, shelves: int, salts: int, *, earlier: bool) -> DataFrame:
+def told(entries: DataFrame, hot: Hot, *, earlier: bool) -> DataFrame:
     """For each document its phrases that an earlier document holds (``earlier``), with
     their sources, or that any other document holds: rows (_shelf, _docs, _hashes,
     _sources, _places)."""
 
-    def answer(hashes: np.ndarray, docs: np.ndarray, names: np.ndarray, first: np.ndarray, place: np.ndarray) -> pa.Table:
+    def answer(hashes: np.ndarray, docs: np.ndarray, shelf: np.ndarray, names: np.ndarray, first: np.ndarray, place: np.ndarray) -> pa.Table:
         at = np.searchsorted(names, hashes)
         at[at == len(names)] = 0
         keep = (names[at] == hashes) & ((docs > first[at]) if earlier else True) if len(names) else np.zeros(len(hashes), bool)
-        hashes, docs, at = hashes[keep], docs[keep], at[keep]
-        shelf = docs % shelves
+        hashes, docs, shelf, at = hashes[keep], docs[keep], shelf[keep], at[keep]
         order = np.lexsort((docs, shelf))
         sources = {"_sources": first[at[order]], "_places": place[at[order]]} if earlier else {}
         which, rows = _rows(shelf[order], {"_docs": docs[order], "_hashes": hashes[order]} | sources)
@@ -157,30 +181,45 @@ def told(entries: DataFrame, shelves: int, salts: int, *, earlier: bool) -> Data
         return names[keep], first[keep], place[keep], last[keep]
 
     def whole_block(t: pa.Table) -> pa.Table:
-        hashes, docs, places = _entries(t)
-        out = answer(hashes, docs, *shared(*_firsts(hashes, docs, places, docs))[:3])
+        hashes, docs, shelf, places = _entries(t)
+        out = answer(hashes, docs, shelf, *shared(*_firsts(hashes, docs, places, docs))[:3])
         give_back()
         return out
 
-    if salts == 1:
+    if not hot:
         return entries.groupBy("_block").applyInArrow(whole_block, _TOLD)
 
     def summary(t: pa.Table, final: bool) -> pa.Table:
-        hashes, docs, places = _entries(t)
+        hashes, docs, _, places = _entries(t) if not final else (*(_joined(t, c) for c in ("_hashes", "_docs")), None, _joined(t, "_places"))
         found = _firsts(hashes, docs, places, _joined(t, "_last") if final else docs)
         if final:
             found = shared(*found)
         return pa.table([t.column("_block").slice(0, 1), *(pa.array([x.tobytes()], pa.binary()) for x in found)], names=["_block", "_hashes", "_docs", "_places", "_last"])
 
     def salted(left: pa.Table, right: pa.Table) -> pa.Table:
-        return answer(*_entries(left)[:2], *_entries(right))
+        names, first, place = (_joined(right, c) for c in ("_hashes", "_docs", "_places"))
+        return answer(*_entries(left)[:3], names, first, place)
 
     ddl = "_block int, _hashes binary, _docs binary, _places binary, _last binary"
     entries = written(entries, "entries")
-    by_salt = entries.groupBy("_block", "_salt").applyInArrow(lambda t: summary(t, False), ddl)
+    cold, few = entries.where("_salt = 0"), entries.where("_salt > 0")
+    by_salt = few.groupBy("_block", "_salt").applyInArrow(lambda t: summary(t, False), ddl)
     merged = written(by_salt.groupBy("_block").applyInArrow(lambda t: summary(t, True), ddl), "phrases")
-    spread = merged.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return entries.groupBy("_block", "_salt").cogroup(spread.groupBy("_block", "_salt")).applyInArrow(salted, _TOLD)
+
+    def copies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A hot phrase goes to the groups that have entries of it, and to no others."""
+        for b in batches:
+            for i in range(b.num_rows):
+                t = pa.Table.from_batches([b.slice(i, 1)])
+                found = [_joined(t, c) for c in ("_hashes", "_docs", "_places")]
+                salts = hot.salts_of(found[0])
+                for k in range(1, int(salts.max(initial=0)) + 1):
+                    packed = [pa.array([x[salts >= k].tobytes()], pa.binary()) for x in found]
+                    yield pa.RecordBatch.from_arrays([t.column("_block").combine_chunks(), pa.array([k], pa.int32()), *packed], names=["_block", "_salt", "_hashes", "_docs", "_places"])
+
+    spread = merged.mapInArrow(copies, "_block int, _salt int, _hashes binary, _docs binary, _places binary")
+    hot_told = few.groupBy("_block", "_salt").cogroup(spread.groupBy("_block", "_salt")).applyInArrow(salted, _TOLD)
+    return cold.groupBy("_block").applyInArrow(whole_block, _TOLD).unionByName(hot_told)
 
 
 def _per_doc(found: pa.Table) -> dict[str, np.ndarray]:
@@ -205,6 +244,34 @@ def _looked_up(ids: np.ndarray, hashes: np.ndarray, found: dict[str, np.ndarray]
     return out
 
 
+#: A sample of documents holds about so many of a phrase that is just hot.
+SAMPLED = 2000
+#: Hot phrases at most, those in most documents first; a phrase beyond them is as right, but not spread.
+MAX_HOT = 1_000_000
+
+
+def hot_phrases(texts: DataFrame, window: int, anchor: int, docs_per_salt: int) -> Hot:
+    """Hashes of anchors and windows that about ``docs_per_salt`` documents or more hold, with
+    a group for each so many documents."""
+    one_in = max(1, docs_per_salt // SAMPLED)
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in gathered(batches):
+            for part in small_tables(t, "_text"):
+                w = Windows(part.column("_text"), window, anchor)
+                rows = np.concatenate([w.doc[w.valid]] * 2)
+                pairs = np.unique(np.rec.fromarrays([rows, np.concatenate([w.anchors(), w.phrases()])], names="row,phrase"))
+                yield pa.RecordBatch.from_arrays([pa.array(pairs["phrase"].astype(np.int64))], names=["phrase"])
+
+    sampled = texts.where(F.pmod(F.xxhash64("_text", "_doc", F.lit(1)), F.lit(one_in)) == 0).select("_text")
+    enough = docs_per_salt // one_in // (2 if one_in > 1 else 1)  # a sample may have fewer than its share
+    counted = sampled.mapInArrow(found, "phrase long").groupBy("phrase").count().where(F.col("count") > enough)
+    rows = counted.orderBy(F.desc("count")).limit(MAX_HOT).toArrow()
+    names, counts = rows.column("phrase").to_numpy().astype(np.uint64), rows.column("count").to_numpy()
+    order = np.argsort(names)
+    return Hot(names[order], (1 + counts * one_in // docs_per_salt)[order].astype(np.int64))
+
+
 def greedy_factors(held: np.ndarray, source: np.ndarray, place: np.ndarray, window: int) -> tuple[list[tuple[int, int, int, int]], np.ndarray]:
     """The parse of one document: ``held`` are the places of its windows that have a
     source, in order. Gives the factors (start, length, source, place there), and which
@@ -239,25 +306,28 @@ def remove_repeats(
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     shelves = _prime(max(parts, 2, n_bytes // shelf_bytes))
     # a block per 16 MB of text: its entries fit a task, and a shelf has few rows for it
-    blocks, salts = max(parts, n_bytes // (16 << 20)), 1 + n_docs // docs_per_salt
+    blocks = max(parts, n_bytes // (16 << 20))
+    texts = texts.withColumn("_shelf", F.pmod(F.xxhash64("_doc", "_text"), F.lit(shelves)).cast("int"))
+    hot = hot_phrases(texts, window, anchor, docs_per_salt) if n_docs > docs_per_salt else Hot(np.zeros(0, np.uint64), np.zeros(0, np.int64))
 
     def entries_of(t: pa.Table, candidates=None) -> Iterator[pa.RecordBatch]:
-        hashes, owners, places = [], [], []
+        hashes, owners, shelf, places = [], [], [], []
         for part in small_tables(t, "_text"):
             w = Windows(part.column("_text"), window, anchor)
-            ids = part.column("_doc").to_numpy()[w.doc[w.valid]]
+            ids, on = (part.column(c).to_numpy()[w.doc[w.valid]] for c in ("_doc", "_shelf"))
             found = w.anchors()
             if candidates is None:
                 new = np.ones(len(found), bool)  # neighbouring windows mostly have one anchor
-                new[1:] = (found[1:] != found[:-1]) | (ids[1:] != ids[:-1])
+                new[1:] = (found[1:] != found[:-1]) | (np.diff(w.doc[w.valid]) != 0)
             else:
                 new = _looked_up(ids, found, candidates) >= 0
                 found = w.phrases()
                 places.append(w.places()[new])
             hashes.append(found[new])
             owners.append(ids[new])
+            shelf.append(on[new])
         if hashes:
-            yield _packed(np.concatenate(hashes), np.concatenate(owners), np.concatenate(places) if places else None, blocks, salts)
+            yield _packed(*(np.concatenate(x) for x in (hashes, owners, shelf)), np.concatenate(places) if places else None, blocks, hot)
 
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in gathered(batches):
@@ -266,8 +336,8 @@ def remove_repeats(
     def windows(left: pa.Table, right: pa.Table) -> pa.Table:
         found = list(entries_of(left, _per_doc(right)))
         give_back()
-        names = [x.split()[0] for x in _PACKED.split(", ")]
-        return pa.Table.from_batches(found) if found else pa.table([pa.array([], k) for k in (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary())], names=names)
+        fields = [x.split() for x in _PACKED.split(", ")]
+        return pa.Table.from_batches(found) if found else pa.table([pa.array([], _ARROW[k]) for _, k in fields], names=[n for n, _ in fields])
 
     def parse(left: pa.Table, right: pa.Table) -> pa.Table:
         found = _per_doc(right)
@@ -310,11 +380,10 @@ def remove_repeats(
 
     longs = [T.StructField(c, T.LongType()) for c in ("_doc", "n_words", "n_removed")]
     schema = T.StructType([*longs, T.StructField("kept", T.StringType()), T.StructField("factors", T.DataType.fromDDL(_FACTORS)), texts.schema["carried"]])
-    shelved = texts.withColumn("_shelf", F.pmod("_doc", F.lit(shelves)).cast("int"))
-    shared = told(texts.select("_doc", "_text").mapInArrow(anchors, _PACKED), shelves, salts, earlier=False)
-    candidates = shelved.groupBy("_shelf").cogroup(shared.groupBy("_shelf")).applyInArrow(windows, _PACKED)
-    held = told(candidates, shelves, salts, earlier=True)
-    parsed = shelved.groupBy("_shelf").cogroup(held.groupBy("_shelf")).applyInArrow(parse, schema)
+    shared = told(texts.select("_doc", "_text", "_shelf").mapInArrow(anchors, _PACKED), hot, earlier=False)
+    candidates = texts.groupBy("_shelf").cogroup(shared.groupBy("_shelf")).applyInArrow(windows, _PACKED)
+    held = told(candidates, hot, earlier=True)
+    parsed = texts.groupBy("_shelf").cogroup(held.groupBy("_shelf")).applyInArrow(parse, schema)
     more = ["carried"] * bool(carry) + ["factors"] * factors
     return parsed.select(F.when(F.col("_doc") != _LAST, F.col("_doc")).alias("doc_id"), "n_words", "n_removed", "kept", *more)
 

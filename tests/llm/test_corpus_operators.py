@@ -351,3 +351,22 @@ def test_maximal_segments_against_all_segments():
         at = [i for i, s in enumerate(scores) if s > 0]
         found = toxicity.maximal_segments([scores[i] for i in at], [sum(scores[:i]) for i in at])
         assert sorted(found) == sorted(split(0, len(scores)))
+
+
+@pytest.mark.parametrize("per_salt", [4_000_000, 40])
+def test_substring_of_many_rows_without_an_id(spark, per_salt):
+    """A third of the rows has no id and another shares one; all hold one passage. Such rows are
+    spread over groups, take from smaller ids, and never from each other."""
+    r = random.Random(23)
+    prose = lambda n: [f"v{r.randrange(10**6)}" for _ in range(n)]
+    hot, rows = prose(20), []
+    for i in range(240):
+        rows.append(([None, 7, 100 + i][i % 3], " ".join(prose(5) + hot + prose(r.randint(0, 9)))))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    got = Counter((x["doc_id"], x["kept"], x["n_removed"]) for x in substring.remove_repeats(df, docs_per_salt=per_salt).collect())
+    assert got == Counter((d, t if d == 7 else " ".join(t.split()[:5] + t.split()[25:]), 0 if d == 7 else 20) for d, t in rows)
+    texts = df.select(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("_doc"), F.col("text").alias("_text"))
+    assert texts.where("_doc = 9223372036854775807").select(F.pmod(F.xxhash64("_doc", "_text"), F.lit(13))).distinct().count() == 13
+    if per_salt == 40:  # nothing but the passage is hot
+        hot = substring.hot_phrases(texts, 13, 6, per_salt)
+        assert 0 < len(hot.names) <= 2 * 20 and hot.most == 7

@@ -2,11 +2,10 @@
 
 Words are maximal runs of characters other than ASCII non-alphanumerics, after A-Z
 are lower-cased. Patterns are the windows of ``window`` consecutive words of the
-benchmark items (one window for a shorter item). For a set of patterns of at least
-``m`` words the search reads the pair of words that ends at a position: the shift
-table tells how far the search may jump (``m - 1`` words for a pair that no pattern
-has), the bucket of a pair that ends a pattern's first ``m`` words lists the patterns
-to compare word by word.
+benchmark items (one window for a shorter item). For the patterns of one length, ``m``
+words, the search reads the pair of words that ends at a position: the shift table
+tells how far the search may jump (``m - 1`` words for a pair that no pattern has), the
+bucket of a pair that ends a pattern lists the patterns to compare word by word.
 
 Nulls: a null document or item text has no words; an item without words has no
 window; the windows of an item without an id are hit like others, but it is left out of
@@ -19,16 +18,20 @@ not read, whatever their names.
 from __future__ import annotations
 
 import hashlib
-from collections import defaultdict
+import uuid
 from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm.common import discard, row_key, small_batches, texts_of, written
 
+#: Spreads the first word of a pair over the slots of the shift table.
+_STIR = 2_654_435_761
 _KEEP = bytes(c if 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A or c >= 0x80 else c + 32 if 0x41 <= c <= 0x5A else 0x20 for c in range(256))
 
 
@@ -37,37 +40,77 @@ def words_of(text: str | None) -> list[bytes]:
 
 
 class WordSearch:
-    """Wu-Manber tables for patterns of at least ``m`` words (``m`` >= 1)."""
-
-    def __init__(self, patterns: dict[tuple[bytes, ...], list[str]]):
-        self.m = m = min(map(len, patterns))
-        self.block = min(2, m)
-        self.default = m - self.block + 1
-        self.shift: dict[tuple[bytes, ...], int] = {}
-        self.buckets: dict[tuple[bytes, ...], list] = defaultdict(list)
-        for p, items in patterns.items():
-            for end in range(self.block, m + 1):
-                key = p[end - self.block : end]
-                self.shift[key] = min(self.shift.get(key, self.default), m - end)
-            self.buckets[p[m - self.block : m]].append((list(p), items))
-
-    def find(self, words: list[bytes]) -> Iterator[tuple[int, int, list[str]]]:
-        """(first word, end, items) of every occurrence."""
-        m, n, default, get, buckets = self.m, len(words), self.default, self.shift.get, self.buckets
-        i, two = m, self.block == 2
+    """Wu-Manber tables for patterns (words joined by one space) of one length, ``m`` words
+    (``m`` >= 1). Words are numbers and patterns lie in one array. The shift table is hashed:
+    pairs that fall together share the least shift, so that no occurrence is jumped over."""
+
+    def __init__(self, patterns: list[bytes], m: int, numbers: dict[bytes, int]):
+        self.m = m
+        number = numbers.setdefault
+        flat = np.fromiter((number(w, len(numbers)) for p in patterns for w in p.split(b" ")), np.int64, len(patterns) * m).reshape(-1, m)
+        self.mask = (1 << min(24, max(10, (2 * flat.size).bit_length()))) - 1
+        shift = np.full(self.mask + 1, min(255, max(1, m - 1)), np.uint8)
+        for end in range(2, m):  # of a pair's places the nearest to the end comes last
+            shift[self._slots(flat[:, end - 2], flat[:, end - 1])] = min(255, m - end)
+        last = flat[:, m - 1] + (flat[:, m - 2] << 32 if m > 1 else 0)
+        shift[self._slots(flat[:, m - 2] if m > 1 else 0, flat[:, m - 1])] = 0
+        self.shift = shift.tobytes()
+        self.order = np.argsort(last, kind="stable").astype(np.int32)
+        keys, starts = np.unique(last[self.order], return_index=True)
+        self.buckets, self.starts = dict(zip(keys.tolist(), range(len(keys)))), np.append(starts, len(last))
+        self.patterns = flat.astype(np.int32)
+
+    def _slots(self, a: np.ndarray | int, b: np.ndarray) -> np.ndarray:
+        return (a * _STIR + b) & self.mask
+
+    def find(self, words: list[int]) -> Iterator[tuple[int, int]]:
+        """(first word, pattern) of every occurrence among numbered words, -1 for unknown ones."""
+        m, n, shift, mask, two = self.m, len(words), self.shift, self.mask, self.m > 1
+        i = m
         while i <= n:
-            key = (words[i - 2], words[i - 1]) if two else (words[i - 1],)
-            step = get(key, default)
+            a, b = words[i - 2] if two else 0, words[i - 1]
+            step = shift[(a * _STIR + b) & mask]
             if step:
                 i += step
                 continue
-            low = i - m
-            for p, items in buckets.get(key, ()):
-                if words[low : low + len(p)] == p:
-                    yield low, low + len(p), items
+            low, k = i - m, self.buckets.get((a << 32) + b)
+            if k is not None:
+                for at in self.order[self.starts[k] : self.starts[k + 1]]:
+                    if self.patterns[at].tolist() == words[low:i]:
+                        yield low, int(at)
             i += 1
 
 
+class Searches:
+    """A search for each length of pattern, over one numbering of words: short patterns would
+    spoil the jumps of the full windows."""
+
+    def __init__(self, table: pa.Table):
+        self.numbers: dict[bytes, int] = {}
+        self.parts: list[tuple[WordSearch, pa.Array]] = []
+        for n in pc.unique(table.column("n")).to_pylist():
+            t = table.filter(pc.equal(table.column("n"), n)).combine_chunks()
+            self.parts.append((WordSearch(t.column("pattern").to_pylist(), n, self.numbers), t.column("items").combine_chunks()))
+
+    def hits(self, text: str | None) -> tuple[int, list[tuple[int, int, list[str]]]]:
+        """The number of words of a text, and (first word, end, items) of every occurrence."""
+        get = self.numbers.get
+        words = [get(w, -1) for w in words_of(text)]
+        return len(words), [(low, low + s.m, items[at].as_py()) for s, items in self.parts for low, at in s.find(words)]
+
+
+#: The tables of the block that this worker has built last.
+_BUILT: list[tuple[str, Searches]] = []
+
+
+def searches_of(name: str, block: bytes) -> Searches:
+    """The tables of a block, built once in a worker, whatever the number of its tasks."""
+    if not _BUILT or _BUILT[0][0] != name:
+        _BUILT.clear()
+        _BUILT.append((name, Searches(pa.ipc.open_stream(block).read_all())))
+    return _BUILT[0][1]
+
+
 def item_windows(benchmark: DataFrame, window: int) -> DataFrame:
     """(pattern binary, n, items) of the distinct windows of all items: the words joined
     by one space, their number, and the ids of the items that hold them."""
@@ -88,42 +131,35 @@ def item_windows(benchmark: DataFrame, window: int) -> DataFrame:
     return rows.groupBy("pattern", "n").agg(F.collect_set("item").alias("items"))
 
 
-#: Words in one broadcast block of patterns (about 40 MB); more patterns take more scans.
-MAX_BLOCK_WORDS = 4_000_000
+#: Words in one block of patterns; more patterns take more scans.
+MAX_BLOCK_WORDS = 1_000_000
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, *, window: int = 13, hit_share: int = 20, with_row: bool = False) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, *, window: int = 13, hit_share: int = 20, with_row: bool = False, block_words: int = MAX_BLOCK_WORDS) -> DataFrame:
     """(doc_id, n_words, n_hit, n_items, items_sha256, contaminated) of each document,
     and its ``row_key`` as ``row`` if asked for.
 
-    One scan of the text for each block of patterns, without a shuffle for the usual
-    single block; several blocks are merged by document. The patterns are made and
-    counted by Spark; a block that is broadcast has about ``MAX_BLOCK_WORDS`` words, and
-    a further one is read only when the last one's scan is written.
+    The patterns are made and counted by Spark. A block of about ``block_words`` words of them
+    is sent to the workers, as packed Arrow, and scanned for in one pass over the text, without a
+    shuffle. For several blocks the texts are first written with a number for each row; the scans'
+    hits, of rows that have any, are merged by it.
     """
     spark = docs.sparkSession
 
-    def searches(found: dict[tuple[bytes, ...], list[str]]) -> list[WordSearch]:
-        groups: dict[int, dict] = defaultdict(dict)
-        for p, items in found.items():
-            groups[len(p)][p] = items
-        # short patterns would spoil the jumps of the full windows: a search for each
-        return [WordSearch(g) for g in groups.values()]
-
-    def scan(held):
+    def scan(name: str, held, all_rows: bool):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            own = searches(held.value)
             for b in batches:
+                found, at = searches_of(name, held.value), []
                 rows: list[list] = [[], [], [], []]
-                for text in b.column("text"):
-                    words = words_of(text.as_py())
-                    hits = [h for s in own for h in s.find(words)]
-                    rows[0].append(len(words))
-                    rows[1].append([h[0] for h in hits])
-                    rows[2].append([h[1] for h in hits])
-                    rows[3].append(sorted(set().union(*(h[2] for h in hits))))
+                for k, text in enumerate(b.column("text")):
+                    n, hits = found.hits(text.as_py())
+                    if hits or all_rows:
+                        at.append(k)
+                        for c, v in zip(rows, (n, [h[0] for h in hits], [h[1] for h in hits], sorted(set().union(*(h[2] for h in hits))))):
+                            c.append(v)
                 kinds = (pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.string()))
-                yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("row"), *(pa.array(r, k) for r, k in zip(rows, kinds))], names=["doc_id", "row", "n_words", "lows", "ends", "items"])
+                kept = [b.column(c).take(pa.array(at, pa.int64())) for c in ("doc_id", "row", "number")]
+                yield pa.RecordBatch.from_arrays([*kept, *(pa.array(r, k) for r, k in zip(rows, kinds))], names=["doc_id", "row", "number", "n_words", "lows", "ends", "items"])
 
         return run
 
@@ -141,33 +177,32 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, window: int = 13, hi
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("row"), b.column("n_words"), pa.array(hit, pa.int64()), pa.array(n_items, pa.int64()), pa.array(digest, pa.string())], names=["doc_id", "row", "n_words", "n_hit", "n_items", "items_sha256"])
 
     patterns = written(item_windows(benchmark, window), "patterns")
-    blocks = max(1, -(-(patterns.agg(F.sum("n")).first()[0] or 0) // MAX_BLOCK_WORDS))
+    blocks = max(1, -(-(patterns.agg(F.sum("n")).first()[0] or 0) // block_words))
     block = F.pmod(F.xxhash64("pattern"), F.lit(blocks))
-    # the key tells repeated rows apart when several scans are merged
     texts, ddl = texts_of(docs).withColumn("row", row_key()), "doc_id long, row long, n_words long, n_hit long, n_items long, items_sha256 string"
 
     def sent(k: int):
-        return spark.sparkContext.broadcast({tuple(r["pattern"].split(b" ")): r["items"] for r in patterns.where(block == k).select("pattern", "items").toLocalIterator()})
+        table, sink = patterns.where(block == k).toArrow(), pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, table.schema) as out:
+            out.write_table(table)
+        return spark.sparkContext.broadcast(sink.getvalue().to_pybytes())
 
+    name = uuid.uuid4().hex
     if blocks == 1:
-        search = scan(sent(0))
+        search = scan(name, sent(0), True)
         discard(spark, patterns.written_to)
-        rows = texts.mapInArrow(lambda batches: total(search(batches)), ddl)
+        rows = texts.withColumn("number", F.lit(0).cast("long")).mapInArrow(lambda batches: total(search(batches)), ddl)
     else:
-        scans = []
+        texts = written(texts.withColumn("number", F.monotonically_increasing_id()), "texts")
+        scans, hits = [], "doc_id long, row long, number long, n_words long, lows array<long>, ends array<long>, items array<string>"
         for k in range(blocks):
             held = sent(k)
-            found = texts.mapInArrow(scan(held), "doc_id long, row long, n_words long, lows array<long>, ends array<long>, items array<string>")
-            scans.append(written(found.withColumn("scan", F.lit(k)), "scan"))
+            scans.append(written(texts.mapInArrow(scan(f"{name}-{k}", held, not k), hits), "scan"))
             held.destroy()
-        discard(spark, patterns.written_to)
-        merged = reduce(DataFrame.unionByName, scans).groupBy("doc_id", "row").agg(
-            F.count(F.when(F.col("scan") == 0, 1)).alias("_n"),
-            F.max("n_words").alias("n_words"),
-            F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"),
-            F.array_distinct(F.flatten(F.collect_list(F.arrays_zip("lows", "ends")))).alias("_spans"),
+        discard(spark, patterns.written_to, texts.written_to)
+        merged = reduce(DataFrame.unionByName, scans).groupBy("number").agg(
+            *(F.first(c).alias(c) for c in ("doc_id", "row", "n_words")), F.flatten(F.collect_list("items")).alias("items"), F.flatten(F.collect_list("lows")).alias("lows"), F.flatten(F.collect_list("ends")).alias("ends")
         )
-        merged = merged.select("doc_id", "row", "n_words", F.col("_spans.lows").alias("lows"), F.col("_spans.ends").alias("ends"), "items", F.explode(F.sequence(F.lit(1), F.col("_n").cast("int")))).drop("col")
         rows = merged.mapInArrow(total, ddl)
     rows = rows if with_row else rows.drop("row")
     return rows.withColumn("contaminated", (F.col("n_hit") > 0) & (F.col("n_hit") * hit_share >= F.col("n_words")))

@@ -263,9 +263,8 @@ def test_components(spark):
     assert {r[0]: r[1] for r in got.collect()} == {x: top(x) for x in parent}
 
 
-@pytest.mark.parametrize("limit", [4_000_000, 200])
-def test_decontamination(spark, docs, none, monkeypatch, limit):
-    monkeypatch.setattr(decontaminate, "MAX_BLOCK_WORDS", limit)
+@pytest.mark.parametrize("limit", [1_000_000, 200])
+def test_decontamination(spark, docs, none, limit):
     texts = {r[0]: r[1] for r in ROWS}
     items = [(1, " ".join(words(texts[14])[25:60]).upper()), (2, "same LINE here"), (10, "Other"), (3, None), (4, "--"), (None, "one"), (11, texts[9]), (5, texts[9])]
     bench = spark.createDataFrame(items, "item_id long, text string")
@@ -286,11 +285,55 @@ def test_decontamination(spark, docs, none, monkeypatch, limit):
                     hit[j : j + size] = [1] * size
         n = sum(hit)
         want[(r[0], len(w), n, len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), n > 0 and 20 * n >= len(w))] += 1
-    assert Counter(tuple(r) for r in decontaminate.decontaminate(docs, bench).collect()) == want
+    assert Counter(tuple(r) for r in decontaminate.decontaminate(docs, bench, block_words=limit).collect()) == want
     assert decontaminate.decontaminate(none, bench).count() == 0
     assert decontaminate.decontaminate(docs, bench.limit(0)).where("contaminated").count() == 0
 
 
+def test_search_of_many_patterns():
+    """Words of every kind and length against a plain search."""
+    r = random.Random(31)
+    for m in (1, 2, 3, 13, 300):
+        vocab = [f"w{i}".encode() for i in range(3 if m < 4 else 40)]
+        text = [r.choice(vocab) for _ in range(3000)] + [b"none"] * 3 + [r.choice(vocab) for _ in range(20)]
+        patterns = sorted({b" ".join(text[a : a + m]) for a in (r.randrange(3000 - m) for _ in range(50))} | {b" ".join(r.choice(vocab) for _ in range(m)) for _ in range(50)})
+        numbers = {}
+        search = decontaminate.WordSearch(patterns, m, numbers)
+        got = sorted(search.find([numbers.get(w, -1) for w in text]))
+        place = {p: i for i, p in enumerate(patterns)}
+        assert got == [(i, place[p]) for i in range(len(text) - m + 1) if (p := b" ".join(text[i : i + m])) in place]
+
+
+@pytest.mark.parametrize("overlap", [True, False])
+def test_a_block_at_its_bound_is_small(overlap):
+    """Memory of the tables of a block of as many words as are allowed, by the process's own size."""
+    import subprocess
+    import sys
+
+    code = f"""
+import pyarrow as pa, psutil, random
+from quire.llm import decontaminate as D
+r, n = random.Random(1), D.MAX_BLOCK_WORDS // 13
+if {overlap}:
+    words = [b"%x" % r.randrange(10**9) for _ in range(n + 12)]
+    found = [b" ".join(words[i:i + 13]) for i in range(n)]
+else:
+    found = [b" ".join(b"%x" % r.randrange(10**9) for _ in range(13)) for _ in range(n)]
+block = pa.table({{"pattern": pa.array(found, pa.binary()), "n": pa.array([13] * n, pa.int32()), "items": pa.array([["1"]] * n)}})
+sink = pa.BufferOutputStream()
+with pa.ipc.new_stream(sink, block.schema) as out:
+    out.write_table(block)
+raw = sink.getvalue().to_pybytes()
+words = found = block = sink = None
+before = psutil.Process().memory_info().rss
+kept = D.searches_of("x", raw)
+assert D.searches_of("x", raw) is kept
+print((psutil.Process().memory_info().rss - before + len(raw)) / 1e6)
+"""
+    used = float(subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True, env={"PYTHONPATH": ":".join(sys.path)}).stdout)
+    assert used < 150
+
+
 def test_host_rules(docs, none):
     want = Counter()
     for r in ROWS:

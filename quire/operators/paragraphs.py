@@ -19,7 +19,8 @@ def marker(c: Column) -> Column:
 def paragraph_starts(lines: DataFrame, gap_ratio: float = 1.3, indent: float = 8.0) -> DataFrame:
     """Adds ``starts`` and ``is_list_item``. A wide gap, a list marker, and a line right
     above a marker start a paragraph; so does an indent that a gap precedes. What is known of
-    a page comes from windows over it, so that one exchange on (doc_id, page) serves all."""
+    a page comes from windows over it, so that one exchange on (doc_id, page) serves all. A
+    column ``_marker``, where there is one, tells which lines have a marker."""
     df = modal_first_over("_x", PAGE, ["ord"], lines.withColumn("_x", js_round(F.col("first_x"))), "_modal")
     page = Window.partitionBy(*PAGE).orderBy("ord")
     whole = page.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
@@ -27,8 +28,8 @@ def paragraph_starts(lines: DataFrame, gap_ratio: float = 1.3, indent: float = 8
     df = upper_median_over(df, tall, PAGE, "_median").withColumn("_n", F.count(tall).over(whole)).withColumn("_first", F.first(F.col("y1") - F.col("y0")).over(whole))
     median = F.when(F.col("_n") > 0, F.col("_median")).otherwise(F.col("_first"))
     gap = F.coalesce(F.col("y0") - F.lag("y1").over(page) > median * gap_ratio, F.lit(False))
-    is_marker = marker(F.col("text"))
-    heading = ~is_marker & F.coalesce(marker(F.lead("text").over(page)), F.lit(False))
+    is_marker = F.col("_marker") if "_marker" in lines.columns else marker(F.col("text"))
+    heading = ~is_marker & F.coalesce(F.lead(is_marker).over(page), F.lit(False))
     indented = F.col("first_x") - F.col("_modal") > indent
     first = F.lag("ord").over(page).isNull()
     return df.withColumn("starts", first | gap | heading | is_marker | (indented & gap)).withColumn("is_list_item", is_marker | indented).drop("_x", "_modal", "_median", "_n", "_first")
@@ -42,8 +43,9 @@ def group_ids(df: DataFrame, flag: str, keys: list[str], order: list[str], name:
 def build_paragraphs(lines: DataFrame, gap_ratio: float = 1.3, indent: float = 8.0, compose: bool = True) -> DataFrame:
     """(doc_id, page, paragraph, text, x0, y0, x1, y1, is_list_item, is_bold, line_count):
     lines are joined in order, a hyphen before a small letter going."""
-    flagged = group_ids(paragraph_starts(lines, gap_ratio, indent), "starts", PAGE, ["ord"], "paragraph")
-    cleaned = flagged.withColumn("_text", X.canonical_bullet(X.normalize_ligatures(F.col("text"), compose)))
+    # texts are cleaned where they are: Python between two windows would cost another exchange
+    marked = lines.withColumn("_marker", marker(F.col("text"))).withColumn("_text", X.canonical_bullet(X.normalize_ligatures(F.col("text"), compose))).drop("text")
+    cleaned = group_ids(paragraph_starts(marked, gap_ratio, indent), "starts", PAGE, ["ord"], "paragraph")
     # a line's part of the paragraph depends on its neighbours only
     w = Window.partitionBy(*PAGE, "paragraph").orderBy("ord")
     after, before = F.lead("_text").over(w), F.lag("_text").over(w)

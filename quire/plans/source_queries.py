@@ -370,7 +370,7 @@ def region_pixels(spark, sf_dir):
 
 
 @query(
-    "WITH g AS (SELECT floor(doc_id / 100)::BIGINT AS g, count(*) AS n FROM documents GROUP BY 1), f AS (SELECT concat('n', g % 97) AS batch, concat('s', g, ['.txt', '.PDF', '.csv', '.png', ''][g * 7 % 5 + 1]) AS name, g * 7 % 5 AS e, n AS length FROM g)"
+    "WITH g AS (SELECT floor(doc_id / 100)::BIGINT AS g, count(*) AS n FROM documents GROUP BY 1), f AS (SELECT concat('n', g // 6) AS batch, concat('s', g, ['.txt', '.PDF', '.csv', '.png', ''][g * 7 % 5 + 1]) AS name, g * 7 % 5 AS e, n AS length FROM g)"
     " SELECT batch, name, length::BIGINT AS length, CASE WHEN e = 1 THEN 'pdf' ELSE 'convert' END AS route FROM f WHERE e IN (1, 2, 3) QUALIFY row_number() OVER (PARTITION BY batch ORDER BY e <> 1, name) = 1"
 )
 def listed_files(spark, sf_dir):
@@ -380,7 +380,7 @@ def listed_files(spark, sf_dir):
     path = _folder(spark, "files")
     bundles = table(spark, sf_dir, "documents").groupBy(F.floor(F.col("doc_id") / 100).alias("g")).agg(F.count("*").cast("int").alias("size"))
     ending = F.get(F.array(*(F.lit(x) for x in (".txt", ".PDF", ".csv", ".png", ""))), (F.col("g") * 7 % 5).cast("int"))
-    named = bundles.select(F.concat(F.lit("n"), (F.col("g") % 97).cast("string")).alias("batch"), F.concat(F.lit("s"), F.col("g").cast("string"), ending).alias("name"), "size")
+    named = bundles.select(F.concat(F.lit("n"), F.floor(F.col("g") / 6).cast("string")).alias("batch"), F.concat(F.lit("s"), F.col("g").cast("string"), ending).alias("name"), "size")
 
     def put(frames):
         store, root = fs.FileSystem.from_uri(path)

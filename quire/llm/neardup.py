@@ -351,7 +351,9 @@ def rare_pairs(sets: DataFrame, percent: int, parts: int) -> DataFrame:
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs whose full sets have 100 * intersection >= percent * union."""
+    """The pairs whose full sets have 100 * intersection >= percent * union. The sets of ``b``
+    are fetched first: what a star ``a`` has many of travel to it once each, not its own set
+    once for each of them."""
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -367,7 +369,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     x = sets.select(F.col("id").alias("a"), F.col("shingles").alias("_x"))
     y = sets.select(F.col("id").alias("b"), F.col("shingles").alias("_y"))
-    return pairs.select("a", "b").join(x.hint("merge"), "a").join(y.hint("merge"), "b").mapInArrow(judge, "a long, b long")
+    return pairs.select("a", "b").join(y.hint("merge"), "b").join(x.hint("merge"), "a").select("a", "b", "_x", "_y").mapInArrow(judge, "a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:

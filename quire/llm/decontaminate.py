@@ -45,7 +45,7 @@ class WordSearch:
     pairs that fall together share the least shift, so that no occurrence is jumped over."""
 
     def __init__(self, patterns: list[bytes], m: int, numbers: dict[bytes, int]):
-        self.m = m
+        self.m, self.numbers = m, numbers
         number = numbers.setdefault
         flat = np.fromiter((number(w, len(numbers)) for p in patterns for w in p.split(b" ")), np.int64, len(patterns) * m).reshape(-1, m)
         self.mask = (1 << min(24, max(10, (2 * flat.size).bit_length()))) - 1
@@ -63,21 +63,22 @@ class WordSearch:
     def _slots(self, a: np.ndarray | int, b: np.ndarray) -> np.ndarray:
         return (a * _STIR + b) & self.mask
 
-    def find(self, words: list[int]) -> Iterator[tuple[int, int]]:
-        """(first word, pattern) of every occurrence among numbered words, -1 for unknown ones."""
-        m, n, shift, mask, two = self.m, len(words), self.shift, self.mask, self.m > 1
+    def find(self, words: list[bytes]) -> Iterator[tuple[int, int]]:
+        """(first word, pattern) of every occurrence; words that are jumped over are not read."""
+        m, n, shift, mask, two, number = self.m, len(words), self.shift, self.mask, self.m > 1, self.numbers.get
         i = m
         while i <= n:
-            a, b = words[i - 2] if two else 0, words[i - 1]
+            a, b = number(words[i - 2], -1) if two else 0, number(words[i - 1], -1)
             step = shift[(a * _STIR + b) & mask]
             if step:
                 i += step
                 continue
-            low, k = i - m, self.buckets.get((a << 32) + b)
+            k = self.buckets.get((a << 32) + b)
             if k is not None:
+                own = [number(w, -1) for w in words[i - m : i]]
                 for at in self.order[self.starts[k] : self.starts[k + 1]]:
-                    if self.patterns[at].tolist() == words[low:i]:
-                        yield low, int(at)
+                    if self.patterns[at].tolist() == own:
+                        yield i - m, int(at)
             i += 1
 
 
@@ -94,8 +95,7 @@ class Searches:
 
     def hits(self, text: str | None) -> tuple[int, list[tuple[int, int, list[str]]]]:
         """The number of words of a text, and (first word, end, items) of every occurrence."""
-        get = self.numbers.get
-        words = [get(w, -1) for w in words_of(text)]
+        words = words_of(text)
         return len(words), [(low, low + s.m, items[at].as_py()) for s, items in self.parts for low, at in s.find(words)]
 
 

@@ -297,9 +297,7 @@ def test_search_of_many_patterns():
         vocab = [f"w{i}".encode() for i in range(3 if m < 4 else 40)]
         text = [r.choice(vocab) for _ in range(3000)] + [b"none"] * 3 + [r.choice(vocab) for _ in range(20)]
         patterns = sorted({b" ".join(text[a : a + m]) for a in (r.randrange(3000 - m) for _ in range(50))} | {b" ".join(r.choice(vocab) for _ in range(m)) for _ in range(50)})
-        numbers = {}
-        search = decontaminate.WordSearch(patterns, m, numbers)
-        got = sorted(search.find([numbers.get(w, -1) for w in text]))
+        got = sorted(decontaminate.WordSearch(patterns, m, {}).find(text))
         place = {p: i for i, p in enumerate(patterns)}
         assert got == [(i, place[p]) for i in range(len(text) - m + 1) if (p := b" ".join(text[i : i + m])) in place]
 

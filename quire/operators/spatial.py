@@ -4,17 +4,21 @@ no more than its boxes."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from quire.functions.geometry import page_height
 
 PAGE = ["doc_id", "page"]
 #: Sides of the tiles, finest first; an item belongs to the finest grid whose tiles are larger
 #: than it is, a still larger one to the page as a whole.
-TILES = (64.0, 512.0, 4096.0)
+TILES = (64.0, 1024.0)
 #: A cover that touches more tiles of a grid than this meets all items of its page.
 MAX_TILES = 1024
 
@@ -24,12 +28,12 @@ def _covers(covers: DataFrame) -> DataFrame:
 
 
 def _tile(level: Column | int, x: Column, y: Column) -> Column:
-    return F.struct(F.lit(level).cast("int").alias("level"), x.cast("long").alias("x"), y.cast("long").alias("y"))
+    return F.xxhash64(F.lit(level), x, y)  # tiles of one number meet, but only boxes that overlap count
 
 
 def _own_tile(x: Column, y: Column, width: Column, height: Column) -> Column:
     """The one tile that an item belongs to: where its upper left corner lies."""
-    out = _tile(len(TILES), F.lit(0), F.lit(0))
+    out = F.lit(0).cast("long")
     for level in reversed(range(len(TILES))):
         side = TILES[level]
         out = F.when(F.greatest(width, height) <= side, _tile(level, F.floor(x / side), F.floor(y / side))).otherwise(out)
@@ -48,7 +52,7 @@ def _rectangle(level: int, across: Column, down: Column) -> Column:
 def _tiles_of(x: Column, y: Column, width: Column, height: Column) -> Column:
     """The tiles, of all grids, that may hold an item which overlaps the cover; null if they
     are too many."""
-    parts, many = [F.array(_tile(len(TILES), F.lit(0), F.lit(0)))], F.lit(False)
+    parts, many = [F.array(F.lit(0).cast("long"))], F.lit(False)
     for level, side in enumerate(TILES):
         (x0, x1), (y0, y1) = _span(x, width, side), _span(y, height, side)
         many = many | ((x1 - x0 + 1).cast("double") * (y1 - y0 + 1) > MAX_TILES) | F.coalesce((x1 < x0) | (y1 < y0), F.lit(True))
@@ -59,7 +63,7 @@ def _tiles_of(x: Column, y: Column, width: Column, height: Column) -> Column:
 def uncovered_items(items: DataFrame, covers: DataFrame) -> DataFrame:
     """Items that no cover box of their page overlaps (touching edges do not count).
 
-    An item lies in one tile; covers are copied to the tiles around them, of each of three grids,
+    An item lies in one tile; covers are copied to the tiles around them, of each of two grids,
     so that an item meets covers near it only."""
     c = _covers(covers)
     box = [F.col(f"_{k}") for k in ("x", "y", "width", "height")]
@@ -120,42 +124,76 @@ def page_at_offset(offsets: DataFrame, pages: DataFrame) -> DataFrame:
 MAX_CELLS = 4_000_000
 
 
-def _shares(boxes: pd.DataFrame, pixels: pd.DataFrame, dark: int) -> np.ndarray:
-    """The share of dark pixels of each box of a page, from sums over all pixels above and to
-    the left of a place: four of them give a box's count, whatever its area."""
+def _shares(boxes: np.ndarray, pixels: np.ndarray, dark: int) -> np.ndarray:
+    """The share of dark pixels (rows x, y, r) of each box (rows x0, y0, x1, y1) of a page, from
+    sums over all pixels above and to the left of a place: four of them give a box's count,
+    whatever its area."""
     count, hits = np.zeros(len(boxes), np.int64), np.zeros(len(boxes), np.int64)
     if not len(pixels):
         return np.zeros(len(boxes))
-    columns, x = np.unique(pixels["x"].to_numpy(), return_inverse=True)
-    rows, y = np.unique(pixels["y"].to_numpy(), return_inverse=True)
-    is_dark = pixels["r"].to_numpy() < dark
-    left, right = (np.searchsorted(columns, f(boxes[c].to_numpy(float))) for f, c in ((np.floor, "x0"), (np.ceil, "x1")))
-    top, end = (np.searchsorted(rows, f(boxes[c].to_numpy(float))) for f, c in ((np.floor, "y0"), (np.ceil, "y1")))
+    columns, x = np.unique(pixels[:, 0], return_inverse=True)
+    rows, y = np.unique(pixels[:, 1], return_inverse=True)
+    is_dark = pixels[:, 2] < dark
+    left, right = (np.searchsorted(columns, v) for v in (np.floor(boxes[:, 0]), np.ceil(boxes[:, 2])))
+    top, end = (np.searchsorted(rows, v) for v in (np.floor(boxes[:, 1]), np.ceil(boxes[:, 3])))
     right, end = np.maximum(left, right), np.maximum(top, end)
     step, order = max(1, MAX_CELLS // (len(columns) + 1)), np.argsort(y, kind="stable")
     bounds = np.searchsorted(y[order], np.arange(0, len(rows) + step, step))
     for k, low in enumerate(range(0, len(rows), step)):
         part = order[bounds[k] : bounds[k + 1]]
         n = min(step, len(rows) - low)
+        t, e = (np.clip(v - low, 0, n) for v in (top, end))
+        places = (y[part] - low + 1) * (len(columns) + 1) + x[part] + 1
         for out, weight in ((count, None), (hits, is_dark[part])):
-            sums = np.zeros((n + 1, len(columns) + 1), np.int64)
-            np.add.at(sums, (y[part] - low + 1, x[part] + 1), 1 if weight is None else weight)
-            np.cumsum(sums, axis=0, out=sums)
-            np.cumsum(sums, axis=1, out=sums)
-            t, e = (np.clip(v - low, 0, n) for v in (top, end))
+            sums = np.bincount(places, weight, (n + 1) * (len(columns) + 1)).astype(np.int64).reshape(n + 1, -1)
+            sums = sums.cumsum(0).cumsum(1)
             out += sums[e, right] - sums[t, right] - sums[e, left] + sums[t, left]
     return hits / np.maximum(count, 1)
 
 
 def ink_density(boxes: DataFrame, pixels: DataFrame, dark: int = 128) -> DataFrame:
     """Adds ``density``, the share of dark pixels in each box (doc_id, page, box, x0..y1); 0 for
-    a box without pixels. A page's pixels are summed once, for all its boxes."""
-    kinds = boxes.select(*PAGE, "box").schema.simpleString()[7:-1].replace(":", " ")
-
-    def run(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        return left[[*PAGE, "box"]].assign(density=_shares(left, right, dark))
-
-    asked = boxes.where(F.col("x0").isNotNull() & F.col("x1").isNotNull() & F.col("y0").isNotNull() & F.col("y1").isNotNull())
-    inked = pixels.where(F.col("x").isNotNull() & F.col("y").isNotNull() & F.col("r").isNotNull())
-    found = asked.select(*PAGE, "box", "x0", "x1", "y0", "y1").groupBy(*PAGE).cogroup(inked.select(*PAGE, "x", "y", "r").groupBy(*PAGE)).applyInPandas(run, f"{kinds}, density double")
+    a box without pixels. A page's pixels are summed once, for all its boxes: both come to a
+    task in order of the pages, and it holds one page at a time."""
+    values = ["_0", "_1", "_2", "_3"]
+    keys = boxes.select(*PAGE, "box").schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.Table] = []
+
+        def shares(t: pa.Table) -> pa.RecordBatch:
+            numbers = np.column_stack([t.column(c).to_numpy() for c in values])
+            is_box = t.column("_box").to_numpy()
+            at = np.flatnonzero(is_box)
+            found = _shares(numbers[at], numbers[~is_box], dark)
+            kept = t.select([*PAGE, "box"]).take(pa.array(at)).combine_chunks()
+            return pa.RecordBatch.from_arrays([*(c.combine_chunks() for c in kept.columns), pa.array(found)], names=[*PAGE, "box", "density"])
+
+        for b in batches:
+            t = pa.Table.from_batches([b])
+            ends = [0]
+            if t.num_rows:
+                before = pa.concat_tables([held[-1].slice(held[-1].num_rows - 1), t.slice(0, t.num_rows - 1)]) if held else t.slice(0, t.num_rows - 1)
+                after = t if held else t.slice(1)
+                turn = np.zeros(after.num_rows, bool)
+                for c in PAGE:
+                    turn |= pc.not_equal(before.column(c), after.column(c)).to_numpy()
+                ends = [0, *(np.flatnonzero(turn) + (0 if held else 1)).tolist()]
+            for i, j in zip(ends, ends[1:]):
+                held.append(t.slice(i, j - i))
+                whole = pa.concat_tables(held)
+                held = []
+                if whole.num_rows:
+                    yield shares(whole)
+            held.append(t.slice(ends[-1]))
+        if held:
+            yield shares(pa.concat_tables(held))
+
+    asked = boxes.where(F.col("x0").isNotNull() & F.col("x1").isNotNull() & F.col("y0").isNotNull() & F.col("y1").isNotNull() & F.col("doc_id").isNotNull() & F.col("page").isNotNull())
+    inked = pixels.where(F.col("x").isNotNull() & F.col("y").isNotNull() & F.col("r").isNotNull() & F.col("doc_id").isNotNull() & F.col("page").isNotNull())
+    number = lambda *cs: [F.col(c).cast("double").alias(v) for c, v in zip(cs, values)]
+    rows = asked.select(*PAGE, "box", F.lit(True).alias("_box"), *number("x0", "y0", "x1", "y1"))
+    dots = inked.select(*(F.col(c).cast(keys[c].dataType).alias(c) for c in PAGE), F.lit(None).cast(keys["box"].dataType).alias("box"), F.lit(False).alias("_box"), *number("x", "y", "r"), F.lit(0.0).alias("_3"))
+    both = rows.unionByName(dots).repartition(*PAGE).sortWithinPartitions(*PAGE)
+    found = both.mapInArrow(run, StructType([*keys, StructField("density", DoubleType())]))
     return boxes.join(found.hint("merge"), [*PAGE, "box"], "left").withColumn("density", F.coalesce("density", F.lit(0.0)))

@@ -53,13 +53,12 @@ def test_a_dense_page_makes_few_pairs(spark):
 @pytest.mark.parametrize("cells", [4_000_000, 37])
 def test_ink_by_sums(spark, monkeypatch, cells):
     import numpy as np
-    import pandas as pd
 
     monkeypatch.setattr(spatial, "MAX_CELLS", cells)
     r = random.Random(5)
     pixels = [(r.randint(0, 30), r.randint(0, 40), r.randint(0, 255)) for _ in range(700)]
     boxes = [(x := r.uniform(-5, 35), y := r.uniform(-5, 45), x + r.choice([-1, 0, 0.5, 7, 60]), y + r.choice([-1, 0, 3, 9, 60])) for _ in range(80)]
-    got = spatial._shares(pd.DataFrame(boxes, columns=["x0", "y0", "x1", "y1"]), pd.DataFrame(pixels, columns=["x", "y", "r"]), 128)
+    got = spatial._shares(np.array(boxes), np.array(pixels), 128)
     for b, share in zip(boxes, got):
         inside = [v < 128 for x, y, v in pixels if np.floor(b[0]) <= x < np.ceil(b[2]) and np.floor(b[1]) <= y < np.ceil(b[3])]
         assert share == (sum(inside) / len(inside) if inside else 0.0)
@@ -71,6 +70,26 @@ def test_ink_of_pages_without_pixels(spark):
     assert sorted((r["doc_id"], r["box"], r["density"]) for r in spatial.ink_density(boxes, pixels).collect()) == [(1, 0, 0.5), (1, 1, 0.0), (2, 0, 0.0)]
 
 
+def test_ink_of_pages_that_batches_cut(spark):
+    """Pages and documents of any size, whatever the bounds of the batches that hold them."""
+    r = random.Random(8)
+    pages = [(f"d{i % 7}", i) for i in range(40)]
+    boxes = [(d, p, k, *(float(v) for v in (r.randint(0, 5), r.randint(0, 5), r.randint(5, 12), r.randint(5, 12)))) for d, p in pages for k in range(r.choice([0, 1, 6]))]
+    pixels = [(d, p, r.randint(0, 12), r.randint(0, 12), r.randint(0, 255)) for d, p in pages for _ in range(r.choice([0, 1, 200]))]
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    try:
+        for size in ("7", "10000"):
+            spark.conf.set(name, size)
+            found = spatial.ink_density(spark.createDataFrame(boxes, "doc_id string, page int, box int, x0 double, y0 double, x1 double, y1 double"), spark.createDataFrame(pixels, "doc_id string, page int, x int, y int, r int")).collect()
+            assert len(found) == len(boxes)
+            for b in found:
+                inside = [v < 128 for d, p, x, y, v in pixels if (d, p) == (b["doc_id"], b["page"]) and b["x0"] <= x < b["x1"] and b["y0"] <= y < b["y1"]]
+                assert b["density"] == (sum(inside) / len(inside) if inside else 0.0)
+    finally:
+        spark.conf.set(name, before)
+
+
 def test_background_of_strips(spark):
     r = random.Random(6)
     pixels = [(1, x, y, *(r.randint(0, 255) for _ in range(3)), 255) for x in range(150) for y in range(30) if r.random() < 0.7]

@@ -132,7 +132,7 @@ def item_windows(benchmark: DataFrame, window: int) -> DataFrame:
 
 
 #: Words in one block of patterns; more patterns take more scans.
-MAX_BLOCK_WORDS = 1_000_000
+MAX_BLOCK_WORDS = 800_000
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, *, window: int = 13, hit_share: int = 20, with_row: bool = False, block_words: int = MAX_BLOCK_WORDS) -> DataFrame:

@@ -56,9 +56,15 @@ def write_parts(parts: DataFrame, path: str, commit: str = "0") -> None:
     write_ordered(labels.drop("part").withColumnRenamed("label", "part"), f"{path}/manifest", ["doc_id", "part"], commit)
 
 
+def _by_commit(df: DataFrame) -> DataFrame:
+    """``commit`` as the text in the file's path: Spark reads a folder's name as a number where
+    all of a table's are numbers, and two tables may differ in that."""
+    return df.withColumn("commit", F.regexp_extract(F.col("_metadata.file_path"), "/commit=([^/]*)/", 1))
+
+
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, part, first, last, pages, commit) of all parts that were written whole."""
-    return spark.read.parquet(f"{path}/manifest")
+    return _by_commit(spark.read.parquet(f"{path}/manifest"))
 
 
 def read_parts(spark: SparkSession, path: str, doc_id: int | None = None, part: str | None = None) -> DataFrame:
@@ -67,4 +73,4 @@ def read_parts(spark: SparkSession, path: str, doc_id: int | None = None, part:
     for c, v in (("doc_id", doc_id), ("part", part)):
         wanted = wanted & (F.col(c) == v) if v is not None else wanted
     commits = read_manifest(spark, path).where(wanted).select("commit").distinct()
-    return spark.read.parquet(f"{path}/pages").where(wanted).join(commits, "commit", "left_semi")
+    return _by_commit(spark.read.parquet(f"{path}/pages").where(wanted)).join(commits, "commit", "left_semi")

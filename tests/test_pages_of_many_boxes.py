@@ -152,6 +152,12 @@ def test_parts_are_few_files_and_commits_repeat(spark, tmp_path):
     assert "EqualTo(doc_id,7)" in one._jdf.queryExecution().toString()
     writers.write_ordered(pages.withColumn("part", F.lit("x")), str(tmp_path / "p" / "pages"), ["doc_id"], "lost")  # its manifest never came
     assert writers.read_parts(spark, str(tmp_path / "p")).count() == 2000
+    # names that are numbers in one table and not in the other
+    for commit in ("1", "007"):
+        writers.write_parts(P.split_every(pages.where("doc_id < 5").withColumn("doc_id", F.col("doc_id") + int(commit)), 3), str(tmp_path / "q"), commit)
+    writers.write_ordered(pages.withColumn("part", F.lit("x")), str(tmp_path / "q" / "pages"), ["doc_id"], "lost")
+    assert writers.read_parts(spark, str(tmp_path / "q")).count() == 40
+    assert {r["commit"] for r in writers.read_manifest(spark, str(tmp_path / "q")).select("commit").collect()} == {"1", "007"}
 
 
 def test_files_of_a_folder(spark, tmp_path):

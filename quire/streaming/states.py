@@ -92,65 +92,129 @@ def latest(changes: DataFrame) -> DataFrame:
     return found.select("doc_id", kind.alias("kind"), key.alias("key"), F.coalesce("v.place", F.lit(0)).cast("long").alias("place"), F.coalesce("v.value", F.lit("{}")).alias("value"), "n.past", "n.future")
 
 
+#: Alerts that a cell of ``AlertState`` holds, about.
+CELL_ALERTS = 64
+
+
 class AlertState(StatefulProcessor):
-    """The alerts of one owner by id, each with a timer of its own."""
+    """The alerts of a bucket of owners and ids in cells, each an entry of its own. Cells double in
+    number as alerts do, so that one holds about ``CELL_ALERTS`` of them whatever the bucket holds:
+    a trigger reads and writes the cells that it touches once each. A cell has a timer for the
+    alert that ends first."""
 
-    def __init__(self, error_ms: int, other_ms: int):
-        self.error_ms, self.other_ms = error_ms, other_ms
+    def __init__(self, error_ms: int, other_ms: int, buckets: int = 1024):
+        self.error_ms, self.other_ms, self.buckets = error_ms, other_ms, buckets
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.shown = handle.getMapState("shown", "id string", "variant string, message string, until long")
-        self.due = handle.getMapState("due", "until long, id string", "there boolean")
+        self.head = handle.getValueState("head", "cells int, held long")
+        self.cells = handle.getMapState("cell", "number int", "value string")  # when its timer fires, and alerts
+        self.due = handle.getMapState("due", "until long", "cells string")
+
+    def _open(self) -> None:
+        self.n, self.held = self.head.get() if self.head.exists() else (1, 0)
+        self.before, self.read, self.dirty = (self.n, self.held), {}, set()
+
+    def _cell(self, number: int) -> list:
+        if number not in self.read:
+            found = self.cells.getValue((number,)) if self.held else None
+            at, rows = json.loads(found[0]) if found else (-1, [])
+            self.read[number] = [at, {(owner, i): alert for owner, i, *alert in rows}]
+        return self.read[number]
+
+    def _save(self) -> None:
+        if self.held > CELL_ALERTS * self.n:
+            every = [self._cell(k) for k in {*(k[0] for k in list(self.cells.keys())), *self.read}]
+            while self.held > CELL_ALERTS * self.n:
+                self.n *= 2
+            self.dirty, self.read = set(range(self.n)), {k: [-1, {}] for k in range(self.n)}
+            for _, alerts in every:
+                for k, alert in alerts.items():
+                    self.read[alert[0] // self.buckets % self.n][1][k] = alert
+        timers: dict[int, set[int]] = {}
+        for k in sorted(self.dirty):
+            cell = self.read[k]
+            if not cell[1]:
+                self.cells.removeKey((k,))
+                continue
+            first = min((alert[3] for alert in cell[1].values() if alert[3] >= 0), default=-1)
+            if first >= 0 and (cell[0] < 0 or first < cell[0]):
+                cell[0] = first
+                timers.setdefault(first, set()).add(k)
+            self.cells.updateValue((k,), (json.dumps([cell[0], [[*who, *alert] for who, alert in cell[1].items()]]),))
+        for until, numbers in timers.items():
+            found = self.due.getValue((until,))
+            self.due.updateValue((until,), (json.dumps(sorted({*numbers, *(json.loads(found[0]) if found else [])})),))
+            if not found:
+                self.handle.registerTimer(until)
+        if (self.n, self.held) != self.before:
+            self.head.update((self.n, self.held))
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         out, now = [], timerValues.getCurrentWatermarkInMs()
-        for r in pd.concat(list(rows)).sort_values("ts", kind="stable").itertuples():
-            held = self.shown.getValue((r.id,)) if self.shown.containsKey((r.id,)) else None
-            if r.variant == "dismiss":
+        self._open()
+        given = pd.concat(list(rows)).sort_values("ts", kind="stable")
+        for owner, i, variant, message, ms, sticky, duration, code in zip(*(given[c].tolist() for c in ("owner", "id", "variant", "message", "ms", "sticky", "duration_ms", "code"))):
+            number = code // self.buckets % self.n
+            alerts = self._cell(number)[1]
+            held = alerts.get((owner, i))
+            if variant == "dismiss":
                 if held:
-                    self.shown.removeKey((r.id,))
-                    if held[2] >= 0:
-                        self.due.removeKey((held[2], r.id))
-                    out.append((key[0], r.id, "dismissed", held[0], held[1]))
+                    del alerts[owner, i]
+                    self.held -= 1
+                    self.dirty.add(number)
+                    out.append((owner, i, "dismissed", held[1], held[2]))
             elif held:  # a patch changes the message; when and whether it ends was told when it came
-                message = held[1] if pd.isna(r.message) else r.message
-                self.shown.updateValue((r.id,), (held[0], message, held[2]))
-                out.append((key[0], r.id, "patched", held[0], message))
-            elif r.variant != "patch":
+                held[2] = held[2] if pd.isna(message) else message
+                self.dirty.add(number)
+                out.append((owner, i, "patched", held[1], held[2]))
+            elif variant != "patch":
                 until = -1
-                if not r.sticky:
-                    ttl = int(r.duration_ms) if not pd.isna(r.duration_ms) else self.error_ms if r.variant == "error" else self.other_ms
-                    until = max(int(r.ts.value // 1_000_000) + ttl, now + 1)
-                    self.due.updateValue((until, r.id), (True,))
-                    self.handle.registerTimer(until)
-                self.shown.updateValue((r.id,), (r.variant, r.message, until))
-                out.append((key[0], r.id, "shown", r.variant, r.message))
+                if not sticky:
+                    ttl = int(duration) if not pd.isna(duration) else self.error_ms if variant == "error" else self.other_ms
+                    until = max(ms + ttl, now + 1)
+                alerts[owner, i] = [code, variant, message, until]
+                self.held += 1
+                self.dirty.add(number)
+                out.append((owner, i, "shown", variant, message))
+        self._save()
         yield pd.DataFrame(out, columns=["owner", "id", "event", "variant", "message"])
 
     def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        out, at = [], expiredTimerInfo.getExpiryTimeInMs()
-        for until, alert in sorted(tuple(k) for k in self.due.keys()):
-            if until <= at:
-                variant, message, _ = self.shown.getValue((alert,))
-                self.due.removeKey((until, alert))
-                self.shown.removeKey((alert,))
-                out.append((key[0], alert, "expired", variant, message))
-        yield pd.DataFrame(out, columns=["owner", "id", "event", "variant", "message"])
+        out, now, at = [], timerValues.getCurrentWatermarkInMs(), expiredTimerInfo.getExpiryTimeInMs()
+        self._open()
+        numbers = self.due.getValue((at,))
+        for number in json.loads(numbers[0]) if numbers else []:
+            cell = self._cell(number)
+            if cell[0] != at:  # it was dealt anew, or another timer was sooner and has seen to it
+                continue
+            cell[0] = -1
+            ended = [who for who, alert in cell[1].items() if 0 <= alert[3] <= now]
+            for who in ended:
+                _, variant, message, _ = cell[1].pop(who)
+                out.append((*who, "expired", variant, message))
+            self.held -= len(ended)
+            self.dirty.add(number)
+        self.due.removeKey((at,))
+        self._save()
+        if out:
+            yield pd.DataFrame(out, columns=["owner", "id", "event", "variant", "message"])
 
     def close(self) -> None:
         pass
 
 
-def stream_alerts(alerts: DataFrame, error_ms: int = 5000, other_ms: int = 2500, delay: str = "0 seconds") -> DataFrame:
+def stream_alerts(alerts: DataFrame, error_ms: int = 5000, other_ms: int = 2500, delay: str = "0 seconds", buckets: int = 1024) -> DataFrame:
     """(owner, id, event, variant, message) of alerts (owner, id, variant, message, ts, sticky,
     duration_ms): ``shown`` when an alert comes, ``patched`` when its id comes again (with the
     variant ``patch`` only then), ``dismissed`` by one of variant ``dismiss``, ``expired`` when
     event time passes the end that was set when it came. A patch moves no end, and a sticky
-    alert has none."""
+    alert has none. Owners and ids are dealt into ``buckets``, whose number a stream keeps."""
     on_rocks(alerts.sparkSession)
-    rows = alerts.select("owner", "id", "variant", "message", "ts", "sticky", "duration_ms").withWatermark("ts", delay)
-    return rows.groupBy("owner").transformWithStateInPandas(AlertState(error_ms, other_ms), "owner string, id string, event string, variant string, message string", "Append", "EventTime")
+    rows = alerts.select("owner", "id", "variant", "message", "ts", F.unix_millis("ts").alias("ms"), F.coalesce("sticky", F.lit(False)).alias("sticky"), "duration_ms", F.xxhash64("owner", "id").alias("code"))
+    rows = rows.withColumn("bucket", F.pmod("code", F.lit(buckets))).withWatermark("ts", delay)
+    state = AlertState(error_ms, other_ms, buckets)
+    return rows.groupBy("bucket").transformWithStateInPandas(state, "owner string, id string, event string, variant string, message string", "Append", "EventTime")
 
 
 def page_progress(results: DataFrame) -> DataFrame:

@@ -2,7 +2,9 @@
 
 import json
 import random
+import zlib
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from quire.operators import edits as E
@@ -97,6 +99,70 @@ def test_alerts_end_when_they_were_told_to(spark, tmp_path):
     assert ("o", "none") not in events and events["p", "f"] == [("shown", "F"), ("expired", "F")]
 
 
+class Calls:
+    """State and timers of one key, with the calls to them counted."""
+
+    def __init__(self):
+        self.n, self.timers, self.states = 0, set(), {}
+
+    def state(self, name, *_):
+        calls, held = self, self.states.setdefault(name, {})
+
+        class State:
+            def __getattr__(self, op):
+                def call(key=None, value=None):
+                    calls.n += 1
+                    return {"exists": lambda: bool(held), "containsKey": lambda: key in held, "getValue": lambda: held.get(key), "get": lambda: held.get(None), "keys": lambda: list(held), "iterator": lambda: list(held.items()),
+                        "updateValue": lambda: held.update({key: value}), "update": lambda: held.update({None: key}), "removeKey": lambda: held.pop(key, None)}[op]()
+
+                return call
+
+        return State()
+
+    getMapState = getValueState = state
+
+    def registerTimer(self, at):
+        self.n += 1
+        self.timers.add(at)
+
+
+class Now:
+    def __init__(self, ms):
+        self.getCurrentWatermarkInMs = self.getExpiryTimeInMs = lambda: ms
+
+
+def test_many_alerts_of_one_owner():
+    """3,000 alerts come in thirty triggers: state is asked for cells and not for each alert, and
+    every alert ends in the trigger in which it should."""
+    calls, r, alive, want, got = Calls(), random.Random(2), {}, [], []
+    p = S.AlertState(5000, 2500)
+    p.init(calls)
+    for step in range(30):
+        now = max(0, step * 1000 - 500)
+        rows = [("o", str(r.randrange(4000)), r.choice(["error", "info", "info", "dismiss", "patch"]), f"m{step}", step * 1000 + i, i % 9 == 0, r.choice([None, 700, 40_000])) for i in range(100)]
+        given = pd.DataFrame(rows, columns=["owner", "id", "variant", "message", "ms", "sticky", "duration_ms"])
+        given["ts"], given["code"] = pd.to_datetime(given["ms"], unit="ms"), [zlib.crc32(i.encode()) for i in given["id"]]
+        for _, i, variant, message, ms, sticky, duration in rows:
+            if variant == "dismiss" and i in alive:
+                want.append((step, i, "dismissed", *alive.pop(i)[1:]))
+            elif variant != "dismiss" and i in alive:
+                alive[i] = (*alive[i][:2], message)
+                want.append((step, i, "patched", *alive[i][1:]))
+            elif variant not in ("dismiss", "patch"):
+                alive[i] = (None if sticky else max(now + 1, ms + (duration or (5000 if variant == "error" else 2500))), variant, message)
+                want.append((step, i, "shown", variant, message))
+        for i in [i for i, a in alive.items() if a[0] is not None and a[0] <= now]:
+            want.append((step, i, "expired", *alive.pop(i)[1:]))
+        found = list(p.handleInputRows(("o",), iter([given]), Now(now)))
+        for at in sorted(t for t in calls.timers if t <= now):
+            timer = Now(at)
+            found += list(p.handleExpiredTimer(("o",), Now(now), timer))
+            calls.timers.discard(at)
+        got += [(step, *row[1:]) for f in found for row in f.itertuples(index=False)]
+    assert sorted(got) == sorted(want) and len([w for w in want if w[2] == "expired"]) > 500
+    assert calls.n < 6000
+
+
 def test_pages_of_cancelled_documents(spark, tmp_path):
     pages = "doc_id long, page int, error string, truncated boolean"
     stopped, out, stored = str(tmp_path / "stopped"), str(tmp_path / "out"), str(tmp_path / "in")

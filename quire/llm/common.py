@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.sources.shared import shared_dir
+from quire.sources.shared import shared_dir, small_batches
 
 #: A word: a run of characters other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -59,19 +59,6 @@ def passing(spark: SparkSession, keep: list[DataFrame] | None = None) -> Iterato
     discard(spark, *(p for p in list(_FOLDERS) if p not in before and p not in stay))
 
 
-#: Most bytes of rows that a Python worker is sent at a time.
-ARROW_BATCH = "4m"
-
-
-def small_batches(spark: SparkSession) -> None:
-    """Bounds the session's Arrow batches by bytes, unless the user has set a bound: ten
-    thousand rows, which Spark sends otherwise, may be 64 MB in each of a task's two
-    processes."""
-    name = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if spark.conf.get(name, None) in ("67108864b", "64m", "64MB", str(64 << 20)):
-        spark.conf.set(name, ARROW_BATCH)
-
-
 def fold(doc_id: str = "doc_id") -> Column:
     return F.crc32(F.col(doc_id).cast("string")) % 4
 

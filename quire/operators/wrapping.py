@@ -14,9 +14,12 @@ from pyspark.sql.pandas.types import from_arrow_type
 from quire.functions.geometry import align_offset, baseline_y
 from quire.functions.runs import STYLE, resolve_style
 from quire.functions.text import hex_to_rgb, standard_font_key
+from quire.sources.shared import small_batches
 
 #: More (font, character) widths than this, some 30 MB in a worker, are not sent to all tasks.
 MAX_WIDTHS = 200_000
+#: Segments that a worker gathers before it gives them on, and token widths that it remembers.
+OUT_ROWS, SEEN_TOKENS = 5_000, 100_000
 #: A line break, white space without one, or a word.
 _TOKEN = r"(?U)\n|[\s\uFEFF&&[^\n]]+|[^\s\uFEFF]+"
 _SEGMENT = {"line": pa.int32(), "segment": pa.int32(), "text": pa.string(), "font": pa.string(), "font_size": pa.float64(), "color": pa.string(), "width": pa.float64()}
@@ -56,7 +59,8 @@ def wrap_runs(boxes: DataFrame, widths: DataFrame, room: Column, *, keys: tuple[
 
     ``widths`` (font, char, em) is sent to the tasks after its rows are counted; what it
     does not hold is ``default_em`` wide. A box's row is enough for its lines: nothing is
-    shuffled."""
+    shuffled. A worker takes boxes of some megabytes at a time apart one by one."""
+    small_batches(boxes.sparkSession)
     if widths.limit(MAX_WIDTHS + 1).count() > MAX_WIDTHS:
         raise ValueError(f"more than {MAX_WIDTHS} widths")
     ems: dict[str, dict[str, float]] = {}
@@ -67,7 +71,7 @@ def wrap_runs(boxes: DataFrame, widths: DataFrame, room: Column, *, keys: tuple[
     def tokens_of(r: Column) -> Column:
         font, colour = standard_font_key(r["font_family"], r["bold"], r["italic"]), hex_to_rgb(r["color"])
         look = [font.alias("font"), (r["font_size"] * scale).alias("font_size"), r["color"].alias("color"), F.hash(colour["r"], colour["g"], colour["b"]).alias("tint")]
-        return F.transform(F.regexp_extract_all(r["text"], F.lit(_TOKEN), F.lit(0)), lambda t: F.struct(t.alias("token"), *look))
+        return F.struct(*look, F.regexp_extract_all(r["text"], F.lit(_TOKEN), F.lit(0)).alias("tokens"))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[tuple[str, str], float] = {}
@@ -80,29 +84,46 @@ def wrap_runs(boxes: DataFrame, widths: DataFrame, room: Column, *, keys: tuple[
 
         for b in batches:
             owner, found = [], [[] for _ in _SEGMENT]
-            for k, (tokens, space) in enumerate(zip(b.column("_t").to_pylist(), b.column("_room").to_pylist())):
-                tokens.append({**tokens[-1], "token": "\n"} if tokens else {"token": "\n", "font": None, "font_size": None, "color": None, "tint": None})
-                wide = [em(t["font"], t["token"]) * (t["font_size"] or 0.0) for t in tokens]
+
+            def gathered() -> pa.RecordBatch:
+                at = pa.array(owner, pa.int64())
+                out = pa.RecordBatch.from_arrays([*(b.column(c).take(at) for c in keys), *(pa.array(c, kind) for c, kind in zip(found, _SEGMENT.values()))], names=[*keys, *_SEGMENT])
+                for column in (owner, *found):
+                    column.clear()
+                return out
+
+            for k in range(b.num_rows):
+                tokens, looks, wide = [], [], []
+                for run in b.column("_t")[k].as_py() or []:
+                    look = (run["font"], run["font_size"], run["tint"], run["color"])
+                    for token in run["tokens"] or []:
+                        tokens.append(token)
+                        looks.append(look)
+                        wide.append(em(look[0], token) * (look[1] or 0.0))
+                tokens.append("\n")
+                looks.append(looks[-1] if looks else (None, None, None, None))
+                wide.append(0.0)
                 before = None
-                for t, width, line in zip(tokens, wide, _placed([t["token"] for t in tokens], wide, space)):
+                for token, (font, size, tint, colour), width, line in zip(tokens, looks, wide, _placed(tokens, wide, b.column("_room")[k].as_py())):
                     if line < 0:
                         continue
-                    look = (line, t["font"], t["font_size"], t["tint"])
+                    look = (line, font, size, tint)
                     if look == before:
-                        found[2][-1] += t["token"]
+                        found[2][-1] += token
                         found[6][-1] += width
                     else:
                         segment = found[1][-1] + 1 if before and before[0] == line else 0
-                        for column, v in zip(found, (line, segment, t["token"].strip("\n"), t["font"], t["font_size"], t["color"], width)):
+                        if len(owner) >= OUT_ROWS:
+                            yield gathered()
+                        for column, v in zip(found, (line, segment, token.strip("\n"), font, size, colour, width)):
                             column.append(v)
                         owner.append(k)
                     before = look
-            if len(seen) > 500_000:
+            if len(seen) > SEEN_TOKENS:
                 seen.clear()
-            at = pa.array(owner, pa.int64())
-            yield pa.RecordBatch.from_arrays([*(b.column(c).take(at) for c in keys), *(pa.array(c, kind) for c, kind in zip(found, _SEGMENT.values()))], names=[*keys, *_SEGMENT])
+            yield gathered()
 
-    df = boxes.withColumn("_runs", resolve_style(F.col("runs"), {k: F.col(k) for k in STYLE})).select(*keys, room.cast("double").alias("_room"), F.flatten(F.transform("_runs", tokens_of)).alias("_t"))
+    df = boxes.withColumn("_runs", resolve_style(F.col("runs"), {k: F.col(k) for k in STYLE})).select(*keys, room.cast("double").alias("_room"), F.transform("_runs", tokens_of).alias("_t"))
     kinds = T.StructType([*(df.schema[c] for c in keys), *(T.StructField(c, from_arrow_type(k)) for c, k in _SEGMENT.items())])
     return df.mapInArrow(place, kinds)
 

@@ -2,10 +2,12 @@
 it is one word, no line could take what follows it, and looks are kept."""
 
 import re
+import tracemalloc
 
 from hypothesis import HealthCheck, Phase, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
+from pyspark.sql.classic.dataframe import DataFrame
 
 from quire.functions import text as X
 from quire.operators.wrapping import wrap_runs
@@ -98,3 +100,26 @@ def check_box(tokens, lines, room):
             assert words == 0 or used + gap + size(*left[0]) > room - 1e-9  # what follows did not fit
     assert not [t for t, _ in left if t.strip(" \n")]
     assert len(lines) >= 1 + sum(t == "\n" for t, _ in tokens)
+
+
+def test_a_worker_holds_one_box_at_a_time(spark, monkeypatch):
+    """Of 500 boxes of 800 words and spaces each that come in one batch."""
+    seen, plain = {}, DataFrame.mapInArrow
+
+    def noting(df, run, kinds):
+        seen.update(df=df, run=run)
+        return plain(df, run, kinds)
+
+    monkeypatch.setattr(DataFrame, "mapInArrow", noting)
+    text = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(400)), lambda i: F.concat(F.lit("w"), ((i * 7 + F.col("id")) % 50).cast("string"))), " ")
+    runs = F.array(F.struct(text.alias("text"), F.lit(True).alias("bold"), *(F.lit(None).alias(k) for k in ("italic", "color", "font_size", "font_family")))).cast(f"array<{STYLED_RUN}>")
+    boxes = spark.range(500).select("id", runs.alias("runs"), F.lit(False).alias("bold"), F.lit(False).alias("italic"), F.lit("#000000").alias("color"), F.lit(10.0).alias("font_size"), F.lit("Courier").alias("font_family"))
+    out = wrap_runs(boxes, spark.createDataFrame([], "font string, char string, em double"), F.lit(200.0), keys=("id",))
+    batch = seen["df"].toArrow().combine_chunks().to_batches()[0]
+    assert batch.num_rows == 500
+    tracemalloc.start()
+    n = sum(b.num_rows for b in seen["run"](iter([batch])))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n == out.count() > 10_000
+    assert most < 20_000_000

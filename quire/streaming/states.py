@@ -5,7 +5,9 @@ and a trigger writes what it changes, not what a key holds."""
 from __future__ import annotations
 
 import json
+import zlib
 from collections.abc import Callable, Iterator
+from itertools import groupby
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -28,58 +30,110 @@ def on_rocks(spark: SparkSession) -> None:
         spark.conf.set(name, _ROCKS)
 
 
-class _Store:
-    """A document's tables as map states; what one trigger reads or writes is remembered."""
+#: Entries that a cell of a document's tables, or of a bucket of alerts, holds, about.
+CELL_ROWS = 64
+
 
-    def __init__(self, maps: dict):
-        self.maps, self.seen = maps, {}
+class _Store:
+    """A document's tables in cells, each an entry of a map state; versions that follow one another
+    lie together. Cells double in number as rows do, so that one holds about ``CELL_ROWS`` of
+    them whatever the document holds: a trigger reads and writes the cells that it touches once
+    each. The first cell has the document's marks too."""
+
+    def __init__(self, cells, doc: str | None):
+        self.cells, self.doc, self.dirty = cells, doc, set()
+        found = cells.getValue((doc, 0))
+        self.n, self.held, marks, rows = json.loads(found[0]) if found else (1, 0, None, [])
+        self.marks = Marks(**marks) if marks else Marks()
+        self.read = {0: {(t, k): v for t, k, v in rows}}
+
+    def _number(self, table: str, key: str) -> int:
+        return (int(key) // 16 if table == "version" else zlib.crc32(f"{table} {key}".encode())) % self.n
+
+    def _cell(self, number: int) -> dict:
+        if number not in self.read:
+            found = self.cells.getValue((self.doc, number))
+            self.read[number] = {(t, k): v for t, k, v in json.loads(found[0])} if found else {}
+        return self.read[number]
 
     def get(self, table: str, key: str):
-        if (table, key) not in self.seen:
-            found = self.maps[table].getValue((key,))
-            self.seen[table, key] = json.loads(found[0]) if found else None
-        return self.seen[table, key]
+        return self._cell(self._number(table, key)).get((table, key))
 
     def put(self, table: str, key: str, value) -> None:
-        if value is not None:
-            self.maps[table].updateValue((key,), (json.dumps(value),))
-        elif self.get(table, key) is not None:
-            self.maps[table].removeKey((key,))
-        self.seen[table, key] = value
+        number = self._number(table, key)
+        cell, n = self._cell(number), len(self._cell(number))
+        if value is None and (table, key) not in cell:
+            return
+        if value is None:
+            del cell[table, key]
+        else:
+            cell[table, key] = value
+        self.held += len(cell) - n
+        self.dirty.add(number)
 
     def items(self, table: str) -> list[tuple]:
-        return [(k[0], json.loads(v[0])) for k, v in list(self.maps[table].iterator())]
+        return [(k, v) for number in range(self.n) for (t, k), v in self._cell(number).items() if t == table]
+
+    def save(self, marks: Marks) -> None:
+        if self.held > CELL_ROWS * self.n:
+            every = [x for number in range(self.n) for x in self._cell(number).items()]
+            while self.held > CELL_ROWS * self.n:
+                self.n *= 2
+            self.read, self.dirty = {k: {} for k in range(self.n)}, set(range(self.n))
+            for (table, key), v in every:
+                self.read[self._number(table, key)][table, key] = v
+        for number in sorted(self.dirty | {0}):
+            rows = [[t, k, v] for (t, k), v in self.read[number].items()]
+            if number == 0:
+                rows = [self.n, self.held, vars(marks), rows]
+            if rows:
+                self.cells.updateValue((self.doc, number), (json.dumps(rows),))
+            else:
+                self.cells.removeKey((self.doc, number))
 
 
 class EditState(StatefulProcessor):
-    """A document's edits, page operations, order and versions, each under its own key."""
+    """The edits, page operations, order and versions of the documents of a bucket, each document
+    in cells of its own."""
 
     def __init__(self, history: int, burst_ms: int):
         self.history, self.burst_ms = history, burst_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.maps = {t: handle.getMapState(t, "key string", "value string") for t in ("edit", "page_op", "order", "version")}
-        self.marks = handle.getValueState("marks", "value string")
+        self.cells = handle.getMapState("cell", "doc string, number int", "value string")
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        found = self.marks.get() if self.marks.exists() else None
-        doc = Document(self.history, self.burst_ms, _Store(self.maps), Marks(**json.loads(found[0])) if found else None)
-        for r in pd.concat(list(rows)).sort_values(["ts", "seq"], kind="stable").itertuples():
-            page = None if pd.isna(r.page) else int(r.page)
-            doc.apply(r.action, int(r.ts.value // 1_000_000), None if pd.isna(r.edit_id) else r.edit_id, page, None if pd.isna(r.payload) else r.payload)
-        self.marks.update((json.dumps(vars(doc.marks)),))
-        yield pd.DataFrame(doc.changes(key[0]), columns=[c.split()[0] for c in CHANGES.split(", ")])
+        given, out = pd.concat(list(rows)).sort_values(["doc", "ts", "seq"], kind="stable"), []
+        columns = [[None if pd.isna(v) else v for v in given[c].tolist()] for c in ("doc", "action", "ms", "edit_id", "page", "payload")]
+        for name, log in groupby(zip(*columns), lambda r: r[0]):
+            store = _Store(self.cells, name)
+            doc = Document(self.history, self.burst_ms, store, store.marks)
+            for _, action, ms, edit_id, page, payload in log:
+                doc.apply(action, ms, edit_id, None if page is None else int(page), payload)
+            changes = doc.changes(None if name is None else int(name))
+            store.save(doc.marks)
+            out += changes
+            if len(out) > 10_000:
+                yield self._frame(out)
+                out = []
+        yield self._frame(out)
+
+    def _frame(self, rows: list[tuple]) -> pd.DataFrame:
+        found = pd.DataFrame(rows, columns=[c.split()[0] for c in CHANGES.split(", ")])
+        return found.assign(doc_id=pd.array([r[0] for r in rows], "Int64"))  # a null among them makes no fractions of the others
 
     def close(self) -> None:
         pass
 
 
-def stream_edits(log: DataFrame, history: int = 100, burst_ms: int = 600, delay: str = "10 seconds") -> DataFrame:
+def stream_edits(log: DataFrame, history: int = 100, burst_ms: int = 600, delay: str = "10 seconds", buckets: int = 1024) -> DataFrame:
     """What each trigger changes in the documents that it touches (``CHANGES``). Added up
-    (``latest``), changes give what ``fold_edits`` gives for the whole log."""
+    (``latest``), changes give what ``fold_edits`` gives for the whole log. Documents are dealt
+    into ``buckets``, whose number a stream keeps."""
     on_rocks(log.sparkSession)
-    rows = log.select("doc_id", "seq", "ts", "action", "edit_id", "page", "payload").withWatermark("ts", delay)
-    return rows.groupBy("doc_id").transformWithStateInPandas(EditState(history, burst_ms), CHANGES, "Update", "None")
+    doc, bucket = F.col("doc_id").cast("long"), F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(buckets))
+    rows = log.select(bucket.alias("bucket"), doc.cast("string").alias("doc"), "seq", "ts", F.unix_millis("ts").alias("ms"), "action", "edit_id", "page", "payload").withWatermark("ts", delay)
+    return rows.groupBy("bucket").transformWithStateInPandas(EditState(history, burst_ms), CHANGES, "Update", "None")
 
 
 def latest(changes: DataFrame) -> DataFrame:
@@ -92,13 +146,9 @@ def latest(changes: DataFrame) -> DataFrame:
     return found.select("doc_id", kind.alias("kind"), key.alias("key"), F.coalesce("v.place", F.lit(0)).cast("long").alias("place"), F.coalesce("v.value", F.lit("{}")).alias("value"), "n.past", "n.future")
 
 
-#: Alerts that a cell of ``AlertState`` holds, about.
-CELL_ALERTS = 64
-
-
 class AlertState(StatefulProcessor):
     """The alerts of a bucket of owners and ids in cells, each an entry of its own. Cells double in
-    number as alerts do, so that one holds about ``CELL_ALERTS`` of them whatever the bucket holds:
+    number as alerts do, so that one holds about ``CELL_ROWS`` of them whatever the bucket holds:
     a trigger reads and writes the cells that it touches once each. A cell has a timer for the
     alert that ends first."""
 
@@ -123,9 +173,9 @@ class AlertState(StatefulProcessor):
         return self.read[number]
 
     def _save(self) -> None:
-        if self.held > CELL_ALERTS * self.n:
+        if self.held > CELL_ROWS * self.n:
             every = [self._cell(k) for k in {*(k[0] for k in list(self.cells.keys())), *self.read}]
-            while self.held > CELL_ALERTS * self.n:
+            while self.held > CELL_ROWS * self.n:
                 self.n *= 2
             self.dirty, self.read = set(range(self.n)), {k: [-1, {}] for k in range(self.n)}
             for _, alerts in every:

@@ -126,6 +126,27 @@ class Calls:
         self.timers.add(at)
 
 
+def test_many_edits_of_a_document():
+    """2,000 actions in fifty triggers, over some hundred edits: state is asked for cells and not
+    for each edit and version, and what changes adds up to the document."""
+    calls, whole, held, r = Calls(), E.Document(), {}, random.Random(5)
+    p = S.EditState(100, 600)
+    p.init(calls)
+    rows = [(7, i, ms, action, str(r.randrange(200)) if edit else None, page, payload) for _, i, ms, action, edit, page, payload in made(3, 2000, docs=1)]
+    rows = [x for x in rows if x[3] not in ("delete_page", "open") or x[1] % 5 == 0]
+    for k in range(0, len(rows), 40):
+        given = pd.DataFrame(rows[k : k + 40], columns=["doc_id", "seq", "ms", "action", "edit_id", "page", "payload"])
+        given["ts"], given["doc"] = pd.to_datetime(given["ms"], unit="ms"), given["doc_id"].astype(str)
+        for frame in p.handleInputRows((7,), iter([given]), None):
+            for doc, kind, key, place, value, past, future, _ in frame.itertuples(index=False):
+                held[kind, key] = (doc, kind, key, place, value, past, future)
+    for _, _, ms, action, edit, page, payload in rows:
+        whole.apply(action, ms, edit, page, payload)
+    depths = held.pop(("document", ""))[5:]
+    assert sorted((*v[:5], *depths) for v in held.values() if v[4] is not None) == sorted(whole.rows(7))
+    assert calls.n < len(rows)
+
+
 class Now:
     def __init__(self, ms):
         self.getCurrentWatermarkInMs = self.getExpiryTimeInMs = lambda: ms

@@ -13,16 +13,18 @@ PAGE = ["doc_id", "page"]
 def cluster_lines(runs: DataFrame, threshold: float = 3.0) -> DataFrame:
     """Adds ``line``: runs less than ``threshold`` from the line's first baseline share a
     line. A page's sorted baselines are folded with the anchor as state, so drift does not
-    chain; the fold is bounded by a page."""
+    chain; the fold is bounded by a page, and made once for it, in its first row."""
     start = F.struct(F.lit(None).cast("double").alias("anchor"), F.array().cast("array<double>").alias("all"))
 
     def step(acc, b):
         new = acc["anchor"].isNull() | (F.abs(b - acc["anchor"]) >= threshold)
         return F.struct(F.when(new, b).otherwise(acc["anchor"]).alias("anchor"), F.when(new, F.concat(acc["all"], F.array(b))).otherwise(acc["all"]).alias("all"))
 
-    levels = F.array_sort(F.collect_set("baseline").over(Window.partitionBy(*PAGE)))
-    anchored = runs.withColumn("_levels", levels).withColumn("_anchors", F.aggregate("_levels", start, step, lambda acc: acc["all"]))
-    return anchored.withColumn("line", F.size(F.filter("_anchors", lambda a: a <= F.col("baseline"))) - 1).drop("_levels", "_anchors")
+    page = Window.partitionBy(*PAGE)
+    ordered = runs.withColumn("_levels", F.collect_set("baseline").over(page)).withColumn("_first", F.row_number().over(page.orderBy("baseline")) == 1)
+    folded = F.when(F.col("_first"), F.aggregate(F.array_sort("_levels"), start, step, lambda acc: acc["all"]))
+    anchored = ordered.withColumn("_anchors", folded).withColumn("_anchors", F.first("_anchors", ignorenulls=True).over(page))
+    return anchored.withColumn("line", F.size(F.filter("_anchors", lambda a: a <= F.col("baseline"))) - 1).drop("_levels", "_first", "_anchors")
 
 
 def split_line_gaps(runs: DataFrame, ratio: float = 1.5) -> DataFrame:
@@ -62,9 +64,9 @@ def build_blocks(runs: DataFrame) -> DataFrame:
 
 
 def line_blocks(runs: DataFrame) -> DataFrame:
-    """Runs to blocks. Every key begins with (doc_id, page), so that one exchange on it,
-    made here, serves the whole chain."""
-    return build_blocks(space_runs(split_line_gaps(cluster_lines(runs.repartition(*PAGE)))))
+    """Runs to blocks. Every key begins with (doc_id, page), so that one exchange on it, that of
+    the first window or one that the runs have already, serves the whole chain."""
+    return build_blocks(space_runs(split_line_gaps(cluster_lines(runs))))
 
 
 def number_lines(blocks: DataFrame, order: tuple[str, ...] = ("y", "x")) -> DataFrame:

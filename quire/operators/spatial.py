@@ -88,11 +88,14 @@ def unreplaced_images(images: DataFrame, covers: DataFrame, tolerance: float = 4
     return images.join(c.hint("merge"), (images["doc_id"] == F.col("_doc")) & (images["page"] == F.col("_page")) & cell & near, "left_anti")
 
 
-def pick_sub_item(points: DataFrame, blocks: DataFrame) -> DataFrame:
-    """Points (doc_id, page, block, x) with the sub item under x, else the first one."""
+def pick_sub_item(points: DataFrame, blocks: DataFrame | None = None) -> DataFrame:
+    """Points (doc_id, page, block, x) with the sub item under x, else the first one. Points
+    that carry their block's ``sub_items`` need no blocks, and no join."""
     keys = [*PAGE, "block"]
     under = F.filter("sub_items", lambda s: (F.col("px") >= s["x"]) & (F.col("px") <= s["x"] + s["width"]))
-    joined = points.withColumnRenamed("x", "px").join(blocks.select(*keys, "sub_items"), keys)
+    joined = points.withColumnRenamed("x", "px")
+    if blocks is not None:
+        joined = joined.join(blocks.select(*keys, "sub_items").hint("merge"), keys)
     return joined.withColumn("picked", F.coalesce(F.get(under, F.lit(0)), F.get("sub_items", F.lit(0)))).drop("sub_items")
 
 

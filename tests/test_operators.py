@@ -162,3 +162,10 @@ def test_burst_gap(spark, gap, bursts):
     log = spark.createDataFrame([(1, 0, 0, "update", "a"), (1, 1, gap, "update", "a")], "doc_id long, seq long, ms long, action string, edit_id string")
     log = log.withColumn("ts", F.timestamp_millis("ms"))
     assert E.edit_bursts(log).agg(F.max("burst")).first()[0] == bursts
+
+
+def test_blocks_are_made_once_in_one_exchange(spark):
+    from quire.plans.source_queries import picked_items
+
+    plan = picked_items(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan

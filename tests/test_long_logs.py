@@ -99,3 +99,20 @@ def test_one_document_takes_many_tasks(spark):
     sizes = [r["count"] for r in marked.where("summary is null").groupBy("part").count().collect()]
     assert len(sizes) >= 12 and max(sizes) < 10_000
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, E.fold_edits(log).collect()))
+
+
+def test_short_segments_share_tasks(spark, monkeypatch):
+    """Two hundred segments of one document take no more tasks than their actions ask for."""
+    kept, rows = {}, made(11, 2000, docs=1)
+
+    def noting(df, name):
+        kept[name] = plain(df, name)
+        return kept[name]
+
+    plain = L.kept
+    monkeypatch.setattr(L, "kept", noting)
+    log = logged(spark, rows).localCheckpoint()
+    got = L.fold_long_logs(log, segment_rows=10)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, E.fold_edits(log).collect()))
+    assert kept["log"].where("summary is not null").count() >= 200
+    assert len(kept["log"].inputFiles()) <= int(spark.conf.get("spark.sql.shuffle.partitions"))

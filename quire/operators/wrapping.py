@@ -14,42 +14,71 @@ from pyspark.sql.pandas.types import from_arrow_type
 from quire.functions.geometry import align_offset, baseline_y
 from quire.functions.runs import STYLE, resolve_style
 from quire.functions.text import hex_to_rgb, standard_font_key
-from quire.sources.shared import small_batches
 
 #: More (font, character) widths than this, some 30 MB in a worker, are not sent to all tasks.
 MAX_WIDTHS = 200_000
-#: Segments that a worker gathers before it gives them on, and token widths that it remembers.
-OUT_ROWS, SEEN_TOKENS = 5_000, 100_000
+#: Segments, and characters of them, that a worker gathers before it gives them on.
+OUT_ROWS, OUT_CHARS = 5_000, 1 << 20
+#: Tokens whose widths a worker remembers, and the most characters of such a token.
+SEEN_TOKENS, SEEN_CHARS = 100_000, 64
+#: Tokens that a worker takes out of a run at a time.
+TAKEN = 1_000
 #: A line break, white space without one, or a word.
 _TOKEN = r"(?U)\n|[\s\uFEFF&&[^\n]]+|[^\s\uFEFF]+"
 _SEGMENT = {"line": pa.int32(), "segment": pa.int32(), "text": pa.string(), "font": pa.string(), "font_size": pa.float64(), "color": pa.string(), "width": pa.float64()}
 _BLANK = re.compile(r"[\s\uFEFF]+")
 
 
-def _placed(tokens: list[str], widths: list[float], room: float) -> list[int]:
-    """The line of each token, -1 for white space at a line's end or behind a break. A line
-    break has a line only if nothing else is on it."""
-    lines, line, used, first = [], 0, 0.0, 0
-    for i, (token, width) in enumerate(zip(tokens, widths)):
+def _lines(tokens: Iterator[tuple[str, tuple, float]], room: float) -> Iterator[tuple[int, list[tuple[str, tuple, float]]]]:
+    """(line, its tokens) for (token, look, width) in order, the last of them a line break.
+    White space at a line's end or behind a soft break is dropped. A line break is on its
+    line only if nothing else is; a line of white space before a soft break is not given."""
+    line, used, held = 0, 0.0, []
+    for token, look, width in tokens:
         hard, blank = token == "\n", bool(_BLANK.fullmatch(token))
         soft = not hard and used > 0 and used + width > room
         if hard or soft:
-            k = i - 1
-            while k >= first and lines[k] >= 0 and _BLANK.fullmatch(tokens[k]):
-                lines[k] = -1
-                k -= 1
-            if hard:
-                lines.append(line if not any(x >= 0 for x in lines[first:i]) else -1)
-            line, used, first = line + 1, 0.0, i
-            if hard:
-                first = i + 1
+            while held and _BLANK.fullmatch(held[-1][0]):
+                held.pop()
+            if hard and not held:
+                held.append((token, look, width))
+            if held:
+                yield line, held
+            line, used, held = line + 1, 0.0, []
+            if hard or blank:
                 continue
-            if blank:
-                lines.append(-1)
-                continue
-        lines.append(line)
+        held.append((token, look, width))
         used += width
-    return lines
+
+
+def _segments(tokens: list[tuple[str, tuple, float]]) -> Iterator[tuple[str, tuple, float]]:
+    """(text, look, width) of neighbours of one look; a colour's own text is no part of it."""
+    parts, own, wide = [], None, 0.0
+    for token, look, width in tokens:
+        if parts and look[:3] == own[:3]:
+            parts.append(token)
+            wide += width
+            continue
+        if parts:
+            yield "".join(parts), own, wide
+        parts, own, wide = [token], look, width
+    yield "".join(parts), own, wide
+
+
+def _runs(column: pa.ListArray, k: int) -> Iterator[tuple[tuple, Iterator[str]]]:
+    """(look, tokens) of each run of row ``k``; tokens become Python's a thousand at a time."""
+    if not column[k].is_valid:
+        return
+    every = column.values
+    font, size, tint, colour, tokens = (every.field(c) for c in ("font", "font_size", "tint", "color", "tokens"))
+
+    def some(start: int, end: int) -> Iterator[str]:
+        for at in range(start, end, TAKEN):
+            yield from tokens.values.slice(at, min(TAKEN, end - at)).to_pylist()
+
+    for j in range(column.offsets[k].as_py(), column.offsets[k + 1].as_py()):
+        start, end = (tokens.offsets[j].as_py(), tokens.offsets[j + 1].as_py()) if tokens[j].is_valid else (0, 0)
+        yield (font[j].as_py(), size[j].as_py(), tint[j].as_py(), colour[j].as_py()), some(start, end)
 
 
 def wrap_runs(boxes: DataFrame, widths: DataFrame, room: Column, *, keys: tuple[str, ...] = ("doc_id", "id"), scale: float = 1.0, default_em: float = 0.6) -> DataFrame:
@@ -59,8 +88,8 @@ def wrap_runs(boxes: DataFrame, widths: DataFrame, room: Column, *, keys: tuple[
 
     ``widths`` (font, char, em) is sent to the tasks after its rows are counted; what it
     does not hold is ``default_em`` wide. A box's row is enough for its lines: nothing is
-    shuffled. A worker takes boxes of some megabytes at a time apart one by one."""
-    small_batches(boxes.sparkSession)
+    shuffled. Beside the Arrow batch that Spark sends (``maxBytesPerBatch``, or one larger
+    box) a worker holds one line and what it gathers to give on."""
     if widths.limit(MAX_WIDTHS + 1).count() > MAX_WIDTHS:
         raise ValueError(f"more than {MAX_WIDTHS} widths")
     ems: dict[str, dict[str, float]] = {}
@@ -77,13 +106,26 @@ def wrap_runs(boxes: DataFrame, widths: DataFrame, room: Column, *, keys: tuple[
         seen: dict[tuple[str, str], float] = {}
 
         def em(font: str, token: str) -> float:
-            if (font, token) not in seen:
-                own = held.value.get(font, {})
-                seen[font, token] = 0.0 if token == "\n" else sum(own.get(c, default_em) for c in token)
-            return seen[font, token]
+            if (font, token) in seen:
+                return seen[font, token]
+            own = held.value.get(font, {})
+            wide = 0.0 if token == "\n" else sum(own.get(c, default_em) for c in token)
+            if len(token) <= SEEN_CHARS:
+                if len(seen) >= SEEN_TOKENS:
+                    seen.clear()
+                seen[font, token] = wide
+            return wide
+
+        def measured(column: pa.ListArray, k: int) -> Iterator[tuple[str, tuple, float]]:
+            last = (None, None, None, None)
+            for look, tokens in _runs(column, k):
+                for token in tokens:
+                    last = look
+                    yield token, look, em(look[0], token) * (look[1] or 0.0)
+            yield "\n", last, 0.0
 
         for b in batches:
-            owner, found = [], [[] for _ in _SEGMENT]
+            owner, chars, found = [], 0, [[] for _ in _SEGMENT]
 
             def gathered() -> pa.RecordBatch:
                 at = pa.array(owner, pa.int64())
@@ -93,34 +135,15 @@ def wrap_runs(boxes: DataFrame, widths: DataFrame, room: Column, *, keys: tuple[
                 return out
 
             for k in range(b.num_rows):
-                tokens, looks, wide = [], [], []
-                for run in b.column("_t")[k].as_py() or []:
-                    look = (run["font"], run["font_size"], run["tint"], run["color"])
-                    for token in run["tokens"] or []:
-                        tokens.append(token)
-                        looks.append(look)
-                        wide.append(em(look[0], token) * (look[1] or 0.0))
-                tokens.append("\n")
-                looks.append(looks[-1] if looks else (None, None, None, None))
-                wide.append(0.0)
-                before = None
-                for token, (font, size, tint, colour), width, line in zip(tokens, looks, wide, _placed(tokens, wide, b.column("_room")[k].as_py())):
-                    if line < 0:
-                        continue
-                    look = (line, font, size, tint)
-                    if look == before:
-                        found[2][-1] += token
-                        found[6][-1] += width
-                    else:
-                        segment = found[1][-1] + 1 if before and before[0] == line else 0
-                        if len(owner) >= OUT_ROWS:
+                for line, tokens in _lines(measured(b.column("_t"), k), b.column("_room")[k].as_py()):
+                    for segment, (text, (font, size, _, colour), width) in enumerate(_segments(tokens)):
+                        if len(owner) >= OUT_ROWS or chars >= OUT_CHARS:
                             yield gathered()
-                        for column, v in zip(found, (line, segment, token.strip("\n"), font, size, colour, width)):
+                            chars = 0
+                        for column, v in zip(found, (line, segment, text.strip("\n"), font, size, colour, width)):
                             column.append(v)
                         owner.append(k)
-                    before = look
-            if len(seen) > SEEN_TOKENS:
-                seen.clear()
+                        chars += len(text)
             yield gathered()
 
     df = boxes.withColumn("_runs", resolve_style(F.col("runs"), {k: F.col(k) for k in STYLE})).select(*keys, room.cast("double").alias("_room"), F.transform("_runs", tokens_of).alias("_t"))

@@ -9,6 +9,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from pyspark.sql.classic.dataframe import DataFrame
 
+import __spark_entry__ as entry
 from quire.functions import text as X
 from quire.operators.wrapping import wrap_runs
 from quire.schemas import STYLED_RUN
@@ -123,3 +124,29 @@ def test_a_worker_holds_one_box_at_a_time(spark, monkeypatch):
     tracemalloc.stop()
     assert n == out.count() > 10_000
     assert most < 20_000_000
+
+
+def test_a_worker_holds_one_line_of_a_long_box(spark, monkeypatch, tmp_path):
+    """In drawn_lines: of a conversation of 100,000 words and spaces, and of one of 3,000 words
+    of 4,000 letters, none of which is remembered."""
+    seen, plain = {}, DataFrame.mapInArrow
+
+    def noting(df, run, kinds):
+        seen.update(df=df, run=run)
+        return plain(df, run, kinds)
+
+    monkeypatch.setattr(DataFrame, "mapInArrow", noting)
+    role = F.when(F.col("id") % 2 == 0, "user").otherwise("assistant")
+    words = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(100)), lambda i: F.concat(F.lit("w"), ((i * 7 + F.col("id")) % 50).cast("string"))), " ")
+    long = F.concat(F.col("id").cast("string"), F.repeat(F.lit("x"), 4000))
+    turns = [spark.range(n).select(F.lit(doc).cast("long").alias("conv_id"), F.col("id").alias("turn"), role.alias("role"), text.alias("text")) for doc, n, text in ((1, 500, words), (2, 3000, long))]
+    turns[0].union(turns[1]).write.parquet(str(tmp_path / "conversations.parquet"))
+    out = entry.queries()["drawn_lines"](spark, str(tmp_path))
+    batches = seen["df"].toArrow().to_batches()
+    assert sum(b.num_rows for b in batches) == 2
+    tracemalloc.start()
+    n = sum(b.num_rows for b in seen["run"](iter(batches)))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n == out.count() > 8_000
+    assert most < 8_000_000
